@@ -157,6 +157,28 @@ SELECT CASE WHEN c_custkey % 2 = 0 THEN 'dbo' ELSE '' END AS schema_name, concat
   CASE c_custkey % 4 WHEN 0 THEN concat('[Remote', c_custkey % 3, '].[Other].[dbo].[T]') WHEN 1 THEN 'Other.dbo.T'
     WHEN 2 THEN 'School.dbo.T' ELSE 'dbo.T' END AS base_object_name
 FROM {customer}""",
+    "profile_rows": """
+SELECT concat('Table_', o_custkey % 40) AS table_name,
+  concat(CASE o_orderkey % 8 WHEN 0 THEN 'Value' WHEN 1 THEN 'EmailAddress' WHEN 2 THEN 'PasswordValue'
+    WHEN 3 THEN 'ReviewedName' WHEN 4 THEN 'Sequence' WHEN 5 THEN 'Payload' WHEN 6 THEN 'Label' ELSE 'Opened' END,
+    '_', o_orderkey) AS column_name,
+  CASE o_orderkey % 8 WHEN 4 THEN 'int' WHEN 5 THEN 'varbinary' WHEN 7 THEN 'datetime2' ELSE 'nvarchar' END AS data_type,
+  CASE o_orderkey % 8 WHEN 2 THEN 'Credential' WHEN 6 THEN 'Potentially Sensitive' ELSE 'Unknown' END AS sensitivity_category,
+  'NO_SENSITIVITY_SIGNAL' AS sensitivity_evidence,
+  CASE o_orderkey % 5 WHEN 0 THEN concat('ann', o_custkey, '@example.test') WHEN 1 THEN concat('0', 5550000000 + o_custkey)
+    WHEN 2 THEN '' WHEN 3 THEN concat('word ', o_custkey) ELSE NULL END AS minimum_value,
+  CASE o_orderkey % 3 WHEN 0 THEN concat('zed', o_custkey, '@example.test') WHEN 1 THEN concat('ABCDE', 1000 + o_custkey % 9000, 'F')
+    ELSE concat('zebra ', o_custkey) END AS maximum_value
+FROM {orders}""",
+    "class_rows": """
+SELECT lower(table_name) AS table_name, upper(column_name) AS column_name,
+  CASE WHEN column_name LIKE 'Email%' THEN 'PII' WHEN column_name LIKE 'Reviewed%' THEN 'Non-sensitive' ELSE 'Unknown' END AS sensitivity_category,
+  CASE WHEN column_name LIKE 'Reviewed%' THEN 'OVERRIDE: reviewed label' ELSE 'NO_SENSITIVITY_SIGNAL' END AS evidence
+FROM {profile_rows} WHERE column_name NOT LIKE 'Label%'""",
+    "notes": """
+SELECT o_orderkey, concat('t_', o_custkey) AS object_name, 'c' AS column_name,
+  CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE concat('note ', o_orderpriority) END AS property_value
+FROM {orders}""",
     "error_texts": """
 SELECT o_orderkey, 'dbo' AS schema_name, concat('t_', o_orderkey) AS object_name,
   CASE o_orderkey % 7 WHEN 0 THEN concat('HYT00 Query timeout after ', o_custkey) WHEN 1 THEN 'SELECT permission denied on object'

@@ -12,7 +12,7 @@ from ..functions.text import (
     is_present, is_safely_masked, mask_token, mask_value, redact_text, strip,
 )
 from ..functions.types import base_type_name, col_of, text_form
-from .sensitivity import name_result, signal_rank, signal_result
+from .sensitivity import detected_category
 
 KEYS = ("table_name", "column_name")
 
@@ -67,12 +67,6 @@ def _matches_case_folded(rows: DataFrame, other: DataFrame, keys: Sequence[str])
     return rows.join(right, test, "left").drop(*[f"__{k}" for k in keys])
 
 
-def _detected(column_name: Column, value: Column) -> Column:
-    """The class a column would get from its name or from this one value."""
-    found = F.coalesce(name_result(column_name), signal_result(signal_rank(value)))
-    return found.getField("sensitivity_category")
-
-
 def _sensitive(category: Column) -> Column:
     return F.coalesce(category.isin(*fixed.SENSITIVE_CATEGORIES), F.lit(False))
 
@@ -113,33 +107,48 @@ def publication_policy(
     binary = F.coalesce(type_name.isin(*fixed.BINARY_TYPES), F.lit(False))
     plain = F.coalesce(type_name.isin(*fixed.NUMERIC_TYPES, *fixed.DATE_TYPES), F.lit(False))
 
-    outputs, masked, omitted = {}, F.lit(0), F.lit(0)
-    current = category
+    # Each step is a column of its own, so the pattern searches behind it run once.
+    staged = joined.withColumns(
+        {"__reviewed": reviewed, "__binary": binary, "__plain": plain, "__current": category}
+    )
+    kept_as_is = F.col("__reviewed") | F.col("__plain")
+    current = F.col("__current")
+    masked, omitted = F.lit(0), F.lit(0)
     for field in value_fields:
         value = F.col(field)
         present = is_present(value)
         if policy == "aggregate_only":
-            outputs[field] = F.when(present, F.lit(None).cast("string")).otherwise(value)
             omitted = omitted + present.cast("int")
             continue
-        found = _detected(F.col("column_name"), value)
-        current = F.when(
-            present & ~reviewed & ~_sensitive(current) & _sensitive(found), found
-        ).otherwise(current)
+        open_question = present & ~F.col("__reviewed") & ~_sensitive(current)
+        found = F.when(open_question, detected_category(F.col("column_name"), value))
+        staged = staged.withColumn("__current", F.coalesce(found, current))
         token = mask_token(value, salt)
         new = (
             F.when(current == "Credential", F.lit(fixed.REDACTED))
             .when(_sensitive(current), token)
-            .when(binary, F.lit(fixed.BINARY_REDACTED))
-            .when(reviewed | plain, value)
+            .when(F.col("__binary"), F.lit(fixed.BINARY_REDACTED))
+            .when(kept_as_is, value)
             .otherwise(token)
         )
-        kept = ~_sensitive(current) & ~binary & (reviewed | plain)
-        outputs[field] = F.when(present, new).otherwise(value)
-        masked = masked + (present & ~kept).cast("int")
-    outputs["values_masked"] = masked.cast("int")
-    outputs["values_omitted"] = omitted.cast("int")
-    return joined.withColumns(outputs).drop("__category", "__evidence")
+        kept = ~_sensitive(current) & ~F.col("__binary") & kept_as_is
+        staged = staged.withColumns(
+            {
+                f"__new_{field}": F.when(present, new).otherwise(value),
+                f"__masked_{field}": (present & ~kept).cast("int"),
+            }
+        )
+        masked = masked + F.col(f"__masked_{field}")
+    counted = staged.withColumns(
+        {"values_masked": masked.cast("int"), "values_omitted": omitted.cast("int")}
+    )
+    for field in value_fields:
+        if policy == "aggregate_only":
+            blank = F.when(is_present(F.col(field)), F.lit(None)).otherwise(F.col(field))
+            counted = counted.withColumn(field, blank)
+        else:
+            counted = counted.withColumn(field, F.col(f"__new_{field}"))
+    return counted.select(*[c for c in counted.columns if not c.startswith("__")])
 
 
 def publication_counters(published: DataFrame) -> DataFrame:
@@ -192,14 +201,11 @@ def effective_category(
     not reviewed; then the stored one; then whatever the name and the values show."""
     catalogued = F.coalesce(catalogued, F.lit("Unknown"))
     kept = F.coalesce(F.nullif(stored, F.lit("")), catalogued)
-    ranks = [signal_rank(value) for value in values]
-    by_value = F.coalesce(*[signal_result(rank).getField("sensitivity_category") for rank in ranks])
-    detected = F.coalesce(name_result(column_name).getField("sensitivity_category"), by_value)
-    return (
-        F.when(_sensitive(catalogued) | _reviewed(catalogued, evidence), catalogued)
-        .when(_sensitive(kept), kept)
-        .when(_sensitive(detected), detected)
-        .otherwise(kept)
+    return F.coalesce(
+        F.when(_sensitive(catalogued) | _reviewed(catalogued, evidence), catalogued),
+        F.when(_sensitive(kept), kept),
+        detected_category(column_name, *values),
+        kept,
     )
 
 
@@ -229,12 +235,18 @@ def audit_profile_values(
     fields = F.array(
         *[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in value_fields]
     )
-    long = joined.select(
-        F.lit(label).alias("label"), F.col(keys[0]).alias("table_name"),
-        F.col("column_name").alias("row_id"), category.alias("category"),
-        _reviewed(category, evidence).alias("reviewed"), type_name.alias("type_name"),
-        F.explode(fields).alias("item"),
-    ).select("*", "item.field", "item.value").where(is_present(F.col("value")))
+    # Classified before the fields are spread: once per row, and out of reach of later filters.
+    long = (
+        joined.withColumn("__effective", category)
+        .select(
+            F.lit(label).alias("label"), F.col(keys[0]).alias("table_name"),
+            F.col("column_name").alias("row_id"), F.col("__effective").alias("category"),
+            _reviewed(F.col("__effective"), evidence).alias("reviewed"),
+            type_name.alias("type_name"), F.explode(fields).alias("item"),
+        )
+        .select("*", "item.field", "item.value")
+        .where(is_present(F.col("value")))
+    )
     sensitive = _sensitive(F.col("category"))
     safe = is_safely_masked(F.col("value"), F.col("category"))
     text = strip(F.col("value"))
@@ -280,8 +292,7 @@ def audit_table_values(
         if categories.get(field.name) not in fixed.SENSITIVE_CATEGORIES:
             if not detect or field.name == row_id:
                 continue
-            found = _detected(F.lit(field.name), value)
-            category = F.when(_sensitive(found), found)
+            category = detected_category(F.lit(field.name), value)
         cells.append(
             F.struct(F.lit(field.name).alias("field"), value.alias("value"), category.alias("category"))
         )
