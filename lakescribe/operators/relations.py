@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions import fixed_values as fixed
 from ..functions.text import is_true, normalized_name
-from ..functions.types import col_of
+from ..functions.types import col_of, is_profiled
+from .frequency import distinct_counts
 from .profile import percent, within_threshold
 
 TARGETS_PER_SOURCE = 3
@@ -48,6 +49,49 @@ def measured_unique_targets(profile: DataFrame, schema_name: str = "") -> DataFr
     )
 
 
+def measure_unique(
+    df: DataFrame, table_name: str, columns: Sequence[str] | None = None
+) -> DataFrame:
+    """(table_name, column_name, total_rows, candidate_unique), as a profile would find them.
+
+    A first scan without a shuffle rules out columns with nulls and whole-number columns with more
+    rows than numbers between their extrema. Only the rest are counted by distinct values.
+    """
+    fields = [
+        f for f in df.schema.fields
+        if is_profiled(f.dataType) and (columns is None or f.name in columns)
+    ]
+    measures = [F.count(F.lit(1)).alias("total")]
+    for i, field in enumerate(fields):
+        column = col_of(field.name)
+        measures.append(F.count(column).alias(f"n{i}"))
+        if isinstance(field.dataType, T.IntegralType):
+            span = F.max(column).cast("decimal(20,0)") - F.min(column).cast("decimal(20,0)") + 1
+            measures.append(span.alias(f"span{i}"))
+    first = df.agg(*measures).first().asDict()
+    total = first["total"]
+    possible = [
+        f.name for i, f in enumerate(fields)
+        if first[f"n{i}"] == total and (first.get(f"span{i}") is None or first[f"span{i}"] >= total)
+    ]
+    spark = df.sparkSession
+    listed = spark.createDataFrame(
+        [(f.name, possible.index(f.name) if f.name in possible else None) for f in fields],
+        "column_name string, position int",
+    )
+    if possible and total:
+        # one row per column
+        counts = F.broadcast(distinct_counts(df, possible))
+        listed = listed.join(counts, "position", "left")
+        unique = F.coalesce(F.col("distinct_count") == total, F.lit(False))
+    else:
+        unique = F.lit(total == 0)
+    return listed.select(
+        F.lit(table_name).alias("table_name"), "column_name",
+        F.lit(total).cast("bigint").alias("total_rows"), unique.alias("candidate_unique"),
+    )
+
+
 def infer_relationships(
     columns: DataFrame,
     unique_targets: DataFrame,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fixed_values as fixed
 
@@ -129,7 +129,8 @@ def table_similarity(columns: DataFrame, threshold: float = 0.8) -> DataFrame:
 
     Two sets that reach the threshold must share one of their rarest names: names are ordered by
     how many sets have them, and only a prefix of each set has to be joined. Common names such as
-    ``id`` are outside nearly every prefix.
+    ``id`` are outside nearly every prefix. Pairs are verified in the row that found them, on the
+    first name they share, so nothing is shuffled after that join.
     """
     groups = shape_groups(columns)
     members = groups.where("schema_name <> group_schema OR object_name <> group_object").select(
@@ -144,32 +145,37 @@ def table_similarity(columns: DataFrame, threshold: float = 0.8) -> DataFrame:
         columns.select(*TABLE, F.lower("column_name").alias("name")).distinct().join(firsts, TABLE)
     )
     spread = names.groupBy("name").agg(F.count(F.lit(1)).alias("spread"))
-    by_rarity = Window.partitionBy(*TABLE).orderBy("spread", "name")
-    ranked = names.join(spread, "name").withColumn("place", F.row_number().over(by_rarity))
-    keep = F.col("width") - F.ceil(F.col("width") * F.lit(threshold) - F.lit(1e-9)) + 1
-    prefix = ranked.where(F.col("place") <= keep)
+    by_rarity = F.sort_array(F.collect_list(F.struct("spread", "name")))
+    sets = names.join(spread, "name").groupBy(*TABLE, "width").agg(
+        F.transform(by_rarity, lambda item: item["name"]).alias("names")
+    )
+    least = F.ceil(F.col("width") * F.lit(threshold) - F.lit(1e-9))
+    prefixes = sets.withColumn("prefix", F.slice("names", F.lit(1), F.col("width") - least + 1))
 
-    def side(df: DataFrame, label: str, extra: tuple[str, ...]) -> DataFrame:
-        return df.select(
+    def side(label: str) -> DataFrame:
+        return prefixes.select(
             F.col("schema_name").alias(f"{label}_schema"), F.col("object_name").alias(f"{label}_object"),
-            "name", *[F.col(c).alias(f"{label}_{c}") for c in extra],
+            *[F.col(c).alias(f"{label}_{c}") for c in ("width", "names", "prefix")],
+            F.posexplode("prefix").alias(f"{label}_place", "name"),
         )
 
-    left, right = (side(prefix, label, ("width",)) for label in ("left", "right"))
     ordered = F.struct("left_schema", "left_object") < F.struct("right_schema", "right_object")
-    similar_width = F.least("left_width", "right_width") >= F.lit(threshold) * F.greatest(
-        "left_width", "right_width"
-    ) - F.lit(1e-9)
+    widths = F.col("left_width") + F.col("right_width")
+    needed = F.ceil(widths * F.lit(threshold / (1 + threshold)) - F.lit(1e-9))
+    # what both sets still hold from this name on bounds what they can share
+    reachable = F.least(
+        F.col("left_width") - F.col("left_place"), F.col("right_width") - F.col("right_place")
+    )
+    first_match = F.get(F.array_intersect("left_prefix", "right_prefix"), F.lit(0)) == F.col("name")
     pair = ["left_schema", "left_object", "right_schema", "right_object"]
-    candidates = left.join(right, "name").where(ordered & similar_width).select(
-        *pair, "left_width", "right_width"
-    ).distinct()
-    left_names, right_names = (side(names, label, ()) for label in ("left", "right"))
     shared = (
-        candidates.join(left_names, ["left_schema", "left_object"])
-        .join(right_names, ["right_schema", "right_object", "name"])
-        .groupBy(*pair, "left_width", "right_width")
-        .agg(F.count(F.lit(1)).alias("shared_names"))
+        side("left").join(side("right"), "name")
+        .where(ordered & (reachable >= needed))
+        .where(first_match)
+        .select(
+            *pair, "left_width", "right_width",
+            F.size(F.array_intersect("left_names", "right_names")).cast("bigint").alias("shared_names"),
+        )
     )
     union = F.col("left_width") + F.col("right_width") - F.col("shared_names")
     return (
