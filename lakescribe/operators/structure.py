@@ -97,24 +97,33 @@ def table_roles(
     )
 
 
+def _name_sets(columns: DataFrame) -> DataFrame:
+    """Each table with its sorted column names; a schema's names fit a row."""
+    return columns.groupBy(*TABLE).agg(
+        F.sort_array(F.collect_set(F.lower("column_name"))).alias("names")
+    ).withColumn("signature", F.sha2(F.array_join("names", "\x00"), 256))
+
+
+def _first_of_each(sets: DataFrame) -> DataFrame:
+    return sets.groupBy("signature").agg(
+        F.min(F.struct(*TABLE)).alias("first"), F.any_value("names").alias("names")
+    )
+
+
 def shape_groups(columns: DataFrame) -> DataFrame:
     """(schema_name, object_name, group_schema, group_object, width): tables with the same set of
     column names share a group, named after the first of them.
-
-    A table's column list is as long as its schema, which one row can hold.
     """
-    names = columns.select(*TABLE, F.lower("column_name").alias("name")).distinct()
-    lists = names.groupBy(*TABLE).agg(
-        F.sha2(F.array_join(F.sort_array(F.collect_list("name")), "\x00"), 256).alias("signature"),
-        F.count(F.lit(1)).alias("width"),
-    )
-    firsts = lists.groupBy("signature").agg(F.min(F.struct(*TABLE)).alias("first"))
-    return lists.join(firsts, "signature").select(
+    sets = _name_sets(columns)
+    firsts = _first_of_each(sets).select("signature", "first")
+    return sets.join(firsts, "signature").select(
         *TABLE, F.col("first.schema_name").alias("group_schema"),
-        F.col("first.object_name").alias("group_object"), "width",
+        F.col("first.object_name").alias("group_object"),
+        F.size("names").cast("bigint").alias("width"),
     )
 
 
+SETS_PER_BUCKET = 1000
 SIMILARITY_COLUMNS = (
     "left_schema", "left_object", "right_schema", "right_object", "shared_names", "similarity",
 )
@@ -138,49 +147,74 @@ def table_similarity(columns: DataFrame, threshold: float = 0.8) -> DataFrame:
         F.col("schema_name").alias("right_schema"), F.col("object_name").alias("right_object"),
         F.col("width").alias("shared_names"), F.lit(1.0).alias("similarity"),
     )
-    firsts = groups.where("schema_name = group_schema AND object_name = group_object").select(
-        *TABLE, "width"
-    )
     names = (
-        columns.select(*TABLE, F.lower("column_name").alias("name")).distinct().join(firsts, TABLE)
+        _first_of_each(_name_sets(columns))
+        .select("first.*", F.size("names").cast("bigint").alias("width"), F.explode("names").alias("name"))
     )
     spread = names.groupBy("name").agg(F.count(F.lit(1)).alias("spread"))
     by_rarity = F.sort_array(F.collect_list(F.struct("spread", "name")))
+    bit = F.expr("shiftleft(CAST(1 AS BIGINT), CAST(pmod(xxhash64(name), 64) AS INT))")
     sets = names.join(spread, "name").groupBy(*TABLE, "width").agg(
-        F.transform(by_rarity, lambda item: item["name"]).alias("names")
+        by_rarity.alias("ranked"), F.bit_or(bit).alias("bits")
     )
     least = F.ceil(F.col("width") * F.lit(threshold) - F.lit(1e-9))
-    prefixes = sets.withColumn("prefix", F.slice("names", F.lit(1), F.col("width") - least + 1))
+    prefixes = sets.select(
+        *TABLE, "width", "bits", F.transform("ranked", lambda item: item["name"]).alias("names"),
+        F.slice("ranked", F.lit(1), F.col("width") - least + 1).alias("prefix"),
+    )
+    # A name of many sets is spread over several buckets: the left side picks one, the right side
+    # visits all.
+    buckets = F.greatest(F.ceil(F.col("item.spread") / F.lit(SETS_PER_BUCKET)), F.lit(1))
 
     def side(label: str) -> DataFrame:
-        return prefixes.select(
+        found = prefixes.select(
+            *TABLE, "width", "bits", "names",
+            F.transform("prefix", lambda item: item["name"]).alias("prefix"),
+            F.posexplode("prefix").alias("place", "item"),
+        )
+        if label == "left":
+            bucket = F.pmod(F.xxhash64(*TABLE), buckets)
+        else:
+            bucket = F.explode(F.sequence(F.lit(0).cast("bigint"), (buckets - 1).cast("bigint")))
+        return found.select(
             F.col("schema_name").alias(f"{label}_schema"), F.col("object_name").alias(f"{label}_object"),
-            *[F.col(c).alias(f"{label}_{c}") for c in ("width", "names", "prefix")],
-            F.posexplode("prefix").alias(f"{label}_place", "name"),
+            *[F.col(c).alias(f"{label}_{c}") for c in ("width", "bits", "names", "prefix", "place")],
+            F.col("item.name").alias("name"), bucket.alias("bucket"),
         )
 
-    ordered = F.struct("left_schema", "left_object") < F.struct("right_schema", "right_object")
+    # The join is small in bytes and large in work: a fixed number of tasks keeps adaptive
+    # execution from merging them by size.
+    tasks = int(columns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left, right = (side(label).repartition(tasks, "name", "bucket") for label in ("left", "right"))
+    ordered = (F.col("left_schema") < F.col("right_schema")) | (
+        (F.col("left_schema") == F.col("right_schema"))
+        & (F.col("left_object") < F.col("right_object"))
+    )
     widths = F.col("left_width") + F.col("right_width")
     needed = F.ceil(widths * F.lit(threshold / (1 + threshold)) - F.lit(1e-9))
-    # what both sets still hold from this name on bounds what they can share
+    # Three bounds on what two sets can share: what both hold from this name on, and the names of
+    # either whose bit the other lacks.
+    def bound(one: str, other: str) -> Column:
+        missing = F.bit_count(
+            F.col(f"{one}_bits").bitwiseAND(F.bitwise_not(F.col(f"{other}_bits")))
+        )
+        return F.col(f"{one}_width") - missing
+
     reachable = F.least(
-        F.col("left_width") - F.col("left_place"), F.col("right_width") - F.col("right_place")
+        F.col("left_width") - F.col("left_place"), F.col("right_width") - F.col("right_place"),
+        bound("left", "right"), bound("right", "left"),
     )
     first_match = F.get(F.array_intersect("left_prefix", "right_prefix"), F.lit(0)) == F.col("name")
-    pair = ["left_schema", "left_object", "right_schema", "right_object"]
-    shared = (
-        side("left").join(side("right"), "name")
-        .where(ordered & (reachable >= needed))
-        .where(first_match)
-        .select(
-            *pair, "left_width", "right_width",
-            F.size(F.array_intersect("left_names", "right_names")).cast("bigint").alias("shared_names"),
-        )
+    shared = F.size(F.array_intersect("left_names", "right_names")).cast("bigint")
+    similarity = shared / (widths - shared)
+    # one predicate, so that the cheap bounds are always tested before the lists are read
+    similar = F.when(
+        ordered & (reachable >= needed), F.when(first_match, similarity >= threshold)
     )
-    union = F.col("left_width") + F.col("right_width") - F.col("shared_names")
     return (
-        shared.withColumn("similarity", F.col("shared_names") / union)
-        .where(F.col("similarity") >= threshold)
+        left.join(right, ["name", "bucket"])
+        .where(F.coalesce(similar, F.lit(False)))
+        .withColumns({"shared_names": shared, "similarity": similarity})
         .select(*SIMILARITY_COLUMNS)
         .unionAll(members.select(*SIMILARITY_COLUMNS))
     )
