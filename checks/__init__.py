@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("profile_checks", "sensitivity_checks", "relation_checks")
+MODULES = ("profile_checks", "sensitivity_checks", "relation_checks", "statement_checks")
 
 
 def all_registries():

@@ -155,28 +155,24 @@ def job_step_references(steps: DataFrame, literals: Iterable[str] = ()) -> DataF
 def _references(steps: DataFrame, literals: tuple[str, ...]) -> DataFrame:
     staged = _staged(steps, literals)
     text = F.col("scrubbed")
-    found = []
-    for turn, (operation, pattern) in enumerate(REFERENCE_PATTERNS):
+
+    def found(turn: int, operation: str, pattern: str) -> Column:
         names = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
         if operation == "READ":
             calls = tuple(name.lower() for name in fixed.EXTERNAL_CALLS)
             names = F.filter(names, lambda n: ~F.lower(n).isin(*calls))
         if operation == "CALL":
             names = F.filter(names, lambda n: ~F.lower(n).isin(*CALLS_TO_SKIP))
-        split_names = F.transform(names, lambda n: _name_parts(n, literals))
-        found.append(
-            F.transform(
-                split_names,
-                lambda parts, i, operation=operation, turn=turn: _named(
-                    operation, parts, i + F.lit(turn * 1_000_000)
-                ),
-            )
+        return F.transform(
+            F.transform(names, lambda n: _name_parts(n, literals)),
+            lambda parts, i: _named(operation, parts, i + F.lit(turn).cast("bigint") * 1_000_000_000),
         )
+
     none = {f"target_{p}": "" for p in ("server", "database", "schema", "object")}
     constructs = F.transform(
         F.regexp_extract_all(text, F.lit(r"(?i)\b(OPENQUERY|OPENROWSET|OPENDATASOURCE)\s*\("), F.lit(1)),
         lambda word, i: _reference(
-            key=F.lit(""), position=i, operation="READ",
+            key=F.lit(""), position=i.cast("bigint"), operation="READ",
             **{**none, "target_server": "[STATIC_TEXT_REDACTED]"},
             reference_kind=F.upper(word), external_reference=True,
             evidence=F.concat(
@@ -187,12 +183,12 @@ def _references(steps: DataFrame, literals: tuple[str, ...]) -> DataFrame:
         ),
     )
     dynamic = _reference(
-        key="", position=0, operation="OPAQUE", **none, reference_kind="DYNAMIC_SQL",
+        key="", position=F.lit(0).cast("bigint"), operation="OPAQUE", **none, reference_kind="DYNAMIC_SQL",
         external_reference=False,
         evidence="DYNAMIC SQL DETECTED; TEXT NOT INTERPRETED OR EXECUTED", confidence="LOW",
     )
     opaque = _reference(
-        key="", position=0, operation="OPAQUE", **none,
+        key="", position=F.lit(0).cast("bigint"), operation="OPAQUE", **none,
         reference_kind=F.when(F.col("subsystem") == "SSIS", "SSIS_PACKAGE").otherwise("EXTERNAL_INVOCATION"),
         external_reference=True,
         evidence=F.concat(
@@ -207,7 +203,8 @@ def _references(steps: DataFrame, literals: tuple[str, ...]) -> DataFrame:
             F.when(F.col("dynamic_sql_opaque"), dynamic), F.when(~is_tsql, opaque),
         )
     )
-    items = F.concat(one_per_key(F.concat(*found), last=False), constructs, extra)
+    named = [found(turn, *entry) for turn, entry in enumerate(REFERENCE_PATTERNS)]
+    items = F.concat(one_per_key(F.concat(*named), last=False), constructs, extra)
     return staged.select(
         *STEP_FIELDS, F.col("database_name").alias("source_database"), "schedule_name",
         "invocation_hint", "dynamic_sql_opaque", F.explode(items).alias("item"),

@@ -7,7 +7,7 @@ these operators need no shuffle.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -96,24 +96,18 @@ def _target(operation: str, parts: Column, position: Column) -> Column:
     )
 
 
-def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with the value computed once per row element."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def object_references(statements: DataFrame, text_column: str = "definition_sanitized") -> DataFrame:
     """Objects each statement reads, writes or calls, once each; the last spelling is kept."""
     text = F.coalesce(F.col(text_column), F.lit(""))
-    found = [
-        F.transform(
-            F.regexp_extract_all(text, F.lit(pattern), F.lit(1)),
-            lambda raw, i, operation=operation: _bound(
-                _parts(raw), lambda parts: _target(operation, parts, i)
-            ),
+    def found(operation: str, pattern: str) -> Column:
+        names = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
+        return F.transform(
+            F.transform(names, _parts), lambda parts, i: _target(operation, parts, i)
         )
-        for operation, pattern in REFERENCE_PATTERNS
-    ]
-    targets = F.filter(F.concat(*found), lambda item: ~item["is_local"])
+
+    targets = F.filter(
+        F.concat(*[found(*entry) for entry in REFERENCE_PATTERNS]), lambda item: ~item["is_local"]
+    )
     kind = F.col("source_type") if "source_type" in statements.columns else F.lit("STATEMENT")
     return statements.select(
         F.col("schema_name").alias("source_schema"), F.col("object_name").alias("source_object"),
