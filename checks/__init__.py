@@ -2,7 +2,9 @@
 
 from importlib import import_module
 
-MODULES = ("profile_checks", "sensitivity_checks", "relation_checks", "statement_checks")
+MODULES = (
+    "profile_checks", "sensitivity_checks", "relation_checks", "statement_checks", "compare_checks",
+)
 
 
 def all_registries():
