@@ -29,13 +29,9 @@ def _long_form(values: list[tuple[int, Column]], df: DataFrame) -> DataFrame:
 def _count_key(name: str, data_type: T.DataType) -> tuple[str, Column]:
     """The type a column's values are counted under, and the values in it."""
     column = col_of(name)
-    if isinstance(data_type, (T.IntegralType, T.BooleanType)):
+    if isinstance(data_type, T.IntegralType):
         return "bigint", column.cast("bigint")
-    if isinstance(data_type, (T.FloatType, T.DoubleType)):
-        return "double", column.cast("double")
-    if isinstance(data_type, (T.DateType, T.TimestampType, T.TimestampNTZType)):
-        return data_type.simpleString(), column
-    if isinstance(data_type, T.DecimalType):
+    if not isinstance(data_type, T.StringType):
         return data_type.simpleString(), column
     text = text_form(column, data_type)
     digest = F.concat(F.lit("#"), F.sha2(text, 256))
@@ -62,27 +58,14 @@ def distinct_counts(
         distinct = _long_form(keys, df).where(F.col("value").isNotNull()).distinct()
         measures = [F.count(F.lit(1)).alias("distinct_count")]
         if extrema:
-            value_type = distinct.schema["value"].dataType
             text = F.lit(None).cast("string")
             if kind != "string":
-                text = _restored(F.col("position"), F.col("value"), value_type, columns, types)
+                text = text_form(F.col("value"), distinct.schema["value"].dataType)
             measures += [F.min(text).alias("lowest"), F.max(text).alias("highest")]
         counted.append(distinct.groupBy("position").agg(*measures))
     return reduce(DataFrame.unionAll, counted)
 
 
-def _restored(position: Column, value: Column, value_type, columns, types) -> Column:
-    """The text form of a counted value: booleans and floats are counted under a wider type."""
-    text = text_form(value, value_type)
-    for i, name in enumerate(columns):
-        if isinstance(types[name], (T.BooleanType, T.FloatType)) and (
-            isinstance(types[name], T.BooleanType) == isinstance(value_type, T.LongType)
-        ):
-            narrow = value.cast(types[name])
-            text = F.when(position == i, text_form(narrow, types[name])).otherwise(text)
-    return text
-
-
 def value_frequencies(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """(column_name, value, value_count), NULL being a value of its own."""
     columns = list(columns) if columns is not None else profiled_columns(df)
