@@ -49,12 +49,41 @@ def contains_any(column: Column, markers: Iterable[str]) -> Column:
     return test
 
 
+def holds_any(text: Column, words: Iterable[str]) -> Column:
+    """Whether a text holds one of some plain words: a cheap test in front of a pattern search."""
+    test = F.lit(False)
+    for word in words:
+        test = test | text.contains(word)
+    return test
+
+
+def searched(text: Column, words: Iterable[str], pattern: str) -> Column:
+    """``text.rlike(pattern)`` for a pattern that cannot match without one of the words."""
+    return holds_any(text, words) & text.rlike(pattern)
+
+
+SECRET_HINT = "pass|pwd|token|secret|key"
+
+
+def may_hold_secret(text: Column) -> Column:
+    """Whether a text has an equals sign and a word that every secret pattern starts with."""
+    return text.contains("=") & F.lower(text).rlike(SECRET_HINT)
+
+
+def secrets_replaced(text: Column) -> Column:
+    text = F.regexp_replace(text, fixed.CONNECTION_PASSWORD, "$1[REDACTED]")
+    return F.regexp_replace(text, fixed.SECRET_ASSIGNMENT, "$1=[REDACTED]")
+
+
 def redact_text(column: Column, literals: Iterable[str] = ()) -> Column:
-    """Replace connection passwords, secret assignments and the given literals, longest first."""
-    text = F.regexp_replace(column, fixed.CONNECTION_PASSWORD, "$1[REDACTED]")
-    text = F.regexp_replace(text, fixed.SECRET_ASSIGNMENT, "$1=[REDACTED]")
+    """Replace connection passwords, secret assignments and the given literals, longest first.
+
+    Texts that cannot hold an assignment are not searched for one.
+    """
+    text = F.when(may_hold_secret(column), secrets_replaced(column)).otherwise(column)
     for literal in sorted((item for item in literals if item), key=len, reverse=True):
-        text = F.replace(text, F.lit(literal.replace("\\", "\\\\")), F.lit(fixed.REDACTED))
+        if "\\" in literal:
+            text = F.replace(text, F.lit(literal.replace("\\", "\\\\")), F.lit(fixed.REDACTED))
         text = F.replace(text, F.lit(literal), F.lit(fixed.REDACTED))
     return text
 

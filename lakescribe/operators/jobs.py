@@ -11,8 +11,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fixed_values as fixed
-from ..functions.text import redact_text
-from .statements import one_per_key
+from ..functions.text import redact_text, searched
+from .statements import extract_all, one_per_key
 
 NAME = rf"({fixed.JOB_NAME_PART}(?:\s*\.\s*{fixed.JOB_NAME_PART}){{0,3}})"
 REFERENCE_PATTERNS = (
@@ -23,6 +23,8 @@ REFERENCE_PATTERNS = (
     ("READ", rf"(?i)\b(?:FROM|JOIN)\s+{NAME}"),
     ("CALL", rf"(?i)\bEXEC(?:UTE)?\s+{NAME}"),
 )
+# words without which the pattern at the same place cannot match
+REFERENCE_WORDS = (("INSERT",), ("MERGE",), ("UPDATE",), ("DELETE",), ("FROM", "JOIN"), ("EXEC",))
 # Comments and literals; one that never closes runs to the end of the command.
 SPANS = (
     r"--[^\r\n]*+"
@@ -69,7 +71,8 @@ def _staged(steps: DataFrame, literals: tuple[str, ...]) -> DataFrame:
         steps.withColumns({**shown, "command": command})
         .withColumn("subsystem", F.upper(F.trim("subsystem")))
         .withColumn("scrubbed", F.when(tsql, F.regexp_replace("command", SPANS, " ")).otherwise(""))
-        .withColumn("dynamic_sql_opaque", F.col("scrubbed").rlike(fixed.DYNAMIC_JOB_STEP))
+        .withColumn("upper", F.upper("scrubbed"))
+        .withColumn("dynamic_sql_opaque", searched(F.col("upper"), ("EXEC",), fixed.DYNAMIC_JOB_STEP))
         .withColumns(
             {
                 "invocation_hint": F.when(tsql & dynamic, "dynamic TSQL; text treated as opaque")
@@ -154,10 +157,10 @@ def job_step_references(steps: DataFrame, literals: Iterable[str] = ()) -> DataF
 
 def _references(steps: DataFrame, literals: tuple[str, ...]) -> DataFrame:
     staged = _staged(steps, literals)
-    text = F.col("scrubbed")
+    text, upper = F.col("scrubbed"), F.col("upper")
 
     def found(turn: int, operation: str, pattern: str) -> Column:
-        names = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
+        names = extract_all(text, upper, REFERENCE_WORDS[turn], pattern)
         if operation == "READ":
             calls = tuple(name.lower() for name in fixed.EXTERNAL_CALLS)
             names = F.filter(names, lambda n: ~F.lower(n).isin(*calls))
@@ -170,7 +173,7 @@ def _references(steps: DataFrame, literals: tuple[str, ...]) -> DataFrame:
 
     none = {f"target_{p}": "" for p in ("server", "database", "schema", "object")}
     constructs = F.transform(
-        F.regexp_extract_all(text, F.lit(r"(?i)\b(OPENQUERY|OPENROWSET|OPENDATASOURCE)\s*\("), F.lit(1)),
+        extract_all(text, upper, ("OPEN",), r"(?i)\b(OPENQUERY|OPENROWSET|OPENDATASOURCE)\s*\("),
         lambda word, i: _reference(
             key=F.lit(""), position=i.cast("bigint"), operation="READ",
             **{**none, "target_server": "[STATIC_TEXT_REDACTED]"},

@@ -227,7 +227,8 @@ def flow_catalogue(
         F.lit("INFERENCE").alias("evidence_class"),
     )
     identified = is_present(F.col("referenced_id"))
-    catalogued = dependencies.join(references.select(*source).distinct(), source, "left_anti").select(
+    # the sources of the rows above: their shuffle is shared, not done twice
+    catalogued = dependencies.join(grouped.select(*source), source, "left_anti").select(
         F.concat(text_of("source_schema"), F.lit("."), text_of("source_object")).alias("origin"),
         F.concat(text_of("target_schema"), F.lit("."), text_of("target_object")).alias("source"),
         F.col("source_type").alias("transformation"), unknown.alias("destination"),

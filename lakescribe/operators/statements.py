@@ -13,9 +13,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import fixed_values as fixed
-from ..functions.text import redact_text
+from ..functions.text import (
+    holds_any, may_hold_secret, redact_text, searched, secrets_replaced,
+)
 
 NAME = rf"({fixed.NAME_PART}(?:\s*\.\s*{fixed.NAME_PART}){{0,3}})"
+REFERENCE_WORDS = {
+    "WRITE": ("INSERT", "MERGE", "UPDATE", "DELETE"), "READ": ("FROM", "JOIN"), "CALL": ("EXEC",),
+}
 REFERENCE_PATTERNS = (
     ("WRITE", rf"(?i)\b(?:INSERT\s+INTO|MERGE\s+INTO|UPDATE|DELETE\s+FROM)\s+{NAME}"),
     ("READ", rf"(?i)\b(?:FROM|JOIN)\s+{NAME}"),
@@ -27,30 +32,48 @@ REFERENCE_COLUMNS = (
 )
 
 
+# flag, words one of which must occur, pattern; all against the upper-cased text
+FLAG_PATTERNS = (
+    ("dynamic_sql_present", ("EXEC",), fixed.DYNAMIC_DEFINITION),
+    ("transaction_logic_present", ("TRAN", "COMMIT", "ROLLBACK"), r"\bBEGIN\s+TRAN|\bCOMMIT\b|\bROLLBACK\b"),
+    (
+        "error_handling_present", ("TRY", "CATCH", "THROW", "RAISERROR"),
+        r"\bTRY\b|\bCATCH\b|\bTHROW\b|\bRAISERROR\b",
+    ),
+    (
+        "likely_write_logic", ("INSERT", "UPDATE", "DELETE", "MERGE"),
+        r"\bINSERT\b|\bUPDATE\b|\bDELETE\b|\bMERGE\b",
+    ),
+)
+
+
 def definition_flags(
     statements: DataFrame, text_column: str = "definition", literals: Iterable[str] = ()
 ) -> DataFrame:
     """Replaces the raw text by its sanitized form, its hash and what it does."""
-    raw = F.col(text_column)
-    text = F.coalesce(raw, F.lit(""))
+    text = F.coalesce(F.col(text_column), F.lit(""))
     folded = F.lower(F.trim(F.regexp_replace(text, r"\s+", " ")))
-    sanitized = F.regexp_replace(
-        redact_text(text), fixed.QUOTED_SECRET_ASSIGNMENT, "$1='[REDACTED]'"
+    suspicious, redacted = may_hold_secret(text), secrets_replaced(text)
+    unquoted = F.regexp_replace(redacted, fixed.QUOTED_SECRET_ASSIGNMENT, "$1='[REDACTED]'")
+    sanitized = (
+        F.when(suspicious & text.contains("'"), unquoted).when(suspicious, redacted).otherwise(text)
     )
     if tuple(literals):
         sanitized = redact_text(sanitized, literals)
-    return statements.withColumns(
-        {
-            "definition_available": text != "",
-            "definition_sha256": F.when(text != "", F.sha2(folded, 256)).otherwise(""),
-            "definition_sanitized": sanitized,
-            "dynamic_sql_present": text.rlike(fixed.DYNAMIC_DEFINITION),
-            "temp_table_present": text.contains("#"),
-            "transaction_logic_present": text.rlike(r"(?i)\bBEGIN\s+TRAN|\bCOMMIT\b|\bROLLBACK\b"),
-            "error_handling_present": text.rlike(r"(?i)\bTRY\b|\bCATCH\b|\bTHROW\b|\bRAISERROR\b"),
-            "likely_write_logic": text.rlike(r"(?i)\bINSERT\b|\bUPDATE\b|\bDELETE\b|\bMERGE\b"),
-        }
-    ).drop(text_column)
+    upper = F.col("__upper")
+    flags = {
+        "definition_available": text != "",
+        "definition_sha256": F.when(text != "", F.sha2(folded, 256)).otherwise(""),
+        "definition_sanitized": sanitized,
+        "temp_table_present": text.contains("#"),
+    }
+    for name, words, pattern in FLAG_PATTERNS:
+        flags[name] = searched(upper, words, pattern)
+    return (
+        statements.withColumn("__upper", F.upper(text))
+        .withColumns(flags)
+        .drop(text_column, "__upper")
+    )
 
 
 def one_per_key(items: Column, last: bool) -> Column:
@@ -70,6 +93,12 @@ def one_per_key(items: Column, last: bool) -> Column:
     return F.get(F.transform(F.array(F.sort_array(items)), keep), F.lit(0))
 
 
+def extract_all(text: Column, upper: Column, words: Iterable[str], pattern: str) -> Column:
+    """All first groups of a pattern that cannot match without one of the words in ``upper``."""
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
+    return F.when(holds_any(upper, words), found).otherwise(F.array().cast("array<string>"))
+
+
 def _parts(raw: Column) -> Column:
     compact = F.regexp_replace(raw, r"\s+", "")
     return F.transform(F.split(compact, r"\."), lambda part: F.btrim(part, F.lit("[]")))
@@ -98,9 +127,9 @@ def _target(operation: str, parts: Column, position: Column) -> Column:
 
 def object_references(statements: DataFrame, text_column: str = "definition_sanitized") -> DataFrame:
     """Objects each statement reads, writes or calls, once each; the last spelling is kept."""
-    text = F.coalesce(F.col(text_column), F.lit(""))
+
     def found(operation: str, pattern: str) -> Column:
-        names = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
+        names = extract_all(F.col("__text"), F.col("__upper"), REFERENCE_WORDS[operation], pattern)
         return F.transform(
             F.transform(names, _parts), lambda parts, i: _target(operation, parts, i)
         )
@@ -109,7 +138,9 @@ def object_references(statements: DataFrame, text_column: str = "definition_sani
         F.concat(*[found(*entry) for entry in REFERENCE_PATTERNS]), lambda item: ~item["is_local"]
     )
     kind = F.col("source_type") if "source_type" in statements.columns else F.lit("STATEMENT")
-    return statements.select(
+    filled = F.coalesce(F.col(text_column), F.lit(""))
+    staged = statements.withColumns({"__text": filled, "__upper": F.upper(filled)})
+    return staged.select(
         F.col("schema_name").alias("source_schema"), F.col("object_name").alias("source_object"),
         kind.alias("source_type"), F.explode(one_per_key(targets, last=True)).alias("item"),
     ).select(
@@ -182,7 +213,7 @@ def _qualified_names(statements: DataFrame, text_column: str) -> DataFrame:
     """Every ``qualifier.column`` of each statement with what its surroundings do with it.
 
     Surroundings overlap, which a single regular expression cannot return: Python reads them in
-    Arrow batches, one statement at a time.
+    Arrow batches, one statement at a time, for qualifiers that stand after FROM or JOIN only.
     """
     part, reach = fixed.NAME_PART, CONTEXT
 
@@ -193,6 +224,17 @@ def _qualified_names(statements: DataFrame, text_column: str) -> DataFrame:
         aggregate = re.compile(r"\b(?:SUM|AVG|MIN|MAX|COUNT)\s*\([^)]*$", re.I)
         condition = re.compile(r"\bCASE\b", re.I)
 
+        def in_arithmetic(word: str, around: str) -> bool:
+            word, around = word.lower(), around.lower()
+            at = around.find(word)
+            while at >= 0:
+                follows = around[at + len(word) :].lstrip()[:1]
+                leads = around[:at].rstrip()[-1:]
+                if (follows and follows in "+*/-") or (leads and leads in "+*/-"):
+                    return True
+                at = around.find(word, at + 1)
+            return False
+
         def kind(text: str, start: int, end: int) -> str:
             before = text[max(0, start - reach) : start]
             around = text[max(0, start - reach) : end + reach]
@@ -200,19 +242,20 @@ def _qualified_names(statements: DataFrame, text_column: str) -> DataFrame:
                 return "AGGREGATED"
             if condition.search(around):
                 return "CONDITIONAL"
-            word = re.escape(text[start:end])
-            if re.search(rf"{word}\s*[+*/-]|[+*/-]\s*{word}", around, re.I):
-                return "DERIVED"
-            return "DIRECT"
+            return "DERIVED" if in_arithmetic(text[start:end], around) else "DIRECT"
+
+        def uses(statement, text: str, known: set[str]):
+            for match in name.finditer(text):
+                qualifier = match.group(1).strip("[]").lower()
+                if qualifier in known:
+                    column = match.group(2).strip("[]")
+                    yield statement, match.start(), qualifier, column, kind(text, *match.span())
 
         for batch in batches:
             rows = [
-                (
-                    statement, match.start(), match.group(1).strip("[]").lower(),
-                    match.group(2).strip("[]"), kind(text, match.start(), match.end()),
-                )
-                for statement, text in zip(batch.iloc[:, 0], batch.iloc[:, 1])
-                for match in name.finditer(text)
+                row
+                for statement, text, known in batch.itertuples(index=False, name=None)
+                for row in uses(statement, text, set(known))
             ]
             yield pd.DataFrame(
                 rows, columns=["statement_id", "position", "qualifier", "column", "lineage_type"]
@@ -222,7 +265,15 @@ def _qualified_names(statements: DataFrame, text_column: str) -> DataFrame:
     schema = (
         f"statement_id {id_type}, position int, qualifier string, column string, lineage_type string"
     )
-    return statements.select("statement_id", text_column).mapInPandas(read, schema)
+    text = F.col(text_column)
+    names, aliases = (F.regexp_extract_all(text, F.lit(ALIAS_PATTERN), F.lit(i)) for i in (1, 2))
+    qualifiers = F.concat(
+        F.transform(names, lambda n: F.lower(F.element_at(_parts(n), -1))),
+        F.transform(aliases, lambda a: F.lower(F.btrim(a, F.lit("[]")))),
+    )
+    return statements.select("statement_id", text_column, qualifiers.alias("qualifiers")).where(
+        F.size("qualifiers") > 0
+    ).mapInPandas(read, schema)
 
 
 def column_references(

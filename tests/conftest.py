@@ -10,10 +10,15 @@ sys.path.insert(0, str(ROOT))
 
 
 @pytest.fixture(scope="session")
-def spark():
+def shared_dir(tmp_path_factory):
+    return tmp_path_factory.mktemp("shared")
+
+
+@pytest.fixture(scope="session")
+def spark(shared_dir):
     from checks.compare_engines import local_session
 
-    session = local_session("4")
+    session = local_session("4", {"spark.checkpoint.dir": str(shared_dir)})
     session.conf.set("spark.sql.shuffle.partitions", "4")
     yield session
     session.stop()
