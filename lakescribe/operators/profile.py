@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions import fixed_values as fixed
 from ..functions.types import (
@@ -242,11 +242,11 @@ def low_cardinality_values(
             [], "table_name string, column_name string, value string, value_count bigint, "
             "total_rows bigint, value_percent double"
         )
-    frequencies = value_frequencies(df, names)
-    totals = frequencies.groupBy("column_name").agg(F.sum("value_count").alias("total_rows"))
+    # a column has at most limit + 1 rows here, so its window is small
+    total = F.sum("value_count").over(Window.partitionBy("column_name"))
     return (
-        # one row per column: safe to broadcast; the exchange below it is shared with the probe
-        frequencies.join(F.broadcast(totals), "column_name")
+        value_frequencies(df, names)
+        .withColumn("total_rows", total)
         .select(
             F.lit(table_name).alias("table_name"), "column_name", "value", "value_count",
             "total_rows", percent(F.col("value_count"), F.col("total_rows")).alias("value_percent"),
