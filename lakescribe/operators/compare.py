@@ -35,29 +35,41 @@ def _compatibility_form():
     return nfkc
 
 
-def stable_key(column: Column, ascii_only: bool = False) -> Column:
+NOT_ASCII = r"[^\x00-\x7F]"
+
+
+def stable_key(column: Column, special: bool = False) -> Column:
     """The identity text of a key: compatibility form, trimmed, case-folded.
 
-    Plain ASCII, which is nearly all keys, never leaves the JVM. ``ascii_only`` skips the check
-    for keys known to hold nothing else, such as numbers.
+    For ASCII texts that is trimming and lower case; ``special`` texts need Python's Unicode tables.
     """
     text = stable_text(column)
-    plain = F.lower(strip(text))
-    if ascii_only:
-        return plain
-    special = F.when(text.rlike(r"[^\x00-\x7F]"), text)
-    return F.when(special.isNotNull(), _compatibility_form()(F.coalesce(special, F.lit("")))).otherwise(plain)
+    return _compatibility_form()(text) if special else F.lower(strip(text))
 
 
 def _tagged(
     df: DataFrame, label: str, spec: CompareSpec, sequence: str | None, texts: Sequence[str]
 ) -> DataFrame:
+    """Rows under their normalized keys, with the run they belong to.
+
+    Rows whose keys hold other characters than ASCII are selected in a scan of their own: a Python
+    function inside a condition would be fed every row.
+    """
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    special = [k for k in spec.keys if types[k] == "string"]
-    keys = [stable_key(F.col(k), ascii_only=k not in special).alias(k) for k in spec.keys]
     order = F.col(sequence) if sequence else F.lit(0)
     record = F.struct(order.alias("__sequence"), *[stable_text(F.col(c)).alias(c) for c in texts])
-    return df.select(*keys, F.lit(label).alias("__run"), record.alias("__record"))
+    worded = [k for k in spec.keys if types[k] == "string"]
+
+    def selected(rows: DataFrame, special: bool) -> DataFrame:
+        keys = [stable_key(F.col(k), special and k in worded).alias(k) for k in spec.keys]
+        return rows.select(*keys, F.lit(label).alias("__run"), record.alias("__record"))
+
+    if not worded:
+        return selected(df, False)
+    exotic = reduce(
+        Column.__or__, [F.coalesce(F.col(k).rlike(NOT_ASCII), F.lit(False)) for k in worded]
+    )
+    return selected(df.where(~exotic), False).unionAll(selected(df.where(exotic), True))
 
 
 def compare(
