@@ -128,7 +128,7 @@ def _reference(**values: Column | str | bool) -> Column:
     )
 
 
-def _named(operation: str, parts: Column, position: Column) -> Column:
+def _named(operation: Column, parts: Column, position: Column) -> Column:
     size = F.size(parts)
     database = F.col("database_name")
     digest = F.upper(F.substring(F.sha2(F.element_at(parts, 1), 256), 1, 12))
@@ -140,7 +140,7 @@ def _named(operation: str, parts: Column, position: Column) -> Column:
     }
     other = (database == "") | (F.lower(F.element_at(parts, -3)) != F.lower(database))
     return _reference(
-        key=F.lower(F.concat_ws("\x00", F.lit(operation), *names.values())),
+        key=F.lower(F.concat_ws("\x00", operation, *names.values())),
         position=position, operation=operation, **names,
         reference_kind=F.when(size == 4, "FOUR_PART").when(size == 3, "THREE_PART")
         .when(size == 2, "TWO_PART").otherwise("UNQUALIFIED"),
@@ -166,9 +166,12 @@ def _references(steps: DataFrame, literals: tuple[str, ...]) -> DataFrame:
             names = F.filter(names, lambda n: ~F.lower(n).isin(*calls))
         if operation == "CALL":
             names = F.filter(names, lambda n: ~F.lower(n).isin(*CALLS_TO_SKIP))
+        place = F.lit(turn).cast("bigint") * 1_000_000_000
         return F.transform(
-            F.transform(names, lambda n: _name_parts(n, literals)),
-            lambda parts, i: _named(operation, parts, i + F.lit(turn).cast("bigint") * 1_000_000_000),
+            names,
+            lambda name, i: F.struct(
+                F.lit(operation).alias("operation"), name.alias("name"), (i + place).alias("place")
+            ),
         )
 
     none = {f"target_{p}": "" for p in ("server", "database", "schema", "object")}
@@ -206,8 +209,16 @@ def _references(steps: DataFrame, literals: tuple[str, ...]) -> DataFrame:
             F.when(F.col("dynamic_sql_opaque"), dynamic), F.when(~is_tsql, opaque),
         )
     )
-    named = [found(turn, *entry) for turn, entry in enumerate(REFERENCE_PATTERNS)]
-    items = F.concat(one_per_key(F.concat(*named), last=False), constructs, extra)
+    every = F.concat(*[found(turn, *entry) for turn, entry in enumerate(REFERENCE_PATTERNS)])
+    parted = F.transform(
+        every,
+        lambda item: F.struct(
+            item["operation"].alias("operation"), item["place"].alias("place"),
+            _name_parts(item["name"], literals).alias("parts"),
+        ),
+    )
+    named = F.transform(parted, lambda item: _named(item["operation"], item["parts"], item["place"]))
+    items = F.concat(one_per_key(named, last=False), constructs, extra)
     return staged.select(
         *STEP_FIELDS, F.col("database_name").alias("source_database"), "schedule_name",
         "invocation_hint", "dynamic_sql_opaque", F.explode(items).alias("item"),

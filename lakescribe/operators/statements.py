@@ -104,7 +104,7 @@ def _parts(raw: Column) -> Column:
     return F.transform(F.split(compact, r"\."), lambda part: F.btrim(part, F.lit("[]")))
 
 
-def _target(operation: str, parts: Column, position: Column) -> Column:
+def _target(operation: Column, parts: Column, position: Column) -> Column:
     size = F.size(parts)
 
     def at(back: int) -> Column:
@@ -117,9 +117,9 @@ def _target(operation: str, parts: Column, position: Column) -> Column:
         "target_schema": F.when(size.isin(2, 3, 4), at(2)).otherwise(""),
         "target_object": F.when(fits, at(1)).otherwise(F.element_at(parts, 1)),
     }
-    key = F.lower(F.concat_ws("\x00", F.lit(operation), *names.values()))
+    key = F.lower(F.concat_ws("\x00", operation, *names.values()))
     return F.struct(
-        key.alias("key"), position.alias("position"), F.lit(operation).alias("operation"),
+        key.alias("key"), position.alias("position"), operation.alias("operation"),
         *[value.alias(name) for name, value in names.items()],
         at(1).rlike("^[#@]").alias("is_local"),
     )
@@ -131,11 +131,16 @@ def object_references(statements: DataFrame, text_column: str = "definition_sani
     def found(operation: str, pattern: str) -> Column:
         names = extract_all(F.col("__text"), F.col("__upper"), REFERENCE_WORDS[operation], pattern)
         return F.transform(
-            F.transform(names, _parts), lambda parts, i: _target(operation, parts, i)
+            names,
+            lambda name, i: F.struct(
+                F.lit(operation).alias("operation"), i.alias("place"), _parts(name).alias("parts")
+            ),
         )
 
+    every = F.concat(*[found(*entry) for entry in REFERENCE_PATTERNS])
     targets = F.filter(
-        F.concat(*[found(*entry) for entry in REFERENCE_PATTERNS]), lambda item: ~item["is_local"]
+        F.transform(every, lambda item: _target(item["operation"], item["parts"], item["place"])),
+        lambda item: ~item["is_local"],
     )
     kind = F.col("source_type") if "source_type" in statements.columns else F.lit("STATEMENT")
     filled = F.coalesce(F.col(text_column), F.lit(""))
