@@ -28,6 +28,7 @@ from .recompress import elect
 from .words import Words, find_words, pieces
 
 NULL_ID = -(1 << 63)  #: a null id counts as the smallest one
+_TAG = (1 << 24) - 1  #: bits of a text's name that tell rows of one id apart
 _NOTHING = hashlib.sha256(b"").hexdigest()
 
 
@@ -84,18 +85,16 @@ _OUTLINE = "doc long, n_words long, whole long, whole2 long, sha string, symbols
 
 
 def _candidates(piece: pa.RecordBatch, size: int, rounds: int):
-    """For each document whose text is the one meant: (index, words, windows' first words, names)."""
+    """For each document: (index, tag of its text, words, windows' first words, their two names)."""
     words = find_words(piece.column("text"))
     whole = _signed(words.names_of(words.first[:-1], words.first[1:]))
     first, _, name = elect(words, size, rounds)
     at, name = _ranges(first, words), _signed(name)
-    for d, (meant, symbols) in enumerate(zip(piece.column("whole").to_pylist(), piece.column("symbols"))):
-        if whole[d] != meant:
-            continue  # another row of the same id
+    for d, symbols in enumerate(piece.column("symbols")):
         a, b = at[d], at[d + 1]
         own = first[a:b][np.isin(name[a:b], symbols.values.to_numpy())]
         one, two = words.names_of(own, own + size), words.second_names_of(own, own + size)
-        yield d, words, own, one, two
+        yield d, int(whole[d]) & _TAG, words, own, one, two
 
 
 def _first_places(one: np.ndarray, two: np.ndarray) -> np.ndarray:
@@ -114,19 +113,18 @@ def _windows(size: int, rounds: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in pieces(batch, "text"):
-                doc, whole = piece.column("doc").to_pylist(), piece.column("whole").to_pylist()
-                out = [[], [], [], [], []]
-                for d, words, own, one, two in _candidates(piece, size, rounds):
+                doc = piece.column("doc").to_pylist()
+                out = [[], [], [], []]
+                for d, tag, words, own, one, two in _candidates(piece, size, rounds):
                     mask = _first_places(one, two)
                     n = int(mask.sum())
                     for column, values in zip(out, (
-                        _signed(one[mask]), _signed(two[mask]), np.full(n, doc[d]), np.full(n, whole[d]),
-                        own[mask] - words.first[d],
+                        _signed(one[mask]), _signed(two[mask]), np.full(n, doc[d]), (own[mask] - words.first[d]) << 24 | tag,
                     )):
                         column.append(values)
                 if out[0]:
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate(x), pa.int64()) for x in out], ["one", "two", "doc", "whole", "word"]
+                        [pa.array(np.concatenate(x), pa.int64()) for x in out], ["one", "two", "doc", "place"]
                     )
 
     return run
@@ -138,18 +136,19 @@ def _cut(size: int, rounds: int, with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in pieces(batch, "text"):
-                doc, whole, later = (piece.column(c).to_pylist() for c in ("doc", "whole", "later"))
+                doc, later = (piece.column(c).to_pylist() for c in ("doc", "later"))
                 rows = []
-                for d, words, own, one, two in _candidates(piece, size, rounds):
+                for d, tag, words, own, one, two in _candidates(piece, size, rounds):
                     gone = own[~_first_places(one, two)] - words.first[d]
-                    gone = np.concatenate((gone, np.array(later[d] or [], dtype=np.int64)))
+                    places = np.array(later[d] or [], dtype=np.int64)
+                    gone = np.concatenate((gone, places[places & _TAG == tag] >> 24))
                     steps = np.zeros(words.count[d] + 1, dtype=np.int64)
                     np.add.at(steps, gone, 1)
                     np.add.at(steps, gone + size, -1)
                     keep = np.cumsum(steps)[:-1] == 0
                     left = words.text_of(d, keep)
                     rows.append((
-                        doc[d], whole[d], int((~keep).sum()), hashlib.sha256(left).hexdigest(),
+                        doc[d], tag, int((~keep).sum()), hashlib.sha256(left).hexdigest(),
                         left.decode() if with_text else None,
                     ))
                 yield pa.RecordBatch.from_arrays(
@@ -157,7 +156,7 @@ def _cut(size: int, rounds: int, with_text: bool):
                         pa.array([r[i] for r in rows], kind)
                         for i, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()))
                     ],
-                    ["doc", "whole", "n_removed", "kept_sha256", "kept_text"],
+                    ["doc", "tag", "n_removed", "kept_sha256", "kept_text"],
                 )
 
     return run
@@ -182,34 +181,34 @@ def substring_dedup(
     firsts = materialize(outline.groupBy("whole", "whole2").agg(F.min("doc").alias("doc")), "firsts")
     unique = outline.join(firsts, ["whole", "whole2", "doc"], "left_semi").where("n_words >= {}".format(size))
 
-    places = unique.select("doc", "whole", F.explode("symbols").alias("symbol"))
+    places = unique.select("doc", F.explode("symbols").alias("symbol"))
     shared = places.groupBy("symbol").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("symbol")
-    in_one = unique.select("doc", "whole", F.explode("repeated").alias("symbol"))
-    hints = places.join(shared, "symbol").select("doc", "whole", "symbol").unionByName(in_one)
-    # bounded by the length of a document; rows that repeat id and text come together here
-    hints = hints.groupBy("doc", "whole").agg(F.collect_set("symbol").alias("symbols"))
+    in_one = unique.select("doc", F.explode("repeated").alias("symbol"))
+    hints = places.join(shared, "symbol").select("doc", "symbol").unionByName(in_one)
+    # bounded by the length of a document; rows that share an id come together here
+    hints = hints.groupBy("doc").agg(F.collect_set("symbol").alias("symbols"))
     suspects = materialize(source.join(hints, "doc"), "suspects")
 
-    columns = ["doc", "whole", "text", "symbols"]
+    columns = ["doc", "text", "symbols"]
     windows = materialize(
-        suspects.select(columns).mapInArrow(_windows(size, rounds), "one long, two long, doc long, whole long, word long"),
+        suspects.select(columns).mapInArrow(_windows(size, rounds), "one long, two long, doc long, place long"),
         "windows",
     )
-    earliest = windows.groupBy("one", "two").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last")
+    earliest = windows.groupBy("one", "two").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     later = (
-        windows.join(earliest.drop("last"), ["one", "two"]).where("doc > first")
-        .groupBy("doc", "whole").agg(F.collect_list("word").alias("later"))
+        windows.join(earliest.drop("n"), ["one", "two"]).where("doc > first")
+        .groupBy("doc").agg(F.collect_list("place").alias("later"))
     )
     cut = (
-        suspects.join(later, ["doc", "whole"], "left").select(*columns, "later")
-        .mapInArrow(_cut(size, rounds, with_text), "doc long, whole long, n_removed long, kept_sha256 string, kept_text string")
-        .where("n_removed > 0").dropDuplicates(["doc", "whole"])
+        suspects.join(later, "doc", "left").select(*columns, "later")
+        .mapInArrow(_cut(size, rounds, with_text), "doc long, tag long, n_removed long, kept_sha256 string, kept_text string")
+        .where("n_removed > 0").dropDuplicates(["doc", "tag"])
     )
     copy = (F.col("doc") > F.col("first_doc")) & (F.col("n_words") >= size)
     result = (
-        outline.drop("symbols", "repeated")
+        outline.drop("symbols", "repeated").withColumn("tag", F.col("whole").bitwiseAND(F.lit(_TAG)))
         .join(firsts.withColumnRenamed("doc", "first_doc"), ["whole", "whole2"])
-        .join(cut, ["doc", "whole"], "left")
+        .join(cut, ["doc", "tag"], "left")
         .select(
             F.nullif("doc", F.lit(NULL_ID)).alias(id_column), "n_words",
             F.when(copy, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
