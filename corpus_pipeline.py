@@ -1,14 +1,71 @@
-"""Training-data pipeline over documents: each stage is written as Parquet and read again."""
+"""Training-data pipeline over documents: each stage is written as Parquet and read again.
+
+Stages keep the columns of documents, but for the last. A row is known by its id and a digest of its
+text, so null and repeated ids pass through; n_chars follows the text.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from lakescribe.llm.jaccard_join import jaccard_groups
+from lakescribe.llm.line_templates import line_dedup
+from lakescribe.llm.packing import pack
+from lakescribe.llm.pii import find_personal_data, masked
+from lakescribe.llm.quality import quality_filter
 from lakescribe.sources.shared import materialize
 
-STAGES: list = []
 
-#: Stages that SQL cannot express are tested against brute force in tests/llm.
+def _with_text(docs: DataFrame, text: Column, columns: list[str]) -> DataFrame:
+    """docs with another text, in the given columns; n_chars is its length where that column is there."""
+    docs = docs.withColumn("_text", text)
+    new = {"text": F.col("_text"), "n_chars": F.length("_text").cast("long")}
+    return docs.select(*[new.get(c, F.col(c)).alias(c) for c in columns])
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules reject go."""
+    return quality_filter(docs)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines of recurring templates go from all documents but the first."""
+    done = line_dedup(docs, keep=tuple(c for c in docs.columns if c not in ("doc_id", "text")))
+    return _with_text(done, F.col("kept_text"), docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document with the smallest id stays, once."""
+    groups = jaccard_groups(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    stays = groups.select(F.col("doc_id").alias("_id"), F.col("text_name").alias("_name")).distinct()
+    named = docs.withColumn("_text_name", F.xxhash64("text"))
+    own = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_name") == F.col("_name"))
+    first = F.row_number().over(Window.partitionBy("doc_id", "_text_name").orderBy("doc_id"))
+    return named.join(stays, own, "left_semi").withColumn("_n", first).where("_n = 1").select(*docs.columns)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data in the texts is replaced by its kind."""
+    found = find_personal_data(docs).select("doc_id", "text_name", F.concat("base", "more").alias("_spans"))
+    found = found.where(F.size("_spans") > 0).groupBy(
+        F.col("doc_id").alias("_id"), F.col("text_name").alias("_name")).agg(F.max("_spans").alias("_spans"))
+    own = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_name"))
+    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(masked(F.col("text"), F.col("_spans")))
+    return _with_text(docs.join(found, own, "left"), text, docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The batch of every document."""
+    return pack(docs)
+
+
+STAGES = [
+    ("quality", quality), ("lines", lines), ("near_duplicates", near_duplicates), ("personal_data", personal_data),
+    ("packing", packing),
+]
+
+#: Packing and personal data have no SQL; tests/llm compares the stages with brute force.
 ORACLE_SQL = None
 
 

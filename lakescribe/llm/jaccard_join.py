@@ -59,9 +59,9 @@ def _outline(n: int):
                     one = np.array([mix(s).sum() for s in sets], dtype=np.uint64)
                     two = np.array([mix(s ^ np.uint64(0xE7037ED1A0B428DB)).sum() for s in sets], dtype=np.uint64)
                 yield pa.RecordBatch.from_arrays(
-                    [piece.column("doc"), pa.array([len(s) for s in sets], pa.int64()),
+                    [piece.column("doc"), piece.column("text_name"), pa.array([len(s) for s in sets], pa.int64()),
                      pa.array(one.view(np.int64)), pa.array(two.view(np.int64))],
-                    ["doc", "n_shingles", "one", "two"],
+                    ["doc", "text_name", "n_shingles", "one", "two"],
                 )
 
     return run
@@ -178,7 +178,7 @@ def jaccard_groups(
     docs: DataFrame, percent: int = 80, n: int = 5, id_column: str = "doc_id", text_column: str = "text",
     block_words: int = BLOCK_WORDS,
 ) -> DataFrame:
-    """One row per document: id, n_shingles, component_id and copy_of, its class.
+    """One row per document: id, n_shingles, component_id, copy_of (its class) and text_name (xxhash64 of the text).
 
     A document's set: the distinct runs of n words of its text with A-Z as a-z; a shorter text is one
     run of all its words. Two documents link when 100 * intersection >= percent * union. component_id
@@ -188,7 +188,10 @@ def jaccard_groups(
     columns are ignored. Rows that repeat an id are documents of their own with that id.
     """
     source = docs.select(F.coalesce(F.col(id_column), F.lit(NULL_ID)).alias("doc"), F.col(text_column).alias("text"))
-    outline = materialize(source.mapInArrow(_outline(n), "doc long, n_shingles long, one long, two long"), "sets")
+    outline = materialize(
+        source.withColumn("text_name", F.xxhash64("text"))
+        .mapInArrow(_outline(n), "doc long, text_name long, n_shingles long, one long, two long"), "sets"
+    )
     classes = materialize(
         outline.where("n_shingles > 0").groupBy("one", "two").agg(F.min("doc").alias("copy_of"), F.max("n_shingles").alias("n")),
         "classes",
@@ -200,5 +203,5 @@ def jaccard_groups(
     return named.join(groups.withColumnRenamed("node", "copy_of"), "copy_of", "left").select(
         F.nullif("doc", F.lit(NULL_ID)).alias(id_column), "n_shingles",
         F.nullif(F.coalesce("component", "copy_of"), F.lit(NULL_ID)).alias("component_id"),
-        F.nullif("copy_of", F.lit(NULL_ID)).alias("copy_of"),
+        F.nullif("copy_of", F.lit(NULL_ID)).alias("copy_of"), "text_name",
     )

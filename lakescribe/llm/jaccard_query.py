@@ -8,7 +8,7 @@ from .jaccard_join import jaccard_groups
 
 
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"), percent=80, n=5).drop("copy_of")
+    return jaccard_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"), percent=80, n=5).drop("copy_of", "text_name")
 
 
 QUERIES = {"op10_ngram_jaccard_join": op10_ngram_jaccard_join}

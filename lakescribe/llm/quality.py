@@ -8,7 +8,7 @@ first. The order changes the work, never the verdict.
 from __future__ import annotations
 
 import time
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +17,8 @@ from lakescribe.sources.shared import materialize
 
 SPACE = "[\\x20\\x09-\\x0D]"
 WORD = "[^\\x20\\x09-\\x0D]+"
+Rule = Callable[[Column, Column], Column]
+
 _INDEX_BITS = 23
 _INDEX = (1 << _INDEX_BITS) - 1
 
@@ -59,56 +61,59 @@ def _covered(places: Column) -> Column:
     return F.aggregate(steps, F.lit(0).cast("long"), lambda a, x: a + x)
 
 
-def with_repeat_words(df: DataFrame, words: str, to: str) -> DataFrame:
-    """Adds how many words lie in windows of three words that the text has twice or more.
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once, also where filters are moved below projections."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def repeat_words_of(words: Column) -> Column:
+    """How many words lie in windows of three words that the text has twice or more.
 
     Windows are sorted as numbers: 41 bits of their name and 23 of their place. Where two names share
     the 41 bits only, or places need more than 23, the sort takes whole names instead.
     """
     high = lambda x: F.shiftright(x, _INDEX_BITS)
     place = lambda x: x.bitwiseAND(F.lit(_INDEX)).cast("int")
-    df = df.withColumn("_names", _windows(F.col(words)))
-    names = F.col("_names")
-    df = df.withColumn(
-        "_sorted",
-        F.sort_array(F.transform(names, lambda x, i: x.bitwiseAND(F.lit(~_INDEX)).bitwiseOR(i.cast("long")))),
-    )
-    both = F.col("_sorted")
-    df = df.withColumn(
-        "_twins",
-        F.filter(both, lambda x, i: F.coalesce(high(x) == high(F.get(both, i + 1)), F.lit(False))
-                 | F.coalesce(high(x) == high(F.get(both, i - 1)), F.lit(False))),
-    )
-    twins = F.col("_twins")
-    mixed = F.size(F.filter(twins, lambda x, i: F.coalesce(
-        (high(x) == high(F.get(twins, i + 1)))
-        & (F.get(names, place(x)) != F.get(names, place(F.get(twins, i + 1)))), F.lit(False)))) > 0
-    pairs = F.sort_array(F.transform(names, lambda x, i: F.struct(x.alias("name"), i.alias("place"))))
-    exact = F.transform(
-        F.filter(pairs, lambda x, i: F.coalesce(x["name"] == F.get(pairs, i + 1)["name"], F.lit(False))
-                 | F.coalesce(x["name"] == F.get(pairs, i - 1)["name"], F.lit(False))),
-        lambda x: x["place"])
-    places = F.when(mixed | (F.size(names) > _INDEX), exact).otherwise(F.transform(twins, place))
-    df = df.withColumn("_places", F.sort_array(places))
-    df = df.withColumn(to, F.when(F.size("_places") == 0, F.lit(0).cast("long")).otherwise(_covered(F.col("_places"))))
-    return df.drop("_names", "_sorted", "_twins", "_places")
-
-
-#: Rejecting conditions on a text, beside the base ones. Each is null-safe.
-RULES: Mapping[str, object] = {
-    "short_words": lambda t: _word_chars(t) < 2 * F.size(words_of(t)),
-    "long_words": lambda t: _word_chars(t) > 12 * F.size(words_of(t)),
-    "symbols": lambda t: 10 * symbols_of(t) > F.size(words_of(t)),
-    "few_letters": lambda t: 100 * letters_of(t) < 60 * _word_chars(t),
-    "repeated_lines": lambda t: 100 * dup_lines_of(t) > 30 * F.size(lines_of(t)),
+    same = lambda a, b: F.coalesce(a == b, F.lit(False))
+
+    def places(names: Column, twins: Column) -> Column:
+        mixed = F.exists(
+            F.sequence(F.lit(0), F.size(twins) - 1),
+            lambda i: same(high(F.get(twins, i)), high(F.get(twins, i + 1)))
+            & (F.get(names, place(F.get(twins, i))) != F.get(names, place(F.get(twins, i + 1)))),
+        )
+        exact = let(
+            F.sort_array(F.transform(names, lambda x, i: F.struct(x.alias("name"), i.alias("place")))),
+            lambda pairs: F.transform(
+                F.filter(pairs, lambda x, i: same(x["name"], F.get(pairs, i + 1)["name"]) | same(x["name"], F.get(pairs, i - 1)["name"])),
+                lambda x: x["place"]),
+        )
+        return F.sort_array(F.when(mixed | (F.size(names) > _INDEX), exact).otherwise(F.transform(twins, place)))
+
+    def covered(names: Column) -> Column:
+        packed = F.sort_array(F.transform(names, lambda x, i: x.bitwiseAND(F.lit(~_INDEX)).bitwiseOR(i.cast("long"))))
+        twins = let(packed, lambda both: F.filter(
+            both, lambda x, i: same(high(x), high(F.get(both, i + 1))) | same(high(x), high(F.get(both, i - 1)))))
+        return let(twins, lambda t: F.when(F.size(t) == 0, F.lit(0).cast("long")).otherwise(let(places(names, t), _covered)))
+
+    return let(_windows(words), covered)
+
+
+#: Rejecting conditions on a text that is not null and its words, beside the base ones.
+RULES: Mapping[str, Rule] = {
+    "short_words": lambda text, words: _word_chars(words) < 2 * F.size(words),
+    "long_words": lambda text, words: _word_chars(words) > 12 * F.size(words),
+    "symbols": lambda text, words: 10 * symbols_of(text) > F.size(words),
+    "few_letters": lambda text, words: 100 * letters_of(text) < 60 * _word_chars(words),
+    "repeated_lines": lambda text, words: 100 * dup_lines_of(text) > 30 * F.size(lines_of(text)),
 }
 
 
-def _word_chars(text: Column) -> Column:
-    return F.length(F.regexp_replace(F.coalesce(text, F.lit("")), SPACE + "+", ""))
+def _word_chars(words: Column) -> Column:
+    return F.length(F.array_join(words, ""))
 
 
-def rule_order(docs: DataFrame, text_column: str = "text", sample_rows: int = 2000, rules: Mapping | None = None) -> list[str]:
+def rule_order(docs: DataFrame, text_column: str = "text", sample_rows: int = 2000, rules: Mapping[str, Rule] | None = None) -> list[str]:
     """Rule names by rejections per second on the first `sample_rows` rows that a scan yields."""
     rules = RULES if rules is None else rules
     sample = materialize(docs.select(F.col(text_column).alias("text")).limit(sample_rows), "quality-sample")
@@ -117,61 +122,59 @@ def rule_order(docs: DataFrame, text_column: str = "text", sample_rows: int = 20
         seconds = []
         for _ in range(2):  # the first run compiles
             begun = time.perf_counter()
-            rejected = sample.agg(F.count_if(rule(F.col("text"))).alias("n")).first()["n"]
+            rejects = let(words_of(F.col("text")), lambda words: rule(F.col("text"), words))
+            rejected = sample.agg(F.count_if(rejects).alias("n")).first()["n"]
             seconds.append(time.perf_counter() - begun)
         gain[name] = rejected / min(seconds)
     return sorted(gain, key=lambda name: (-gain[name], name))
 
 
-def passes(text: Column, order: list[str], rules: Mapping | None = None) -> Column:
+def passes(text: Column, words: Column, order: list[str], rules: Mapping[str, Rule] | None = None) -> Column:
     """False as soon as one rule rejects the text; later rules are then not evaluated."""
     rules = RULES if rules is None else rules
-    chain = None
+    chain = F
     for name in order:
-        condition = rules[name](text)
-        chain = F.when(condition, False) if chain is None else chain.when(condition, False)
-    return F.lit(True) if chain is None else chain.otherwise(True)
+        chain = chain.when(rules[name](text, words), False)
+    return F.lit(True) if chain is F else chain.otherwise(True)
 
 
 def measure_quality(
     docs: DataFrame, order: list[str] | None = None, id_column: str = "doc_id", text_column: str = "text",
-    least_words: int = 50, most_repeat_percent: int = 50, keep: tuple[str, ...] = (),
+    least_words: int = 50, most_repeat_percent: int = 50,
 ) -> DataFrame:
-    """One row per document: base measures, base_failed and kept; `keep` names input columns to carry.
+    """One row per document: id, base measures, base_failed and kept.
 
     base_failed: fewer than `least_words` words, or more than `most_repeat_percent` percent of them in
     repeated windows. kept: base passed and no rule of the cascade rejects. Null text: no words, so
     base fails. Null ids and repeated rows are rows like others; an empty table gives no rows; other
-    columns, whatever their names, are ignored unless `keep` names them.
+    columns, whatever their names, are ignored.
     """
     order = rule_order(docs, text_column) if order is None else order
-    df = docs.select(
-        F.col(id_column).alias("_id"), F.coalesce(F.col(text_column), F.lit("")).alias("_text"),
-        F.struct(*[F.col(c) for c in keep]).alias("_kept") if keep else F.lit(None).alias("_kept"),
-    )
-    df = with_repeat_words(df.withColumn("_words", words_of(F.col("_text"))), "_words", "n_repeat_words")
+    df = docs.select(F.col(id_column).alias("_id"), F.coalesce(F.col(text_column), F.lit("")).alias("_text"))
+    df = df.withColumn("_words", words_of(F.col("_text")))
     df = df.select(
-        "_id", "_text", "_kept", "n_repeat_words", F.size("_words").cast("long").alias("n_words"),
-        F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
+        "_id", "_text", "_words", F.size("_words").cast("long").alias("n_words"),
+        _word_chars(F.col("_words")).cast("long").alias("word_chars"),
         symbols_of(F.col("_text")).cast("long").alias("n_symbols"),
         dup_lines_of(F.col("_text")).cast("long").alias("n_dup_lines"),
+        repeat_words_of(F.col("_words")).alias("n_repeat_words"),
     )
     failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeat_percent * F.col("n_words"))
     df = df.withColumn("base_failed", failed)
     return df.select(
         F.col("_id").alias(id_column), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        F.when(F.col("base_failed"), False).otherwise(passes(F.col("_text"), order)).alias("kept"),
-        *[F.col("_kept")[c].alias(c) for c in keep],
+        F.when(F.col("base_failed"), False).otherwise(passes(F.col("_text"), F.col("_words"), order)).alias("kept"),
     )
 
 
-def quality_filter(docs: DataFrame, order: list[str] | None = None, text_column: str = "text", least_words: int = 50,
-                   most_repeat_percent: int = 50) -> DataFrame:
-    """The documents that pass, with all their columns. Cheap conditions end the work on a text early."""
+def quality_filter(
+    docs: DataFrame, order: list[str] | None = None, text_column: str = "text", least_words: int = 50, most_repeat_percent: int = 50,
+) -> DataFrame:
+    """The documents that pass, with all their columns. The first condition that rejects a text ends the work on it."""
     order = rule_order(docs, text_column) if order is None else order
-    df = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_row"), F.col(text_column).alias("_text"))
-    df = df.withColumn("_words", words_of(F.col("_text"))).where(F.size("_words") >= least_words)
-    df = df.where(passes(F.col("_text"), order))
-    df = with_repeat_words(df, "_words", "_repeats")
-    df = df.where(100 * F.col("_repeats") <= most_repeat_percent * F.size("_words"))
-    return df.select(*[F.col("_row")[c].alias(c) for c in docs.columns])
+    text = F.coalesce(F.col(text_column), F.lit(""))
+    return docs.where(let(words_of(text), lambda words: (
+        F.when(F.size(words) < least_words, False)
+        .when(~passes(text, words, order), False)
+        .otherwise(100 * repeat_words_of(words) <= most_repeat_percent * F.size(words))
+    )))

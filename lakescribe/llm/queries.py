@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("substring_query", "quality_query", "jaccard_query", "chat_query", "pii_query", "piece_query", "language_query", "line_query")
+MODULES = (
+    "substring_query", "quality_query", "jaccard_query", "chat_query", "pii_query", "piece_query",
+    "language_query", "line_query", "packing_query", "embedding_query",
+)
 
 
 def queries() -> dict:
