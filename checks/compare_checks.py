@@ -67,6 +67,9 @@ def number_sql(field: str) -> str:
 TIMELINE = timeline_sql(RUNS, "o_orderkey", FIELDS)
 
 
+THREE_SPEC = comparing.CompareSpec(("o_orderkey",), tuple(FIELDS), ("o_totalprice",))
+
+
 def three_runs(spark, sf) -> DataFrame:
     runs = [derived(spark, sf, name) for name in RUNS]
     return comparing.compare(runs, ["o_orderkey"], FIELDS, numeric=["o_totalprice"])
@@ -130,7 +133,7 @@ def compare_repeated_keys(spark, sf):
     )
 )
 def filter_changed_only(spark, sf):
-    found = comparing.filter_comparison(three_runs(spark, sf), ["o_orderkey"], status="changed_only", search="7")
+    found = comparing.filter_comparison(three_runs(spark, sf), THREE_SPEC, status="changed_only", search="7")
     return found.select("o_orderkey", "status")
 
 
@@ -141,7 +144,7 @@ def filter_changed_only(spark, sf):
     )
 )
 def filter_added(spark, sf):
-    found = comparing.filter_comparison(three_runs(spark, sf), ["o_orderkey"], status="ADDED")
+    found = comparing.filter_comparison(three_runs(spark, sf), THREE_SPEC, status="ADDED")
     return found.select("o_orderkey", "status")
 
 
@@ -154,7 +157,7 @@ def filter_added(spark, sf):
 )
 def databases_per_row(spark, sf):
     named = comparing.with_databases(three_runs(spark, sf), ("First", "Second", "Third"))
-    found = comparing.filter_comparison(named, ["o_orderkey"], database="second")
+    found = comparing.filter_comparison(named, THREE_SPEC, database="second")
     return found.select("o_orderkey", F.array_join("databases", ",").alias("databases"))
 
 
@@ -288,6 +291,72 @@ def flatten_nested_metrics(spark, sf):
     return readers.flatten_metrics(orders, "document", ["o_orderkey"])
 
 
+@registry.add(
+    "SELECT o_orderkey, unnest(['a.b.c.d.e.f', 'a.b.c.d.e.t', 's', 'n']) AS metric, "
+    "unnest([CAST(o_custkey AS VARCHAR), '{not json}', '[x]', NULL]) AS value FROM orders"
+)
+def flatten_deep_metrics(spark, sf):
+    """Six levels, texts that look like objects and lists, nulls, lists and an empty object."""
+    deep = '{"a":{"b":{"c":{"d":{"e":{"f":#,"t":"{not json}"}}},"l":[{"k":1}]}},"s":"[x]","n":null,"o":{}}'
+    parts = [F.lit(x) for x in deep.split("#")]
+    orders = table(spark, sf, "orders").select("o_orderkey", F.concat(parts[0], F.col("o_custkey"), parts[1]).alias("document"))
+    return readers.flatten_metrics(orders, "document", ["o_orderkey"])
+
+
+PHONES = comparing.CompareSpec(("o_orderkey",), ("phone_number", "grade"), ("cents",))
+_PHONE_RUN = (
+    "SELECT o_orderkey, concat('+', o_custkey) AS phone_number, {0} AS grade, CAST(o_custkey + {1} AS BIGINT) AS cents FROM orders"
+)
+_PHONE_GRADES = (("CASE WHEN o_orderkey % 9 = 0 THEN 'HIGH' ELSE 'fine' END", 0), ("CASE WHEN o_orderkey % 7 = 0 THEN 'a warning' ELSE 'fine' END", 5))
+
+
+def phone_runs(spark, sf) -> DataFrame:
+    orders = table(spark, sf, "orders")
+    runs = [spark.sql(_PHONE_RUN.format(*g).replace("FROM orders", "FROM {orders}"), orders=orders) for g in _PHONE_GRADES]
+    return comparing.compare(runs, PHONES.keys, PHONES.fields, PHONES.numeric)
+
+
+_PHONES = f"""WITH a AS ({_PHONE_RUN.format(*_PHONE_GRADES[0])}), b AS ({_PHONE_RUN.format(*_PHONE_GRADES[1])}),
+both_runs AS (SELECT CAST(o_orderkey AS VARCHAR) AS k, a.grade AS ga, b.grade AS gb, a.phone_number AS p, a.cents AS ca, b.cents AS cb,
+  CASE WHEN a.grade = b.grade THEN 'UNCHANGED' ELSE 'CHANGED' END AS status FROM a JOIN b USING (o_orderkey))"""
+
+
+@registry.add(f"{_PHONES} SELECT k AS o_orderkey, status FROM both_runs WHERE contains(lower(ga), 'high') OR contains(lower(gb), 'high')")
+def filter_severity(spark, sf):
+    return comparing.filter_comparison(phone_runs(spark, sf), PHONES, severity="HIGH").select("o_orderkey", "status")
+
+
+@registry.add(f"{_PHONES} SELECT k AS o_orderkey, status FROM both_runs WHERE ga = 'HIGH' OR gb = 'a warning'")
+def filter_issues(spark, sf):
+    return comparing.filter_comparison(phone_runs(spark, sf), PHONES, issues_only=True).select("o_orderkey", "status")
+
+
+@registry.add(
+    f"{_PHONES} SELECT status, json_object('o_orderkey', k) AS identity, "
+    "json_object('grade_a', ga, 'grade_b', gb, 'phone_number_a', p, 'phone_number_b', p) AS runs, "
+    "concat(ca, '/', cb, '/', cb - ca) AS cents FROM both_runs"
+)
+def export_runs_and_deltas(spark, sf):
+    """A field named like a number stays with the runs; numbers are under the deltas alone."""
+    exported = readers.export_rows(phone_runs(spark, sf), PHONES)
+    number = lambda name: F.get_json_object("numeric_deltas", f"$.cents_{name}").cast("double").cast("bigint")
+    return exported.select(
+        "status", "identity", "runs", F.concat_ws("/", number("number_a"), number("number_b"), number("b_minus_a")).alias("cents")
+    )
+
+
+@registry.add(
+    "SELECT 'column_profiles' AS category, CAST(count(*) AS BIGINT) AS n, CAST(count_if(o_orderkey % 3 = 0) AS BIGINT) AS changed FROM orders"
+)
+def compare_runs_of_many_schemas(spark, sf):
+    """Two runs in which one column name stands in many tables of many schemas: one row per column."""
+    run = lambda extra: table(spark, sf, "orders").select(
+        F.concat(F.lit("s"), F.col("o_orderkey") % 7).alias("schema_name"), F.concat(F.lit("t"), "o_orderkey").alias("object_name"),
+        F.lit("id").alias("column_name"), (F.col("o_custkey") + F.when(F.col("o_orderkey") % 3 == 0, extra).otherwise(0)).alias("distinct_count"))
+    found = compare_catalogues([{"column_profiles": run(0)}, {"column_profiles": run(1)}])
+    return found.groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("status") == "CHANGED").alias("changed"))
+
+
 _STATUS = "CASE o_orderkey % 5 WHEN 0 THEN 'FAILED' WHEN 1 THEN 'SKIPPED_BY_MODE' WHEN 2 THEN 'CANCELLED' ELSE 'PASS' END"
 
 
@@ -301,14 +370,14 @@ SELECT concat('run_', o_orderkey) AS run_id, CASE WHEN s = 'CANCELLED' THEN 'CAN
 def run_statuses(spark, sf):
     stage = lambda status: F.struct(F.lit("x").alias("prompt"), status.alias("status"))
     manifests = table(spark, sf, "orders").select(
-        F.concat(F.lit("run_"), "o_orderkey").alias("run_id"), F.lit("School").alias("database"),
+        F.concat(F.lit("run_"), "o_orderkey").alias("run_id"), F.lit("shop").alias("database"),
         F.lit("").alias("timestamp_utc"), (F.col("o_custkey") % 3).cast("int").alias("errors"),
         F.lit(None).cast("array<string>").alias("warnings"),
         F.expr("CASE WHEN o_orderkey % 2 = 0 THEN 2 ELSE 0 END").alias("expected_stage_count"),
         F.array(stage(F.lit("PASS")), stage(F.expr(_STATUS))).alias("stages"),
         F.create_map(F.lit("discovery_mode"), F.lit("full")).alias("configuration"),
     )
-    return readers.run_statuses(manifests).select(
+    return readers.run_statuses(manifests, expected_stages=20).select(
         "run_id", "status", "completed_stage_count", "completion_coverage", "error_count", "warning_count"
     )
 
@@ -338,14 +407,23 @@ def file_inventory(spark, sf):
     return readers.file_inventory(spark, sf).drop("path")
 
 
-@registry.add("SELECT CAST(0 AS BIGINT) AS changed, CAST(14 AS BIGINT) AS files")
+@registry.add("SELECT unnest(['ADDED', 'CHANGED', 'REMOVED', 'UNCHANGED']) AS status, unnest([1, 1, 1, 3])::BIGINT AS files")
 def inventory_changed(spark, sf):
-    """Two inventories of the same files: all unchanged."""
-    inventories = [readers.file_inventory(spark, sf) for _ in range(2)]
+    """Two folders of artifacts: three files as they were, one changed, one added and one gone."""
+    folders = []
+    for n, names in enumerate((("a", "b", "c", "d", "gone"), ("a", "b", "c", "d", "new"))):
+        folder = fresh_folder(spark, f"artifacts-{n}")
+        for name in names:
+            rows = table(spark, sf, "orders").agg(F.count(F.lit(1)).alias("n"), F.sum("o_custkey").alias("s"))
+            text = F.concat_ws(" ", F.lit(name), "n", "s", F.lit("again" if (n, name) == (1, "d") else ""))
+            rows.select(text.alias("value")).coalesce(1).write.text(f"{folder}/{name}")
+        folders.append(folder)
+    inventories = [
+        readers.file_inventory(spark, folder).where(F.col("file_name").startswith("part-"))
+        .withColumn("file_name", F.element_at(F.split("path", "/"), -2)) for folder in folders
+    ]
     found = comparing.compare(inventories, ["file_name"], ["bytes", "sha256"])
-    return found.agg(
-        F.count_if(F.col("status") != "UNCHANGED").alias("changed"), F.count(F.lit(1)).alias("files")
-    )
+    return found.groupBy("status").agg(F.count(F.lit(1)).alias("files"))
 
 
 @registry.add(
@@ -391,6 +469,6 @@ def csv_snapshot_round_trip(spark, sf):
     )
 )
 def export_comparison(spark, sf):
-    exported = readers.export_rows(three_runs(spark, sf), ["o_orderkey"])
+    exported = readers.export_rows(three_runs(spark, sf), THREE_SPEC)
     return exported.select("status", "identity", "timeline_events", "intervals")
 

@@ -17,7 +17,7 @@ TABLES = (
 
 _TABLE_NAME = """concat(CASE {k} % 12 WHEN 0 THEN 'AuditTrail' WHEN 1 THEN 'OrderHistory'
   WHEN 2 THEN 'ArchiveBox' WHEN 3 THEN 'StageLoad' WHEN 4 THEN 'AppConfig' WHEN 5 THEN 'LinkTable'
-  WHEN 6 THEN 'StatusType' WHEN 7 THEN 'Invoice' WHEN 8 THEN 'Plain' WHEN 9 THEN 'Student'
+  WHEN 6 THEN 'StatusType' WHEN 7 THEN 'Invoice' WHEN 8 THEN 'Plain' WHEN 9 THEN 'Member'
   WHEN 10 THEN 'Customer' ELSE 'Payments' END, '_', {k})"""
 
 
@@ -137,7 +137,7 @@ SELECT DISTINCT schema_name, object_name, column_name FROM (
 SELECT concat('job_', statement_id % 100) AS job_name, statement_id AS step_id, concat('step ', statement_id % 9) AS step_name,
   CASE statement_id % 9 WHEN 6 THEN 'PowerShell' WHEN 7 THEN 'CmdExec' WHEN 8 THEN 'SSIS' WHEN 5 THEN 'Batch' ELSE 'TSQL' END AS subsystem,
   CASE WHEN statement_id % 9 >= 5 THEN concat('run.exe /x --token=abc', statement_id) ELSE definition END AS command,
-  CASE WHEN statement_id % 5 = 0 THEN '' ELSE 'School' END AS database_name,
+  CASE WHEN statement_id % 5 = 0 THEN '' ELSE 'Shop' END AS database_name,
   CASE WHEN statement_id % 2 = 0 THEN 'Nightly' ELSE '' END AS schedule_name
 FROM {statements}""",
     "dependencies": """
@@ -145,7 +145,7 @@ SELECT CASE WHEN l_orderkey % 3 = 0 THEN 'dbo' ELSE 'sales' END AS source_schema
   CASE l_orderkey % 4 WHEN 0 THEN 'VIEW' WHEN 1 THEN 'SQL_STORED_PROCEDURE' WHEN 2 THEN 'FUNCTION' ELSE 'TRIGGER' END AS source_type,
   l_linenumber AS source_column_id,
   CASE WHEN l_suppkey % 25 = 0 THEN concat('srv', l_suppkey % 4) ELSE '' END AS target_server,
-  CASE WHEN l_suppkey % 5 = 0 THEN 'Other' WHEN l_suppkey % 5 = 1 THEN 'School' ELSE '' END AS target_database,
+  CASE WHEN l_suppkey % 5 = 0 THEN 'Other' WHEN l_suppkey % 5 = 1 THEN 'Shop' ELSE '' END AS target_database,
   CASE WHEN l_partkey % 9 = 0 THEN '' ELSE 'dbo' END AS target_schema,
   concat('Source_', l_partkey % 50) AS target_object,
   CASE WHEN l_partkey % 4 = 0 THEN '' ELSE 'amount' END AS target_column,
@@ -155,7 +155,7 @@ FROM {lineitem}""",
     "synonyms": """
 SELECT CASE WHEN c_custkey % 2 = 0 THEN 'dbo' ELSE '' END AS schema_name, concat('Source_', c_custkey) AS object_name,
   CASE c_custkey % 4 WHEN 0 THEN concat('[Remote', c_custkey % 3, '].[Other].[dbo].[T]') WHEN 1 THEN 'Other.dbo.T'
-    WHEN 2 THEN 'School.dbo.T' ELSE 'dbo.T' END AS base_object_name
+    WHEN 2 THEN 'Shop.dbo.T' ELSE 'dbo.T' END AS base_object_name
 FROM {customer}""",
     "profile_rows": """
 SELECT concat('Table_', o_custkey % 40) AS table_name,

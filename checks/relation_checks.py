@@ -446,21 +446,21 @@ _RISKS = (
     "coalesce(regexp_matches(definition, '(?i)\\bSP_EXECUTESQL\\b|\\bEXEC\\s*\\(|\\bEXECUTE\\s*\\('), false) AS dynamic FROM statements), risks AS ("
     + "\nUNION ALL\n".join(
         [
-            "SELECT 'Medium' AS severity, 'Structure' AS category, schema_name || '.' || object_name AS object_context, 'Table has no declared primary key' AS observation, 'FACT' AS evidence_type, 'Business intent unknown; another unique key may exist' AS uncertainty FROM nokey",
-            "SELECT 'High', 'Relationships', 'School', 'No declared foreign keys are visible', 'FACT', 'Integrity may be enforced in application code or permissions may limit visibility' FROM (SELECT count(*) AS n FROM cat_foreign_keys) WHERE n = 0",
-            "SELECT CASE WHEN is_disabled THEN 'High' ELSE 'Medium' END, 'Constraint', source_schema || '.' || source_object || '.' || constraint_name, 'Foreign key is disabled or untrusted', 'FACT', 'Current catalog state' FROM cat_foreign_keys WHERE is_disabled OR is_not_trusted",
-            "SELECT 'Low', 'Data Quality', context, 'Column is all null', 'DATA_VALIDATION', 'Current snapshot only' FROM prof WHERE status = 'PROFILED' AND total_rows > 0 AND non_null_count = 0",
-            "SELECT 'Informational', 'Data Quality', context, 'Column is constant', 'DATA_VALIDATION', 'Current snapshot only' FROM prof WHERE status = 'PROFILED' AND non_null_count > 0 AND distinct_count = 1",
-            "SELECT 'Low', 'Data Quality', context, concat('Contains ', empty_string_count, ' empty strings'), 'DATA_VALIDATION', 'Empty strings may be valid business values' FROM prof WHERE empty_string_count > 0",
-            "SELECT 'Low', 'Data Quality', context, concat('Contains ', whitespace_string_count - empty_string_count, ' whitespace-only non-empty strings'), 'DATA_VALIDATION', 'Current snapshot only' FROM prof WHERE whitespace_string_count > empty_string_count",
-            "SELECT 'Informational', 'Numeric Range', context, concat('Contains ', negative_count, ' negative values'), 'DATA_VALIDATION', 'Negative values may be valid; semantic range is unknown' FROM prof WHERE negative_count > 0",
-            "SELECT 'Informational', 'Coverage', context, 'Profiling ' || status, 'FACT', 'No data-level conclusion is possible' FROM prof WHERE starts_with(status, 'SKIPPED')",
-            "SELECT CASE WHEN classification = 'DECLARED_FK' THEN 'Medium' ELSE 'Low' END, 'Relationships', source_table || '.' || source_column, concat('Observed ', orphan_rows, ' unmatched non-null references'), 'DATA_VALIDATION', 'Inferred relationships may be semantically unrelated' FROM orphaned WHERE orphan_rows > 0",
-            "SELECT 'Medium', 'Constraint', schema_name || '.' || object_name || '.' || constraint_name, 'Constraint is disabled or untrusted', 'FACT', 'Current catalog state' FROM cat_constraints WHERE is_disabled OR is_not_trusted",
-            "SELECT 'Medium', 'Static Analysis', schema_name || '.' || object_name, 'Definition unavailable or encrypted', 'FACT', 'Dependencies and logic may be incomplete' FROM defs WHERE NOT definition_available",
-            "SELECT 'Medium', 'Dynamic SQL', schema_name || '.' || object_name, 'Dynamic SQL is present', 'INFERENCE', 'Runtime targets may remain opaque' FROM defs WHERE dynamic",
-            "SELECT 'Medium', 'External Dependency', source_schema || '.' || source_object, 'External reference detected: ' || CASE WHEN target_server <> '' THEN 'FOUR_PART' ELSE 'THREE_PART' END, 'INFERENCE', 'External system was not queried' FROM dependencies WHERE target_server <> '' OR target_database <> ''",
-            "SELECT 'Medium', 'Access or Discovery Limitation', schema_name || '.' || object_name, CASE WHEN impact = '' THEN 'Evidence unavailable' ELSE impact END, 'FACT', sanitized_message FROM error_texts",
+            "SELECT 'Medium' AS severity, 'Structure' AS category, schema_name || '.' || object_name AS object_context, 'A table lacks a primary key' AS observation, 'FACT' AS evidence_type, 'Some other column set may be unique' AS uncertainty FROM nokey",
+            "SELECT 'High', 'Relationships', 'Shop', 'The catalogue shows no foreign key', 'FACT', 'Programs may check references, or rights hide the keys' FROM (SELECT count(*) AS n FROM cat_foreign_keys) WHERE n = 0",
+            "SELECT CASE WHEN is_disabled THEN 'High' ELSE 'Medium' END, 'Constraint', source_schema || '.' || source_object || '.' || constraint_name, 'A foreign key is off or was not checked', 'FACT', 'As the catalogue stands' FROM cat_foreign_keys WHERE is_disabled OR is_not_trusted",
+            "SELECT 'Low', 'Data Quality', context, 'No row has a value', 'DATA_VALIDATION', 'Holds for the rows read now' FROM prof WHERE status = 'PROFILED' AND total_rows > 0 AND non_null_count = 0",
+            "SELECT 'Informational', 'Data Quality', context, 'Every value is the same', 'DATA_VALIDATION', 'Holds for the rows read now' FROM prof WHERE status = 'PROFILED' AND non_null_count > 0 AND distinct_count = 1",
+            "SELECT 'Low', 'Data Quality', context, concat('Rows with an empty text: ', empty_string_count), 'DATA_VALIDATION', 'An empty text can be meant' FROM prof WHERE empty_string_count > 0",
+            "SELECT 'Low', 'Data Quality', context, concat('Rows with blanks alone: ', whitespace_string_count - empty_string_count), 'DATA_VALIDATION', 'Holds for the rows read now' FROM prof WHERE whitespace_string_count > empty_string_count",
+            "SELECT 'Informational', 'Numeric Range', context, concat('Rows below zero: ', negative_count), 'DATA_VALIDATION', 'No allowed range is known for the column' FROM prof WHERE negative_count > 0",
+            "SELECT 'Informational', 'Coverage', context, 'Not profiled: ' || status, 'FACT', 'Nothing is known about its values' FROM prof WHERE starts_with(status, 'SKIPPED')",
+            "SELECT CASE WHEN classification = 'DECLARED_FK' THEN 'Medium' ELSE 'Low' END, 'Relationships', source_table || '.' || source_column, concat('Rows that refer to nothing: ', orphan_rows), 'DATA_VALIDATION', 'A guessed reference may mean something else' FROM orphaned WHERE orphan_rows > 0",
+            "SELECT 'Medium', 'Constraint', schema_name || '.' || object_name || '.' || constraint_name, 'A constraint is off or was not checked', 'FACT', 'As the catalogue stands' FROM cat_constraints WHERE is_disabled OR is_not_trusted",
+            "SELECT 'Medium', 'Static Analysis', schema_name || '.' || object_name, 'The definition cannot be read', 'FACT', 'What it does and uses may be missing here' FROM defs WHERE NOT definition_available",
+            "SELECT 'Medium', 'Dynamic SQL', schema_name || '.' || object_name, 'Builds statements while it runs', 'INFERENCE', 'Their targets are not known beforehand' FROM defs WHERE dynamic",
+            "SELECT 'Medium', 'External Dependency', source_schema || '.' || source_object, 'Refers outside: ' || CASE WHEN target_server <> '' THEN 'FOUR_PART' ELSE 'THREE_PART' END, 'INFERENCE', 'The other system was not asked' FROM dependencies WHERE target_server <> '' OR target_database <> ''",
+            "SELECT 'Medium', 'Access or Discovery Limitation', schema_name || '.' || object_name, CASE WHEN impact = '' THEN 'Nothing could be read' ELSE impact END, 'FACT', sanitized_message FROM error_texts",
         ]
     ) + ")"
 )
@@ -492,7 +492,7 @@ def _risk_inputs(spark, sf) -> dict[str, DataFrame]:
 
 @registry.add(with_extra(_RISK_INPUTS, _VALIDATED + _RISKS, "SELECT * FROM risks"))
 def risk_register(spark, sf):
-    return quality.risk_register("School", **_risk_inputs(spark, sf))
+    return quality.risk_register("Shop", **_risk_inputs(spark, sf))
 
 
 @registry.add(
@@ -511,7 +511,7 @@ def quality_summary(spark, sf):
     inputs = _risk_inputs(spark, sf)
     return quality.quality_summary(
         inputs["missing_keys"], inputs["foreign_keys"], inputs["profile"], inputs["orphans"],
-        inputs["definitions"], quality.risk_register("School", **inputs),
+        inputs["definitions"], quality.risk_register("Shop", **inputs),
     )
 
 
@@ -587,3 +587,28 @@ def browse_total(spark, sf):
 def search_lines(spark, sf):
     found = browse.search_lines(table(spark, sf, "documents"), "doc_id", "text", "License")
     return found.select("doc_id", "line_number", F.md5("text").alias("digest"))
+
+
+_SOME_VIEWS = (
+    "SELECT 'dbo' AS schema_name, concat('o', o_orderkey) AS object_name, CASE WHEN o_orderkey % 4 = 0 THEN 'VIEW' ELSE 'USER_TABLE' END AS object_type, "
+    "'part_id' AS column_name, 'int' AS data_type, false AS is_nullable, false AS is_identity, false AS is_computed FROM {orders}"
+)
+
+
+def _some_views(spark, sf):
+    return spark.sql(_SOME_VIEWS, orders=table(spark, sf, "orders"))
+
+
+@registry.add("SELECT concat('o', o_orderkey) AS object_name, CAST(1 AS INTEGER) AS column_count FROM orders WHERE o_orderkey % 4 <> 0")
+def table_shape_without_views(spark, sf):
+    return profile.table_shape(_some_views(spark, sf)).select("object_name", "column_count")
+
+
+@registry.add("SELECT concat('o', o_orderkey) AS source_object FROM orders WHERE o_orderkey % 4 <> 0")
+def infer_relationships_without_views(spark, sf):
+    """Views are no sources; the one unique column of a table named part is every table's target."""
+    part = _some_views(spark, sf).limit(1).select(
+        "schema_name", F.lit("part").alias("object_name"), F.lit("USER_TABLE").alias("object_type"), F.lit("part_id").alias("column_name"),
+        "data_type", "is_nullable", "is_identity", "is_computed")
+    unique = part.select("schema_name", "object_name", "column_name", F.lit("PRIMARY_KEY").alias("unique_evidence"))
+    return relations.infer_relationships(_some_views(spark, sf).unionByName(part), unique).select("source_object")

@@ -623,3 +623,19 @@ def sample_plan(spark, sf):
 )
 def column_descriptions(spark, sf):
     return join_descriptions(derived(spark, sf, "notes"))
+
+
+@registry.add("SELECT count(*) AS n, CAST(0 AS BIGINT) AS raw_values, count(*) * 2 AS masked FROM orders")
+def publication_of_case_variants(spark, sf):
+    """Classes of names that differ in case only: one row out per row in, the most sensitive class counts."""
+    rows = table(spark, sf, "orders").select(
+        F.concat(F.lit("t"), "o_orderkey").alias("table_name"), F.lit("Id").alias("column_name"), F.lit("int").alias("data_type"),
+        F.col("o_custkey").cast("string").alias("minimum_value"), F.col("o_custkey").cast("string").alias("maximum_value"))
+    variants = F.explode(F.array(*[
+        F.struct(F.lit(n).alias("column_name"), F.lit(c).alias("sensitivity_category"), F.lit(e).alias("evidence"))
+        for n, c, e in (("Id", "Unknown", ""), ("ID", "PII", "NAME"), ("iD", "Non-sensitive", "OVERRIDE: checked"))]))
+    classes = rows.select("table_name", variants.alias("v")).select("table_name", "v.*")
+    fields = ("minimum_value", "maximum_value")
+    done = masking.publication_policy(rows, classes, fields, "salt")
+    raw = [F.when(F.col(f).startswith("[MASKED:"), 0).otherwise(1) for f in fields]
+    return done.agg(F.count(F.lit(1)).alias("n"), F.sum(raw[0] + raw[1]).alias("raw_values"), F.sum("values_masked").alias("masked"))

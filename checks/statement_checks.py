@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from lakescribe.functions import fixed_values as fixed
 from lakescribe.operators import jobs, lineage, statements
 
-from .inputs import Registry, derived, with_inputs
+from .inputs import Registry, derived, table, with_inputs
 from .sensitivity_checks import redact_sql
 
 registry = Registry()
@@ -217,7 +217,7 @@ def flow_edges(spark, sf):
 
 
 _SAFE_TEXT = (
-    f"subsystem = 'TSQL' AND command <> '' AND length(command) <= 4000 AND NOT dynamic AND command = regexp_replace({redact_sql('command')}, {lit(fixed.SECRET_ARGUMENT)}, '\\1=[REDACTED]', 'g') "
+    f"subsystem = 'TSQL' AND command <> '' AND NOT dynamic AND command = regexp_replace({redact_sql('command')}, {lit(fixed.SECRET_ARGUMENT)}, '\\1=[REDACTED]', 'g') "
     f"AND NOT regexp_matches(command, '[''\"]|--|/\\*|\\*/') AND NOT regexp_matches(command, {lit(fixed.SECRET_WORD)}) AND NOT regexp_matches(command, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]')"
 )
 
@@ -245,7 +245,7 @@ _DEP_FIELDS = (
 _KEY = "concat_ws('|', lower({t}source_schema), lower({t}source_object), lower({t}target_database), lower({t}target_schema), lower({t}target_object))"
 MERGED = f"""
 , missing AS (SELECT * FROM refs r WHERE {_KEY.format(t='r.')} NOT IN (SELECT {_KEY.format(t='d.')} FROM dependencies d)
-  QUALIFY row_number() OVER (PARTITION BY {_KEY.format(t='r.')} ORDER BY operation, target_server, source_schema, source_object, target_database, target_schema, target_object) = 1),
+  QUALIFY row_number() OVER (PARTITION BY {_KEY.format(t='r.')} ORDER BY list_position(['WRITE', 'READ', 'CALL'], operation), target_server, source_schema, source_object, target_database, target_schema, target_object) = 1),
 merged AS (SELECT source_schema, source_object, source_type, source_column_id, {_HIDDEN} AS target_server, target_database, target_schema, target_object, target_column, referenced_id, CAST(NULL AS VARCHAR) AS operation, CAST(NULL AS VARCHAR) AS evidence FROM dependencies
   UNION ALL SELECT source_schema, source_object, source_type, NULL, {_HIDDEN}, target_database, target_schema, target_object, NULL, NULL, operation, evidence FROM missing)
 """
@@ -430,7 +430,21 @@ def view_sample_eligibility(spark, sf):
     flags = flags_of(spark, sf)
     return lineage.view_sample_eligibility(
         flags.where("statement_id % 17 <> 0"), flags, derived(spark, sf, "dependencies"),
-        statements.object_references(flags), derived(spark, sf, "synonyms"), "School",
+        statements.object_references(flags), derived(spark, sf, "synonyms"), "Shop",
     )
 
 
+
+
+@registry.add("SELECT concat('p', o_orderkey) AS source_object, CASE WHEN o_orderkey % 2 = 0 THEN 'WRITE' ELSE 'READ' END AS operation FROM orders")
+def merge_reads_and_writes(spark, sf):
+    """Statements that read, write and call one target: a write counts before a read, a read before a call."""
+    empty = derived(spark, sf, "dependencies").limit(0)
+    operations = F.when(F.col("o_orderkey") % 2 == 0, F.array(*map(F.lit, ("CALL", "READ", "WRITE")))).otherwise(
+        F.array(*map(F.lit, ("CALL", "READ"))))
+    text = lambda value, name: F.lit(value).alias(name)
+    references = table(spark, sf, "orders").select(
+        text("dbo", "source_schema"), F.concat(F.lit("p"), "o_orderkey").alias("source_object"), text("PROCEDURE", "source_type"),
+        F.explode(operations).alias("operation"), text("", "target_server"), text("", "target_database"),
+        text("dbo", "target_schema"), text("T", "target_object"), text("", "evidence"))
+    return lineage.merge_dependencies(empty, references).select("source_object", "operation")

@@ -14,6 +14,8 @@ CATEGORY_PATTERNS = (
 )
 SENSITIVE_CATEGORIES = ("Credential", "PII", "Financial", "Health", "Potentially Sensitive")
 ALL_CATEGORIES = SENSITIVE_CATEGORIES + ("Unknown", "Non-sensitive")
+# from the least to the most sensitive
+CATEGORIES_BY_RISK = ALL_CATEGORIES[::-1]
 MASKING_ACTIONS = ("REDACT", "PSEUDONYMIZE", "PRESERVE")
 
 # Normalized column names (lower case, letters and digits only) that are personal data.

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from . import fixed_values as fixed
 
@@ -59,3 +59,8 @@ def quoted(name: str) -> str:
 def col_of(name: str) -> Column:
     """A column by its exact name, also when the name holds dots or blanks."""
     return F.col(quoted(name))
+
+
+def of_tables(columns: DataFrame) -> DataFrame:
+    """Catalogue rows of tables; views and others go where ``object_type`` tells them apart."""
+    return columns.where(F.col("object_type") == "USER_TABLE") if "object_type" in columns.columns else columns

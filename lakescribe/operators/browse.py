@@ -8,8 +8,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.types import col_of, text_form
 
-PAGE_LIMIT = 200
-
 
 def _any_contains(df: DataFrame, search: str) -> Column:
     tests = [
@@ -24,8 +22,8 @@ def matching_rows(df: DataFrame, search: str = "") -> DataFrame:
 
 
 def page_of(page: int, per_page: int) -> tuple[int, int]:
-    """(offset, size) of a page within the allowed limits."""
-    size = min(PAGE_LIMIT, max(1, per_page))
+    """(offset, size) of a page; pages and sizes start at 1."""
+    size = max(1, per_page)
     return (max(1, page) - 1) * size, size
 
 

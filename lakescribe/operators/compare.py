@@ -249,9 +249,21 @@ def matches_status(tokens: Column, wanted: str) -> Column:
     return F.array_contains(tokens, wanted)
 
 
+def run_columns(compared: DataFrame, spec: CompareSpec) -> list[str]:
+    """The columns with the runs' values of the compared fields."""
+    wanted = [f"{f}_{label}" for f in spec.fields for label in ("a", "b", "c")]
+    return [c for c in wanted if c in compared.columns]
+
+
+def delta_columns(compared: DataFrame, spec: CompareSpec) -> list[str]:
+    """The columns with numbers, differences and percents of the numeric fields."""
+    labels = ("a", "b", "c") if "b_to_c" in compared.columns else ("a", "b")
+    return [name for f in spec.numeric for name in _deltas(f, labels)]
+
+
 def filter_comparison(
     compared: DataFrame,
-    keys: Sequence[str],
+    spec: CompareSpec,
     status: str = "",
     search: str = "",
     schema: str = "",
@@ -260,8 +272,12 @@ def filter_comparison(
     issues_only: bool = False,
     category: str = "",
 ) -> DataFrame:
-    """Rows of a comparison by history status, identity text, schema, severity and database."""
-    rows = compared
+    """Rows of a comparison by history status, identity text, schema, severity and database.
+
+    ``spec`` is what was compared; severity and issues are looked for in identities and in the
+    runs' values of its fields.
+    """
+    rows, keys = compared, spec.keys
     if status:
         rows = rows.where(matches_status(status_tokens(compared), status))
 
@@ -269,8 +285,7 @@ def filter_comparison(
         tests = [F.lower(F.coalesce(F.col(n).cast("string"), F.lit(""))).contains(needle.lower()) for n in names]
         return reduce(Column.__or__, tests, F.lit(False))
 
-    values = [c for c in compared.columns if c.endswith(("_a", "_b", "_c")) and "minus" not in c
-              and "number" not in c and c not in _interval_columns(compared)]
+    values = run_columns(compared, spec)
     if search:
         rows = rows.where(any_contains(keys, search))
     if schema:

@@ -92,7 +92,7 @@ def job_catalogue(steps: DataFrame, literals: Iterable[str] = ()) -> DataFrame:
     sanitized = F.regexp_replace(redact_text(command, literals), fixed.SECRET_ARGUMENT, "$1=[REDACTED]")
     harmless = (
         (F.col("subsystem") == "TSQL") & (command != "") & (command == sanitized)
-        & (F.length(command) <= 4000) & ~F.col("dynamic_sql_opaque")
+        & ~F.col("dynamic_sql_opaque")
         & ~command.rlike(r"['\"]|--|/\*|\*/") & ~command.rlike(fixed.SECRET_WORD)
         & ~command.rlike(r"[\x00-\x08\x0b\x0c\x0e-\x1f]")
     )

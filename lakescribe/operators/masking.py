@@ -61,8 +61,16 @@ def reconcile_sensitivity(
 
 
 def _matches_case_folded(rows: DataFrame, other: DataFrame, keys: Sequence[str]) -> DataFrame:
-    renamed = [F.lower(F.col(k)).alias(f"__{k}") for k in keys]
-    right = other.select(*renamed, *[c for c in other.columns if c not in keys])
+    """Rows with the classes of their column, one row out per row in.
+
+    Names that differ in case only are one column here: the most sensitive of their classes counts.
+    """
+    folded = [F.lower(F.col(k)).alias(f"__{k}") for k in keys]
+    ranks = F.array(*[F.lit(c) for c in fixed.CATEGORIES_BY_RISK])
+    risk = F.coalesce(F.nullif(F.array_position(ranks, F.col("__category")), F.lit(0)), F.lit(0))
+    right = other.select("*", *folded).groupBy(*[f"__{k}" for k in keys]).agg(
+        F.max_by(F.struct("__category", "__evidence"), F.struct(risk, "__category", F.coalesce("__evidence", F.lit("")))).alias("__class")
+    ).select(*[f"__{k}" for k in keys], "__class.*")
     test = reduce(Column.__and__, [F.lower(rows[k]) == right[f"__{k}"] for k in keys])
     return rows.join(right, test, "left").drop(*[f"__{k}" for k in keys])
 
@@ -181,7 +189,7 @@ def redact_documents(df: DataFrame, text_column: str, literals: Iterable[str] =
 
 def secret_scan(df: DataFrame, text_column: str, literals: Iterable[str] = ()) -> DataFrame:
     """The rows whose text still holds a secret assignment or one of the given literals."""
-    needles = tuple(item for item in literals if item and len(item) >= 3)
+    needles = tuple(item for item in literals if item)
     text = F.col(text_column)
     holds = F.lit(False)
     for needle in needles:

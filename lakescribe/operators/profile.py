@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions import fixed_values as fixed
 from ..functions.types import (
-    base_type_name, col_of, family_of, family_of_name, is_profiled, text_form,
+    base_type_name, col_of, family_of, family_of_name, is_profiled, text_form, of_tables,
 )
 from ..policy import Policy
 from .frequency import distinct_counts, profiled_columns, value_frequencies
@@ -316,7 +316,8 @@ def table_shape(
     columns: DataFrame, sizes: DataFrame | None = None,
     keys: Sequence[str] = ("schema_name", "object_name"),
 ) -> DataFrame:
-    """Per table: how many columns of which kind, and its row count where it is known."""
+    """Per table: how many columns of which kind, and its row count where it is known; no views."""
+    columns = of_tables(columns)
     family = family_of_name(F.col("data_type"))
 
     def total(test: Column, name: str) -> Column:

@@ -9,10 +9,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions import fixed_values as fixed
 from ..functions.text import is_true, normalized_name
-from ..functions.types import col_of, is_profiled
+from ..functions.types import col_of, is_profiled, of_tables
 from .frequency import distinct_counts
 from .profile import percent, within_threshold
 
+#: Targets listed for each source unless the caller asks for more.
 TARGETS_PER_SOURCE = 3
 
 
@@ -98,6 +99,7 @@ def infer_relationships(
     declared: DataFrame | None = None,
     name_pattern: str = fixed.RELATION_NAME,
     strip_affix: str | None = None,
+    targets_per_source: int = TARGETS_PER_SOURCE,
 ) -> DataFrame:
     """Likely references: identifier-like columns against unique columns of other tables.
 
@@ -105,8 +107,9 @@ def infer_relationships(
     table (or its singular) plus ``id``, else 3 when it contains the table name. At least 6 is
     needed, which the last rule cannot reach without the name being equal: so two equi-joins find
     all candidates. The score depends on a source only through its type and name. Targets are
-    therefore ranked once per (type, name), and the best six kept: a source's own table holds at
-    most three of them (:func:`_best_targets`), so three others always remain.
+    therefore ranked once per (type, name), and twice ``targets_per_source`` of them kept: a
+    source's own table holds at most half of them (:func:`_best_targets`), so enough others remain.
+    Only columns of tables are sources; ``columns`` tells by ``object_type`` where it has one.
 
     ``strip_affix`` is a regex dropped from names before they are compared.
     """
@@ -115,7 +118,7 @@ def infer_relationships(
         return normalized_name(F.regexp_replace(name, strip_affix, "") if strip_affix else name)
 
     typed = columns.withColumn("type_key", F.lower("data_type"))
-    sources = typed.where(F.col("column_name").rlike(name_pattern))
+    sources = of_tables(typed).where(F.col("column_name").rlike(name_pattern))
     if declared is not None:
         known = declared.select(
             F.col("source_schema").alias("schema_name"), F.col("source_object").alias("object_name"),
@@ -137,7 +140,7 @@ def infer_relationships(
         plain(F.col("column_name")).alias("target_name"),
         normalized_name(F.col("object_name")).alias("table_key"),
     )
-    best = _best_targets(names, targets)
+    best = _best_targets(names, targets, targets_per_source)
     own = (F.col("source_schema") == F.col("target_schema")) & (
         F.col("source_object") == F.col("target_object")
     )
@@ -147,7 +150,7 @@ def infer_relationships(
         sources.join(best, ["type_key", "source_name"])
         .where(~own)
         .withColumn("rank", F.row_number().over(per_source))
-        .where(F.col("rank") <= TARGETS_PER_SOURCE)
+        .where(F.col("rank") <= targets_per_source)
         .select(
             "source_schema", "source_object", "source_column",
             "target_schema", "target_object", "target_column",
@@ -158,7 +161,7 @@ def infer_relationships(
     )
 
 
-def _best_targets(names: DataFrame, targets: DataFrame) -> DataFrame:
+def _best_targets(names: DataFrame, targets: DataFrame, wanted: int) -> DataFrame:
     singular = F.regexp_replace("table_key", "s+$", "")
     id_names = F.array_distinct(
         F.array("target_name", F.concat("table_key", F.lit("id")), F.concat(singular, F.lit("id")))
@@ -203,9 +206,9 @@ def _best_targets(names: DataFrame, targets: DataFrame) -> DataFrame:
     overall = Window.partitionBy("type_key", "source_name").orderBy(*order)
     return (
         scored.withColumn("in_table", F.row_number().over(in_table))
-        .where(F.col("in_table") <= TARGETS_PER_SOURCE)
+        .where(F.col("in_table") <= wanted)
         .withColumn("place", F.row_number().over(overall))
-        .where(F.col("place") <= 2 * TARGETS_PER_SOURCE)
+        .where(F.col("place") <= 2 * wanted)
         .select(
             "type_key", "source_name", "target_schema", "target_object", "target_column",
             "inference_score", "evidence", "place",

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import fixed_values as fixed
+from ..functions.types import of_tables
 from ..functions.text import (
     holds_any, may_hold_secret, redact_text, searched, secrets_replaced,
 )
@@ -285,7 +286,7 @@ def column_references(
     statements: DataFrame, columns: DataFrame, text_column: str = "definition_sanitized",
     statement_id: str | None = None,
 ) -> DataFrame:
-    """Qualified columns of known tables each statement uses, and how.
+    """Qualified columns of known tables each statement uses, and how; views are no such tables.
 
     ``statement_id`` names a unique column of the statements; without it a statement is known by
     its schema, object and text.
@@ -295,6 +296,7 @@ def column_references(
     else:
         identity = F.sha2(F.concat_ws("\x00", "schema_name", "object_name", text_column), 256)
     numbered = statements.where(F.col(text_column) != "").withColumn("statement_id", identity)
+    columns = of_tables(columns)
     known = columns.select(
         "schema_name", "object_name", F.lower("column_name").alias("column_key")
     ).distinct()

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fixed_values as fixed
+from ..functions.types import of_tables
 
 TABLE = ["schema_name", "object_name"]
 
@@ -139,8 +140,10 @@ def table_similarity(columns: DataFrame, threshold: float = 0.8) -> DataFrame:
     Two sets that reach the threshold must share one of their rarest names: names are ordered by
     how many sets have them, and only a prefix of each set has to be joined. Common names such as
     ``id`` are outside nearly every prefix. Pairs are verified in the row that found them, on the
-    first name they share, so nothing is shuffled after that join.
+    first name they share, so nothing is shuffled after that join. Only tables are compared where
+    ``object_type`` tells them from views.
     """
+    columns = of_tables(columns)
     groups = shape_groups(columns)
     members = groups.where("schema_name <> group_schema OR object_name <> group_object").select(
         F.col("group_schema").alias("left_schema"), F.col("group_object").alias("left_object"),

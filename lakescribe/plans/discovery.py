@@ -24,6 +24,7 @@ def discover(
     rules: Sequence[sensitivity.OverrideRule] = (),
     primary_keys: DataFrame | None = None,
     foreign_keys: DataFrame | None = None,
+    skip: Sequence[str] = (),
     **inference,
 ) -> dict[str, DataFrame]:
     """Catalogue, sizes, shapes, masked profiles and distributions, sensitivity, relationships,
@@ -31,6 +32,7 @@ def discover(
 
     Values are classified from raw data and masked once, before anything is returned. Profiles and
     distributions, which several results use, are computed once and kept in the shared folder.
+    Rows carry ``schema_name`` and ``object_name``. Only tables named in ``skip`` are left unread.
     ``inference`` is passed to :func:`relations.infer_relationships`.
     """
     spark, schema = workspace.spark, workspace.schema_name
@@ -43,8 +45,10 @@ def discover(
     )
     primary = _or_empty(spark, primary_keys, PRIMARY_KEY_SCHEMA)
     foreign = _or_empty(spark, foreign_keys, FOREIGN_KEY_SCHEMA)
-    limit = policy.profile_row_limit
-    skipped = {n for n, rows in known.items() if limit is not None and rows > limit}
+    skipped = set(skip)
+    placed = lambda rows: rows.withColumns(
+        {"schema_name": F.lit(schema), "object_name": F.col("table_name")}
+    )
 
     profiles = materialize(
         _union(
@@ -76,7 +80,7 @@ def discover(
     targets = relations.measured_unique_targets(profiles, schema)
     inferred = relations.infer_relationships(columns, targets, foreign, **inference)
     validated = relations.validate_relationships(
-        workspace.tables, _relation_list(foreign, inferred), known, policy.relationship_row_limit
+        workspace.tables, _relation_list(foreign, inferred), known
     )
     validated = materialize(validated, "validated")
     missing = structure.tables_without_key(tables, primary)
@@ -89,9 +93,9 @@ def discover(
     )
     return {
         "tables": tables, "columns": columns, "row_counts": sizes, "table_shapes": shape,
-        "column_profiles": masked(profiles, ("minimum_value", "maximum_value")),
-        "low_cardinality_values": masked(values, ("value",)),
-        "sensitivity": classes,
+        "column_profiles": placed(masked(profiles, ("minimum_value", "maximum_value"))),
+        "low_cardinality_values": placed(masked(values, ("value",))),
+        "sensitivity": placed(classes),
         "inferred_relationships": inferred,
         "relationship_cardinality": relations.relationship_cardinality(validated),
         "orphan_analysis": orphans,

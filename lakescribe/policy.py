@@ -11,35 +11,12 @@ class Policy:
 
     sample_rows: int = 100
     profile_row_limit: int | None = None
-    exact_count_ceiling: int | None = None
-    relationship_row_limit: int | None = None
     low_cardinality_limit: int = 50
     sample_tables: bool = True
     sample_views: bool = True
     sample_large_tables: bool = True
     mask: bool = True
 
-    @classmethod
-    def safe(cls) -> "Policy":
-        """The bounded limits a cautious run uses against a busy source."""
-        return cls(
-            sample_rows=100,
-            profile_row_limit=1_000_000,
-            exact_count_ceiling=100_000,
-            relationship_row_limit=1_000_000,
-            low_cardinality_limit=50,
-        )
-
-    @classmethod
-    def full(cls) -> "Policy":
-        return cls(
-            sample_rows=500,
-            profile_row_limit=5_000_000,
-            exact_count_ceiling=500_000,
-            relationship_row_limit=10_000_000,
-            low_cardinality_limit=200,
-        )
-
     def with_limits(self, **changes) -> "Policy":
         changed = replace(self, **changes)
         if changed.sample_rows < 1:

@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from ..operators.compare import CompareSpec, delta_columns, run_columns
 from .workspace import project_declared
 
 
@@ -51,10 +51,10 @@ def read_snapshot(
 
 
 def read_parquet_snapshot(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, bool]:
-    try:
-        return project_declared(spark.read.parquet(path), schema), True
-    except AnalysisException:
+    """(rows, available) of one Parquet row set; only a path that does not exist is unavailable."""
+    if not _exists(spark, path):
         return spark.createDataFrame([], schema), False
+    return project_declared(spark.read.parquet(path), schema), True
 
 
 def write_snapshot(
@@ -71,39 +71,25 @@ def write_snapshot(
         writer.format(file_format).save(f"{path}/{name}")
 
 
-def flatten_metrics(df: DataFrame, json_column: str, keys: Sequence[str] = (), depth: int = 4) -> DataFrame:
-    """(keys, metric, value): the scalar leaves of nested JSON objects under dotted names.
+def flatten_metrics(df: DataFrame, json_column: str, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, metric, value): the scalar leaves of JSON objects under dotted names.
 
-    Lists are left out. ``depth`` levels of nesting are followed, one scan for all.
+    Each value is taken by its JSON type: a text that looks like an object or a list stays a text.
+    Lists and what they hold are left out; a document that is a single scalar has the name ''. Nesting
+    is followed until a pass meets no further object. Texts that are no JSON give no rows.
     """
-
-    def entries(text: Column) -> Column:
-        return F.map_entries(F.from_json(text, "map<string,string>"))
-
-    def is_object(item: Column) -> Column:
-        return F.coalesce(item["value"].startswith("{"), F.lit(False))
-
-    def is_list(item: Column) -> Column:
-        return F.coalesce(item["value"].startswith("["), F.lit(False))
-
-    items = F.coalesce(entries(F.col(json_column)), F.array().cast("array<struct<key:string,value:string>>"))
-    rows = df.select(*keys, F.explode(items).alias("item"))
-    for _ in range(depth):
-        nested = F.transform(
-            F.coalesce(
-                entries(F.col("item.value")), F.array().cast("array<struct<key:string,value:string>>")
-            ),
-            lambda child: F.struct(
-                F.concat(F.col("item.key"), F.lit("."), child["key"]).alias("key"),
-                child["value"].alias("value"),
-            ),
-        )
-        rows = rows.select(
-            *keys, F.explode(F.when(is_object(F.col("item")), nested).otherwise(F.array("item"))).alias("item")
-        )
-    return rows.where(~is_list(F.col("item"))).select(
-        *keys, F.col("item.key").alias("metric"), F.col("item.value").alias("value")
-    )
+    level = df.select(*keys, F.lit("").alias("metric"), F.try_parse_json(json_column).alias("item")).where("item IS NOT NULL")
+    kind, leaves = F.schema_of_variant("item"), []
+    while True:
+        scalar = ~kind.startswith("OBJECT") & ~kind.startswith("ARRAY")
+        leaves.append(level.where(scalar).select(*keys, "metric", F.col("item").cast("string").alias("value")))
+        nested = level.where(kind.startswith("OBJECT"))
+        if nested.isEmpty():
+            return reduce(DataFrame.unionAll, leaves)
+        children = df.sparkSession.tvf.variant_explode(F.col("item").outer())
+        level = nested.lateralJoin(children).select(
+            *keys, F.concat_ws(".", F.nullif("metric", F.lit("")), "key").alias("metric"), F.col("value").alias("item")
+        ).where("item IS NOT NULL")
 
 
 MANIFEST_SCHEMA = (
@@ -113,14 +99,17 @@ MANIFEST_SCHEMA = (
 )
 
 
-def list_snapshots(spark: SparkSession, pattern: str) -> DataFrame:
+def list_snapshots(spark: SparkSession, pattern: str, expected_stages: int = 0) -> DataFrame:
     """One row per readable run manifest with the status its stages add up to."""
     raw = spark.read.schema(MANIFEST_SCHEMA).options(multiLine=True, mode="DROPMALFORMED").json(pattern)
-    return run_statuses(raw.select("*", F.col("_metadata.file_path").alias("manifest_path")))
+    return run_statuses(raw.select("*", F.col("_metadata.file_path").alias("manifest_path")), expected_stages)
+
 
+def run_statuses(manifests: DataFrame, expected_stages: int = 0) -> DataFrame:
+    """COMPLETED, COMPLETED_WITH_WARNINGS, FAILED, CANCELLED or PARTIAL, with stage coverage.
 
-def run_statuses(manifests: DataFrame) -> DataFrame:
-    """COMPLETED, COMPLETED_WITH_WARNINGS, FAILED, CANCELLED or PARTIAL, with stage coverage."""
+    ``expected_stages`` serves where a manifest with stages does not say how many there should be.
+    """
     stages = F.coalesce("stages", F.array().cast("array<struct<prompt:string,status:string>>"))
     statuses = F.transform(stages, lambda s: s["status"])
 
@@ -131,7 +120,7 @@ def run_statuses(manifests: DataFrame) -> DataFrame:
     errors = F.coalesce(
         F.nullif("errors", F.lit(0)), F.when(F.col("warnings").isNotNull(), F.size("warnings")), F.lit(0)
     )
-    expected = F.coalesce(F.nullif("expected_stage_count", F.lit(0)), F.when(total > 0, 20).otherwise(0))
+    expected = F.coalesce(F.nullif("expected_stage_count", F.lit(0)), F.when(total > 0, expected_stages).otherwise(0))
     done = having("PASS", "SKIPPED_BY_MODE")
     complete = (expected > 0) & (total >= expected) & (done == total)
     failed = having("FAILED")
@@ -162,22 +151,24 @@ def file_inventory(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def export_comparison(compared: DataFrame, keys: Sequence[str], path: str) -> None:
+def export_comparison(compared: DataFrame, spec: CompareSpec, path: str) -> None:
     """A comparison as JSON lines and as CSV whose nested columns are JSON texts."""
     compared.write.mode("overwrite").json(f"{path}/json")
-    export_rows(compared, keys).write.mode("overwrite").options(
+    export_rows(compared, spec).write.mode("overwrite").options(
         header=True, quote='"', escape='"'
     ).csv(f"{path}/csv")
 
 
-def export_rows(compared: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """(status, identity, intervals, timeline_events, runs, numeric_deltas) with JSON texts."""
+def export_rows(compared: DataFrame, spec: CompareSpec) -> DataFrame:
+    """(status, identity, intervals, timeline_events, runs, numeric_deltas) with JSON texts.
+
+    ``spec`` is what was compared; it tells which column belongs where.
+    """
     intervals = [c for c in ("a_to_b", "b_to_c", "a_to_c") if c in compared.columns]
-    deltas = [c for c in compared.columns if "_minus_" in c or "_number_" in c]
-    diffs = [c for c in compared.columns if c.startswith("diff_")]
-    listed = {*keys, *intervals, *deltas, *diffs, "status", "timeline_events", "present_in", "category",
-              "databases"}
-    runs = [c for c in compared.columns if c not in listed]
+    deltas, runs = delta_columns(compared, spec), run_columns(compared, spec)
+    diffs = [f"diff_{i}" for i in intervals if f"diff_{i}" in compared.columns]
+    if spec.definition:
+        runs += [c for c in (f"{spec.definition}_{x}" for x in "abc") if c in compared.columns]
 
     def as_json(names: Iterable[str]) -> Column:
         names = sorted(names)
@@ -186,7 +177,7 @@ def export_rows(compared: DataFrame, keys: Sequence[str]) -> DataFrame:
     events = F.to_json("timeline_events") if "timeline_events" in compared.columns else F.lit("[]")
     category = [F.col("category")] if "category" in compared.columns else []
     return compared.select(
-        *category, "status", as_json(keys).alias("identity"), events.alias("timeline_events"),
+        *category, "status", as_json(spec.keys).alias("identity"), events.alias("timeline_events"),
         as_json(intervals).alias("intervals"), as_json(runs).alias("runs"),
         as_json(deltas).alias("numeric_deltas"), as_json(diffs).alias("definition_diffs"),
     )

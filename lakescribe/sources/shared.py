@@ -6,7 +6,6 @@ executors and cuts the lineage, which caching does not.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,9 +14,11 @@ SETTING = "spark.checkpoint.dir"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by the session; a temporary one where none is named, as in tests."""
+    """The folder named by the session. Without one there is no place that all machines share."""
     folder = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING)
-    return (folder or f"{tempfile.gettempdir()}/lakescribe").rstrip("/")
+    if not folder:
+        raise ValueError(f"set {SETTING} to a folder that the driver and all executors share")
+    return folder.rstrip("/")
 
 
 def fresh_folder(spark: SparkSession, label: str = "run") -> str:

@@ -228,7 +228,7 @@ def source_availability(
             )
             status = "UNSUPPORTED" if gone else "INACCESSIBLE"
             evidence = "CATALOG_NOT_SUPPORTED" if gone else "CATALOG_QUERY_ACCESS_ERROR"
-            rows.append((name, status, 0, evidence, text.splitlines()[0][:500]))
+            rows.append((name, status, 0, evidence, text))
         else:
             found = count > 0
             rows.append(

@@ -75,7 +75,7 @@ def test_history_filter(spark):
     b = run(spark, names, ("added_changed", "first"), ("reverted", "new"))
     c = run(spark, names, ("added_changed", "second"), ("readded", "new"), ("reverted", "old"))
     found = C.compare([a, b, c], ["name"], ["value"])
-    match = lambda **kw: {r["name"] for r in C.filter_comparison(found, ["name"], **kw).collect()}
+    match = lambda **kw: {r["name"] for r in C.filter_comparison(found, C.CompareSpec(("name",), ("value",)), **kw).collect()}
     assert match(status="ADDED") == {"added_changed", "readded"} and match(status="removed") == {"readded"}
     assert match(status="CHANGED_ONLY") == {"added_changed", "readded", "reverted"}
     assert match(status="REVERTED_TO_A") == {"reverted"} and match(search="READ") == {"readded"}

@@ -113,8 +113,8 @@ def test_gate_depends_on_policy(frame):
                     ("dbo", "Fact", "Sum", "int", True), ("dbo", "Gone", "x", "int", False))
     sizes = frame("schema_name string, object_name string, row_count bigint", ("dbo", "Fact", 2_000_000))
     status = lambda p: {r["column_name"]: r["profile_status"] for r in profile.profile_status(columns, sizes, p).collect()}
-    assert status(Policy.safe())["Value"] == "SKIPPED_FOR_SAFETY_LARGE_TABLE"
-    full = status(Policy.full())
+    assert status(Policy(profile_row_limit=1_000_000))["Value"] == "SKIPPED_FOR_SAFETY_LARGE_TABLE"
+    full = status(Policy(profile_row_limit=5_000_000))
     assert full == {"Value": "PROFILED", "Doc": "SKIPPED_FOR_SAFETY_OR_TYPE", "Sum": "SKIPPED_COMPUTED",
                     "x": "SKIPPED_ROW_ESTIMATE_UNAVAILABLE"}
     assert status(Policy())["Value"] == "PROFILED"

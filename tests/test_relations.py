@@ -38,8 +38,8 @@ def brute_force(columns, targets):
 @pytest.mark.parametrize("seed", range(3))
 def test_inference_equals_brute_force(spark, seed):
     rng = random.Random(seed)
-    tables = ["Students", "Class", "Address", "Fee_s", "student"]
-    names = ["id", "ID", "StudentId", "student_id", "ClassId", "Class_No", "code", "name", "AddressID", "FeeId"]
+    tables = ["Members", "Group", "Address", "Due_s", "member"]
+    names = ["id", "ID", "MemberId", "member_id", "GroupId", "Group_No", "code", "name", "AddressID", "DueId"]
     columns = sorted({(rng.choice("ab"), rng.choice(tables), rng.choice(names), rng.choice(["int", "INT", "bigint"])) for _ in range(90)})
     columns = list({c[:3]: c for c in columns}.values())
     targets = [(s, o, c, rng.choice(["PRIMARY_KEY", "UNIQUE_INDEX"])) for s, o, c, _ in columns if rng.random() < 0.7]

@@ -9,13 +9,12 @@ from lakescribe.plans.publication import PublicationRefused, publish_profiles
 
 
 def classify(spark, *names, **kw):
-    df = spark.createDataFrame([("dbo", "Student", n) for n in names], "schema_name string, object_name string, column_name string")
+    df = spark.createDataFrame([("dbo", "Visitor", n) for n in names], "schema_name string, object_name string, column_name string")
     return {r["column_name"]: r for r in sensitivity.classify_columns(df, **kw).collect()}
 
 
 def test_legacy_names(spark):
-    names = ("StudNm", "FName", "MName", "FatherNm", "MobNo", "PhNo", "ContactNo", "Addr1", "ResAdd", "BDate",
-             "BirthDt", "Aadhar", "PANNo")
+    names = ("GuardianNm", "SName", "PAddr", "EmailId", "MobileNo", "DOB", "Passport")
     for row in classify(spark, *names).values():
         assert tuple(row)[3:] == ("PII", "PSEUDONYMIZE", "HIGH", "BUILTIN_LEGACY_COLUMN_NAME")
 
@@ -25,28 +24,28 @@ def test_exact_override_comes_first(spark, tmp_path):
     path.write_text("""
 [[rules]]
 match = "pattern"
-database = "School*"
+database = "shop*"
 schema = "dbo"
-table = "Student*"
-column = "*Name"
+table = "visitor*"
+column = "*label"
 category = "Potentially Sensitive"
 action = "PSEUDONYMIZE"
-reason = "wide pattern"
+reason = "labels of visitors"
 
 [[rules]]
 match = "exact"
-database = "School"
+database = "shop"
 schema = "dbo"
-table = "Student"
-column = "StudName"
+table = "visitor"
+column = "badge_label"
 category = "Non-sensitive"
 action = "PRESERVE"
-reason = "approved identifier"
+reason = "badges are printed"
 """)
     rules = sensitivity.load_overrides(path)
-    found = classify(spark, "StudName", "LastName", "Other", rules=rules, database="School")
-    assert found["StudName"]["evidence"] == "OVERRIDE: approved identifier"
-    assert found["LastName"]["evidence"] == "OVERRIDE: wide pattern"
+    found = classify(spark, "badge_label", "last_label", "Other", rules=rules, database="shop")
+    assert found["badge_label"]["evidence"] == "OVERRIDE: badges are printed"
+    assert found["last_label"]["evidence"] == "OVERRIDE: labels of visitors"
     assert found["Other"]["sensitivity_category"] == "Unknown"
     assert sensitivity.load_overrides(tmp_path / "none.toml") == []
 
@@ -68,9 +67,9 @@ def test_globs(spark, glob, yes, no):
 
 
 def test_description_and_values(spark):
-    df = spark.createDataFrame([("dbo", "t", "Value1", "Parent mobile number"), ("dbo", "t", "Value2", None)],
+    df = spark.createDataFrame([("dbo", "t", "Value1", "mobile of the guide"), ("dbo", "t", "Value2", None)],
                                "schema_name string, object_name string, column_name string, description string")
-    signals = sensitivity.value_signals(spark.createDataFrame([(" student@example.test\n",), ("[REDACTED]",)], "Value2 string"), "t")
+    signals = sensitivity.value_signals(spark.createDataFrame([(" guide@museum.invalid\n",), ("[REDACTED]",)], "Value2 string"), "t")
     keyed = signals.select(F.lit("dbo").alias("schema_name"), F.col("table_name").alias("object_name"), "column_name", "signal_rank")
     found = {r["column_name"]: r for r in sensitivity.classify_columns(df, signals=keyed).collect()}
     assert (found["Value1"]["sensitivity_category"], found["Value1"]["confidence"]) == ("PII", "MEDIUM")
@@ -85,12 +84,12 @@ def test_signals_of_numbers_and_dates(spark):
 
 
 def test_mask_tokens(spark):
-    df = spark.createDataFrame([("person@example.test",), (None,)], "v string")
+    df = spark.createDataFrame([("clerk@museum.invalid",), (None,)], "v string")
     column = F.col("v")
     rows = df.select(mask_value(column, "PII", "s").alias("pii"), mask_value(column, "Credential", "s", enabled=False).alias("cred"),
                      mask_value(column, "PII", "s", enabled=False).alias("off"), mask_value(column, "Unknown", "s").alias("plain")).collect()
-    token = "[MASKED:" + hashlib.sha256(b"s|person@example.test").hexdigest()[:16] + "]"
-    assert tuple(rows[0]) == (token, "[REDACTED]", "person@example.test", "person@example.test")
+    token = "[MASKED:" + hashlib.sha256(b"s|clerk@museum.invalid").hexdigest()[:16] + "]"
+    assert tuple(rows[0]) == (token, "[REDACTED]", "clerk@museum.invalid", "clerk@museum.invalid")
     assert tuple(rows[1]) == (None,) * 4
 
 
@@ -100,12 +99,12 @@ def test_binary_is_never_shown(spark):
 
 
 def test_reconciled_rows_are_masked_once(spark):
-    final = spark.createDataFrame([("FeeMst", "outwardno", "PII", "PSEUDONYMIZE", "HIGH", "VALUE_SIGNAL: phone value pattern")],
+    final = spark.createDataFrame([("Ledger", "slip", "PII", "PSEUDONYMIZE", "HIGH", "VALUE_SIGNAL: phone value pattern")],
                                   "table_name string, column_name string, sensitivity_category string, masking_action string, confidence string, evidence string")
-    rows = spark.createDataFrame([("FeeMst", "outwardno", "", "12345678")], "table_name string, column_name string, minimum_value string, maximum_value string")
+    rows = spark.createDataFrame([("Ledger", "slip", "", "70314265")], "table_name string, column_name string, minimum_value string, maximum_value string")
     found = masking.reconcile_sensitivity(rows, final, ("minimum_value", "maximum_value"), "s").first()
     assert found["sensitivity_category"] == "PII"
-    assert found["maximum_value"] == "[MASKED:" + hashlib.sha256(b"s|12345678").hexdigest()[:16] + "]"
+    assert found["maximum_value"] == "[MASKED:" + hashlib.sha256(b"s|70314265").hexdigest()[:16] + "]"
 
 
 @pytest.mark.parametrize("text, literals, gone, kept", [
@@ -121,7 +120,7 @@ def test_redaction(spark, text, literals, gone, kept):
 
 PROFILE = "table_name string, column_name string, data_type string, sensitivity_category string, sensitivity_evidence string, minimum_value string, maximum_value string"
 ROWS = [
-    ("Fix", "Value1", "nvarchar", "Unknown", "NO_SENSITIVITY_SIGNAL", "Alice Example", "Zara Example"),
+    ("Fix", "Value1", "nvarchar", "Unknown", "NO_SENSITIVITY_SIGNAL", "Ruth Sample", "Zara Example"),
     ("Fix", "Value2", "nvarchar", "Unknown", "NO_SENSITIVITY_SIGNAL", "42 Example Street", "99 Sample Road"),
     ("Fix", "EmailAddress", "nvarchar", "PII", "BUILTIN_COLUMN_NAME", "a@example.test", "z@example.test"),
     ("Fix", "PasswordValue", "nvarchar", "Credential", "BUILTIN_COLUMN_NAME", "hunter2", "open-sesame"),
@@ -168,7 +167,7 @@ def test_audit_finds_raw_values_and_passes_tokens(spark):
             masking.audit_profile_values(values, classes, ("value",), "values"))
         return masking.audit_violations(audited).count(), masking.audit_summary(audited).first()
 
-    assert audit("person@example.test")[0] == 3
+    assert audit("clerk@museum.invalid")[0] == 3
     violations, summary = audit("[MASKED:0123456789abcdef]")
     assert violations == 0 and summary["values_checked"] == 3 and summary["passed"]
 
@@ -188,19 +187,19 @@ def test_publish_releases_only_what_passes(spark, profiles, tmp_path):
 
 
 def test_published_sample_masks_all_but_classed_columns(spark):
-    df = spark.createDataFrame([(7, "Alice", None, "")], "StudentId int, StudNm string, a string, b string")
+    df = spark.createDataFrame([(7, "Ruth", None, "")], "VisitorId int, SName string, a string, b string")
     row = masking.publish_sample(df, {"studnm": "PII"}, "s").first()
-    assert row["StudentId"].startswith("[MASKED:") and row["StudNm"].startswith("[MASKED:")
+    assert row["VisitorId"].startswith("[MASKED:") and row["SName"].startswith("[MASKED:")
     assert (row["a"], row["b"]) == ("", "")
 
 
 def test_sample_is_masked_from_names_and_values(spark):
-    df = spark.createDataFrame([(1, "Alice Example", "x"), (2, "Bob", "bob@example.test")], "StudentId int, StudNm string, free string")
-    rows = sampling.sample_and_mask(df, "Student", 10, "s", ["StudentId"]).collect()
-    assert rows[0]["StudentId"] == "1" and rows[0]["StudNm"].startswith("[MASKED:")
+    df = spark.createDataFrame([(1, "Ruth Sample", "x"), (2, "Rob", "rob@museum.invalid")], "VisitorId int, SName string, free string")
+    rows = sampling.sample_and_mask(df, "Visitor", 10, "s", ["VisitorId"]).collect()
+    assert rows[0]["VisitorId"] == "1" and rows[0]["SName"].startswith("[MASKED:")
     assert rows[0]["free"].startswith("[MASKED:")
-    assert sampling.sample_and_mask(df, "Student", 1, "s", ["StudentId"]).first()["free"] == "x"
-    index = sampling.sample_index(df, "Student", 10, ["StudentId"]).first()
+    assert sampling.sample_and_mask(df, "Visitor", 1, "s", ["VisitorId"]).first()["free"] == "x"
+    index = sampling.sample_index(df, "Visitor", 10, ["VisitorId"]).first()
     assert (index["returned_rows"], index["status"], index["masked_sensitive_column_count"]) == (2, "SAMPLED", 2)
 
 
@@ -219,11 +218,11 @@ def test_sample_order_and_plan(frame):
                     ("dbo", "C", "TABLE"), ("dbo", "V", "view"), ("dbo", "P", "PROC"))
     sizes = frame("schema_name string, object_name string, row_count bigint", ("dbo", "A", 2_000_000))
     from lakescribe.policy import Policy
-    plan = {r["object_name"]: r for r in sampling.sample_plan(objects, sizes, ordering, Policy.safe()).collect()}
+    plan = {r["object_name"]: r for r in sampling.sample_plan(objects, sizes, ordering, Policy(profile_row_limit=1_000_000)).collect()}
     assert plan["A"]["status"] == "READY" and plan["C"]["ordering_strategy"] == "UNORDERED_TOP"
     assert plan["V"]["eligibility_reason"] == "VIEW_ELIGIBILITY_EVIDENCE_NOT_PROVIDED"
     assert plan["P"]["status"] == "SKIPPED_UNSUPPORTED_OBJECT_TYPE"
-    strict = Policy.safe().with_limits(sample_large_tables=False)
+    strict = Policy(profile_row_limit=1_000_000, sample_large_tables=False)
     denied = {r["object_name"]: r["status"] for r in sampling.sample_plan(objects, sizes, ordering, strict).collect()}
     assert denied["A"] == "SKIPPED_LARGE_TABLE_SAMPLING_DISABLED"
 

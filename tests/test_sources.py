@@ -37,7 +37,7 @@ def test_manifests(spark, tmp_path):
     write("r4", stages=done)
     write("r5")
     (tmp_path / "db" / "r5" / "manifest.json").write_text('{"run_id": "r5", "database": "Db"}')
-    found = {r["run_id"]: r for r in readers.list_snapshots(spark, str(tmp_path / "*" / "*" / "manifest.json")).collect()}
+    found = {r["run_id"]: r for r in readers.list_snapshots(spark, str(tmp_path / "*" / "*" / "manifest.json"), 20).collect()}
     assert {k: r["status"] for k, r in found.items()} == {
         "r1": "COMPLETED", "r2": "COMPLETED_WITH_WARNINGS", "r3": "FAILED", "r4": "PARTIAL", "r5": "PARTIAL"}
     assert (found["r1"]["mode"], found["r1"]["completion_coverage"]) == ("safe", "2/2")
@@ -49,6 +49,9 @@ def test_metrics(spark):
     df = spark.createDataFrame([(1, '{"a": 1, "b": {"c": "x", "d": {"e": null}}, "l": [1]}'), (2, "not json"), (3, None)], "id int, j string")
     found = {(r["id"], r["metric"]): r["value"] for r in readers.flatten_metrics(df, "j", ["id"]).collect()}
     assert found == {(1, "a"): "1", (1, "b.c"): "x", (1, "b.d.e"): None}
+    deep = '{"a":{"b":{"c":{"d":{"e":{"f":1,"t":"{not json}"}}}}},"s":"[x]","n":null,"l":[{"k":1}],"o":{}}'
+    rows = {r["metric"]: r["value"] for r in readers.flatten_metrics(spark.createDataFrame([(deep,)], "j string"), "j").collect()}
+    assert rows == {"a.b.c.d.e.f": "1", "a.b.c.d.e.t": "{not json}", "s": "[x]", "n": None}
 
 
 def test_jdbc_takes_one_select_only():
@@ -102,9 +105,9 @@ def test_secrets_in_files(spark, tmp_path):
 
 
 def test_export(spark, tmp_path):
-    from lakescribe.operators.compare import compare
+    from lakescribe.operators.compare import CompareSpec, compare
     a = spark.createDataFrame([("k", 'say "hi"')], "k string, v string")
-    readers.export_comparison(compare([a, a], ["k"], ["v"]), ["k"], str(tmp_path / "x"))
+    readers.export_comparison(compare([a, a], ["k"], ["v"]), CompareSpec(("k",), ("v",)), str(tmp_path / "x"))
     row = readers.read_snapshot(spark, str(tmp_path / "x" / "csv"))[0].first()
     assert json.loads(row["runs"]) == {"v_a": 'say "hi"', "v_b": 'say "hi"'}
     assert spark.read.json(str(tmp_path / "x" / "json")).first()["status"] == "UNCHANGED"
@@ -115,7 +118,7 @@ def test_browse(spark):
     page = browse.browse_rows(df, "NAME 1", sort="name", page=2, per_page=4, tiebreak=("id",)).collect()
     assert [r["id"] for r in page] == [13, 16, 19, 22]
     assert browse.browse_total(df, "name 1").first()["total"] == 10
-    assert browse.page_of(0, 1000) == (0, 200)
+    assert browse.page_of(0, 1000) == (0, 1000)
     lines = spark.createDataFrame([(1, "one\r\nTwo\n\nfour two\n")], "id int, t string")
     assert [tuple(r) for r in browse.search_lines(lines, "id", "t", "TWO").collect()] == [(1, 2, "Two"), (1, 4, "four two")]
     assert browse.text_lines(lines, "id", "t").count() == 4
@@ -139,7 +142,7 @@ def test_discovery(spark):
     orphans = found["orphan_analysis"].where("source_table = 'visits'").first()
     assert (orphans["target_table"], orphans["null_source_values"]) == ("people", 15) and orphans["orphan_rows"] > 0
     assert found["risks"].where("category = 'Relationships'").count() == 2
-    limited = discover(ws, "salt", Policy(profile_row_limit=50, relationship_row_limit=50))
+    limited = discover(ws, "salt", Policy(), skip=["visits"])
     status = {r["table_name"]: r["profile_status"] for r in limited["column_profiles"].collect()}
     assert status == {"people": "PROFILED", "visits": "SKIPPED_FOR_SAFETY_LARGE_TABLE"}
     drawn = samples(ws, "salt", Policy(sample_rows=3), {"people": ["person_id"]})
