@@ -303,6 +303,23 @@ def flatten_deep_metrics(spark, sf):
     return readers.flatten_metrics(orders, "document", ["o_orderkey"])
 
 
+_TEXT_RUN = "SELECT o_orderkey, concat_ws(chr(10), 'SELECT x', {0}, 'FROM t', {1}) AS body, o_orderstatus AS mark FROM orders"
+_TEXT_LINES = (("'a'", "'a'"), ("CASE WHEN o_orderkey % 3 = 0 THEN 'b' ELSE 'a' END", "CASE WHEN o_orderkey % 5 = 0 THEN 'FROM t' ELSE 'a' END"))
+
+
+@registry.add(
+    f"""WITH runs AS (SELECT 1 AS side, * FROM ({_TEXT_RUN.format(*_TEXT_LINES[1])}) UNION ALL SELECT -1, * FROM ({_TEXT_RUN.format(*_TEXT_LINES[0])})),
+lines AS (SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, side, unnest(string_split(body, chr(10))) AS line FROM runs)
+SELECT o_orderkey, 'a_to_b' AS interval, line, CAST(greatest(-sum(side), 0) AS BIGINT) AS removed, CAST(greatest(sum(side), 0) AS BIGINT) AS added
+FROM lines GROUP BY o_orderkey, line HAVING sum(side) <> 0"""
+)
+def definition_changes(spark, sf):
+    orders = table(spark, sf, "orders")
+    runs = [spark.sql(_TEXT_RUN.format(*x).replace("FROM orders", "FROM {orders}"), orders=orders) for x in _TEXT_LINES]
+    compared = comparing.compare(runs, ["o_orderkey"], ["mark"], definition="body")
+    return comparing.definition_changes(compared, ["o_orderkey"], "body")
+
+
 PHONES = comparing.CompareSpec(("o_orderkey",), ("phone_number", "grade"), ("cents",))
 _PHONE_RUN = (
     "SELECT o_orderkey, concat('+', o_custkey) AS phone_number, {0} AS grade, CAST(o_custkey + {1} AS BIGINT) AS cents FROM orders"

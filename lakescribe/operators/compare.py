@@ -206,6 +206,32 @@ def definition_diffs(compared: DataFrame, definition: str) -> DataFrame:
     return out
 
 
+def definition_changes(compared: DataFrame, keys: Sequence[str], definition: str) -> DataFrame:
+    """(keys, interval, line, removed, added): how often each line went or came, per interval.
+
+    Only rows whose texts differ are spread into lines. Lines are counted in the map tasks first; a
+    line that only moved within its text is neither removed nor added.
+    """
+    labels = [x for x in ("a", "b", "c") if f"{definition}_{x}" in compared.columns]
+    pairs = []
+    for name, left, right in INTERVALS:
+        if right in labels:
+            old, new = (F.coalesce(f"{definition}_{x}", F.lit("")) for x in (left, right))
+            pair = F.struct(F.lit(name).alias("interval"), old.alias("old"), new.alias("new"))
+            pairs.append(F.when(old != new, pair))
+    differing = compared.select(*keys, F.explode(F.array_compact(F.array(*pairs))).alias("pair"))
+    lines = lambda side, change: F.transform(
+        F.filter(F.split(F.col(f"pair.{side}"), r"\r?\n"), lambda x: F.col(f"pair.{side}") != ""),
+        lambda x: F.struct(x.alias("line"), F.lit(change).alias("change")),
+    )
+    spread = differing.select(*keys, "pair.interval", F.inline(F.concat(lines("old", -1), lines("new", 1))))
+    net = spread.groupBy(*keys, "interval", "line").agg(F.sum("change").alias("net")).where("net <> 0")
+    return net.select(
+        *keys, "interval", "line", F.greatest(-F.col("net"), F.lit(0)).cast("long").alias("removed"),
+        F.greatest(F.col("net"), F.lit(0)).cast("long").alias("added"),
+    )
+
+
 def _unified_diff(before: str, after: str):
     @F.pandas_udf("string")
     def diff(old: pd.Series, new: pd.Series) -> pd.Series:

@@ -56,16 +56,27 @@ def distinct_counts(
     counted = []
     for kind, keys in groups.items():
         distinct = _long_form(keys, df).where(F.col("value").isNotNull()).distinct()
-        measures = [F.count(F.lit(1)).alias("distinct_count")]
-        if extrema:
-            text = F.lit(None).cast("string")
-            if kind != "string":
-                text = text_form(F.col("value"), distinct.schema["value"].dataType)
-            measures += [F.min(text).alias("lowest"), F.max(text).alias("highest")]
-        counted.append(distinct.groupBy("position").agg(*measures))
+        if extrema and kind != "string":
+            # without a grouping, extrema of text need no sort of the distinct values
+            text = text_form(F.col("value"), distinct.schema["value"].dataType)
+            rows = [_extremes_of(position, text) for position, _ in keys]
+            counted.append(distinct.agg(F.array(*rows).alias("rows")).select(F.inline("rows")).where("distinct_count > 0"))
+            continue
+        none = F.lit(None).cast("string")
+        extremes = [none.alias("lowest"), none.alias("highest")] if extrema else []
+        counts = distinct.groupBy("position").agg(F.count(F.lit(1)).alias("distinct_count"))
+        counted.append(counts.select("position", "distinct_count", *extremes))
     return reduce(DataFrame.unionAll, counted)
 
 
+def _extremes_of(position: int, text: Column) -> Column:
+    own = F.col("position") == position
+    return F.struct(
+        F.lit(position).alias("position"), F.count_if(own).alias("distinct_count"),
+        F.min(F.when(own, text)).alias("lowest"), F.max(F.when(own, text)).alias("highest"),
+    )
+
+
 def value_frequencies(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """(column_name, value, value_count), NULL being a value of its own."""
     columns = list(columns) if columns is not None else profiled_columns(df)
