@@ -14,6 +14,7 @@ from lakescribe.llm.line_templates import line_dedup
 from lakescribe.llm.packing import pack
 from lakescribe.llm.pii import find_personal_data, masked
 from lakescribe.llm.quality import quality_filter
+from lakescribe.llm.shipping import ship_package
 from lakescribe.sources.shared import materialize
 
 
@@ -71,6 +72,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages applied to documents, one after another."""
+    ship_package(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

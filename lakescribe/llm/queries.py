@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from importlib import import_module
 
+from .shipping import shipping
+
 MODULES = (
     "substring_query", "quality_query", "jaccard_query", "chat_query", "pii_query", "piece_query",
     "language_query", "line_query", "packing_query", "embedding_query",
@@ -11,7 +13,7 @@ MODULES = (
 
 
 def queries() -> dict:
-    return {k: f for m in MODULES for k, f in import_module(f"{__package__}.{m}").QUERIES.items()}
+    return {k: shipping(f) for m in MODULES for k, f in import_module(f"{__package__}.{m}").QUERIES.items()}
 
 
 def oracle_sql() -> dict:
