@@ -7,13 +7,13 @@ these operators need no shuffle.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import fixed_values as fixed
 from ..functions.types import of_tables
+from ..sources.shared import materialize
 from ..functions.text import (
     holds_any, may_hold_secret, redact_text, searched, secrets_replaced,
 )
@@ -215,71 +215,64 @@ def _aliases(statements: DataFrame, columns: DataFrame, text_column: str) -> Dat
     )
 
 
+QUALIFIED = rf"({fixed.NAME_PART})\s*\.\s*({fixed.NAME_PART})"
+
+
+def _use(before: Column, around: Column, word: Column) -> Column:
+    """What the surroundings of a name do with it."""
+    quoted = F.concat(F.lit(r"\Q"), word, F.lit(r"\E"))
+    arithmetic = F.concat(F.lit("(?i)"), quoted, F.lit(r"\s*[+*/-]|[+*/-]\s*"), quoted)
+    return (
+        F.when(before.rlike(r"(?i)\b(?:SUM|AVG|MIN|MAX|COUNT)\s*\([^)]*$"), "AGGREGATED")
+        .when(around.rlike(r"(?i)\bCASE\b"), "CONDITIONAL")
+        .when(F.regexp_like(around, arithmetic), "DERIVED").otherwise("DIRECT")
+    )
+
+
 def _qualified_names(statements: DataFrame, text_column: str) -> DataFrame:
     """Every ``qualifier.column`` of each statement with what its surroundings do with it.
 
-    Surroundings overlap, which a single regular expression cannot return: Python reads them in
-    Arrow batches, one statement at a time, for qualifiers that stand after FROM or JOIN only.
+    Matches and the texts between them alternate, so places are running sums of lengths. Only
+    qualifiers that stand after FROM or JOIN are looked at further.
     """
-    part, reach = fixed.NAME_PART, CONTEXT
-
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import re
-
-        name = re.compile(rf"({part})\s*\.\s*({part})")
-        aggregate = re.compile(r"\b(?:SUM|AVG|MIN|MAX|COUNT)\s*\([^)]*$", re.I)
-        condition = re.compile(r"\bCASE\b", re.I)
-
-        def in_arithmetic(word: str, around: str) -> bool:
-            word, around = word.lower(), around.lower()
-            at = around.find(word)
-            while at >= 0:
-                follows = around[at + len(word) :].lstrip()[:1]
-                leads = around[:at].rstrip()[-1:]
-                if (follows and follows in "+*/-") or (leads and leads in "+*/-"):
-                    return True
-                at = around.find(word, at + 1)
-            return False
-
-        def kind(text: str, start: int, end: int) -> str:
-            before = text[max(0, start - reach) : start]
-            around = text[max(0, start - reach) : end + reach]
-            if aggregate.search(before):
-                return "AGGREGATED"
-            if condition.search(around):
-                return "CONDITIONAL"
-            return "DERIVED" if in_arithmetic(text[start:end], around) else "DIRECT"
-
-        def uses(statement, text: str, known: set[str]):
-            for match in name.finditer(text):
-                qualifier = match.group(1).strip("[]").lower()
-                if qualifier in known:
-                    column = match.group(2).strip("[]")
-                    yield statement, match.start(), qualifier, column, kind(text, *match.span())
-
-        for batch in batches:
-            rows = [
-                row
-                for statement, text, known in batch.itertuples(index=False, name=None)
-                for row in uses(statement, text, set(known))
-            ]
-            yield pd.DataFrame(
-                rows, columns=["statement_id", "position", "qualifier", "column", "lineage_type"]
-            )
-
-    id_type = statements.schema["statement_id"].dataType.simpleString()
-    schema = (
-        f"statement_id {id_type}, position int, qualifier string, column string, lineage_type string"
-    )
     text = F.col(text_column)
     names, aliases = (F.regexp_extract_all(text, F.lit(ALIAS_PATTERN), F.lit(i)) for i in (1, 2))
-    qualifiers = F.concat(
+    known = F.concat(
         F.transform(names, lambda n: F.lower(F.element_at(_parts(n), -1))),
         F.transform(aliases, lambda a: F.lower(F.btrim(a, F.lit("[]")))),
     )
-    return statements.select("statement_id", text_column, qualifiers.alias("qualifiers")).where(
-        F.size("qualifiers") > 0
-    ).mapInPandas(read, schema)
+    found = F.arrays_zip(*[
+        F.regexp_extract_all(text, F.lit(QUALIFIED), F.lit(i)).alias(name)
+        for i, name in enumerate(("word", "qualifier", "column"))
+    ], F.split(text, QUALIFIED, -1).alias("gap"))
+    staged = statements.where(text.contains(".")).withColumns({"__known": known, "__found": found})
+    lengths = F.transform("__found", lambda x: F.length(x["gap"]) + F.coalesce(F.length(x["word"]), F.lit(0)))
+    # the end of each match: sums over the matches before it, in one pass over the array
+    ends = F.aggregate(
+        lengths, F.array().cast("array<int>"),
+        lambda a, n: F.concat(a, F.array(F.coalesce(F.get(a, F.size(a) - 1), F.lit(0)) + n)),
+    )
+    staged = staged.withColumn("__ends", ends)
+    placed = F.transform(
+        "__found", lambda x, i: F.struct(
+            (F.get("__ends", i) - F.length(x["word"])).alias("position"), F.get("__ends", i).alias("end"), x["word"].alias("word"),
+            F.lower(F.btrim(x["qualifier"], F.lit("[]"))).alias("qualifier"), F.btrim(x["column"], F.lit("[]")).alias("column"),
+        ),
+    )
+    wanted = F.filter(placed, lambda x: x["word"].isNotNull() & F.array_contains("__known", x["qualifier"]))
+    each = staged.select(
+        "statement_id", *SOURCE_FIELDS, text_column, F.explode(wanted).alias("use")
+    )
+    begin = F.greatest(F.col("use.position") - CONTEXT, F.lit(0))
+    before = F.substring(text, begin + 1, F.col("use.position") - begin)
+    around = F.substring(text, begin + 1, F.col("use.end") + CONTEXT - begin)
+    return each.select(
+        "statement_id", *SOURCE_FIELDS, "use.position", "use.qualifier", "use.column",
+        _use(before, around, F.col("use.word")).alias("lineage_type"),
+    )
+
+
+SOURCE_FIELDS = ("source_schema", "source_object", "source_type")
 
 
 def column_references(
@@ -295,7 +288,12 @@ def column_references(
         identity = F.col(statement_id)
     else:
         identity = F.sha2(F.concat_ws("\x00", "schema_name", "object_name", text_column), 256)
-    numbered = statements.where(F.col(text_column) != "").withColumn("statement_id", identity)
+    kind = F.col("source_type") if "source_type" in statements.columns else F.lit("STATEMENT")
+    numbered = statements.where(F.col(text_column) != "").select(
+        identity.alias("statement_id"), F.col("schema_name").alias("source_schema"),
+        F.col("object_name").alias("source_object"), kind.alias("source_type"), text_column,
+    )
+    numbered = materialize(numbered, "statements")  # names and aliases read it; its redaction runs once
     columns = of_tables(columns)
     known = columns.select(
         "schema_name", "object_name", F.lower("column_name").alias("column_key")
@@ -304,17 +302,11 @@ def column_references(
     unique = (
         names.join(_aliases(numbered, columns, text_column), ["statement_id", "qualifier"])
         .join(known, ["schema_name", "object_name", "column_key"], "left_semi")
-        .groupBy("statement_id", "schema_name", "object_name", "column_key", "lineage_type")
+        .groupBy("statement_id", *SOURCE_FIELDS, "schema_name", "object_name", "column_key", "lineage_type")
         .agg(F.max(F.struct("position", "column")).getField("column").alias("target_column"))
     )
-    kind = F.col("source_type") if "source_type" in statements.columns else F.lit("STATEMENT")
-    sources = numbered.select(
-        "statement_id", F.col("schema_name").alias("source_schema"),
-        F.col("object_name").alias("source_object"), kind.alias("source_type"),
-    ).distinct()
-    return unique.join(sources, "statement_id").select(
-        "source_schema", "source_object", "source_type",
-        F.col("schema_name").alias("target_schema"), F.col("object_name").alias("target_object"),
+    return unique.select(
+        *SOURCE_FIELDS, F.col("schema_name").alias("target_schema"), F.col("object_name").alias("target_object"),
         "target_column", "lineage_type",
         F.lit("STATIC_ALIAS_QUALIFIED_COLUMN_REFERENCE").alias("evidence"),
     )
