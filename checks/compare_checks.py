@@ -489,3 +489,17 @@ def export_comparison(spark, sf):
     exported = readers.export_rows(three_runs(spark, sf), THREE_SPEC)
     return exported.select("status", "identity", "timeline_events", "intervals")
 
+
+
+@registry.add(
+    "SELECT CAST(doc_id % 8 AS VARCHAR) AS file_name, sha256(string_agg(to_base64(encode(coalesce(text, ''))) || chr(10), '' ORDER BY doc_id)) AS sha256 FROM documents GROUP BY 1"
+)
+def inventory_of_written_texts(spark, sf):
+    """Texts written as files, one line a document; their hashes are those of the lines."""
+    folder = fresh_folder(spark, "texts")
+    line = F.base64(F.encode(F.coalesce("text", F.lit("")), "utf-8"))
+    documents = table(spark, sf, "documents").select(
+        (F.col("doc_id") % 8).alias("part"), "doc_id", F.regexp_replace(line, "\\s", "").alias("value"))
+    documents.repartition(8, "part").sortWithinPartitions("part", "doc_id").select("part", "value").write.partitionBy("part").text(folder)
+    found = readers.file_inventory(spark, folder).where(F.col("file_name").startswith("part-"))
+    return found.select(F.regexp_extract("path", "part=([0-9]+)/", 1).alias("file_name"), "sha256")

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from lakescribe.operators import browse, profile, quality, relations, sampling, structure
+from lakescribe.sources import workspace as sources
 from lakescribe.sources.workspace import Workspace, catalogue_columns, project_declared
 
 from .inputs import TABLES, Registry, derived, table, with_inputs
@@ -612,3 +613,48 @@ def infer_relationships_without_views(spark, sf):
         "data_type", "is_nullable", "is_identity", "is_computed")
     unique = part.select("schema_name", "object_name", "column_name", F.lit("PRIMARY_KEY").alias("unique_evidence"))
     return relations.infer_relationships(_some_views(spark, sf).unionByName(part), unique).select("source_object")
+
+
+@registry.add(
+    with_inputs(
+        "cat_primary_keys",
+        "SELECT schema_name, object_name, constraint_name, CAST(key_ordinal AS INTEGER) AS key_ordinal, column_name, CAST(NULL AS BOOLEAN) AS is_descending_key FROM cat_primary_keys",
+    )
+)
+def declared_primary_keys(spark, sf):
+    keys = derived(spark, sf, "cat_primary_keys")
+    return sources.declared_keys(keys, keys.limit(0))[0]
+
+
+@registry.add(
+    with_inputs(
+        "cat_foreign_keys",
+        "SELECT source_schema, source_object, constraint_name, CAST(NULL AS INTEGER) AS constraint_column_id, source_column, target_schema, target_object, target_column, "
+        "CAST(NULL AS VARCHAR) AS delete_action, CAST(NULL AS VARCHAR) AS update_action, is_disabled, is_not_trusted FROM cat_foreign_keys",
+    )
+)
+def declared_foreign_keys(spark, sf):
+    keys = derived(spark, sf, "cat_foreign_keys")
+    return sources.declared_keys(keys.limit(0), keys)[1]
+
+
+@registry.add(
+    with_inputs(
+        "cat_indexes",
+        "SELECT schema_name, object_name, index_id, index_name, CAST(NULL AS INTEGER) AS column_ordinal, column_name, key_ordinal, is_unique, is_included_column, has_filter, is_disabled FROM cat_indexes",
+    )
+)
+def unique_index_columns(spark, sf):
+    return sources.unique_index_columns(derived(spark, sf, "cat_indexes"))
+
+
+@registry.add(
+    with_inputs(
+        "cat_constraints",
+        "SELECT schema_name, object_name, constraint_name, kind AS constraint_type, CAST(NULL AS VARCHAR) AS column_name, CAST(NULL AS VARCHAR) AS definition, is_disabled, is_not_trusted "
+        "FROM cat_constraints, (VALUES ('CHECK'), ('KEY')) AS k(kind) WHERE kind = 'CHECK' OR is_disabled",
+    )
+)
+def constraint_catalogue(spark, sf):
+    rows = derived(spark, sf, "cat_constraints")
+    return sources.constraint_catalogue(rows, rows.limit(0), rows.where("is_disabled"))

@@ -8,23 +8,45 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..operators.compare import CompareSpec, delta_columns, run_columns
+from ..operators.statements import statement_safety
 from .workspace import project_declared
 
 
-def jdbc_options(url: str, query: str, properties: Mapping[str, str] | None = None) -> dict[str, str]:
-    """Reader options of one registered catalogue query; only a plain SELECT is accepted."""
+def jdbc_options(
+    url: str, query: str, properties: Mapping[str, str] | None = None,
+    partition: tuple[str, int, int, int] | None = None,
+) -> dict[str, str]:
+    """Reader options of one registered catalogue query; only a plain SELECT is accepted.
+
+    ``partition`` is (column, lower bound, upper bound, partitions): the query is then read by so
+    many tasks, each with a range of the column.
+    """
     first = query.lstrip().split(None, 1)[0].upper() if query.strip() else ""
     if first not in ("SELECT", "WITH") or ";" in query.rstrip().rstrip(";"):
         raise ValueError("a catalogue query must be one SELECT")
-    return {"url": url, "query": query.strip().rstrip(";"), **(properties or {})}
+    text = query.strip().rstrip(";")
+    if partition is None:
+        return {"url": url, "query": text, **(properties or {})}
+    column, lower, upper, count = partition
+    return {
+        "url": url, "dbtable": f"({text}) catalogue_rows", "partitionColumn": column, "lowerBound": str(lower),
+        "upperBound": str(upper), "numPartitions": str(count), **(properties or {}),
+    }
 
 
 def read_catalogue_jdbc(
-    spark: SparkSession, url: str, query: str, schema: str, properties: Mapping[str, str] | None = None
+    spark: SparkSession, url: str, query: str, schema: str, properties: Mapping[str, str] | None = None,
+    partition: tuple[str, int, int, int] | None = None,
 ) -> DataFrame:
-    """The result of a registered query under its declared columns."""
-    reader = spark.read.format("jdbc").options(**jdbc_options(url, query, properties))
-    return project_declared(reader.load(), schema)
+    """The result of a registered query under its declared columns.
+
+    The whole query is judged by the rules of :func:`statement_safety` before anything is sent.
+    """
+    options = jdbc_options(url, query, properties, partition)
+    judged = statement_safety(spark.createDataFrame([(query,)], "definition string")).first()
+    if not judged["is_read_only"]:
+        raise ValueError(f"a catalogue query must only read: {judged['reason']}")
+    return project_declared(spark.read.format("jdbc").options(**options).load(), schema)
 
 
 def _exists(spark: SparkSession, path: str) -> bool:

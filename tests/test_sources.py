@@ -54,9 +54,17 @@ def test_metrics(spark):
     assert rows == {"a.b.c.d.e.f": "1", "a.b.c.d.e.t": "{not json}", "s": "[x]", "n": None}
 
 
+def test_jdbc_sends_only_reads(spark):
+    with pytest.raises(ValueError, match="only read"):
+        readers.read_catalogue_jdbc(spark, "jdbc:none:none", "WITH x AS (SELECT 1 AS n) DELETE FROM x", "n int")
+
+
 def test_jdbc_takes_one_select_only():
     options = readers.jdbc_options("jdbc:x:y", " SELECT 1; ", {"user": "u"})
     assert options == {"url": "jdbc:x:y", "query": "SELECT 1", "user": "u"}
+    ranged = readers.jdbc_options("jdbc:x:y", "SELECT id FROM t", partition=("id", 0, 900, 9))
+    assert ranged == {"url": "jdbc:x:y", "dbtable": "(SELECT id FROM t) catalogue_rows", "partitionColumn": "id",
+                      "lowerBound": "0", "upperBound": "900", "numPartitions": "9"}
     for query in ("DELETE FROM t", "SELECT 1; DROP TABLE t", ""):
         with pytest.raises(ValueError):
             readers.jdbc_options("jdbc:x:y", query)
