@@ -503,3 +503,16 @@ def inventory_of_written_texts(spark, sf):
     documents.repartition(8, "part").sortWithinPartitions("part", "doc_id").select("part", "value").write.partitionBy("part").text(folder)
     found = readers.file_inventory(spark, folder).where(F.col("file_name").startswith("part-"))
     return found.select(F.regexp_extract("path", "part=([0-9]+)/", 1).alias("file_name"), "sha256")
+
+
+@registry.add(
+    "SELECT concat('été ', o_orderkey) AS name, 'UNCHANGED' AS status FROM orders WHERE o_orderkey % 2 = 0 "
+    "UNION ALL SELECT concat('plain ', o_orderkey), 'UNCHANGED' FROM orders WHERE o_orderkey % 2 = 1"
+)
+def compare_non_ascii_keys(spark, sf):
+    """Keys match in their compatibility form, whatever their case: ligatures and wide letters too."""
+    orders = table(spark, sf, "orders")
+    run = lambda odd, even: orders.select(
+        F.concat(F.when(F.col("o_orderkey") % 2 == 1, odd).otherwise(even), "o_orderkey").alias("name"), "o_orderstatus")
+    runs = [run("PLAIN ", " ÉTÉ "), run("\uff50lain ", "e\u0301te\u0301 ")]
+    return comparing.compare(runs, ["name"], ["o_orderstatus"]).select("name", "status")

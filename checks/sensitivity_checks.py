@@ -639,3 +639,16 @@ def publication_of_case_variants(spark, sf):
     done = masking.publication_policy(rows, classes, fields, "salt")
     raw = [F.when(F.col(f).startswith("[MASKED:"), 0).otherwise(1) for f in fields]
     return done.agg(F.count(F.lit(1)).alias("n"), F.sum(raw[0] + raw[1]).alias("raw_values"), F.sum("values_masked").alias("masked"))
+
+
+@registry.add(
+    "SELECT 'documents' AS table_name, CAST(25 AS BIGINT) AS sampled, CAST(25 AS BIGINT) AS returned_rows, CAST(5 AS BIGINT) AS reported, TRUE AS agree"
+)
+def sample_drawn_once(spark, sf):
+    """A sample without a key: rows, report and index describe the same draw."""
+    drawn = sampling.draw_sample(table(spark, sf, "documents"), "documents", 25, "salt")
+    report = drawn["report"].agg(
+        F.count(F.lit(1)).alias("reported"), F.count_if(F.col("category").isin(*fixed.SENSITIVE_CATEGORIES)).alias("sensitive"))
+    found = drawn["index"].join(report).join(drawn["sample"].agg(F.count(F.lit(1)).alias("sampled")))
+    return found.select(
+        "table_name", "sampled", "returned_rows", "reported", (F.col("sensitive") == F.col("masked_sensitive_column_count")).alias("agree"))

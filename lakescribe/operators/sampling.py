@@ -10,6 +10,7 @@ from ..functions import fixed_values as fixed
 from ..functions.text import contains_any, is_true, mask_value
 from ..functions.types import col_of
 from ..policy import Policy
+from ..sources.shared import materialize
 from .lineage import ALLOWED
 from .profile import known_row_estimate
 from .sensitivity import (
@@ -184,6 +185,23 @@ def sample_index(
     )
 
 
+def draw_sample(
+    df: DataFrame, table_name: str, rows: int, salt: str, key_columns: Sequence[str] = (),
+    rules: Sequence[OverrideRule] = (), strategy: str | None = None,
+) -> dict[str, DataFrame]:
+    """The masked ``sample``, its masking ``report`` and its ``index`` of one and the same draw.
+
+    Without a key two draws may differ, so the drawn rows (at most ``rows``) are written to the
+    shared folder, unmasked as they are read, and all three results are taken from them.
+    """
+    drawn = materialize(bounded_sample(df, rows, key_columns), "sample")
+    return {
+        "sample": sample_and_mask(drawn, table_name, rows, salt, key_columns, rules),
+        "report": masking_report(drawn, table_name, rows, key_columns, rules),
+        "index": sample_index(drawn, table_name, rows, key_columns, rules, strategy),
+    }
+
+
 def sample_failure_status(message: Column) -> Column:
     """What an error text says about a failed sample."""
     return (

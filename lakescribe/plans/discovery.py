@@ -112,8 +112,16 @@ def samples(
     rules: Sequence[sensitivity.OverrideRule] = (),
 ) -> dict[str, DataFrame]:
     """A masked sample of every table, ordered by its key where one is given."""
+    return {name: parts["sample"] for name, parts in drawn_samples(workspace, salt, policy, keys, rules).items()}
+
+
+def drawn_samples(
+    workspace: Workspace, salt: str, policy: Policy = Policy(), keys: dict[str, Sequence[str]] | None = None,
+    rules: Sequence[sensitivity.OverrideRule] = (),
+) -> dict[str, dict[str, DataFrame]]:
+    """For every table the masked sample, its report and its index, all from one draw."""
     return {
-        name: sampling.sample_and_mask(df, name, policy.sample_rows, salt, (keys or {}).get(name, ()), rules)
+        name: sampling.draw_sample(df, name, policy.sample_rows, salt, (keys or {}).get(name, ()), rules)
         for name, df in workspace.tables.items()
     }
 
