@@ -161,7 +161,7 @@ def line_dedup(
     each = outline.select("doc", "text_name", F.explode(F.arrays_zip("number", "leaf", "literal")).alias("l")).select(
         "doc", "text_name", "l.*")
     counted = (
-        each.groupBy("text_name", "leaf", "literal").agg(F.min("doc").alias("doc"), F.max("number").alias("number"))
+        each.groupBy("text_name", "leaf", "literal").agg(F.min("doc").alias("doc"))
         .groupBy("leaf", "literal").agg(F.count(F.lit(1)).alias("texts"), F.min("doc").alias("doc"))
     )
     counted = materialize(counted, "line-counts")
@@ -170,9 +170,11 @@ def line_dedup(
     wanted = counted.join(open_leaves, "leaf").groupBy("doc").agg(
         F.collect_list(F.struct("leaf", "literal", "texts", "total")).alias("wanted"))  # lines of one document
     examples = source.select("doc", "text_name", "text").join(wanted, "doc").select("text", "wanted")
-    found = materialize(_generalised(
-        examples.mapInArrow(_tokens(lead), "leaf long, literal long, texts long, total long, tokens array<long>")
-        .dropDuplicates(["leaf", "literal"]), least_texts, least_share, least_fixed), "templates")
+    tokens = materialize(
+        examples.mapInArrow(_tokens(lead), "leaf long, literal long, texts long, total long, tokens array<long>"), "tokens")
+    # rows that share an id can both have the line that is wanted
+    tokens = tokens.dropDuplicates(["leaf", "literal"])
+    found = materialize(_generalised(tokens, least_texts, least_share, least_fixed), "templates")
 
     # a line's template is the generalised one where that recurs, else the line itself
     own = counted.join(found, ["leaf", "literal"], "left").where(F.col("template").isNotNull() | (F.col("texts") >= least_texts))
