@@ -409,7 +409,7 @@ def external_references(spark, sf):
         ("statements", "dependencies", "synonyms"), _STATEMENT_REFS,
         """, views AS (SELECT * FROM flags WHERE statement_id % 17 <> 0),
 away AS (SELECT DISTINCT lower(schema_name) AS s, lower(object_name) AS o FROM (SELECT *, list_filter(list_transform(string_split(base_object_name, '.'), lambda p: trim(trim(p), '[]')), lambda p: p <> '') AS parts FROM synonyms)
-  WHERE len(parts) >= 4 OR (len(parts) = 3 AND lower(parts[1]) <> 'school')),
+  WHERE len(parts) >= 4 OR (len(parts) = 3 AND lower(parts[1]) <> 'shop')),
 both_refs AS (SELECT source_schema, source_object, target_server, target_database, target_schema, target_object, is_ambiguous, true AS catalogued, referenced_id FROM dependencies
   UNION ALL SELECT source_schema, source_object, target_server, target_database, target_schema, target_object, 0, false, '' FROM refs),
 reasons AS (SELECT schema_name, object_name, 'VIEW_DEFINITION_UNAVAILABLE_OR_ENCRYPTED' AS reason FROM views WHERE NOT definition_available
@@ -417,9 +417,9 @@ reasons AS (SELECT schema_name, object_name, 'VIEW_DEFINITION_UNAVAILABLE_OR_ENC
   UNION SELECT schema_name, object_name, 'EXTERNAL_QUERY_PRIMITIVE_OPENQUERY' FROM views WHERE regexp_matches(definition_sanitized, '(?i)\\bOPENQUERY\\s*\\(')
   UNION SELECT schema_name, object_name, 'VIEW_METADATA_UNAVAILABLE' FROM statements WHERE statement_id % 17 = 0
   UNION SELECT source_schema, source_object, 'LINKED_SERVER_DEPENDENCY' FROM both_refs WHERE target_server <> ''
-  UNION SELECT source_schema, source_object, 'CROSS_DATABASE_DEPENDENCY' FROM both_refs WHERE target_database <> '' AND lower(target_database) <> 'school'
+  UNION SELECT source_schema, source_object, 'CROSS_DATABASE_DEPENDENCY' FROM both_refs WHERE target_database <> '' AND lower(target_database) <> 'shop'
   UNION SELECT source_schema, source_object, 'AMBIGUOUS_OR_OPAQUE_DEPENDENCY' FROM both_refs WHERE is_ambiguous = 1
-  UNION SELECT source_schema, source_object, 'UNRESOLVED_CATALOG_DEPENDENCY' FROM both_refs WHERE catalogued AND referenced_id = '' AND NOT lower(target_database) = 'school'
+  UNION SELECT source_schema, source_object, 'UNRESOLVED_CATALOG_DEPENDENCY' FROM both_refs WHERE catalogued AND referenced_id = '' AND NOT lower(target_database) = 'shop'
   UNION SELECT source_schema, source_object, 'EXTERNAL_SYNONYM_DEPENDENCY' FROM both_refs b WHERE EXISTS (SELECT 1 FROM away WHERE o = lower(target_object) AND (s = lower(target_schema) OR target_schema = ''))),
 listed AS (SELECT lower(schema_name) AS s, lower(object_name) AS o, string_agg(reason, ';' ORDER BY reason) AS reasons FROM reasons GROUP BY 1, 2)
 SELECT schema_name, object_name, CASE WHEN reasons IS NULL THEN 'ELIGIBLE_LOCAL_ONLY_VIEW' ELSE 'SKIPPED_EXTERNAL_OR_OPAQUE_VIEW_DEPENDENCY' END AS status, coalesce(reasons, '') AS eligibility_reason
