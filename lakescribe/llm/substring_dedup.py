@@ -190,10 +190,8 @@ def substring_dedup(
     suspects = materialize(source.join(hints, "doc"), "suspects")
 
     columns = ["doc", "text", "symbols"]
-    windows = materialize(
-        suspects.select(columns).mapInArrow(_windows(size, rounds), "one long, two long, doc long, place long"),
-        "windows",
-    )
+    # read twice rather than written: the names of all windows would be the largest table here
+    windows = suspects.select(columns).mapInArrow(_windows(size, rounds), "one long, two long, doc long, place long")
     earliest = windows.groupBy("one", "two").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     later = (
         windows.join(earliest.drop("n"), ["one", "two"]).where("doc > first")
