@@ -6,6 +6,8 @@ executors and cuts the lineage, which caching does not.
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,11 +16,17 @@ SETTING = "spark.checkpoint.dir"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by the session. Without one there is no place that all machines share."""
+    """The folder named by the session.
+
+    Without one only a session of a single process, as in tests, has a folder that all its tasks
+    share: a temporary one. On a cluster the setting is required.
+    """
     folder = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING)
-    if not folder:
+    if folder:
+        return folder.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
         raise ValueError(f"set {SETTING} to a folder that the driver and all executors share")
-    return folder.rstrip("/")
+    return f"{tempfile.gettempdir()}/lakescribe"
 
 
 def fresh_folder(spark: SparkSession, label: str = "run") -> str:
