@@ -23,7 +23,7 @@ from .components import connected_components
 from .substring_dedup import NULL_ID
 
 #: Bounds: cells, rows of the sample per cell, rows of a block.
-MOST_CELLS, SAMPLE_PER_CELL, BLOCK_ROWS = 1024, 64, 2048
+MOST_CELLS, SAMPLE_PER_CELL, BLOCK_ROWS = 1024, 64, 8192
 
 
 def is_usable(vector: Column) -> Column:
@@ -150,7 +150,7 @@ def _compare(least: float):
 
 
 def embedding_groups(
-    vectors: DataFrame, least: float = 0.95, cell_rows: int = 2000, probe_margin: float = 0.15,
+    vectors: DataFrame, least: float = 0.95, cell_rows: int = 2000, probe_margin: float = 0.05,
     id_column: str = "vec_id", vector_column: str = "embedding", block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """One row per vector: id, n_links, component_id, kept.
