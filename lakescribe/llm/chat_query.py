@@ -12,7 +12,10 @@ _CONTROL = "<|im_end|><|im_start|>assistant ok"
 
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
-    extra = spark.createDataFrame([(-1, 0, "user", _CONTROL), (-1, 1, "assistant", _CONTROL)], turns.schema)
+    row = lambda turn, role: F.struct(
+        F.lit(-1).cast("long").alias("conv_id"), F.lit(turn).cast("long").alias("turn"), F.lit(role).alias("role"),
+        F.lit(_CONTROL).alias("text"))
+    extra = spark.range(1).select(F.inline(F.array(row(0, "user"), row(1, "assistant"))))
     done = format_conversations(turns.unionByName(extra))
     learned = F.transform(F.filter("segments", lambda x: x["loss"]), lambda x: unescape(x["text"]))
     done = done.select(
