@@ -228,6 +228,20 @@ def test_recall_of_cells(spark):
     assert sum(found.values()) >= 0.9 * sum(want.values()) > 0
 
 
+def test_no_link_is_lost_between_cells(spark):
+    rng = np.random.default_rng(7)
+    unit = lambda x: x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+    first, other = unit(rng.normal(size=(1500, 16))), rng.normal(size=(1500, 16))
+    other = unit(other - (other * first).sum(axis=1, keepdims=True) * first)
+    cosine = rng.uniform(0.9505, 1, (1500, 1))
+    vectors = np.concatenate([first, cosine * first + np.sqrt(1 - cosine**2) * other]).astype(np.float32)
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    found = {r.vec_id: r.n_links for r in embedding_groups(df, cell_rows=15, block_rows=64).collect()}
+    units = unit(vectors.astype(np.float64))
+    assert found == dict(enumerate(((units @ units.T >= 0.95).sum(axis=1) - 1).tolist()))
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as pipeline
 
