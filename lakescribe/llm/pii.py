@@ -87,12 +87,23 @@ def _written(spans: Column) -> Column:
     return F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["begin"], s["end"]))
 
 
+def _words(text: Column) -> Column:
+    return F.filter(F.split(text, r"\s+", -1), lambda x: x != "")
+
+
+def _words_before(text: Column, at: Column, window: int = 200) -> Column:
+    """The two last whole words before a place, in an array; empty if there are fewer."""
+    near = _words(F.substring(text, F.greatest(at - window + 1, F.lit(1)).cast("int"), F.least(at, F.lit(window)).cast("int")))
+    # the first word of a window can be cut; with fewer than three the whole text in front is read
+    whole = (at <= window) | (F.size(near) >= 3)
+    return F.slice(F.when(whole, near).otherwise(_words(F.substring(text, F.lit(1), at.cast("int")))), -2, 2)
+
+
 def _tokens(text: Column) -> Column:
-    """Tokens with a digit as (begin, end, value, before); before: up to 80 characters in front."""
+    """Tokens with a digit as (begin, end, value, before); before: the two words in front."""
     spans = _spans(text, TOKEN, "context")
     return F.transform(spans, lambda s: F.struct(
-        s["begin"].alias("begin"), s["end"].alias("end"), s["value"].alias("value"),
-        F.substring(text, F.greatest(s["begin"] - 79, F.lit(1)).cast("int"), F.least(s["begin"], F.lit(80)).cast("int")).alias("before"),
+        s["begin"].alias("begin"), s["end"].alias("end"), s["value"].alias("value"), _words_before(text, s["begin"]).alias("before"),
     ))
 
 
@@ -108,8 +119,8 @@ def _edges(tokens: DataFrame, least_length: int, least_digits: int) -> DataFrame
     lead = F.length(F.regexp_extract(value, r"^\p{Punct}*", 0))
     core = F.regexp_replace(value, r"^\p{Punct}+|\p{Punct}+$", "")
     pattern = F.when(is_keyed, F.regexp_extract("value", r"^[\p{Punct}]*([\p{L}_-]+[=:])", 1)).otherwise(
-        F.regexp_extract("before", r"(\S+\s+\S+)\s*$", 1))
-    pattern = F.regexp_replace(F.regexp_replace(F.lower(pattern), "[0-9]+", "9"), r"\s+", " ")
+        F.array_join("before", " "))
+    pattern = F.regexp_replace(F.lower(pattern), "[0-9]+", "9")
     begin = F.col("begin") + F.length("value") - F.length(value) + lead
     return tokens.select(
         "doc", "text_name", begin.cast("long").alias("begin"), (begin + F.length(core)).cast("long").alias("end"),

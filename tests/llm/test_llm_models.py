@@ -69,6 +69,15 @@ def test_contexts_give_unseen_identifiers_away(spark):
     assert not done[41].more and not done[42].more and all(len(done[i].base) == 1 for i, _ in known)
 
 
+def test_contexts_are_whole_words(spark):
+    long = "https://host.example/" + "path/" * 60
+    known = [(i, f"{' ' * 3 * i}see {long} or {'x' * 90} {' ' * 90}user{i}{i}@mail.example and rest.") for i in range(12, 20)]
+    new = [(40, f"see {long} or {'x' * 90} AB-99812-X comes"), (41, f"see {long} and {'x' * 90} AB-99812-Y comes")]
+    done = {r.doc_id: r for r in find_personal_data(spark.createDataFrame([*known, *new], "doc_id long, text string")).collect()}
+    begin = new[0][1].index("AB-")
+    assert [tuple(s) for s in done[40].more] == [("context", begin, begin + 10)] and not done[41].more
+
+
 def test_masked(spark):
     df = spark.createDataFrame([("é a@b.cd x", [("email", 2, 8), ("card", 3, 5)])], "text string, s array<struct<kind:string,begin:long,end:long>>")
     assert df.select(masked(F.col("text"), F.col("s"))).first()[0] == "é [EMAIL] x"
