@@ -1,8 +1,8 @@
 """Personal data in texts: base patterns, and identifiers that bootstrapped contexts give away.
 
-Built-in functions only. Base kinds are found by patterns with a check of their digits. Base entities
-then seed lexical patterns: the words in front of an identifier-like token, or its key as in
-``name=``. Patterns and the identifiers they stand with form a graph that Spark scores in rounds;
+Built-in functions only. Base kinds are found by patterns with a check of their digits. Base entities,
+each as a whole, then seed lexical patterns: the words in front of one, or its key as in ``name=``.
+Candidates are tokens with a digit and runs of numbers with blanks between them. Patterns and the identifiers they stand with form a graph that Spark scores in rounds;
 identifiers that confident patterns introduce are added as spans of kind ``context``.
 """
 
@@ -20,8 +20,9 @@ IP = r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 KINDS = ("email", "ip", "card", "phone")
-#: A token that holds a digit; contexts are learned for such tokens.
+#: Candidates: a token that holds a digit; two and more tokens of digits and marks, as numbers are grouped.
 TOKEN = r"[^\s0-9]*+[0-9]\S*+"
+NUMBERS = r"(?<!\S)[(+]*+[0-9][0-9().+/-]*+(?:\x20++[(]*+[0-9][0-9().+/-]*+(?!\p{Punct}*+[^\s\p{Punct}]))++"
 
 
 def _spans(text: Column, pattern: str, kind: str, value_too: bool = False) -> Column:
@@ -99,34 +100,53 @@ def _words_before(text: Column, at: Column, window: int = 200) -> Column:
     return F.slice(F.when(whole, near).otherwise(_words(F.substring(text, F.lit(1), at.cast("int")))), -2, 2)
 
 
-def _tokens(text: Column) -> Column:
-    """Tokens with a digit as (begin, end, value, before); before: the two words in front."""
-    spans = _spans(text, TOKEN, "context")
+def _glued(text: Column, at: Column, window: int = 200) -> Column:
+    """What stands in front of a place without a blank between."""
+    last = lambda t: F.element_at(F.split(t, r"\s", -1), -1)
+    near = last(F.substring(text, F.greatest(at - window + 1, F.lit(1)).cast("int"), F.least(at, F.lit(window)).cast("int")))
+    return F.when(F.length(near) < window, near).otherwise(last(F.substring(text, F.lit(1), at.cast("int"))))
+
+
+def _candidates(text: Column) -> Column:
+    """Tokens with a digit and runs of numbers as (begin, end, value, glued, before)."""
+    spans = F.concat(_spans(text, TOKEN, "context"), _spans(text, NUMBERS, "context"))
     return F.transform(spans, lambda s: F.struct(
-        s["begin"].alias("begin"), s["end"].alias("end"), s["value"].alias("value"), _words_before(text, s["begin"]).alias("before"),
+        s["begin"].alias("begin"), s["end"].alias("end"), s["value"].alias("value"), F.lit("").alias("glued"),
+        _words_before(text, s["begin"]).alias("before"),
+    ))
+
+
+def _seeds(text: Column, base: Column) -> Column:
+    """Base spans, whole, as (begin, end, value, glued, before); before: the words in front of what is glued to it."""
+    glued = F.transform(base, lambda s: F.struct(s["begin"].alias("begin"), s["end"].alias("end"), s["value"].alias("value"),
+                                                 _glued(text, s["begin"]).alias("glued")))
+    return F.transform(glued, lambda s: F.struct(
+        s["begin"].alias("begin"), s["end"].alias("end"), s["value"].alias("value"), s["glued"].alias("glued"),
+        _words_before(text, s["begin"] - F.length(s["glued"])).alias("before"),
     ))
 
 
 def _edges(tokens: DataFrame, least_length: int, least_digits: int) -> DataFrame:
-    """(doc, text, begin, end, pattern, instance, seed) for each token that could be an identifier.
+    """(doc, text, begin, end, pattern, instance, seed) for each seed and each candidate that could be an identifier.
 
     The pattern of ``key=value`` and ``key:value`` is the key, else the two words in front; digits in
-    it count as 9. The instance is the value without punctuation around it.
+    it count as 9. The instance is the value without punctuation around it; a seed's is its whole span.
     """
     keyed = F.regexp_extract("value", r"^([\p{Punct}]*[\p{L}_-]+[=:])(.+)$", 2)
-    is_keyed = keyed != ""
+    is_keyed = ~F.col("seed") & (keyed != "")
     value = F.when(is_keyed, keyed).otherwise(F.col("value"))
-    lead = F.length(F.regexp_extract(value, r"^\p{Punct}*", 0))
-    core = F.regexp_replace(value, r"^\p{Punct}+|\p{Punct}+$", "")
-    pattern = F.when(is_keyed, F.regexp_extract("value", r"^[\p{Punct}]*([\p{L}_-]+[=:])", 1)).otherwise(
-        F.array_join("before", " "))
+    lead = F.when(F.col("seed"), 0).otherwise(F.length(F.regexp_extract(value, r"^\p{Punct}*", 0)))
+    core = F.when(F.col("seed"), value).otherwise(F.regexp_replace(value, r"^\p{Punct}+|\p{Punct}+$", ""))
+    key = F.when(F.col("seed"), F.regexp_extract("glued", r"^[\p{Punct}]*([\p{L}_-]+[=:])\p{Punct}*$", 1)).otherwise(
+        F.regexp_extract("value", r"^[\p{Punct}]*([\p{L}_-]+[=:]).+$", 1))
+    pattern = F.when(key != "", key).otherwise(F.array_join("before", " "))
     pattern = F.regexp_replace(F.lower(pattern), "[0-9]+", "9")
     begin = F.col("begin") + F.length("value") - F.length(value) + lead
+    digits = F.length(F.regexp_replace("instance", "[^0-9]+", ""))
     return tokens.select(
         "doc", "text_name", begin.cast("long").alias("begin"), (begin + F.length(core)).cast("long").alias("end"),
         pattern.alias("pattern"), core.alias("instance"), "seed",
-    ).where((F.col("pattern") != "") & (F.length("instance") >= least_length)
-            & (F.length(F.regexp_replace("instance", "[^0-9]+", "")) >= least_digits))
+    ).where((F.col("pattern") != "") & (F.col("seed") | ((F.length("instance") >= least_length) & (digits >= least_digits))))
 
 
 def learn_patterns(
@@ -169,14 +189,16 @@ def find_personal_data(
     df = docs.select(F.col(id_column).alias("doc"), text.alias("text"))
     df = df.select("doc", "text", F.xxhash64("text").alias("text_name"), *[
         spans.alias(kind) for kind, spans in base_spans(F.col("text")).items()])
-    df = df.withColumn("base", F.concat(*KINDS)).withColumn("_tokens", _tokens(F.col("text")))
+    df = df.withColumn("base", F.concat(*KINDS)).withColumn(
+        "_candidates", _candidates(F.col("text"))).withColumn("_seeds", _seeds(F.col("text"), F.col("base")))
     found = df.select(
         "doc", "text_name",
         F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), s["begin"].alias("begin"), s["end"].alias("end"))).alias("base"),
-        F.transform("_tokens", lambda t: F.struct(
-            t["begin"].alias("begin"), t["end"].alias("end"), t["value"].alias("value"), t["before"].alias("before"),
-            F.exists("base", lambda s: (s["begin"] < t["end"]) & (s["end"] > t["begin"])).alias("seed"),
-        )).alias("tokens"),
+        F.concat(
+            F.transform(F.filter("_candidates", lambda t: ~F.exists("base", lambda s: (s["begin"] < t["end"]) & (s["end"] > t["begin"]))),
+                        lambda t: t.withField("seed", F.lit(False))),
+            F.transform("_seeds", lambda t: t.withField("seed", F.lit(True))),
+        ).alias("tokens"),
     )
     found = materialize(found, "pii-found")
     tokens = found.select("doc", "text_name", F.explode("tokens").alias("t")).select("doc", "text_name", "t.*")
@@ -188,6 +210,9 @@ def find_personal_data(
         .groupBy("doc", "text_name").agg(F.array_sort(F.collect_set(F.struct(
             F.lit("context").alias("kind"), F.col("begin"), F.col("end")))).alias("more"))
     )
+    # a token within a run of numbers that is found too goes
+    more = more.withColumn("more", F.filter("more", lambda s: ~F.exists("more", lambda t: (
+        (t["begin"] <= s["begin"]) & (t["end"] >= s["end"]) & (t["end"] - t["begin"] > s["end"] - s["begin"])))))
     left, right = found.drop("tokens").alias("l"), more.alias("r")
     joined = left.join(right, F.col("l.doc").eqNullSafe(F.col("r.doc")) & (F.col("l.text_name") == F.col("r.text_name")), "left")
     return joined.select(

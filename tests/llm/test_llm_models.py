@@ -78,6 +78,21 @@ def test_contexts_are_whole_words(spark):
     assert [tuple(s) for s in done[40].more] == [("context", begin, begin + 10)] and not done[41].more
 
 
+def test_contexts_of_phones_cards_and_emails_without_digits(spark):
+    tails = ["ann@mail.example", "bob@mail.example", "cid@mail.example", "dan@mail.example"]
+    known = [(i, f"please call +1 (01{i}) 555-77{10 + i} today") for i in range(4)]
+    known += [(10 + i, f"paid with {c} today") for i, c in enumerate(["4111 1111 1111 1111", "5500 0055 5555 5559", "4012 8888 8888 1881"])]
+    known += [(20 + i, f"our contact: <{t}> today; phone:+1 (01{i}) 555-88{10 + i}") for i, t in enumerate(tails)]
+    new = {40: ("please call (017) 555-7713 now", "017) 555-7713"), 41: ("paid with 4111 1111 1111 1112 now", "4111 1111 1111 1112"),
+           42: ("our contact: AB-99812-X now", "AB-99812-X"), 43: ("a phone:555-7713 now", "555-7713")}
+    other = [(50, "please sing (017) 555-7713 now"), (51, "please call 12 34 abc 5")]
+    df = spark.createDataFrame([*known, *[(k, t) for k, (t, _) in new.items()], *other], "doc_id long, text string")
+    done = {r.doc_id: [tuple(s)[1:] for s in r.more] for r in find_personal_data(df).collect()}
+    for k, (text, want) in new.items():
+        assert [text[a:b] for a, b in done[k]] == [want], k
+    assert not done[50] and not done[51] and not any(done[k] for k, _ in known)
+
+
 def test_masked(spark):
     df = spark.createDataFrame([("é a@b.cd x", [("email", 2, 8), ("card", 3, 5)])], "text string, s array<struct<kind:string,begin:long,end:long>>")
     assert df.select(masked(F.col("text"), F.col("s"))).first()[0] == "é [EMAIL] x"
