@@ -9,7 +9,7 @@ from .shipping import shipping
 MODULES = (
     "substring_query", "quality_query", "jaccard_query", "chat_query", "pii_query", "piece_query",
     "language_query", "line_query", "packing_query", "embedding_query",
-    "byte_pair_query", "spelling_query",
+    "byte_pair_query", "spelling_query", "hard_negative_query",
 )
 
 
