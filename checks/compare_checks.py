@@ -183,7 +183,7 @@ def summarize_comparison(spark, sf):
 
 @registry.add()
 def definition_diffs(spark, sf):
-    """Unified diffs of the notes; Python's difflib has no SQL counterpart."""
+    """Unified diffs of the notes as they are; the two queries below check diffs in SQL."""
     runs = [derived(spark, sf, n).withColumn("note", F.concat_ws("\n", "note", "o_orderstatus")) for n in RUNS]
     compared = comparing.compare(runs, ["o_orderkey"], FIELDS, definition="note")
     return comparing.definition_diffs(compared, "note").select(
@@ -191,6 +191,49 @@ def definition_diffs(spark, sf):
     )
 
 
+def _diffed(runs: list[DataFrame], key: str) -> DataFrame:
+    runs = [run.withColumn("mark", F.lit("x")) for run in runs]
+    return comparing.definition_diffs(comparing.compare(runs, [key], ["mark"], definition="body"), "body")
+
+
+_NUMBERED = "transform(sequence(1, lines), i -> concat('line ', i, ' of ', o_orderkey))"
+
+
+@registry.add(
+    """WITH texts AS (SELECT o_orderkey, 5 + o_custkey % 20 AS lines FROM orders),
+places AS (SELECT *, o_orderkey % lines + 1 AS p FROM texts), ends AS (SELECT *, greatest(1, p - 3) AS lo, least(lines, p + 3) AS hi FROM places)
+SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, concat('--- A', chr(10), '+++ B', chr(10), '@@ -', lo, ',', hi - lo + 1, ' +', lo, ',', hi - lo + 1, ' @@', chr(10),
+  array_to_string(list_transform(range(lo, p), lambda i: concat(' line ', i, ' of ', o_orderkey, chr(10))), ''), '-line ', p, ' of ', o_orderkey, chr(10), '+new ', p,
+  array_to_string(list_transform(range(p + 1, hi + 1), lambda i: concat(chr(10), ' line ', i, ' of ', o_orderkey)), '')) AS diff FROM ends"""
+)
+def definition_diffs_of_one_line(spark, sf):
+    """One line of each text is replaced: the whole diff is known."""
+    orders = table(spark, sf, "orders").selectExpr("o_orderkey", "CAST(5 + o_custkey % 20 AS INT) AS lines")
+    orders = orders.withColumn("old", F.expr(_NUMBERED)).withColumn("p", F.expr("o_orderkey % lines + 1"))
+    new = F.expr("transform(old, (line, i) -> IF(i + 1 = p, concat('new ', p), line))")
+    runs = [orders.select("o_orderkey", F.array_join(side, "\n").alias("body")) for side in (F.col("old"), new)]
+    return _diffed(runs, "o_orderkey").select("o_orderkey", F.col("diff_a_to_b").alias("diff"))
+
+
+@registry.add(
+    r"""WITH old AS (SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '[\r\v\f\x1c-\x1e\x{85}\x{2028}\x{2029}]', ' ', 'g'), ' ') AS words FROM documents),
+new AS (SELECT doc_id, list_filter(list_transform(words, lambda w, i: CASE WHEN i % 11 = 0 THEN NULL WHEN i % 13 = 0 THEN concat(w, chr(10), 'added') WHEN i % 17 = 0 THEN 'changed' ELSE w END),
+  lambda w: w IS NOT NULL) AS words FROM old)
+SELECT CAST(doc_id AS VARCHAR) AS doc_id, array_to_string(words, chr(10)) AS restored FROM new"""
+)
+def definition_diffs_applied(spark, sf):
+    """Every document, a word a line, against itself with lines gone, added and changed: diffs lead from one to the other."""
+    breaks = r"[\r\x0b\f\x1c-\x1e\u0085\u2028\u2029]"
+    words = F.split(F.regexp_replace(F.coalesce("text", F.lit("")), breaks, " "), " ")
+    documents = table(spark, sf, "documents").select("doc_id", words.alias("old"))
+    new = F.expr(
+        "filter(transform(old, (w, i) -> CASE WHEN (i + 1) % 11 = 0 THEN NULL WHEN (i + 1) % 13 = 0 THEN concat(w, '\n', 'added') "
+        "WHEN (i + 1) % 17 = 0 THEN 'changed' ELSE w END), w -> w IS NOT NULL)")
+    runs = [documents.select("doc_id", F.array_join(side, "\n").alias("body")) for side in (F.col("old"), new)]
+    found = _diffed(runs, "doc_id")
+    return found.select("doc_id", comparing.patched(F.col("body_a"), F.col("diff_a_to_b")).alias("restored"))
+
+
 @registry.add(
     "WITH m AS (SELECT o_orderkey, o_custkey % 3 AS db, o_orderstatus AS mode FROM orders) "
     "SELECT 'Mixed databases: matching structural names do not prove business equivalence.' AS warning FROM m HAVING count(DISTINCT db) > 1 "
@@ -303,6 +346,27 @@ def flatten_deep_metrics(spark, sf):
     return readers.flatten_metrics(orders, "document", ["o_orderkey"])
 
 
+_EXACT = (
+    ("a", "#", "#"), ("whole", "7#0000000000000000000000000000000000000001", "7#0000000000000000000000000000000000000001"),
+    ("tenths", "#.0", "#.0"), ("half", "#.50", "#.5"), ("wide", "1e16", "1e+16"), ("zero", "-0", "0"), ("more", "-1E400", "-inf"), ("not", "NaN", "nan"),
+    ("none", "-Infinity", "-inf"), ("yes", "true", "true"), ("text", '"1.0 \\u00e9\\n"', "1.0 é\n"), ("list", "[#]", None),
+)
+
+
+@registry.add(
+    "SELECT o_orderkey, unnest(['" + "', '".join(n for n, _, v in _EXACT if v) + "', 'twice', 'inner.last', 'inner.deep.x']) AS metric, unnest(["
+    + ", ".join("replace('" + v + "', '#', CAST(o_custkey AS VARCHAR))" for _, _, v in _EXACT if v)
+    + ", CAST(o_orderkey AS VARCHAR), '2', 'x']) AS value FROM orders"
+)
+def flatten_exact_metrics(spark, sf):
+    """Numbers as they are written, words that are no numbers, and names that come twice."""
+    fields = ", ".join(f'"{n}": {raw}' for n, raw, _ in _EXACT)
+    document = '{"twice": {"gone": 1}, "inner": 5, ' + fields + ', "inner": {"last": 1, "deep": {"x": "x"}, "last": 2}, "twice": @}'
+    orders = table(spark, sf, "orders")
+    text = F.replace(F.replace(F.lit(document), F.lit("#"), F.col("o_custkey").cast("string")), F.lit("@"), F.col("o_orderkey").cast("string"))
+    return readers.flatten_metrics(orders.select("o_orderkey", text.alias("document")), "document", ["o_orderkey"])
+
+
 _TEXT_RUN = "SELECT o_orderkey, concat_ws(chr(10), 'SELECT x', {0}, 'FROM t', {1}) AS body, o_orderstatus AS mark FROM orders"
 _TEXT_LINES = (("'a'", "'a'"), ("CASE WHEN o_orderkey % 3 = 0 THEN 'b' ELSE 'a' END", "CASE WHEN o_orderkey % 5 = 0 THEN 'FROM t' ELSE 'a' END"))
 
@@ -505,6 +569,20 @@ def inventory_of_written_texts(spark, sf):
     return found.select(F.regexp_extract("path", "part=([0-9]+)/", 1).alias("file_name"), "sha256")
 
 
+@registry.add(
+    "SELECT concat('key ', o_orderkey) AS name, 'UNCHANGED' AS status FROM orders WHERE o_orderkey % 2 = 0 "
+    "UNION ALL SELECT concat('é', chr(31), 'key ', o_orderkey), 'UNCHANGED' FROM orders WHERE o_orderkey % 2 = 1"
+)
+def compare_keys_between_controls(spark, sf):
+    """Blanks and separators around a key are trimmed, those inside stay; with and without other letters than ASCII."""
+    orders = table(spark, sf, "orders")
+    odd = F.col("o_orderkey") % 2 == 1
+    run = lambda before, after: orders.select(
+        F.concat(F.lit(before), F.when(odd, F.lit("É\x1fKey ")).otherwise(F.lit("Key ")), "o_orderkey", F.lit(after)).alias("name"), "o_orderstatus")
+    runs = [run("\x1c\x1d \t", "\x1f\x0b"), run("\x1e", "\n\x1c \r")]
+    return comparing.compare(runs, ["name"], ["o_orderstatus"]).select("name", "status")
+
+
 @registry.add(
     "SELECT concat('été ', o_orderkey) AS name, 'UNCHANGED' AS status FROM orders WHERE o_orderkey % 2 = 0 "
     "UNION ALL SELECT concat('plain ', o_orderkey), 'UNCHANGED' FROM orders WHERE o_orderkey % 2 = 1"

@@ -7,10 +7,12 @@ from dataclasses import dataclass
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fixed_values as fixed
-from ..functions.text import stable_number, stable_text, strip
+from ..functions.line_diff import apply_diff, unified_diff
+from ..functions.text import BLANKS, stable_number, stable_text
 
 INTERVALS = (("a_to_b", "a", "b"), ("b_to_c", "b", "c"), ("a_to_c", "a", "c"))
 
@@ -36,6 +38,8 @@ def _compatibility_form():
 
 
 NOT_ASCII = r"[^\x00-\x7F]"
+#: What is trimmed from keys: blanks and the four separators.
+KEY_BLANKS = BLANKS + "\x1c\x1d\x1e\x1f"
 
 
 def stable_key(column: Column, special: bool = False) -> Column:
@@ -44,7 +48,7 @@ def stable_key(column: Column, special: bool = False) -> Column:
     For ASCII texts that is trimming and lower case; ``special`` texts need Python's Unicode tables.
     """
     text = stable_text(column)
-    return _compatibility_form()(text) if special else F.lower(strip(text))
+    return _compatibility_form()(text) if special else F.lower(F.btrim(text, F.lit(KEY_BLANKS)))
 
 
 def _tagged(
@@ -190,7 +194,10 @@ def _deltas(field: str, labels: Sequence[str]) -> dict[str, Column]:
 
 
 def definition_diffs(compared: DataFrame, definition: str) -> DataFrame:
-    """Adds a unified diff per interval whose texts differ; equal texts never reach Python."""
+    """Adds a unified diff per interval whose lines differ; texts that are equal are compared as empty ones.
+
+    Diffs are those of :mod:`lakescribe.functions.line_diff`; `patched` applies them.
+    """
     labels = [x for x in ("a", "b", "c") if f"{definition}_{x}" in compared.columns]
     out = compared
     for name, left, right in INTERVALS:
@@ -233,21 +240,31 @@ def definition_changes(compared: DataFrame, keys: Sequence[str], definition: str
 
 
 def _unified_diff(before: str, after: str):
-    @F.pandas_udf("string")
-    def diff(old: pd.Series, new: pd.Series) -> pd.Series:
-        import difflib
+    @F.arrow_udf("string")
+    def diff(old: pa.Array, new: pa.Array) -> pa.Array:
+        pairs = zip(old.to_pylist(), new.to_pylist())
+        return pa.array(["\n".join(unified_diff(a.splitlines(), b.splitlines(), before, after)) for a, b in pairs], pa.string())
 
-        def one(left: str, right: str) -> str:
-            if left == right:
-                return ""
-            lines = difflib.unified_diff(
-                left.splitlines(), right.splitlines(), fromfile=before, tofile=after, lineterm=""
-            )
-            return "\n".join(lines)
+    return diff
 
-        return pd.Series([one(left, right) for left, right in zip(old, new)])
 
-    return diff
+def patched(text: Column, diff: Column) -> Column:
+    """The text after a unified diff, its lines joined by line feeds; null texts are empty.
+
+    No diff (null or empty) gives the text in that form. A diff that does not fit the text gives null.
+    """
+
+    @F.arrow_udf("string")
+    def applied(texts: pa.Array, diffs: pa.Array) -> pa.Array:
+        def one(lines: list[str], change: str | None) -> str | None:
+            try:
+                return "\n".join(apply_diff(lines, change.split("\n")) if change else lines)
+            except ValueError:
+                return None
+
+        return pa.array([one((t or "").splitlines(), d) for t, d in zip(texts.to_pylist(), diffs.to_pylist())], pa.string())
+
+    return applied(text, diff)
 
 
 def _interval_columns(compared: DataFrame) -> list[str]:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from ..functions.json_leaves import json_leaves
 from ..operators.compare import CompareSpec, delta_columns, run_columns
 from ..operators.statements import statement_safety
 from .workspace import project_declared
@@ -93,25 +95,48 @@ def write_snapshot(
         writer.format(file_format).save(f"{path}/{name}")
 
 
+#: Leaves that a task hands on at once.
+LEAF_ROWS = 1 << 16
+
+
+def _leaf_rows(schema: T.StructType):
+    """Batches of (keys, text) as batches of (keys, metric, value)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, leaves = [], []
+            for row, text in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
+                found = json_leaves(text) or ()
+                rows.extend([row] * len(found))
+                leaves.extend(found)
+                if len(rows) >= LEAF_ROWS:
+                    yield made(batch, rows, leaves)
+                    rows, leaves = [], []
+            yield made(batch, rows, leaves)
+
+    def made(batch: pa.RecordBatch, rows: list[int], leaves: list[tuple[str, str | None]]) -> pa.RecordBatch:
+        at = pa.array(rows, pa.int64())
+        keys = [batch.column(k).take(at) for k in range(batch.num_columns - 1)]
+        ends = [pa.array([leaf[k] for leaf in leaves], pa.string()) for k in (0, 1)]
+        return pa.RecordBatch.from_arrays([*keys, *ends], schema.names)
+
+    return run
+
+
 def flatten_metrics(df: DataFrame, json_column: str, keys: Sequence[str] = ()) -> DataFrame:
-    """(keys, metric, value): the scalar leaves of JSON objects under dotted names.
+    """(keys, metric, value): the scalar leaves of JSON objects under dotted names, in one scan.
 
-    Each value is taken by its JSON type: a text that looks like an object or a list stays a text.
-    Lists and what they hold are left out; a document that is a single scalar has the name ''. Nesting
-    is followed until a pass meets no further object. Texts that are no JSON give no rows.
+    Values are texts: ``1`` with all digits, ``1.0``, ``1e+16``, ``nan``, ``true``, null; a text that looks
+    like an object or a list stays a text. Of equal names in an object the last one counts. Lists and
+    what they hold are left out; a document that is a single scalar has the name ''. Nulls and texts that
+    are no JSON give no rows; repeated rows give theirs again. The engine's own parsed form is not used: it
+    refuses equal names and NaN and rounds numbers.
     """
-    level = df.select(*keys, F.lit("").alias("metric"), F.try_parse_json(json_column).alias("item")).where("item IS NOT NULL")
-    kind, leaves = F.schema_of_variant("item"), []
-    while True:
-        scalar = ~kind.startswith("OBJECT") & ~kind.startswith("ARRAY")
-        leaves.append(level.where(scalar).select(*keys, "metric", F.col("item").cast("string").alias("value")))
-        nested = level.where(kind.startswith("OBJECT"))
-        if nested.isEmpty():
-            return reduce(DataFrame.unionAll, leaves)
-        children = df.sparkSession.tvf.variant_explode(F.col("item").outer())
-        level = nested.lateralJoin(children).select(
-            *keys, F.concat_ws(".", F.nullif("metric", F.lit("")), "key").alias("metric"), F.col("value").alias("item")
-        ).where("item IS NOT NULL")
+    names = [f"key_{k}" for k in range(len(keys))]
+    source = df.where(F.col(json_column).isNotNull()).select(
+        *[F.col(c).alias(n) for c, n in zip(keys, names)], F.col(json_column).cast("string").alias("document"))
+    schema = T.StructType([*source.schema.fields[:-1], T.StructField("metric", T.StringType()), T.StructField("value", T.StringType())])
+    return source.mapInArrow(_leaf_rows(schema), schema).toDF(*keys, "metric", "value")
 
 
 MANIFEST_SCHEMA = (

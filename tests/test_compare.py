@@ -1,6 +1,9 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
+from lakescribe.functions import line_diff
 from lakescribe.operators import compare as C
 from lakescribe.plans.snapshots import compare_catalogues, compare_snapshots
 
@@ -37,6 +40,55 @@ def test_three_runs(spark):
     assert proc["diff_a_to_b"].startswith("--- A\n+++ B")
 
 
+def edited(rng, lines, letters):
+    out = list(lines)
+    for _ in range(rng.randrange(6)):
+        i = rng.randrange(len(out) + 1)
+        out[i: i + rng.randrange(3)] = [rng.choice(letters) for _ in range(rng.randrange(3))]
+    return out
+
+
+def test_diffs_lead_from_one_text_to_the_other():
+    rng = random.Random(8)
+    more = least = 0
+    for _ in range(3000):
+        letters = rng.choice(["ab", "abcdef", "abcdefghijklmnopqrstuvwxyz+- @"])
+        old = [rng.choice(letters) for _ in range(rng.randrange(25))]
+        new = edited(rng, old, letters) if rng.random() < 0.8 else [rng.choice(letters) for _ in range(rng.randrange(25))]
+        diff = line_diff.unified_diff(old, new, "A", "B")
+        assert (line_diff.apply_diff(old, diff) if diff else old) == new and bool(diff) == (old != new)
+        kept = [0] * (len(new) + 1)  # longest common subsequence, row by row
+        for x in old:
+            row = [0]
+            for j, y in enumerate(new):
+                row.append(kept[j] + 1 if x == y else max(row[j], kept[j + 1]))
+            kept = row
+        least += len(old) + len(new) - 2 * kept[-1]
+        more += sum(line[0] in "+-" for line in diff[2:])
+    assert least <= more <= 1.15 * least
+
+
+def test_diffs_are_written_in_hunks():
+    old = [str(i) for i in range(1, 31)]
+    new = ["0", *old[:4], "x", *old[5:11], *old[12:28], "29b", "30", "31"]
+    assert line_diff.unified_diff(old, new, "A", "B") == [
+        "--- A", "+++ B", "@@ -1,15 +1,15 @@", "+0", " 1", " 2", " 3", " 4", "-5", "+x", " 6", " 7", " 8", " 9", " 10", " 11", "-12", " 13", " 14", " 15",
+        "@@ -26,5 +26,6 @@", " 26", " 27", " 28", "-29", "+29b", " 30", "+31"]
+    assert line_diff.unified_diff([], ["a"], "A", "B") == ["--- A", "+++ B", "@@ -0,0 +1 @@", "+a"]
+    assert line_diff.unified_diff(["a"], [], "A", "B") == ["--- A", "+++ B", "@@ -1 +0,0 @@", "-a"]
+    # moved blocks, long repetitions: fast, and right
+    for a, b in ((old[:15] + old[15:], old[15:] + old[:15]), (["x"] * 9000, ["x"] * 4000 + ["y"] + ["x"] * 4990), ([str(i % 7) for i in range(9000)], [str(i % 5) for i in range(9000)])):
+        assert line_diff.apply_diff(a, line_diff.unified_diff(a, b, "A", "B")) == b
+
+
+@pytest.mark.parametrize("diff", ["no hunk", "@@ -1 +1 @@\n-b\n+c", "@@ -1,2 +1 @@\n-a", "@@ -1 +1 @@\n-a\n+c\n+d", "@@ -3 +1 @@\n-a"])
+def test_diffs_that_do_not_fit(diff, spark):
+    with pytest.raises(ValueError):
+        line_diff.apply_diff(["a"], ["--- A", "+++ B", *diff.split("\n")])
+    texts = run(spark, ("t", "d"), ("a", "--- A\n+++ B\n" + diff), ("a\r\nb", None), (None, ""))
+    assert [r[0] for r in texts.select(C.patched(F.col("t"), F.col("d"))).collect()] == [None, "a\nb", ""]
+
+
 def test_all_timelines(spark):
     names = ("name", "v")
     a = run(spark, names, ("remove_b", "1"), ("remove_c", "1"), ("both", "1"), ("revert", "1"), ("same", None))
@@ -47,7 +99,8 @@ def test_all_timelines(spark):
         "revert": "REVERTED_TO_A", "same": "UNCHANGED"}
 
 
-@pytest.mark.parametrize("left, right", [(" DBO ", "dbo"), ("ＤＢＯ", "dbo"), ("Straße", "STRASSE"), ("ﬁle", "FILE"), ("É", "é")])
+@pytest.mark.parametrize("left, right", [(" DBO ", "dbo"), ("ＤＢＯ", "dbo"), ("Straße", "STRASSE"), ("ﬁle", "FILE"), ("É", "é"),
+                                         ("x\x1f", "x"), ("\x1c\x1d\x1e x", "X\x85"), ("é\x1f", "\x0bÉ")])
 def test_keys_are_normalized(spark, left, right):
     found = C.compare([run(spark, ("k", "v"), (left, "1")), run(spark, ("k", "v"), (right, "1"))], ["k"], ["v"]).collect()
     assert [r["status"] for r in found] == ["UNCHANGED"]

@@ -54,6 +54,27 @@ def test_metrics(spark):
     assert rows == {"a.b.c.d.e.f": "1", "a.b.c.d.e.t": "{not json}", "s": "[x]", "n": None}
 
 
+def test_metrics_are_exact(spark):
+    digits = "1234567890" * 5
+    texts = [
+        '{"a":1,"a":2,"b":3}', '{"a":NaN,"b":3}', '{"a":1.0,"b":-0,"c":-0.0,"d":1e5,"e":1E400,"f":-Infinity}', f'{{"a":{digits},"b":{digits}.5}}',
+        '{"a":{"x":1},"a":{"y":[{"z":1}],"w":{}}}', '{"":{"":1},"a.b":{"c":false}}', '{"t":"\\ud800\\u00e9"}', "5", "[1]", '{"a":01}', "", "{", '{"a":1} x',
+        '{"a":' * 3000 + "1" + "}" * 3000, None,
+    ]
+    df = spark.createDataFrame([(i, t, "m", 1) for i, t in enumerate([*texts, texts[0]])], "metric int, j string, value string, key_0 int")
+    rows = [tuple(r) for r in readers.flatten_metrics(df, "j", ["metric", "key_0"]).collect()]
+    found = {}
+    for i, key, metric, value in rows:
+        found.setdefault(i, {})[metric] = value
+    assert found == {
+        0: {"a": "2", "b": "3"}, 1: {"a": "nan", "b": "3"}, 2: {"a": "1.0", "b": "0", "c": "-0.0", "d": "100000.0", "e": "inf", "f": "-inf"},
+        3: {"a": digits, "b": repr(float(digits + ".5"))}, 5: {"": "1", "a.b.c": "false"}, 6: {"t": "?é"}, 7: {"": "5"},
+        13: {".".join("a" * 3000): "1"}, 15: {"a": "2", "b": "3"}}
+    assert readers.flatten_metrics(df.limit(0), "j").count() == 0
+    plan = readers.flatten_metrics(df, "j", ["metric"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan") == 1 and "Exchange" not in plan
+
+
 def test_jdbc_sends_only_reads(spark):
     with pytest.raises(ValueError, match="only read"):
         readers.read_catalogue_jdbc(spark, "jdbc:none:none", "WITH x AS (SELECT 1 AS n) DELETE FROM x", "n int")
