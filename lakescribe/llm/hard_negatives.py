@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,9 +74,9 @@ def _angles(shared):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes = pa.compute.list_value_length(batch.column("vector"))
+            sizes = pc.list_value_length(batch.column("vector"))
             for dim in sizes.unique().to_pylist():
-                own = batch.filter(pa.compute.equal(sizes, dim))
+                own = batch.filter(pc.equal(sizes, dim))
                 whole = _matrix(own.column("vector")).astype(np.float64)
                 norm = np.sqrt((whole * whole).sum(axis=1))
                 units = whole / np.where(norm > 0, norm, 1)[:, None]
@@ -190,7 +191,7 @@ def _best(scores: np.ndarray, ids: np.ndarray, most: int) -> tuple[np.ndarray, n
 def _block_scores(anchors: pa.Table, rows: pa.Table, asked: Asked, own_cell: bool) -> Iterator[tuple]:
     """(key, slot, score, id) arrays: the best rows of one block for every anchor and request."""
     cell = rows.column("cell")[0].as_py()
-    mine = anchors.filter(pa.compute.equal(anchors.column("cell"), cell) if own_cell else pa.compute.not_equal(anchors.column("cell"), cell))
+    mine = anchors.filter(pc.equal(anchors.column("cell"), cell) if own_cell else pc.not_equal(anchors.column("cell"), cell))
     if not len(mine):
         return
     direction = max(cell, 0) // MOST_REFERENCES
