@@ -94,9 +94,9 @@ def one_per_key(items: Column, last: bool) -> Column:
     return F.get(F.transform(F.array(F.sort_array(items)), keep), F.lit(0))
 
 
-def extract_all(text: Column, upper: Column, words: Iterable[str], pattern: str) -> Column:
-    """All first groups of a pattern that cannot match without one of the words in ``upper``."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
+def extract_all(text: Column, upper: Column, words: Iterable[str], pattern: str, group: int = 1) -> Column:
+    """All matches of a group of a pattern that cannot match without one of the words in ``upper``."""
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     return F.when(holds_any(upper, words), found).otherwise(F.array().cast("array<string>"))
 
 
@@ -160,12 +160,26 @@ ALIAS_PATTERN = (
     rf"(?i)\b(?:FROM|JOIN)\s+({fixed.NAME_PART}(?:\s*\.\s*{fixed.NAME_PART})?)"
     rf"\s*(?:AS\s+)?({fixed.NAME_PART})?"
 )
-CONTEXT = 100
+#: Characters looked at on both sides of a name; matches that can stand in them (one is 3 characters at least).
+CONTEXT, NEIGHBOURS = 100, 34
+#: Up to so many names after FROM and JOIN a row sorts out uses of others itself; the join does so in any case.
+KNOWN_NAMES = 64
 
 
-def _aliases(statements: DataFrame, columns: DataFrame, text_column: str) -> DataFrame:
+def _bound(value: Column, body) -> Column:
+    """body(value) with the value evaluated once, also where the body uses it for every item of an array."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _mentions(text: Column) -> Column:
+    """(name, alias) after every FROM and JOIN, by one search; groups are read from the short matches."""
+    return F.transform(
+        extract_all(text, F.upper(text), REFERENCE_WORDS["READ"], ALIAS_PATTERN, 0),
+        lambda m: F.struct(*[F.regexp_extract(m, ALIAS_PATTERN, i).alias(n) for i, n in ((1, "name"), (2, "alias"))]))
+
+
+def _aliases(mentioned: DataFrame, columns: DataFrame) -> DataFrame:
     """(id, alias) -> table: names and aliases after FROM and JOIN that are known tables."""
-    text = F.col(text_column)
     tables = columns.select(
         F.lower("schema_name").alias("schema_key"), F.lower("object_name").alias("object_key"),
         "schema_name", "object_name",
@@ -177,15 +191,7 @@ def _aliases(statements: DataFrame, columns: DataFrame, text_column: str) -> Dat
         F.count(F.lit(1)).alias("same_name"), F.max("table").alias("only_table")
     ).where("same_name = 1")
     mentions = (
-        statements.select(
-            "statement_id",
-            F.posexplode(
-                F.arrays_zip(
-                    F.regexp_extract_all(text, F.lit(ALIAS_PATTERN), F.lit(1)).alias("name"),
-                    F.regexp_extract_all(text, F.lit(ALIAS_PATTERN), F.lit(2)).alias("alias"),
-                )
-            ).alias("place", "mention"),
-        )
+        mentioned.select("statement_id", F.posexplode("mentions").alias("place", "mention"))
         .withColumn("parts", F.transform(_parts(F.col("mention.name")), F.lower))
         .select(
             "statement_id", "place",
@@ -229,49 +235,52 @@ def _use(before: Column, around: Column, word: Column) -> Column:
     )
 
 
-def _qualified_names(statements: DataFrame, text_column: str) -> DataFrame:
+def _qualified_names(mentioned: DataFrame, text_column: str) -> DataFrame:
     """Every ``qualifier.column`` of each statement with what its surroundings do with it.
 
-    Matches and the texts between them alternate, so places are running sums of lengths. Only
-    qualifiers that stand after FROM or JOIN are looked at further.
+    Matches and the gaps between them alternate. What stands around a match is put together from the
+    nearest of them by index, so the work is linear in the statement. A gap counts with both ends only.
     """
     text = F.col(text_column)
-    names, aliases = (F.regexp_extract_all(text, F.lit(ALIAS_PATTERN), F.lit(i)) for i in (1, 2))
-    known = F.concat(
-        F.transform(names, lambda n: F.lower(F.element_at(_parts(n), -1))),
-        F.transform(aliases, lambda a: F.lower(F.btrim(a, F.lit("[]")))),
-    )
-    found = F.arrays_zip(*[
-        F.regexp_extract_all(text, F.lit(QUALIFIED), F.lit(i)).alias(name)
-        for i, name in enumerate(("word", "qualifier", "column"))
-    ], F.split(text, QUALIFIED, -1).alias("gap"))
-    staged = statements.where(text.contains(".")).withColumns({"__known": known, "__found": found})
-    lengths = F.transform("__found", lambda x: F.length(x["gap"]) + F.coalesce(F.length(x["word"]), F.lit(0)))
-    # the end of each match: sums over the matches before it, in one pass over the array
-    ends = F.aggregate(
-        lengths, F.array().cast("array<int>"),
-        lambda a, n: F.concat(a, F.array(F.coalesce(F.get(a, F.size(a) - 1), F.lit(0)) + n)),
-    )
-    staged = staged.withColumn("__ends", ends)
-    placed = F.transform(
-        "__found", lambda x, i: F.struct(
-            (F.get("__ends", i) - F.length(x["word"])).alias("position"), F.get("__ends", i).alias("end"), x["word"].alias("word"),
-            F.lower(F.btrim(x["qualifier"], F.lit("[]"))).alias("qualifier"), F.btrim(x["column"], F.lit("[]")).alias("column"),
-        ),
-    )
-    wanted = F.filter(placed, lambda x: x["word"].isNotNull() & F.array_contains("__known", x["qualifier"]))
-    each = staged.select(
-        "statement_id", *SOURCE_FIELDS, text_column, F.explode(wanted).alias("use")
-    )
-    begin = F.greatest(F.col("use.position") - CONTEXT, F.lit(0))
-    before = F.substring(text, begin + 1, F.col("use.position") - begin)
-    around = F.substring(text, begin + 1, F.col("use.end") + CONTEXT - begin)
+    words = F.regexp_extract_all(text, F.lit(QUALIFIED), F.lit(0))
+    gaps = F.transform(F.split(text, QUALIFIED, -1), lambda g: F.when(
+        F.length(g) > 2 * CONTEXT, F.concat(F.left(g, F.lit(CONTEXT)), F.right(g, F.lit(CONTEXT)))).otherwise(g))
+    known = F.array_distinct(F.flatten(F.transform("mentions", lambda m: F.array(
+        F.lower(F.element_at(_parts(m["name"]), -1)), F.lower(F.btrim(m["alias"], F.lit("[]")))))))
+
+    def name(word: Column, group: int) -> Column:
+        return F.btrim(F.regexp_extract(word, QUALIFIED, group), F.lit("[]"))
+
+    def uses(x: Column) -> Column:
+        each = F.transform(x["words"], lambda w, i: F.struct(
+            i.alias("place"), w.alias("word"), F.lower(name(w, 1)).alias("qualifier"), name(w, 2).alias("column")))
+        wanted = F.filter(each, lambda u: (F.size(x["known"]) > KNOWN_NAMES) | F.array_contains(x["known"], u["qualifier"]))
+        with_gap_before = F.zip_with(x["gaps"], x["words"], lambda g, w: F.concat(g, F.coalesce(w, F.lit(""))))
+        with_gap_behind = F.transform(x["words"], lambda w, i: F.concat(w, F.get(x["gaps"], i + 1)))
+        return _bound(F.struct(with_gap_before.alias("before"), with_gap_behind.alias("behind")), lambda near: F.transform(
+            wanted, lambda u: _surrounded(u, x["gaps"], near)))
+
+    parts = F.struct(words.alias("words"), gaps.alias("gaps"), known.alias("known"))
+    each = mentioned.where(text.contains(".")).select(
+        "statement_id", *SOURCE_FIELDS, F.explode(_bound(parts, uses)).alias("use"))
+    around = F.concat("use.before", "use.word", "use.behind")
     return each.select(
-        "statement_id", *SOURCE_FIELDS, "use.position", "use.qualifier", "use.column",
-        _use(before, around, F.col("use.word")).alias("lineage_type"),
+        "statement_id", *SOURCE_FIELDS, "use.place", "use.qualifier", "use.column",
+        _use(F.col("use.before"), around, F.col("use.word")).alias("lineage_type"),
     )
 
 
+def _surrounded(use: Column, gaps: Column, near: Column) -> Column:
+    """A match with the characters in front of it and behind it."""
+    place = use["place"]
+    first = F.greatest(place - NEIGHBOURS, F.lit(0))
+    before = F.concat(F.array_join(F.slice(near["before"], first + 1, place - first), ""), F.get(gaps, place))
+    behind = F.concat(F.get(gaps, place + 1), F.array_join(F.slice(near["behind"], place + 2, F.lit(NEIGHBOURS)), ""))
+    return F.struct(
+        *[use[c].alias(c) for c in ("place", "word", "qualifier", "column")],
+        F.right(before, F.lit(CONTEXT)).alias("before"), F.left(behind, F.lit(CONTEXT)).alias("behind"))
+
+
 SOURCE_FIELDS = ("source_schema", "source_object", "source_type")
 
 
@@ -292,18 +301,18 @@ def column_references(
     numbered = statements.where(F.col(text_column) != "").select(
         identity.alias("statement_id"), F.col("schema_name").alias("source_schema"),
         F.col("object_name").alias("source_object"), kind.alias("source_type"), text_column,
-    )
-    numbered = materialize(numbered, "statements")  # names and aliases read it; its redaction runs once
+    ).withColumn("mentions", _mentions(F.col(text_column)))
+    numbered = materialize(numbered, "statements")  # names and aliases read it; redaction and search run once
     columns = of_tables(columns)
     known = columns.select(
         "schema_name", "object_name", F.lower("column_name").alias("column_key")
     ).distinct()
     names = _qualified_names(numbered, text_column).withColumn("column_key", F.lower("column"))
     unique = (
-        names.join(_aliases(numbered, columns, text_column), ["statement_id", "qualifier"])
+        names.join(_aliases(numbered, columns), ["statement_id", "qualifier"])
         .join(known, ["schema_name", "object_name", "column_key"], "left_semi")
         .groupBy("statement_id", *SOURCE_FIELDS, "schema_name", "object_name", "column_key", "lineage_type")
-        .agg(F.max(F.struct("position", "column")).getField("column").alias("target_column"))
+        .agg(F.max(F.struct("place", "column")).getField("column").alias("target_column"))
     )
     return unique.select(
         *SOURCE_FIELDS, F.col("schema_name").alias("target_schema"), F.col("object_name").alias("target_object"),
