@@ -4,10 +4,10 @@
    angles to all of them and lies in the cell of its two closest ones.
 2. The angle between two rows is at least the difference and at most the sum of their angles to any
    reference. Cosines of that interval times the norms bound the score, with room for rounding.
-3. Rows of a cell are dealt into blocks of bounded size; anchors of close cells share a block. Blocks whose
-   score interval misses what an anchor block asks for do not meet. Where blocks meet, rows are sorted by
-   their angle to the cell's direction, so every anchor has a window of them; only windows are scored, in
-   whole numbers.
+3. Rows and anchors are dealt into blocks of bounded size, large cells over several, small ones together.
+   Blocks whose score interval misses what an anchor block asks for do not meet. Where blocks meet, the rows
+   of a cell are sorted by their angle to its direction, so every anchor has a window of them; only windows
+   are scored, in whole numbers.
 4. An anchor first meets its own cell; what it finds there raises the lower end of what it asks from others.
    Positives are found so first, then negatives between the bounds that the positives set.
 """
@@ -95,8 +95,8 @@ def _angles(shared):
     return run
 
 
-def _in_blocks(rows: DataFrame, most: int, shared_cells: bool) -> DataFrame:
-    """The rows with a block of at most about `most` rows of one length; shared_cells: of several small cells.
+def _in_blocks(rows: DataFrame, most: int) -> DataFrame:
+    """The rows with a block of at most about `most` rows of one length: a part of a cell, or small cells together.
 
     Long vectors have smaller blocks. The driver sees one count per length and cell.
     """
@@ -104,7 +104,7 @@ def _in_blocks(rows: DataFrame, most: int, shared_cells: bool) -> DataFrame:
     counts = rows.groupBy("dim", "cell").agg(F.count(F.lit(1)).alias("n"))
     for dim, cell, n in sorted((r["dim"], r["cell"], r["n"]) for r in counts.collect()):
         bound = max(16, min(most, (1 << 22) // max(1, dim)))
-        if shared_cells and dim == last and filled + n <= bound:
+        if dim == last and filled + n <= bound:
             filled += n
             made.append((dim, cell, base - 1, 1))
             continue
@@ -189,42 +189,51 @@ def _best(scores: np.ndarray, ids: np.ndarray, most: int) -> tuple[np.ndarray, n
 
 
 def _block_scores(anchors: pa.Table, rows: pa.Table, asked: Asked, own_cell: bool) -> Iterator[tuple]:
-    """(key, slot, score, id) arrays: the best rows of one block for every anchor and request."""
-    cell = rows.column("cell")[0].as_py()
-    mine = anchors.filter(pc.equal(anchors.column("cell"), cell) if own_cell else pc.not_equal(anchors.column("cell"), cell))
-    if not len(mine):
-        return
-    direction = max(cell, 0) // MOST_REFERENCES
-    x_angles = _matrix(rows.column("angles"))
-    order = np.argsort(x_angles[:, direction], kind="stable")
-    x_angles, rows = x_angles[order], rows.take(pa.array(order))
-    x_angle, x_norm, whole = x_angles[:, direction], rows.column("norm").to_numpy(), _matrix(rows.column("vector"))
+    """(key, slot, score, id) arrays: the best rows of one block for every anchor and request, cell by cell."""
+    x_cells = rows.column("cell").to_numpy()
+    x_home = _matrix(rows.column("angles"))[np.arange(len(x_cells)), np.maximum(x_cells, 0) // MOST_REFERENCES]
+    order = np.lexsort((x_home, x_cells))
+    rows, x_cells, x_home = rows.take(pa.array(order)), x_cells[order], x_home[order]
+    x_angles, x_norm, whole = _matrix(rows.column("angles")), rows.column("norm").to_numpy(), _matrix(rows.column("vector"))
     ids, labels = rows.column("id").to_numpy(), rows.column("label").to_numpy()
-    a_angles, a_norm, a_whole = _matrix(mine.column("angles")), mine.column("norm").to_numpy(), _matrix(mine.column("vector"))
-    a_labels, keys = mine.column("label").to_numpy(), mine.column("key").to_numpy()
-    slots, low, high = (mine.column(c).to_numpy() for c in ("slot", "low", "high"))
-
-    # the whole block against every anchor, by all references
-    gap = np.maximum(0, np.maximum(a_angles - x_angles.max(axis=0), x_angles.min(axis=0) - a_angles)).max(axis=1)
-    near = np.cos(np.maximum(0, gap - ROOM))
-    product = a_norm * np.where(near >= 0, x_norm.max(), x_norm.min())
-    meets = near * product + 1 + SCORE_ROOM * a_norm * x_norm.max() >= low
-    first, last = _windows(a_angles[:, direction], a_norm, low.astype(np.float64), high.astype(np.float64), x_angle, x_norm)
-    meets &= first < last
-    double = float(a_norm.max()) * float(x_norm.max()) * (1 + 1e-6) < 2.0**53
-    chosen = np.flatnonzero(meets)
-    chosen = chosen[np.lexsort((last[chosen], first[chosen]))]
-    step = max(1, (1 << 20) // len(ids))
-    for a in range(0, len(chosen), step):
-        part = chosen[a: a + step]
-        begin, end = int(first[part].min()), int(last[part].max())
-        scores = _scores(a_whole[part], whole[begin:end], double)
-        fits = (scores >= low[part, None]) & (scores <= high[part, None]) & (ids[begin:end] != keys[part, None])
-        fits &= (labels[begin:end] == a_labels[part, None]) == asked.same
-        scores[~fits] = _NONE
-        row, column = _best(scores, ids[begin:end], asked.most)
-        if len(row):
-            yield keys[part[row]], slots[part[row]], scores[row, column], ids[begin:end][column]
+    # one entry per request of an anchor
+    requests = anchors.column("requests").combine_chunks()
+    of = np.repeat(np.arange(len(anchors)), pc.list_value_length(requests).to_numpy(zero_copy_only=False))
+    slots, low, high = (c.to_numpy(zero_copy_only=False) for c in requests.flatten().flatten())
+    a_cells, a_norm, a_labels, keys = (anchors.column(c).to_numpy() for c in ("cell", "norm", "label", "key"))
+    a_angles, a_whole = _matrix(anchors.column("angles")), _matrix(anchors.column("vector"))
+
+    edges = np.flatnonzero(np.append(True, x_cells[1:] != x_cells[:-1]))
+    for start, stop in zip(edges, np.append(edges[1:], len(x_cells))):
+        cell, part = x_cells[start], slice(start, stop)
+        mine = np.flatnonzero((a_cells[of] == cell) == own_cell)
+        if not len(mine):
+            continue
+        # the whole cell against every anchor, by all references; then a window of it by its own
+        least, most = x_norm[part].min(), x_norm[part].max()
+        ends = x_angles[part].min(axis=0), x_angles[part].max(axis=0)
+        gap = np.maximum(0, np.maximum(a_angles - ends[1], ends[0] - a_angles)).max(axis=1)
+        near = np.cos(np.maximum(0, gap - ROOM))
+        bound = near * a_norm * np.where(near >= 0, most, least) + 1 + SCORE_ROOM * a_norm * most
+        mine = mine[bound[of[mine]] >= low[mine]]
+        if not len(mine):
+            continue
+        home = a_angles[of[mine], max(int(cell), 0) // MOST_REFERENCES]
+        first, last = _windows(home, a_norm[of[mine]], low[mine].astype(np.float64), high[mine].astype(np.float64), x_home[part], x_norm[part])
+        chosen = np.flatnonzero(first < last)
+        chosen = chosen[np.lexsort((last[chosen], first[chosen]))]
+        double = float(a_norm.max()) * float(most) * (1 + 1e-6) < 2.0**53
+        step = max(1, (1 << 20) // (stop - start))
+        for a in range(0, len(chosen), step):
+            now = chosen[a: a + step]
+            asks, window = mine[now], slice(start + int(first[now].min()), start + int(last[now].max()))
+            scores = _scores(a_whole[of[asks]], whole[window], double)
+            fits = (scores >= low[asks, None]) & (scores <= high[asks, None]) & (ids[window] != keys[of[asks], None])
+            fits &= (labels[window] == a_labels[of[asks], None]) == asked.same
+            scores[~fits] = _NONE
+            row, column = _best(scores, ids[window], asked.most)
+            if len(row):
+                yield keys[of[asks[row]]], slots[asks[row]], scores[row, column], ids[window][column]
 
 
 def _meet(asked: Asked, own_cell: bool):
@@ -253,7 +262,9 @@ class _Search:
         self.cells = rows.select("dim", "cell", "block").distinct()
 
     def _round(self, requests: DataFrame, asked: Asked, own_cell: bool) -> DataFrame:
-        asking = self.anchors.join(requests, "key")
+        asked_of = requests.groupBy("key").agg(
+            F.collect_list(F.struct("slot", "low", "high")).alias("requests"), F.min("low").alias("low"), F.max("high").alias("high"))
+        asking = self.anchors.join(asked_of, "key")
         if own_cell:
             cells = asking.select("dim", "cell", F.col("block").alias("anchor_block")).distinct()
             units = cells.join(self.cells, ["dim", "cell"]).select("anchor_block", "block").distinct()
@@ -305,8 +316,8 @@ def hard_negatives(
     placed = materialize(rows.mapInArrow(_angles(shared), schema), "angles")
     asking = placed.where("anchor").groupBy("id").agg(F.min(F.struct("label", "vector", "dim", "cell", "norm", "angles")).alias("a"))
     search = _Search(
-        materialize(_in_blocks(placed.drop("anchor"), BLOCK_ROWS, False), "rows"),
-        materialize(_in_blocks(asking.select("id", "a.*"), BLOCK_ANCHORS, True).withColumnRenamed("id", "key"), "anchors"))
+        materialize(_in_blocks(placed.drop("anchor"), BLOCK_ROWS), "rows"),
+        materialize(_in_blocks(asking.select("id", "a.*"), BLOCK_ANCHORS).withColumnRenamed("id", "key"), "anchors"))
 
     every = search.anchors.select("key", F.lit(0).alias("slot"), F.lit(-(1 << 62)).alias("low"), F.lit(1 << 62).alias("high"))
     near = materialize(search.best(every, Asked(True, positives)).select(

@@ -31,8 +31,8 @@ LETTERS = "A-Za-zÀ-ÿ"
 FILTER_BYTES, BLOCK_WORDS, LONG = 64 << 20, 16, 48
 #: Words a block of the shard of long words, which have many more edits each.
 LONG_BLOCK_WORDS = 4
-#: Elements of the arrays of one step.
-STEP = 1 << 20
+#: Elements of the arrays of one step; words that one task probes.
+STEP, TASK_WORDS = 1 << 20, 1 << 15
 _BASE, _LENGTH = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93  # odd numbers; any would do
 _LANES = np.random.default_rng(20260101).integers(0, 1 << 31, 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -201,6 +201,8 @@ def near_pairs(words: DataFrame, filter_bytes: int = FILTER_BYTES) -> DataFrame:
     alphabet = np.array(sorted(ord(r[0]) for r in letters if r[0]), dtype=np.uint32)
 
     whole = {shard: math.ceil(n / (LONG_BLOCK_WORDS if shard == LONG else BLOCK_WORDS)) for shard, n in counts.items()}
+    # a task's work is its words, few bytes each
+    probed = words.repartition(math.ceil(sum(counts.values()) / TASK_WORDS), "word") if counts else words
     parts = max(1, math.ceil(32 * sum(whole.values()) / filter_bytes))
     blocks = {shard: math.ceil(n / parts) for shard, n in whole.items()}
     found = None
@@ -216,7 +218,7 @@ def near_pairs(words: DataFrame, filter_bytes: int = FILTER_BYTES) -> DataFrame:
             filled[block[shards == shard]] = values[shards == shard]
             lanes[int(shard)] = filled.view("<u4")
         shared = spark.sparkContext.broadcast(lanes)
-        hits = words.mapInArrow(_probe(shared, alphabet, parts, part), "word string, n long, other string")
+        hits = probed.mapInArrow(_probe(shared, alphabet, parts, part), "word string, n long, other string")
         hits = materialize(hits, "edits") if parts > 1 else hits
         found = hits if found is None else found.union(hits)
     return found.join(words.select(F.col("word").alias("other"), F.col("n").alias("other_n")), "other").select(
