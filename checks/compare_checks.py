@@ -97,6 +97,34 @@ def compare_two_runs(spark, sf):
     return comparing.compare(runs, ["o_orderkey"], FIELDS).select("o_orderkey", "status")
 
 
+@registry.add(
+    with_extra(
+        RUNS, TIMELINE,
+        "SELECT k AS o_orderkey, status, ab AS a_to_b, bc AS b_to_c, ac AS a_to_c, array_to_string(events, ',') AS timeline_events, "
+        f"{', '.join(f'{f}_{x}' for f in FIELDS for x in 'abc')} FROM timeline WHERE status <> 'UNCHANGED'",
+    )
+)
+def compare_only_changes(spark, sf):
+    """Rows of key buckets with equal digests in all runs are not shuffled."""
+    runs = [derived(spark, sf, name) for name in RUNS]
+    found = comparing.compare(runs, ["o_orderkey"], FIELDS, only_changes=True).drop("present_in")
+    return found.withColumn("timeline_events", F.array_join("timeline_events", ","))
+
+
+@registry.add(
+    "SELECT CAST(l_orderkey AS VARCHAR) AS l_orderkey, CAST(l_linenumber AS VARCHAR) AS l_linenumber, "
+    "CASE WHEN l_orderkey % 10007 = 1 THEN 'REMOVED' ELSE 'CHANGED' END AS status FROM lineitem WHERE l_orderkey % 10007 IN (1, 2) "
+    "GROUP BY l_orderkey, l_linenumber"
+)
+def compare_slowly_changing_runs(spark, sf):
+    """Two runs of the lines of orders that differ in few orders; repeated keys have the same lines in both."""
+    lines = table(spark, sf, "lineitem")
+    changed = F.when(F.col("l_orderkey") % 10007 == 2, F.col("l_quantity") + 1).otherwise(F.col("l_quantity"))
+    runs = [lines, lines.where("l_orderkey % 10007 <> 1").withColumn("l_quantity", changed)]
+    found = comparing.compare(runs, ["l_orderkey", "l_linenumber"], ["l_quantity", "l_shipdate"], only_changes=True)
+    return found.select("l_orderkey", "l_linenumber", "status")
+
+
 @registry.add(
     with_inputs(
         RUNS[:2],

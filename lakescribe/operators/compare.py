@@ -84,6 +84,7 @@ def compare(
     definition: str | None = None,
     availability: Sequence[bool] | None = None,
     sequence: str | None = None,
+    only_changes: bool = False,
 ) -> DataFrame:
     """Full outer match of two or three runs on normalized keys.
 
@@ -91,6 +92,9 @@ def compare(
     runs or three. When a key repeats within a run the row with the highest ``sequence`` counts
     (without one, the highest values, so that the result does not depend on row order).
 
+    ``only_changes`` leaves out the keys whose status is UNCHANGED. The runs are then compared by digests
+    of key buckets first, and only rows of buckets that differ are shuffled (:func:`changed_buckets`).
+
     Per key: ``status``, the status of each interval, per field ``<f>_a`` …, per numeric field
     the differences and percents, and ``timeline_events`` for three runs.
     """
@@ -104,6 +108,10 @@ def compare(
         DataFrame.unionByName,
         [_tagged(df, label, spec, sequence, texts) for label, df in zip(labels, runs)],
     )
+    if only_changes and all(available.values()):
+        tagged = _in_buckets(tagged, spec.keys)
+        # a number per bucket, of which there are DIGEST_BUCKETS at most
+        tagged = tagged.join(F.broadcast(changed_buckets(tagged, len(runs))), "__bucket", "left_semi").drop("__bucket")
     grouped = tagged.groupBy(*spec.keys).agg(
         *[F.max(F.when(F.col("__run") == label, F.col("__record"))).alias(f"__{label}") for label in labels]
     )
@@ -129,10 +137,36 @@ def compare(
         F.array(*[F.when(F.col(f"__{label}").isNotNull(), label.upper()) for label in labels])
     )
     extra = ["timeline_events"] if len(labels) == 3 else []
-    return staged.select(
+    compared = staged.select(
         *spec.keys, status.alias("status"), *[name for name, _, _ in intervals], *extra,
         present.alias("present_in"), *[column.alias(name) for name, column in outputs.items()],
     )
+    return compared.where(F.col("status") != "UNCHANGED") if only_changes else compared
+
+
+DIGEST_BUCKETS = 1 << 16
+
+
+def _in_buckets(tagged: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return tagged.withColumn("__bucket", F.pmod(F.xxhash64(*keys), F.lit(DIGEST_BUCKETS)))
+
+
+def changed_buckets(tagged: DataFrame, runs: int) -> DataFrame:
+    """(__bucket): the key buckets whose rows are not the same in all of the runs.
+
+    A bucket is known by its number of rows and the sums of the halves of two 64-bit digests of its rows,
+    which do not depend on their order. Equal rows, repeated as often in every run, resolve to the
+    same record, so keys of equal buckets are unchanged. Sums of numbers are all that is grouped.
+    """
+    columns = [c for c in tagged.columns if c not in ("__run", "__bucket")]
+    one, two = F.xxhash64(*columns), F.xxhash64(F.lit("second"), *columns)
+    halves = {"d1": one.bitwiseAND(0xFFFFFFFF), "d2": F.shiftrightunsigned(one, 32),
+              "d3": two.bitwiseAND(0xFFFFFFFF), "d4": F.shiftrightunsigned(two, 32)}
+    rows = tagged.select("__run", "__bucket", *[h.alias(n) for n, h in halves.items()])
+    digests = rows.groupBy("__bucket", "__run").agg(F.count(F.lit(1)).alias("d0"), *[F.sum(n).alias(n) for n in halves])
+    names = ["d0", *halves]
+    same = reduce(Column.__and__, [F.min(n) == F.max(n) for n in names]) & (F.count(F.lit(1)) == runs)
+    return digests.groupBy("__bucket").agg(same.alias("same")).where("NOT same").select("__bucket")
 
 
 def _pair_status(left: str, right: str, fields: Sequence[str], available: Mapping[str, bool]) -> Column:

@@ -1,15 +1,18 @@
 """Distinct counts and value frequencies of all columns of a table in one shuffle each.
 
-Both work on the long form (column position, value). The long form is pre-aggregated in the map
-tasks, so a value that holds a third of all rows leaves each task once.
+All work on the long form (column position, value). The long form is pre-aggregated in the map
+tasks, so a value that holds a third of all rows leaves each task once. Where only columns of few
+values are wanted, a task stops counting a column at its first value too many.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions.types import col_of, is_profiled, text_form
 
@@ -89,3 +92,64 @@ def value_frequencies(df: DataFrame, columns: Sequence[str] | None = None) -> Da
         .agg(F.count(F.lit(1)).alias("value_count"))
         .select(F.get(names, F.col("position")).alias("column_name"), "value", "value_count")
     )
+
+
+#: Rows read in front of the scan; a column with too many values among them is left out of it.
+PROOF_ROWS = 4096
+
+
+def not_proven_above(df: DataFrame, columns: Sequence[str], limit: int) -> list[str]:
+    """The columns of which the first PROOF_ROWS rows show no more than ``limit`` distinct values."""
+    types = {f.name: f.dataType for f in df.schema.fields}
+    keys = [_count_key(name, types[name])[1].alias(f"c{i}") for i, name in enumerate(columns)]
+    rows = df.select(*keys).limit(PROOF_ROWS).toArrow() if keys else None
+    return [name for i, name in enumerate(columns) if pc.count_distinct(rows.column(i), mode="only_valid").as_py() <= limit]
+
+
+def _bounded_counts(width: int, limit: int):
+    """Rows of ``width`` texts as (position, value, value_count) of the task; a count of -1: too many values."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: list[dict[str | None, int] | None] = [{} for _ in range(width)]
+        for batch in batches:
+            for position, seen in enumerate(counts):
+                if seen is None:
+                    continue
+                found = pc.value_counts(batch.column(position))
+                if len(found) > limit + 1:
+                    counts[position] = None
+                    continue
+                for value, n in zip(found.field(0).to_pylist(), found.field(1).to_pylist()):
+                    seen[value] = seen.get(value, 0) + n
+                if len(seen) - (None in seen) > limit:
+                    counts[position] = None
+        rows = [(i, v, n) for i, seen in enumerate(counts) for v, n in ({None: -1} if seen is None else seen).items()]
+        kinds = (pa.int32(), pa.string(), pa.int64())
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["position", "value", "value_count"])
+
+    return run
+
+
+def bounded_frequencies(df: DataFrame, columns: Sequence[str], limit: int) -> DataFrame:
+    """(column_name, value, value_count) of the columns with at most ``limit`` distinct values, NULL apart.
+
+    One scan: every task counts at most ``limit`` + 1 values a column, and only those counts are shuffled;
+    a column that exceeds the limit in a task sends one row. Columns that the first rows prove to
+    exceed it are not read. Values are told apart by their text form.
+    """
+    types = {f.name: f.dataType for f in df.schema.fields}
+    names = not_proven_above(df, list(columns), limit)
+    if not names:
+        return df.sparkSession.createDataFrame([], "column_name string, value string, value_count bigint")
+    texts = df.select(*[text_form(col_of(name), types[name]).cast("string").alias(f"c{i}") for i, name in enumerate(names)])
+    counted = texts.mapInArrow(_bounded_counts(len(names), limit), "position int, value string, value_count bigint")
+    flagged = F.min("value_count") < 0
+    merged = counted.groupBy("position", "value").agg(F.sum("value_count").alias("value_count"), flagged.alias("too_many"))
+    # a column has at most limit + 1 rows from each task here
+    own = Window.partitionBy("position")
+    few = merged.select(
+        "*", F.max("too_many").over(own).alias("flagged"), F.count("value").over(own).alias("distinct_count"),
+    ).where(~F.col("flagged") & (F.col("distinct_count") <= limit))
+    listed = F.array(*[F.lit(name) for name in names])
+    return few.select(F.get(listed, F.col("position")).alias("column_name"), "value", "value_count")

@@ -12,7 +12,7 @@ from ..functions.types import (
     base_type_name, col_of, family_of, family_of_name, is_profiled, text_form, of_tables,
 )
 from ..policy import Policy
-from .frequency import distinct_counts, profiled_columns, value_frequencies
+from .frequency import bounded_frequencies, distinct_counts, profiled_columns
 
 PROFILE_COLUMNS = (
     "table_name", "column_name", "data_type", "profile_status", "total_rows", "non_null_count",
@@ -211,10 +211,14 @@ def _one_family(df, table_name, columns, family, measures) -> DataFrame:
 
 
 def low_cardinality_columns(df: DataFrame, limit: int, columns: Sequence[str] | None = None) -> list[str]:
-    """Names of the columns with at most ``limit`` distinct values (a result of schema width)."""
+    """Names of the columns with at most ``limit`` distinct values (a result of schema width).
+
+    A column without any row is not listed.
+    """
     columns = list(columns) if columns is not None else profiled_columns(df)
-    found = {r["position"]: r["distinct_count"] for r in distinct_counts(df, columns).collect()}
-    return [name for i, name in enumerate(columns) if found.get(i, 0) <= limit]
+    found = bounded_frequencies(df, columns, limit).select("column_name").distinct().collect()
+    listed = {r["column_name"] for r in found}
+    return [name for name in columns if name in listed]
 
 
 def low_cardinality_values(
@@ -226,26 +230,20 @@ def low_cardinality_values(
 ) -> DataFrame:
     """The full distribution of every column with at most ``limit`` distinct values.
 
-    The columns that qualify are found first (or taken from ``profile``), so the second scan reads
-    only them, and its shuffle carries at most ``limit`` + 1 values per column and task.
+    One scan counts and decides (:func:`bounded_frequencies`); with ``profile`` it reads the columns
+    that qualify only.
     """
+    names = list(columns) if columns is not None else profiled_columns(df)
     if profile is not None:
         rows = profile.where(
             (F.col("profile_status") == "PROFILED") & (F.col("distinct_count") <= limit)
         ).select("column_name").collect()
         listed = {r["column_name"] for r in rows}
         names = [c for c in profiled_columns(df) if c in listed]
-    else:
-        names = low_cardinality_columns(df, limit, columns)
-    if not names:
-        return df.sparkSession.createDataFrame(
-            [], "table_name string, column_name string, value string, value_count bigint, "
-            "total_rows bigint, value_percent double"
-        )
     # a column has at most limit + 1 rows here, so its window is small
     total = F.sum("value_count").over(Window.partitionBy("column_name"))
     return (
-        value_frequencies(df, names)
+        bounded_frequencies(df, names, limit)
         .withColumn("total_rows", total)
         .select(
             F.lit(table_name).alias("table_name"), "column_name", "value", "value_count",

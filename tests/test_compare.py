@@ -89,6 +89,30 @@ def test_diffs_that_do_not_fit(diff, spark):
     assert [r[0] for r in texts.select(C.patched(F.col("t"), F.col("d"))).collect()] == [None, "a\nb", ""]
 
 
+def test_only_changes(spark):
+    rng = random.Random(2)
+    rows = [(f"K{rng.randrange(60)}", rng.choice([None, "1", "2"]), i) for i in range(150)]
+    runs = [spark.createDataFrame(x, "k string, v string, n int") for x in (rows, rows[:140][::-1], rows[:100] + rows[100:] + [("É1", "x", 1)])]
+    for number in (2, 3):
+        for order in (None, "n"):
+            whole = C.compare(runs[:number], ["k"], ["v"], sequence=order)
+            few = C.compare(runs[:number], ["k"], ["v"], sequence=order, only_changes=True)
+            assert few.columns == whole.columns
+            assert sorted(map(str, few.collect())) == sorted(map(str, whole.where("status <> 'UNCHANGED'").collect()))
+    # the same rows in another order differ in no bucket; pairs of equal rows do not cancel out
+    keys = C._in_buckets(C._tagged(runs[0], "a", C.CompareSpec(("k",), ("v",)), None, ["v"]), ["k"])
+    again = keys.withColumn("__run", F.lit("b"))
+    assert C.changed_buckets(keys.unionAll(again.orderBy(F.desc("k"))), 2).count() == 0
+    assert C.changed_buckets(keys.unionAll(again).unionAll(again), 2).count() == C.changed_buckets(keys, 2).count() > 0
+    pair = lambda k: run(spark, ("k", "v"), (k, "1"), (k, "1"))
+    assert statuses(C.compare([pair("x"), pair("y")], ["k"], ["v"], only_changes=True), "k") == {"x": "REMOVED", "y": "ADDED"}
+    assert C.compare([runs[0], runs[0]], ["k"], ["v"], only_changes=True).count() == 0
+    plan = C.changed_buckets(keys.unionAll(again), 2)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "Sort " not in plan
+    unavailable = C.compare(runs[:2], ["k"], ["v"], availability=(True, False), only_changes=True)
+    assert {r["status"] for r in unavailable.collect()} == {"NOT_COMPARABLE"}
+
+
 def test_all_timelines(spark):
     names = ("name", "v")
     a = run(spark, names, ("remove_b", "1"), ("remove_c", "1"), ("both", "1"), ("revert", "1"), ("same", None))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F, types as T
 
 from lakescribe.functions.types import family_of, family_of_name
 from lakescribe.operators import profile
+from lakescribe.operators import frequency
 from lakescribe.operators.frequency import distinct_counts, value_frequencies
 from lakescribe.policy import Policy
 
@@ -81,6 +82,28 @@ def test_distribution_counts_null_as_a_value(spark):
     assert profile.low_cardinality_values(df, "t", 1).collect() == []
 
 
+def test_bounded_frequencies_equal_counting(spark, monkeypatch):
+    monkeypatch.setattr(frequency, "PROOF_ROWS", 20)
+    i = F.col("id")
+    df = spark.range(0, 4000, 1, 7).select(
+        F.when(i % 3 == 0, 0).otherwise(i % 5).alias("few"), (i / 500).cast("int").alias("sorted"), (i % 11).alias("eleven"), i.alias("key"),
+        F.when(i < 3990, F.lit("x")).otherwise(i.cast("string")).alias("late"), F.lit(None).cast("string").alias("none"),
+        F.when(i % 2 == 0, float("nan")).otherwise(F.when(i % 3 == 0, -0.5)).alias("real"), F.concat(F.repeat(F.lit("long "), 40), (i % 3).cast("string")).alias("long"),
+        (i % 2 == 0).alias("flag"), F.when(i % 4 > 0, i % 10).alias("ten"), F.expr("timestamp_seconds(id % 4)").alias("at"))
+    for limit in (1, 2, 4, 8, 10):
+        wanted = {}
+        for name in df.columns:
+            rows = df.groupBy(df[name].cast("string").alias("v")).count().collect()
+            if sum(r["v"] is not None for r in rows) <= limit:
+                wanted |= {(name, r["v"]): r["count"] for r in rows}
+        found = frequency.bounded_frequencies(df, df.columns, limit).collect()
+        assert {(r["column_name"], r["value"]): r["value_count"] for r in found} == wanted and len(found) == len(wanted)
+    assert "key" not in frequency.not_proven_above(df, df.columns, 10)
+    empty = df.limit(0)
+    assert frequency.bounded_frequencies(empty, df.columns, 3).count() == 0 and profile.low_cardinality_columns(empty, 3) == []
+    assert profile.low_cardinality_columns(df, 8, ["key", "sorted", "eleven"]) == ["sorted"]
+
+
 def test_distribution_from_a_profile(spark):
     df = spark.createDataFrame([(1, "x"), (2, "x"), (3, "y")], "a int, b string")
     known = profile.column_profile(df, "t")
