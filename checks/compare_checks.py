@@ -516,23 +516,35 @@ def file_inventory(spark, sf):
     return readers.file_inventory(spark, sf).drop("path")
 
 
-@registry.add("SELECT unnest(['ADDED', 'CHANGED', 'REMOVED', 'UNCHANGED']) AS status, unnest([1, 1, 1, 3])::BIGINT AS files")
+#: Customers, and documents, whose rows make one file; so the number of files follows the tables.
+CUSTOMERS_A_FILE, DOCUMENTS_A_FILE = 15, 40
+
+
+def _artifacts(rows: DataFrame, label: str, order: str) -> DataFrame:
+    """The inventory of files written from (part, value) rows, one file a part, named by it."""
+    spark = rows.sparkSession
+    folder = fresh_folder(spark, label)
+    rows.repartition("part").sortWithinPartitions("part", order).select("part", "value").write.partitionBy("part").text(folder)
+    found = readers.file_inventory(spark, folder, whole=1 << 12).where(F.col("file_name").startswith("part-"))
+    return found.withColumn("file_name", F.regexp_extract("path", "part=([0-9]+)/", 1))
+
+
+@registry.add(
+    f"""WITH parts AS (SELECT DISTINCT o_custkey // {CUSTOMERS_A_FILE} AS part FROM orders)
+SELECT CAST(part AS VARCHAR) AS file_name, CASE WHEN part % 7 = 3 THEN 'ADDED' WHEN part % 11 = 4 THEN 'REMOVED' WHEN part % 5 = 2 THEN 'CHANGED' ELSE 'UNCHANGED' END AS status
+FROM parts WHERE part % 7 <> 3 OR part % 11 <> 4"""
+)
 def inventory_changed(spark, sf):
-    """Two folders of artifacts: three files as they were, one changed, one added and one gone."""
-    folders = []
-    for n, names in enumerate((("a", "b", "c", "d", "gone"), ("a", "b", "c", "d", "new"))):
-        folder = fresh_folder(spark, f"artifacts-{n}")
-        for name in names:
-            rows = table(spark, sf, "orders").agg(F.count(F.lit(1)).alias("n"), F.sum("o_custkey").alias("s"))
-            text = F.concat_ws(" ", F.lit(name), "n", "s", F.lit("again" if (n, name) == (1, "d") else ""))
-            rows.select(text.alias("value")).coalesce(1).write.text(f"{folder}/{name}")
-        folders.append(folder)
-    inventories = [
-        readers.file_inventory(spark, folder).where(F.col("file_name").startswith("part-"))
-        .withColumn("file_name", F.element_at(F.split("path", "/"), -2)) for folder in folders
-    ]
-    found = comparing.compare(inventories, ["file_name"], ["bytes", "sha256"])
-    return found.groupBy("status").agg(F.count(F.lit(1)).alias("files"))
+    """Two runs of files of orders: some files are added, some gone, and in some one line differs."""
+    orders = table(spark, sf, "orders").withColumn("part", F.expr(f"o_custkey div {CUSTOMERS_A_FILE}"))
+    line = F.concat_ws("|", "o_orderkey", "o_custkey", "o_orderstatus")
+    # the changed files have a line of their own at the end
+    ends = orders.where("part % 5 = 2").groupBy("part").agg(F.max("o_orderkey").alias("o_orderkey")).select(
+        "part", (F.col("o_orderkey") + 1).alias("o_orderkey"), F.lit("one more line").alias("value"))
+    plain = orders.select("part", "o_orderkey", line.alias("value"))
+    before, after = plain.where("part % 7 <> 3"), plain.unionByName(ends).where("part % 11 <> 4")
+    runs = [_artifacts(rows, label, "o_orderkey") for label, rows in (("before", before), ("after", after))]
+    return comparing.compare(runs, ["file_name"], ["bytes", "sha256"]).select("file_name", "status")
 
 
 @registry.add(
@@ -584,17 +596,14 @@ def export_comparison(spark, sf):
 
 
 @registry.add(
-    "SELECT CAST(doc_id % 8 AS VARCHAR) AS file_name, sha256(string_agg(to_base64(encode(coalesce(text, ''))) || chr(10), '' ORDER BY doc_id)) AS sha256 FROM documents GROUP BY 1"
+    f"SELECT CAST(doc_id // {DOCUMENTS_A_FILE} AS VARCHAR) AS file_name, sha256(string_agg(to_base64(encode(coalesce(text, ''))) || chr(10), '' ORDER BY doc_id)) AS sha256 FROM documents GROUP BY 1"
 )
 def inventory_of_written_texts(spark, sf):
-    """Texts written as files, one line a document; their hashes are those of the lines."""
-    folder = fresh_folder(spark, "texts")
-    line = F.base64(F.encode(F.coalesce("text", F.lit("")), "utf-8"))
-    documents = table(spark, sf, "documents").select(
-        (F.col("doc_id") % 8).alias("part"), "doc_id", F.regexp_replace(line, "\\s", "").alias("value"))
-    documents.repartition(8, "part").sortWithinPartitions("part", "doc_id").select("part", "value").write.partitionBy("part").text(folder)
-    found = readers.file_inventory(spark, folder).where(F.col("file_name").startswith("part-"))
-    return found.select(F.regexp_extract("path", "part=([0-9]+)/", 1).alias("file_name"), "sha256")
+    """Texts written as files, one line a document; their hashes, of values and of streams, are those of the lines."""
+    line = F.regexp_replace(F.base64(F.encode(F.coalesce("text", F.lit("")), "utf-8")), "\\s", "")
+    part = F.expr(f"doc_id div {DOCUMENTS_A_FILE}")
+    documents = table(spark, sf, "documents").select(part.alias("part"), "doc_id", line.alias("value"))
+    return _artifacts(documents, "texts", "doc_id").select("file_name", "sha256")
 
 
 @registry.add(

@@ -41,6 +41,22 @@ def glob_to_regex(glob: str) -> str:
     return r"\A(?s:" + "".join(out) + r")\z"
 
 
+def glob_runs(glob: str) -> list[str]:
+    """The literal stretches of a shell-style glob, between the marks ^ and $ of its two ends."""
+    runs, i = [""], 0
+    while i < len(glob):
+        char = glob[i]
+        close = glob.find("]", i + 2) if char == "[" else -1
+        if char in "*?" or close > 0:
+            runs.append("")
+            i = max(i, close)
+        else:
+            runs[-1] += char
+        i += 1
+    runs[0], runs[-1] = "^" + runs[0], runs[-1] + "$"
+    return runs
+
+
 def contains_any(column: Column, markers: Iterable[str]) -> Column:
     lowered = F.lower(column)
     test = F.lit(False)

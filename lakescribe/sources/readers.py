@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator, Mapping, Sequence
+import hashlib
+import re
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 from functools import reduce
+from typing import BinaryIO
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
@@ -185,17 +189,63 @@ def run_statuses(manifests: DataFrame, expected_stages: int = 0) -> DataFrame:
     )
 
 
-def file_inventory(spark: SparkSession, path: str) -> DataFrame:
-    """(file_name, bytes, sha256) of every file below a directory of artifacts.
+#: Files up to so many bytes are hashed as one value; larger ones by chunks of CHUNK bytes of a stream.
+WHOLE_FILE, CHUNK = 64 << 20, 8 << 20
 
-    Each file is hashed in one task as a whole, so a single file must fit the 2 GB a value can hold;
-    larger ones stop the job rather than being hashed in part.
+
+def open_file(path: str) -> BinaryIO:
+    """A stream of a file: local paths, and those of file systems that Arrow knows (hdfs, s3, gs, abfs)."""
+    scheme, found, rest = path.partition(":")
+    if found and scheme == "file":
+        return open(re.sub("^/{2,}", "/", rest), "rb")
+    if not found:
+        return open(path, "rb")
+    from pyarrow import fs
+
+    system, inside = fs.FileSystem.from_uri(quote(path, safe=":/@"))
+    return system.open_input_stream(inside)
+
+
+def _digests(opened: Callable[[str], BinaryIO]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            digests = []
+            for path in batch.column("path").to_pylist():
+                digest = hashlib.sha256()
+                with opened(path) as stream:
+                    while chunk := stream.read(CHUNK):
+                        digest.update(chunk)
+                digests.append(digest.hexdigest())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(digests, pa.string())], [*batch.schema.names, "sha256"])
+
+    return run
+
+
+def file_inventory(
+    spark: SparkSession, path: str, whole: int = WHOLE_FILE, opened: Callable[[str], BinaryIO] = open_file
+) -> DataFrame:
+    """(file_name, path, bytes, sha256) of every file below a directory of artifacts.
+
+    Files of at most ``whole`` bytes are read by Spark and hashed as values. Larger ones, of any size, are
+    streams: a task updates the digest chunk by chunk, so its memory does not follow the file. Each is a
+    task of its own. ``opened`` opens their path where Arrow has no file system for it.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return files.select(
-        F.element_at(F.split("path", "/"), -1).alias("file_name"), "path",
-        F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"),
-    )
+    named = [F.element_at(F.split("path", "/"), -1).alias("file_name"), F.col("path"), F.col("length").alias("bytes")]
+    small = files.where(F.col("length") <= whole).select(*named, F.sha2("content", 256).alias("sha256"))
+    large = files.where(F.col("length") > whole).select(*named)  # the content is not read
+    schema = "file_name string, path string, bytes long, sha256 string"
+    parts, lengths = [small], files.agg(F.count(F.lit(1)), F.count_if(F.col("length") > whole)).first()
+    if lengths[1]:
+        parts.append(large.repartition(lengths[1], "path").mapInArrow(_digests(opened), schema))
+    listed = files.inputFiles()
+    if len(listed) > lengths[0]:  # scans leave out files without a byte
+        paths = spark.createDataFrame([(re.sub("^file:///", "file:/", unquote(f)),) for f in listed], "path string")
+        empty = paths.join(files.select("path"), "path", "left_anti")
+        parts.append(empty.select(
+            F.element_at(F.split("path", "/"), -1).alias("file_name"), "path", F.lit(0).cast("long").alias("bytes"),
+            F.lit(hashlib.sha256().hexdigest()).alias("sha256")))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def export_comparison(compared: DataFrame, spec: CompareSpec, path: str) -> None:

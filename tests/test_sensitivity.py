@@ -231,3 +231,30 @@ def test_failure_texts(spark):
     df = spark.createDataFrame([("HYT00 query timeout",), ("SELECT permission denied",), ("invalid object",)], "m string")
     assert [r[0] for r in df.select(sampling.sample_failure_status(F.col("m"))).collect()] == ["FAILED_TIMEOUT", "INACCESSIBLE", "FAILED_QUERY"]
     assert [r[0] for r in df.select(sampling.is_access_limitation(F.col("m"))).collect()] == [False, True, False]
+
+
+def test_indexed_rules_equal_conditions(spark, monkeypatch):
+    import random
+
+    rng = random.Random(12)
+    words = ["id", "name", "user", "é", "no", "x", "a[b", "order", "_", "[a-c]", "[!u]", "?", "*", "**", "1", "Status"]
+    make = lambda n: "".join(rng.choice(words) for _ in range(rng.randrange(n)))
+    wild = lambda n: rng.choice(["*", "", make(n), make(n)])
+    rules = [
+        sensitivity.OverrideRule(rng.choice(["*", "*", "sh*", "shop"]), wild(3), wild(4), wild(5), rng.choice(["exact", "pattern", "pattern"]),
+                                 rng.choice(["PII", "Health"]), reason=f"r{i}") for i in range(300)]
+    names = [(rng.choice(["dbo", "ref", None, "x"]), make(4), make(5)) for _ in range(250)]
+    rules += [sensitivity.OverrideRule("*", "*", t or "*", c or "*", "exact", reason="own") for _, t, c in names[:20]]
+    columns = spark.createDataFrame([(*n, "k") for n in [*names, names[0]]], "schema_name string, object_name string, column_name string, key string")
+    for chosen in (rules, rules[:40], rules[-20:], rules[150:]):
+        done = []
+        for most in (0, 10_000):
+            monkeypatch.setattr(sensitivity, "INLINE_RULES", most)
+            filled = columns.fillna("")
+            found = sensitivity.classify_columns(filled, chosen, database="Shop")
+            assert found.columns == [*columns.columns, *sensitivity.CLASS_FIELDS]
+            done.append(sorted(map(str, found.collect())))
+        assert done[0] == done[1]
+    monkeypatch.setattr(sensitivity, "INLINE_RULES", 0)
+    plans = [sensitivity.classify_columns(columns, rules * n)._jdf.queryExecution().optimizedPlan().toString() for n in (1, 9)]
+    assert len(plans[1]) < 1.5 * len(plans[0])

@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -75,6 +76,30 @@ def test_metrics_are_exact(spark):
     assert plan.count("Scan") == 1 and "Exchange" not in plan
 
 
+def test_large_files_are_hashed_by_chunks(spark, tmp_path, monkeypatch):
+    import hashlib
+
+    rng = random.Random(3)
+    wanted = {}
+    for name, size in (("empty", 0), ("small", 9), ("edge", 1 << 12), ("a b%20é", 100_000), ("deep/large", 300_001)):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(rng.randbytes(size))
+        wanted[name.split("/")[-1]] = (size, hashlib.sha256((tmp_path / name).read_bytes()).hexdigest())
+    for whole in (0, 1 << 12, 1 << 30):
+        found = readers.file_inventory(spark, str(tmp_path), whole=whole).collect()
+        assert {r["bytes"]: r["sha256"] for r in found} == dict(wanted.values())
+    # a sparse file beyond what one value can hold
+    with open(tmp_path / "huge", "wb") as file:
+        file.truncate((2 << 30) + 5)
+    huge = readers.file_inventory(spark, str(tmp_path)).where("file_name = 'huge'").first()
+    digest = hashlib.sha256()
+    for _ in range(256):
+        digest.update(bytes(8 << 20))
+    digest.update(bytes(5))
+    assert (huge["bytes"], huge["sha256"]) == ((2 << 30) + 5, digest.hexdigest())
+    assert readers.open_file(str(tmp_path / "small")).read() == readers.open_file(f"file://{tmp_path}/small").read()
+
+
 def test_jdbc_sends_only_reads(spark):
     with pytest.raises(ValueError, match="only read"):
         readers.read_catalogue_jdbc(spark, "jdbc:none:none", "WITH x AS (SELECT 1 AS n) DELETE FROM x", "n int")
