@@ -493,11 +493,11 @@ def run_statuses(spark, sf):
 
 @registry.add(
     "\nUNION ALL\n".join(
-        f"SELECT '{t}' AS table_name, '{t}.parquet' AS file_name, count(*) AS row_count FROM {t}" for t in ("orders", "lineitem", "documents")
+        f"SELECT '{t}' AS table_name, '{t}.parquet' AS file_name, count(*) AS row_count FROM {t}" for t in TABLES
     )
 )
 def partition_row_counts(spark, sf):
-    parts = [workspace.partition_row_counts(table(spark, sf, t), t) for t in ("orders", "lineitem", "documents")]
+    parts = [workspace.partition_row_counts(table(spark, sf, t), t) for t in TABLES]
     return reduce(DataFrame.unionAll, parts).drop("compression")
 
 
@@ -547,22 +547,29 @@ def inventory_changed(spark, sf):
     return comparing.compare(runs, ["file_name"], ["bytes", "sha256"]).select("file_name", "status")
 
 
+_FOUND = "CASE WHEN count(*) > 0 THEN '{0}' ELSE '{1}' END"
+
+
 @registry.add(
     "\nUNION ALL\n".join(
-        f"SELECT '{t}' AS source_name, CASE WHEN count(*) > 0 THEN 'PRESENT' ELSE 'ABSENT' END AS status, count(*) AS row_count FROM {t}" for t in ("orders", "pages")
+        f"SELECT '{t}' AS source_name, {_FOUND.format('PRESENT', 'ABSENT')} AS status, count(*) AS row_count, "
+        f"{_FOUND.format('CATALOG_QUERY_RETURNED_ROWS', 'CATALOG_QUERY_RETURNED_ZERO_ROWS')} AS evidence, false AS has_detail FROM {t}" for t in TABLES
     )
-    + " UNION ALL SELECT 'nothing', 'ABSENT', 0 UNION ALL SELECT 'gone', 'UNSUPPORTED', 0 UNION ALL SELECT 'off', 'DISABLED', 0"
+    + " UNION ALL SELECT 'nothing', 'ABSENT', 0, 'CATALOG_QUERY_RETURNED_ZERO_ROWS', false UNION ALL SELECT 'gone', 'UNSUPPORTED', 0, 'CATALOG_NOT_SUPPORTED', true "
+    "UNION ALL SELECT 'off', 'DISABLED', 0, 'EXPLICIT_CONFIGURATION', false UNION ALL SELECT 'closed', 'INACCESSIBLE', 0, 'CATALOG_QUERY_ACCESS_ERROR', true"
 )
 def source_availability(spark, sf):
-    found = workspace.source_availability(
-        spark,
-        {
-            "orders": lambda: table(spark, sf, "orders"), "pages": lambda: table(spark, sf, "pages"),
-            "nothing": lambda: table(spark, sf, "orders").where("o_orderkey < 0"),
-            "gone": lambda: table(spark, sf, "no_such_table"), "off": None,
-        },
-    )
-    return found.select("source_name", "status", "row_count")
+    """All tables, an empty source, one that is not there, one switched off and one that may not be opened."""
+
+    def closed():
+        raise PermissionError("permission was denied")
+
+    sources = {t: lambda t=t: table(spark, sf, t) for t in TABLES} | {
+        "nothing": lambda: table(spark, sf, "orders").where("o_orderkey < 0"),
+        "gone": lambda: table(spark, sf, "no_such_table"), "off": None, "closed": closed,
+    }
+    found = workspace.source_availability(spark, sources)
+    return found.select("source_name", "status", "row_count", "evidence", (F.length("detail") > 0).alias("has_detail"))
 
 
 @registry.add(

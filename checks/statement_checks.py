@@ -388,6 +388,37 @@ def flow_catalogue(spark, sf):
     )
 
 
+_HUB_TARGETS = 40
+
+
+@registry.add(
+    f"""WITH refs AS (SELECT concat('hub_', o_custkey % 3) AS o, CASE WHEN o_orderkey % 4 = 0 THEN 'WRITE' ELSE 'READ' END AS operation, concat('T', o_orderkey // 2) AS target FROM orders
+  UNION ALL SELECT concat('small_', o_custkey), 'READ', concat('T', o_orderkey % 5) FROM orders),
+targets AS (SELECT DISTINCT o, operation, concat('dbo.', target) AS target FROM refs),
+counts AS (SELECT o, operation, count(*) AS n FROM targets GROUP BY 1, 2)
+SELECT concat('dbo.', t.o) AS origin, CASE WHEN count(DISTINCT t.operation) = 2 THEN 'LIKELY_PIPELINE' ELSE 'CONFIRMED_DEPENDENCY' END AS classification,
+  string_agg(CASE WHEN t.operation = 'READ' THEN target END, ', ' ORDER BY target) AS reads, string_agg(CASE WHEN t.operation = 'WRITE' THEN target END, ', ' ORDER BY target) AS writes,
+  bool_or(n > {_HUB_TARGETS}) AS in_several_rows, true AS rows_are_short FROM targets AS t JOIN counts AS c ON c.o = t.o AND c.operation = t.operation GROUP BY t.o"""
+)
+def flow_catalogue_of_hubs(spark, sf):
+    """Objects of which three refer to a third of all orders each: their rows together list all targets."""
+    text = lambda value: F.lit(value)
+    orders = table(spark, sf, "orders")
+    hub = F.struct(F.concat(text("hub_"), F.col("o_custkey") % 3).alias("o"), F.when(F.col("o_orderkey") % 4 == 0, "WRITE").otherwise("READ").alias("operation"),
+                   F.concat(text("T"), F.expr("o_orderkey div 2")).alias("target"))
+    small = F.struct(F.concat(text("small_"), "o_custkey").alias("o"), text("READ").alias("operation"), F.concat(text("T"), F.col("o_orderkey") % 5).alias("target"))
+    refs = orders.select(F.inline(F.array(hub, small))).select(
+        text("dbo").alias("source_schema"), F.col("o").alias("source_object"), "operation", text("").alias("target_database"),
+        text("dbo").alias("target_schema"), F.col("target").alias("target_object"))
+    flags = refs.limit(0).select(F.col("source_schema").alias("schema_name"), F.col("source_object").alias("object_name"), F.lit(False).alias("dynamic_sql_present"))
+    found = lineage.flow_catalogue(refs, flags, derived(spark, sf, "dependencies").limit(0), targets_a_row=_HUB_TARGETS)
+    lists = [F.array_compact(F.flatten(F.collect_list(F.filter(F.split(c, ", "), lambda x: ~x.isin("UNKNOWN", ""))))) for c in ("source", "destination")]
+    short = F.max(F.greatest(F.size(F.split("source", ", ")), F.size(F.split("destination", ", ")))) <= 3 * _HUB_TARGETS
+    joined = [F.nullif(F.array_join(F.sort_array(x), ", "), F.lit("")) for x in lists]
+    return found.groupBy("origin", "classification").agg(
+        joined[0].alias("reads"), joined[1].alias("writes"), (F.count(F.lit(1)) > 1).alias("in_several_rows"), short.alias("rows_are_short"))
+
+
 @registry.add(
     with_extra(
         ("statements", "dependencies", "synonyms"), FLAGS,

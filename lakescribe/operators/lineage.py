@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fixed_values as fixed
+from ..sources.shared import materialize
 from ..functions.text import is_present, is_true
 
 EDGE_KEY = ("source_schema", "source_object", "target_database", "target_schema", "target_object")
@@ -61,34 +62,46 @@ def merge_dependencies(catalogue: DataFrame, references: DataFrame) -> DataFrame
     return merged.withColumn("target_server", hidden_server(F.col("target_server")))
 
 
+def _text_class(text: Column) -> Column:
+    """The strongest thing a statement does with columns anywhere in its text."""
+    return (
+        F.when(text.rlike(r"(?i)\b(SUM|AVG|MIN|MAX|COUNT)\s*\("), "AGGREGATED")
+        .when(text.rlike(r"(?i)\bCASE\b"), "CONDITIONAL")
+        .when(text.rlike(r"[+*/-]"), "DERIVED").otherwise("UNKNOWN")
+    )
+
+
 def catalogue_column_lineage(
     dependencies: DataFrame, columns: DataFrame, definitions: DataFrame
 ) -> DataFrame:
-    """Lineage rows of dependency edges; the source column is looked up by table and ordinal."""
+    """Lineage rows of dependency edges; the source column is looked up by table and ordinal.
+
+    What a text does is read off where it stands; edges are joined with that, not with texts. If an object
+    has several texts, the one with the largest digest counts.
+    """
     names = columns.select(
         F.col("schema_name").alias("source_schema"), F.col("object_name").alias("source_object"),
         F.col("column_id").cast("int").alias("__column_id"), F.col("column_name").alias("source_column"),
     )
-    texts = definitions.groupBy(
-        F.col("schema_name").alias("source_schema"), F.col("object_name").alias("source_object")
-    ).agg(F.max("definition_sanitized").alias("__text"))
+    text = F.coalesce("definition_sanitized", F.lit(""))
+    classes = definitions.select(
+        F.col("schema_name").alias("source_schema"), F.col("object_name").alias("source_object"),
+        F.struct(F.sha2(text, 256).alias("digest"), _text_class(text).alias("kind")).alias("__text"),
+    ).groupBy("source_schema", "source_object").agg(F.max("__text").getField("kind").alias("__kind"))
     joined = (
         dependencies.withColumn("__column_id", F.col("source_column_id").try_cast("int"))
         .join(names, ["source_schema", "source_object", "__column_id"], "left")
-        .join(texts, ["source_schema", "source_object"], "left")
+        .join(classes, ["source_schema", "source_object"], "left")
     )
     column = F.col("target_column")
-    known, text = is_present(column), F.coalesce("__text", F.lit(""))
+    known = is_present(column)
     identified = is_present(F.col("referenced_id"))
     operation = F.col("operation") if "operation" in dependencies.columns else F.lit(None)
     evidence = F.col("evidence") if "evidence" in dependencies.columns else F.lit(None)
     return joined.withColumns(
         {
             "lineage_type": F.when(F.col("source_column").isNotNull() & known, "DIRECT")
-            .when(known & text.rlike(r"(?i)\b(SUM|AVG|MIN|MAX|COUNT)\s*\("), "AGGREGATED")
-            .when(known & text.rlike(r"(?i)\bCASE\b"), "CONDITIONAL")
-            .when(known & text.rlike(r"[+*/-]"), "DERIVED")
-            .otherwise("UNKNOWN"),
+            .when(known, F.coalesce("__kind", F.lit("UNKNOWN"))).otherwise("UNKNOWN"),
             "source_column": F.coalesce("source_column", F.lit("")),
             "relationship": F.coalesce(F.nullif(operation, F.lit("")), F.lit("REFERENCE")),
             "evidence": F.coalesce(F.nullif(evidence, F.lit("")), F.lit("CATALOGUE_DEPENDENCY")),
@@ -195,51 +208,73 @@ FLOW_COLUMNS = (
 )
 
 
+#: Targets of one operation that one row of an object lists, about.
+TARGETS_A_ROW = 5000
+
+
 def flow_catalogue(
-    references: DataFrame, flags: DataFrame, dependencies: DataFrame, job_edges: DataFrame | None = None
+    references: DataFrame, flags: DataFrame, dependencies: DataFrame, job_edges: DataFrame | None = None,
+    targets_a_row: int = TARGETS_A_ROW,
 ) -> DataFrame:
     """Where data flows from and to: per statement object its distinct sources, destinations and
     calls; edges of objects without static references; job step edges.
 
     References are made distinct before they are listed, so an object's row is as long as its
-    different targets, not its mentions.
+    different targets, not its mentions. An object with more than ``targets_a_row`` targets of one operation is
+    a hub: its targets are dealt by a digest to several rows, each in order, so no row grows without
+    bound. What a hub's row has none of, but the hub has, is empty; all else is said of the whole object.
     """
     source = ["source_schema", "source_object"]
     names = [F.nullif(text_of(f"target_{p}"), F.lit("")) for p in ("database", "schema", "object")]
-    distinct = references.select(*source, "operation", F.concat_ws(".", *names).alias("target")).distinct()
+    # read by the hubs, the rows and the objects left to the catalogue: searched for once
+    distinct = materialize(
+        references.select(*source, "operation", F.concat_ws(".", *names).alias("target")).distinct(), "targets")
     target = F.col("target")
+    hubs = distinct.groupBy(*source, "operation").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > targets_a_row).groupBy(
+        *source).agg(F.ceil(F.max("n") / targets_a_row).alias("__rows"))
 
     def listed(operation: str) -> Column:
         chosen = F.collect_list(F.when(F.col("operation") == operation, target))
         return F.nullif(F.array_join(F.sort_array(chosen), ", "), F.lit("")).alias(operation)
 
-    dots = F.length("target") - F.length(F.replace(F.col("target"), F.lit("."), F.lit("")))
-    grouped = distinct.groupBy(*source).agg(
-        listed("READ"), listed("WRITE"), listed("CALL"),
-        F.max(dots >= 2).alias("external_dependency"),
+    def has(operation: str) -> Column:
+        return F.max(F.col("operation") == operation).alias(f"has_{operation}")
+
+    dots = F.length("target") - F.length(F.replace(target, F.lit("."), F.lit("")))
+    dealt = distinct.join(hubs, source, "left").withColumn(
+        "__row", F.when(F.col("__rows").isNotNull(), F.pmod(F.xxhash64("target"), "__rows")).otherwise(0))
+    rows = dealt.groupBy(*source, "__row").agg(
+        listed("READ"), listed("WRITE"), listed("CALL"), has("READ"), has("WRITE"), has("CALL"),
+        F.max(dots >= 2).alias("external_dependency"), F.max(F.col("__rows").isNotNull()).alias("hub"),
     )
+    whole = ["has_READ", "has_WRITE", "has_CALL", "external_dependency"]
+    # rows of hubs only: few, as each stands for many targets
+    of_hubs = rows.where("hub").groupBy(*source).agg(*[F.max(c).alias(f"whole_{c}") for c in whole])
+    grouped = rows.join(of_hubs, source, "left").withColumns({c: F.coalesce(f"whole_{c}", c) for c in whole})
     dynamic_objects = flags.groupBy(
         F.col("schema_name").alias(source[0]), F.col("object_name").alias(source[1])
     ).agg(F.max("dynamic_sql_present").alias("dynamic"))
     dynamic = F.coalesce("dynamic", F.lit(False))
-    flow = F.col("READ").isNotNull() & F.col("WRITE").isNotNull()
     unknown = F.lit("UNKNOWN")
+
+    def shown(operation: str, nothing: str) -> Column:
+        return F.coalesce(operation, F.when(F.col(f"has_{operation}"), "").otherwise(nothing))
+
     static = grouped.join(dynamic_objects, source, "left").select(
         F.concat_ws(".", *source).alias("origin"),
-        F.coalesce("READ", unknown).alias("source"),
-        F.concat(F.lit("STATIC_SQL_OBJECT; calls="), F.coalesce("CALL", F.lit("none"))).alias("transformation"),
-        F.coalesce("WRITE", unknown).alias("destination"),
+        shown("READ", "UNKNOWN").alias("source"),
+        F.concat(F.lit("STATIC_SQL_OBJECT; calls="), shown("CALL", "none")).alias("transformation"),
+        shown("WRITE", "UNKNOWN").alias("destination"),
         unknown.alias("schedule"),
         F.lit("STATIC DEFINITION TOKEN ANALYSIS").alias("read_write_evidence"),
         "external_dependency",
-        F.when(dynamic, "DYNAMIC_SQL_OPAQUE").when(flow, "LIKELY_PIPELINE")
+        F.when(dynamic, "DYNAMIC_SQL_OPAQUE").when(F.col("has_READ") & F.col("has_WRITE"), "LIKELY_PIPELINE")
         .otherwise("CONFIRMED_DEPENDENCY").alias("classification"),
         F.when(dynamic, "LOW").otherwise("MEDIUM").alias("confidence"),
         F.lit("INFERENCE").alias("evidence_class"),
     )
     identified = is_present(F.col("referenced_id"))
-    # the sources of the rows above: their shuffle is shared, not done twice
-    catalogued = dependencies.join(grouped.select(*source), source, "left_anti").select(
+    catalogued = dependencies.join(distinct.select(*source), source, "left_anti").select(
         F.concat(text_of("source_schema"), F.lit("."), text_of("source_object")).alias("origin"),
         F.concat(text_of("target_schema"), F.lit("."), text_of("target_object")).alias("source"),
         F.col("source_type").alias("transformation"), unknown.alias("destination"),

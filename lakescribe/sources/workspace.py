@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Mapping
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
-from pyspark.errors import AnalysisException, PySparkException
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions import fixed_values as fixed
@@ -205,36 +206,60 @@ def availability_of_error(message: Column) -> Column:
     return F.when(missing, "UNSUPPORTED").otherwise("INACCESSIBLE")
 
 
+#: Sources that are opened, or counted one by one, at a time.
+OPENERS = 8
+
+
+def _error_row(name: str, error: Exception) -> tuple:
+    text = str(error)
+    gone = any(m in text.lower() for m in fixed.UNSUPPORTED_MARKERS + ("path_not_found", "table_or_view_not_found"))
+    status = "UNSUPPORTED" if gone else "INACCESSIBLE"
+    return name, status, 0, "CATALOG_NOT_SUPPORTED" if gone else "CATALOG_QUERY_ACCESS_ERROR", text
+
+
+def _attempt(action: Callable):
+    """(result, None) or (None, error) of an access to a source."""
+    try:
+        return action(), None
+    except (PySparkException, OSError) as error:  # an error is part of the answer
+        return None, error
+
+
 def source_availability(
     spark: SparkSession, sources: Mapping[str, Callable[[], DataFrame] | None]
 ) -> DataFrame:
     """PRESENT, ABSENT, INACCESSIBLE, UNSUPPORTED or DISABLED for each named source.
 
     A source is a function that opens it, or None where it is switched off. ABSENT takes a
-    successful read of zero rows. Reads run one after another: an error is part of the answer.
+    successful read of zero rows. OPENERS threads open the sources; those that open are counted
+    in one job. Only if that fails are they counted one by one, to tell which cannot be read.
     """
-    rows = []
-    for name, opener in sources.items():
-        if opener is None:
-            rows.append((name, "DISABLED", 0, "EXPLICIT_CONFIGURATION", ""))
-            continue
-        try:
-            count = opener().count()
-        except (AnalysisException, PySparkException, OSError) as error:
-            text = str(error)
-            gone = any(
-                m in text.lower()
-                for m in fixed.UNSUPPORTED_MARKERS + ("path_not_found", "table_or_view_not_found")
-            )
-            status = "UNSUPPORTED" if gone else "INACCESSIBLE"
-            evidence = "CATALOG_NOT_SUPPORTED" if gone else "CATALOG_QUERY_ACCESS_ERROR"
-            rows.append((name, status, 0, evidence, text))
-        else:
-            found = count > 0
-            rows.append(
-                (
-                    name, "PRESENT" if found else "ABSENT", count,
-                    "CATALOG_QUERY_RETURNED_ROWS" if found else "CATALOG_QUERY_RETURNED_ZERO_ROWS", "",
-                )
-            )
+    rows = [(name, "DISABLED", 0, "EXPLICIT_CONFIGURATION", "") for name, opener in sources.items() if opener is None]
+    opened = {}
+    with ThreadPoolExecutor(OPENERS) as pool:
+        named = [(name, opener) for name, opener in sources.items() if opener is not None]
+        for (name, _), (df, error) in zip(named, pool.map(lambda item: _attempt(item[1]), named)):
+            if error is None:
+                opened[name] = df
+            else:
+                rows.append(_error_row(name, error))
+        counts, error = _attempt(lambda: _counted(opened))
+        if error is not None:
+            counts = {}
+            for name, (count, error) in zip(opened, pool.map(lambda df: _attempt(df.count), opened.values())):
+                if error is None:
+                    counts[name] = count
+                else:
+                    rows.append(_error_row(name, error))
+    for name, count in counts.items():
+        found = ("PRESENT", count, "CATALOG_QUERY_RETURNED_ROWS") if count else ("ABSENT", 0, "CATALOG_QUERY_RETURNED_ZERO_ROWS")
+        rows.append((name, *found, ""))
     return spark.createDataFrame(rows, AVAILABILITY_SCHEMA)
+
+
+def _counted(opened: Mapping[str, DataFrame]) -> dict[str, int]:
+    """Rows of every source, by one job."""
+    if not opened:
+        return {}
+    parts = [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n") for name, df in opened.items()]
+    return {r["name"]: r["n"] for r in reduce(DataFrame.unionAll, parts).collect()}  # a row per source
