@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from lakescribe.functions import fixed_values as fixed
 from lakescribe.operators import jobs, lineage, statements
+from lakescribe.plans import discovery
+from lakescribe.sources.workspace import Workspace
 
 from .inputs import Registry, derived, table, with_inputs
 from .sensitivity_checks import redact_sql
@@ -467,6 +469,33 @@ def view_sample_eligibility(spark, sf):
 
 
 
+_RUN_TABLES = ("nation", "region", "customer", "supplier", "orders")
+
+
+@registry.add(
+    with_extra(
+        ("statements", "dependencies", "job_steps"), _STATEMENT_REFS,
+        "SELECT 'tables_discovered' AS metric, CAST(5 AS BIGINT) AS value UNION ALL SELECT 'tables_profiled', 5 UNION ALL SELECT 'samples_attempted', 5 "
+        "UNION ALL SELECT 'sample_status_SAMPLED', 5 UNION ALL SELECT 'column_profile_rows', "
+        + " + ".join(f"(SELECT count(*) FROM (DESCRIBE {t}))" for t in _RUN_TABLES)
+        + " UNION ALL SELECT 'programmable_objects', count(*) FROM statements "
+        "UNION ALL SELECT 'dynamic_sql_objects', count(*) FILTER (dynamic_sql_present) FROM flags "
+        "UNION ALL SELECT 'READ', count(*) FROM refs WHERE operation = 'READ' UNION ALL SELECT 'WRITE', count(*) FROM refs WHERE operation = 'WRITE' "
+        "UNION ALL SELECT 'CALL', count(*) FROM refs WHERE operation = 'CALL' UNION ALL SELECT 'jobs', count(*) FROM job_steps",
+    )
+)
+def discovery_run(spark, sf):
+    """One run over tables and programs together: what its summaries count."""
+    found = discovery.discover(
+        Workspace(spark, {t: table(spark, sf, t) for t in _RUN_TABLES}, name="Shop", schema_name="dbo"), "salt",
+        logic=discovery.Logic(derived(spark, sf, "statements"), derived(spark, sf, "dependencies"), None, derived(spark, sf, "job_steps")))
+    wanted = ("tables_discovered", "tables_profiled", "samples_attempted", "sample_status_SAMPLED", "column_profile_rows", "programmable_objects")
+    dynamic = found["quality_summary"].where("metric = 'dynamic_sql_objects'")
+    operations = found["object_references"].groupBy(F.col("operation").alias("metric")).agg(F.count(F.lit(1)).alias("value"))
+    jobs_seen = found["database_summary"].where("metric = 'jobs'")
+    return found["coverage_summary"].where(F.col("metric").isin(*wanted)).unionAll(dynamic).unionAll(operations).unionAll(jobs_seen)
+
+
 @registry.add("SELECT concat('p', o_orderkey) AS source_object, CASE WHEN o_orderkey % 2 = 0 THEN 'WRITE' ELSE 'READ' END AS operation FROM orders")
 def merge_reads_and_writes(spark, sf):
     """Statements that read, write and call one target: a write counts before a read, a read before a call."""

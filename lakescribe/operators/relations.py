@@ -269,43 +269,103 @@ RELATION_FIELDS = (
 )
 
 
+COUNTS = ("source_rows", "null_source_values", "source_distinct_values", "orphan_rows")
+
+
 def validate_relationships(
     tables: Mapping[str, DataFrame],
     relationships: Sequence[Mapping[str, str]],
     sizes: Mapping[str, int | None] | None = None,
     row_limit: int | None = None,
 ) -> DataFrame:
-    """J1 for a list of relationships (RELATION_FIELDS), one row each.
+    """J1 for a list of relationships (RELATION_FIELDS), one row each, in the order of the list.
+
+    Relationships between whole numbers, and those between texts, are validated together: every table is
+    read once as a source and once as a target of each kind, and one join meets all keys. The plan
+    grows with the tables, not with the relationships. Other pairs of types are joined by themselves.
 
     Relationships marked ``composite`` and tables not known to be within ``row_limit`` are not
     scanned; their counts stay NULL under the status that says why.
     """
-    parts = []
-    for relation in relationships:
+    spark = next(iter(tables.values())).sparkSession
+    listed, scanned = [], []
+    for number, relation in enumerate(relationships):
         within = row_limit is None or all(
             (sizes or {}).get(relation[side]) is not None and sizes[relation[side]] <= row_limit
             for side in ("source_table", "target_table")
         )
         known = relation["source_table"] in tables and relation["target_table"] in tables
-        labels = [F.lit(relation.get(f)).cast("string").alias(f) for f in RELATION_FIELDS]
         if relation.get("composite"):
             status = "COMPOSITE_RELATIONSHIP_NOT_SCANNED_PER_COLUMN"
         else:
             status = "DATA_VALIDATED" if within and known else "SKIPPED_FOR_SAFETY_OR_ACCESS"
         if status == "DATA_VALIDATED":
-            counts = validate_relationship(
-                tables[relation["source_table"]], relation["source_column"],
-                tables[relation["target_table"]], relation["target_column"],
-            )
+            scanned.append((number, relation))
+        listed.append((number, *[relation.get(f) for f in RELATION_FIELDS], status))
+    names = ", ".join(f"{f} string" for f in RELATION_FIELDS)
+    labels = spark.createDataFrame(listed, f"number int, {names}, validation_status string")
+    empty = spark.createDataFrame([], "number int, " + ", ".join(f"{c} long" for c in COUNTS))
+    # one row per relationship
+    counts = reduce(DataFrame.unionByName, [empty, *_counted_together(tables, scanned)])
+    joined = labels.join(F.broadcast(counts), "number", "left").orderBy("number")
+    return _validated(joined.select(*RELATION_FIELDS, *COUNTS, "validation_status"))
+
+
+def _kind(data_type: T.DataType) -> str:
+    """Columns of one kind are compared in one form: whole numbers, texts; others by themselves."""
+    if isinstance(data_type, T.IntegralType):
+        return "bigint"
+    return "string" if isinstance(data_type, T.StringType) else ""
+
+
+def _counted_together(
+    tables: Mapping[str, DataFrame], relations: Sequence[tuple[int, Mapping[str, str]]]
+) -> list[DataFrame]:
+    parts, groups = [], {}
+    for number, relation in relations:
+        kinds = {
+            _kind(tables[relation[f"{side}_table"]].schema[relation[f"{side}_column"]].dataType) for side in ("source", "target")}
+        if len(kinds) == 1 and "" not in kinds:
+            groups.setdefault(kinds.pop(), []).append((number, relation))
         else:
-            counts = next(iter(tables.values())).sparkSession.range(1).select(
-                *[
-                    F.lit(None).cast("bigint").alias(c)
-                    for c in ("source_rows", "null_source_values", "source_distinct_values", "orphan_rows")
-                ]
-            )
-        parts.append(counts.select(*labels, "*", F.lit(status).alias("validation_status")))
-    return _validated(reduce(DataFrame.unionAll, parts))
+            counts = validate_relationship(
+                tables[relation["source_table"]], relation["source_column"], tables[relation["target_table"]], relation["target_column"])
+            parts.append(counts.select(F.lit(number).alias("number"), *COUNTS))
+    return [*parts, *[_counted_group(tables, kind, group) for kind, group in groups.items()]]
+
+
+def _counted_group(
+    tables: Mapping[str, DataFrame], kind: str, relations: Sequence[tuple[int, Mapping[str, str]]]
+) -> DataFrame:
+    """Counts of relationships whose keys are of one kind."""
+    targets: dict[tuple[str, str], int] = {}
+    for _, relation in relations:
+        targets.setdefault((relation["target_table"], relation["target_column"]), len(targets))
+
+    def long_form(entries: Sequence[tuple[str, str, tuple[int, ...]]], fields: tuple[str, ...]) -> DataFrame:
+        """Every table once: its columns as rows (fields, key), counted by key."""
+        parts = []
+        for table in dict.fromkeys(t for t, _, _ in entries):
+            own = [(column, ids) for t, column, ids in entries if t == table]
+            values = [v for column, ids in own for v in (*map(F.lit, ids), col_of(column).cast(kind))]
+            parts.append(tables[table].select(F.stack(F.lit(len(own)), *values).alias(*fields, "key")))
+        return reduce(DataFrame.unionAll, parts).groupBy(*fields, "key")
+
+    sources = [
+        (r["source_table"], r["source_column"], (number, targets[r["target_table"], r["target_column"]])) for number, r in relations]
+    keys = long_form(sources, ("number", "target")).agg(F.count(F.lit(1)).alias("rows"))
+    known = long_form([(t, c, (i,)) for (t, c), i in targets.items()], ("target",)).agg(F.lit(True).alias("found")).where("key IS NOT NULL")
+    rows, filled = F.col("rows"), F.col("key").isNotNull()
+
+    def total(test: Column) -> Column:
+        return F.coalesce(F.sum(F.when(test, rows)), F.lit(0).cast("bigint"))
+
+    # a table without rows has no key: its relationships count nothing
+    numbers = tables[relations[0][1]["source_table"]].sparkSession.createDataFrame([(n,) for n, _ in relations], "number int")
+    counted = keys.join(known, ["target", "key"], "left").groupBy("number").agg(
+        F.sum("rows").alias("source_rows"), total(~filled).alias("null_source_values"), F.count("key").alias("source_distinct_values"),
+        total(filled & F.col("found").isNull()).alias("orphan_rows"))
+    return numbers.join(counted, "number", "left").select("number", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in COUNTS])
 
 
 def _validated(rows: DataFrame) -> DataFrame:

@@ -102,6 +102,30 @@ def test_unscanned_relationships_say_why(spark):
     assert over["validation_status"] == "SKIPPED_FOR_SAFETY_OR_ACCESS"
 
 
+def test_relationships_together_equal_one_by_one(spark):
+    import random
+
+    rng = random.Random(4)
+    schema = "k int, `odd name` bigint, t string, d double, at timestamp, empty string"
+    make = lambda n, top: spark.createDataFrame(
+        [(*[rng.choice([None, rng.randrange(top)]) for _ in range(2)], rng.choice([None, "", str(rng.randrange(top))]), float(rng.randrange(top)), None, None)
+         for _ in range(n)], schema)
+    tables = {"a": make(60, 9), "b": make(30, 12), "none": make(5, 3).limit(0), "hot": make(40, 1)}
+    columns = ("k", "odd name", "t", "d", "at", "empty")
+    listed = [
+        {"source_table": s, "source_column": c, "target_table": t, "target_column": e, "classification": "SCHEMA_INFERRED"}
+        for s in tables for t in tables for c in columns for e in columns if (c, e) in (
+            ("k", "k"), ("k", "odd name"), ("odd name", "k"), ("t", "t"), ("t", "empty"), ("empty", "t"), ("k", "d"), ("d", "d"), ("at", "at"))]
+    found = relations.validate_relationships(tables, listed).collect()
+    assert len(found) == len(listed)
+    for relation, row in zip(listed, found):
+        one = relations.validate_relationship(tables[relation["source_table"]], relation["source_column"], tables[relation["target_table"]], relation["target_column"])
+        assert tuple(row[c] for c in relations.COUNTS) == tuple(one.first()), relation
+    size = lambda n: len(relations.validate_relationships(tables, [r for r in listed if r["source_column"] == "k" and r["target_column"] == "k"] * n)
+                         ._jdf.queryExecution().optimizedPlan().toString().split("\n"))
+    assert size(5) == size(1)
+
+
 @pytest.mark.parametrize("rows, unique", [
     ([1, 2, 3], True), ([1, 1, 5], False), ([1, None, 3], False), ([3, 3, 3, 4], False), ([], True),
 ])

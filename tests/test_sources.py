@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lakescribe import Policy, Workspace
 from lakescribe.operators import browse
-from lakescribe.plans.discovery import discover, samples
+from lakescribe.plans.discovery import JOB_STEP_SCHEMA, STATEMENT_SCHEMA, Logic, discover, samples
 from lakescribe.sources import readers, shared, workspace
 
 
@@ -201,3 +201,46 @@ def test_discovery(spark):
     assert status == {"people": "PROFILED", "visits": "SKIPPED_FOR_SAFETY_LARGE_TABLE"}
     drawn = samples(ws, "salt", Policy(sample_rows=3), {"people": ["person_id"]})
     assert drawn["people"].count() == 3 and drawn["people"].first()["contact"].startswith("[MASKED:")
+
+
+def test_discovery_of_programs_and_gates(spark):
+    people = spark.createDataFrame([(i, f"p{i}@example.test", i % 2) for i in range(20)], "person_id int, contact string, kind int")
+    visits = spark.createDataFrame([(i, (i % 25) if i % 7 else None) for i in range(100)], "visit_id int, person_id int")
+    ws = Workspace(spark, {"people": people, "visits": visits}, name="Clinic", schema_name="m")
+    texts = [
+        ("m", "busy", "VIEW", "SELECT SUM(p.kind) AS n FROM m.people AS p JOIN m.visits v ON v.person_id = p.person_id"),
+        ("m", "load", "PROCEDURE", "INSERT INTO m.visits SELECT 1 FROM Other.m.source; EXEC m.next"),
+        ("m", "opaque", "PROCEDURE", "EXEC (@q)"), ("m", "away", "VIEW", "SELECT 1 FROM srv.Other.m.t"), ("m", "lost", "VIEW", None),
+    ]
+    steps = [("Nightly", 1, "copy", "TSQL", "INSERT INTO m.visits SELECT * FROM m.people", "Clinic", "Daily")]
+    logic = Logic(spark.createDataFrame(texts, STATEMENT_SCHEMA), None, None, spark.createDataFrame(steps, JOB_STEP_SCHEMA))
+    keys = spark.createDataFrame([("m", "people", "pk", 1, "person_id", False)], workspace.PRIMARY_KEY_SCHEMA)
+    found = discover(ws, "salt", Policy(sample_rows=5, profile_row_limit=50, sample_large_tables=False), primary_keys=keys, logic=logic)
+    rows = {name: df.collect() for name, df in found.items()}
+    by = lambda name, key, value: {r[key]: r[value] for r in rows[name]}
+    assert {(r["source_object"], r["target_column"], r["lineage_type"]) for r in rows["column_references"]} >= {("busy", "kind", "AGGREGATED")}
+    assert {(r["source_object"], r["operation"], r["target_object"]) for r in rows["object_references"]} >= {
+        ("busy", "READ", "people"), ("load", "WRITE", "visits"), ("load", "CALL", "next")}
+    flows = by("flows", "origin", "classification")
+    assert flows["m.load"] == "LIKELY_PIPELINE" and any("Nightly" in str(r) for r in rows["flows"])
+    assert {r["source_object"] for r in rows["external_references"]} == {"load", "away"}
+    eligible = by("view_eligibility", "object_name", "status")
+    assert set(eligible) == {"busy", "away", "lost"} and eligible["away"].startswith("SKIPPED") and eligible["lost"].startswith("SKIPPED")
+    # a table over the limit is neither profiled nor joined nor sampled
+    assert by("column_profiles", "table_name", "profile_status") == {"people": "PROFILED", "visits": "SKIPPED_FOR_SAFETY_LARGE_TABLE"}
+    assert {r["analysis_status"] for r in rows["orphan_analysis"]} <= {"SKIPPED_FOR_SAFETY_OR_ACCESS"}
+    assert by("sample_plan", "object_name", "status") == {"people": "READY", "visits": "SKIPPED_LARGE_TABLE_SAMPLING_DISABLED"}
+    assert by("sample_plan", "object_name", "ordering_strategy")["people"] == "PRIMARY_KEY"
+    assert [r["person_id"] for r in rows["sample of people"]] == list("01234") and "sample of visits" not in rows
+    assert [(r["table_name"], r["returned_rows"]) for r in rows["sample_index"]] == [("people", 5)]
+    kinds = {(r["category"], r["object_context"]) for r in rows["risks"]}
+    assert {("Dynamic SQL", "m.opaque"), ("Static Analysis", "m.lost"), ("External Dependency", "m.away"), ("Coverage", "visits.visit_id"),
+            ("Structure", "m.visits")} <= kinds
+    assert by("quality_summary", "metric", "value")["dynamic_sql_objects"] == 1
+    coverage = by("coverage_summary", "metric", "value")
+    assert (coverage["tables_profiled"], coverage["programmable_objects"], coverage["samples_attempted"]) == (1, 5, 1)
+    assert coverage["lineage_edges"] == len(rows["lineage"]) == by("database_summary", "metric", "value")["lineage"] > 5
+    assert "example.test" not in str(rows)
+    nothing = discover(ws, "salt", Policy(sample_tables=False), skip=["people", "visits"])
+    assert nothing["low_cardinality_values"].count() == 0 and nothing["sample_index"].count() == 0
+    assert {r["profile_status"] for r in nothing["column_profiles"].collect()} == {"SKIPPED_FOR_SAFETY_LARGE_TABLE"}
