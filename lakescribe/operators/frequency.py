@@ -102,8 +102,10 @@ def not_proven_above(df: DataFrame, columns: Sequence[str], limit: int) -> list[
     """The columns of which the first PROOF_ROWS rows show no more than ``limit`` distinct values."""
     types = {f.name: f.dataType for f in df.schema.fields}
     keys = [_count_key(name, types[name])[1].alias(f"c{i}") for i, name in enumerate(columns)]
-    rows = df.select(*keys).limit(PROOF_ROWS).toArrow() if keys else None
-    return [name for i, name in enumerate(columns) if pc.count_distinct(rows.column(i), mode="only_valid").as_py() <= limit]
+    # collected, a limit reads one partition after another until it has its rows
+    rows = df.select(*keys).limit(PROOF_ROWS).collect() if keys else []
+    seen = [{row[i] for row in rows} - {None} for i in range(len(columns))]
+    return [name for name, values in zip(columns, seen) if len(values) <= limit]
 
 
 def _bounded_counts(width: int, limit: int):
