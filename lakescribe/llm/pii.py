@@ -8,11 +8,15 @@ identifiers that confident patterns introduce are added as spans of kind ``conte
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakescribe.sources.shared import materialize
 
+from .quality import let
+
 #: Fixed patterns. The possessive forms match what the plain ones do, without recursion or retries:
 #: behind each of them no text is left to match that it could have given back.
 EMAIL = r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)++"
@@ -20,32 +24,64 @@ IP = r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 KINDS = ("email", "ip", "card", "phone")
-#: Candidates: a token that holds a digit; two and more tokens of digits and marks, as numbers are grouped.
-TOKEN = r"[^\s0-9]*+[0-9]\S*+"
+#: Candidates: a word that holds a digit; two and more words of digits and marks, as numbers are grouped.
+WORD, TOKEN = r"\S++", r"[^\s0-9]*+[0-9]\S*+"
 NUMBERS = r"(?<!\S)[(+]*+[0-9][0-9().+/-]*+(?:\x20++[(]*+[0-9][0-9().+/-]*+(?!\p{Punct}*+[^\s\p{Punct}]))++"
 
 
-def _spans(text: Column, pattern: str, kind: str, value_too: bool = False) -> Column:
-    """All matches as (kind, begin, end, value), code points, leftmost and not overlapping.
+def scan(values: Column, combine, levels: int = 8, width: int = 8) -> Column:
+    """Running results: item i becomes combine(items 0 to i), by looking back further from level to level.
+
+    combine takes a list of which some are null (there is nothing further back). Every level reads `width`
+    items each, so n items take n log n steps and no array grows step by step; width**levels items at most.
+    """
+    def back(step: int):
+        return lambda v: F.when(F.size(v) <= step, v).otherwise(
+            F.transform(v, lambda x, i: combine([x, *[F.get(v, i - k * step) for k in range(1, width)]])))
+
+    for level in range(levels):
+        values = let(values, back(width**level))
+    return values
+
+
+def _running_sums(values: Column) -> Column:
+    return scan(values, lambda items: reduce(Column.__add__, [F.coalesce(x, F.lit(0)) for x in items]))
+
+
+def _ranks(values: Column, asked: Column, or_equal: bool) -> Column:
+    """For every number asked for how many of the values are below it, or equal to it too; by one sort of both."""
+    value_tag, asked_tag = (0, 1) if or_equal else (1, 0)
+    both = F.concat(
+        F.transform(values, lambda v: F.struct(v.cast("long").alias("at"), F.lit(value_tag).alias("tag"), F.lit(-1).alias("i"))),
+        F.transform(asked, lambda q, i: F.struct(q.cast("long").alias("at"), F.lit(asked_tag).alias("tag"), i.alias("i"))))
+
+    def counted(items: Column) -> Column:
+        return let(_running_sums(F.transform(items, lambda x: (x["i"] < 0).cast("int"))), lambda sums: F.transform(
+            F.sort_array(F.filter(
+                F.transform(items, lambda x, j: F.struct(x["i"].alias("i"), F.get(sums, j).alias("n"))), lambda x: x["i"] >= 0)),
+            lambda x: x["n"]))
+
+    return F.when(F.size(values) == 0, F.transform(asked, lambda q: F.lit(0))).otherwise(let(F.sort_array(both), counted))
+
+
+def _spans(text: Column, pattern: str) -> Column:
+    """All matches as (begin, end, value), code points, leftmost and not overlapping.
 
     Matches and the texts between them alternate, so places are running sums of lengths.
     """
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    none = F.array().cast("array<struct<kind:string,begin:long,end:long,value:string>>")
-    steps = F.arrays_zip(found.alias("value"), F.slice(gaps, F.lit(1), F.size(found)).alias("gap"))
-    walked = F.aggregate(
-        steps, F.struct(F.lit(0).cast("long").alias("at"), none.alias("spans")),
-        lambda a, x: F.struct(
-            (a["at"] + F.length(x["gap"]) + F.length(x["value"])).cast("long").alias("at"),
-            F.concat(a["spans"], F.array(F.struct(
-                F.lit(kind).alias("kind"), (a["at"] + F.length(x["gap"])).cast("long").alias("begin"),
-                (a["at"] + F.length(x["gap"]) + F.length(x["value"])).cast("long").alias("end"), x["value"].alias("value"),
-            ))).alias("spans"),
-        ),
-        lambda a: a["spans"],
-    )
-    return F.when(F.size(found) == 0, none).otherwise(walked)
+    parts = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("gaps"))
+
+    def placed(x: Column) -> Column:
+        lengths = F.transform(x["found"], lambda value, i: F.length(value) + F.length(F.get(x["gaps"], i)))
+        return let(_running_sums(lengths), lambda ends: F.transform(x["found"], lambda value, i: F.struct(
+            (F.get(ends, i) - F.length(value)).cast("long").alias("begin"), F.get(ends, i).cast("long").alias("end"), value.alias("value"))))
+
+    none = F.array().cast("array<struct<begin:long,end:long,value:string>>")
+    return let(parts, lambda x: F.when(F.size(x["found"]) == 0, none).otherwise(placed(x)))
+
+
+def _of_kind(spans: Column, kind: str) -> Column:
+    return F.transform(spans, lambda s: F.struct(F.lit(kind).alias("kind"), s["begin"].alias("begin"), s["end"].alias("end"), s["value"].alias("value")))
 
 
 def _luhn(digits: Column) -> Column:
@@ -74,27 +110,61 @@ def _phone_is_right(span: Column) -> Column:
     return F.length(_digits(span["value"])).between(9, 15)
 
 
-def base_spans(text: Column) -> dict[str, Column]:
-    """For each base kind its spans in a text that is not null."""
-    return {
-        "email": F.when(F.contains(text, F.lit("@")), _spans(text, EMAIL, "email")).otherwise(F.array()),
-        "ip": F.filter(_spans(text, IP, "ip"), _ip_is_right),
-        "card": F.filter(_spans(text, CARD, "card"), _card_is_right),
-        "phone": F.when(F.contains(text, F.lit("+")), F.filter(_spans(text, PHONE, "phone"), _phone_is_right)).otherwise(F.array()),
-    }
+def base_spans(text: Column) -> Column:
+    """The spans of base kinds in a text that is not null, by kind, then begin: (kind, begin, end, value)."""
+    none = F.array().cast("array<struct<kind:string,begin:long,end:long,value:string>>")
+    return F.concat(
+        F.when(F.contains(text, F.lit("@")), _of_kind(_spans(text, EMAIL), "email")).otherwise(none),
+        _of_kind(F.filter(_spans(text, IP), _ip_is_right), "ip"), _of_kind(F.filter(_spans(text, CARD), _card_is_right), "card"),
+        F.when(F.contains(text, F.lit("+")), _of_kind(F.filter(_spans(text, PHONE), _phone_is_right), "phone")).otherwise(none),
+    )
+
 
+def _free(spans: Column, begun: Column, ended: Column) -> Column:
+    """Spans that overlap no base span: as many of these begin in front of their end as end in front of their begin."""
+    return F.filter(spans, lambda s, i: F.get(begun, i) == F.get(ended, i))
 
-def _written(spans: Column) -> Column:
-    return F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["begin"], s["end"]))
+
+def _near(words: Column, spans: Column, places: Column, seed: bool) -> Column:
+    """Spans as (begin, end, value, glued, before, seed); places: how many words begin up to their begin.
+
+    glued: what stands in front of a seed in its word; before: the two words in front of that, empty if there are fewer.
+    """
+
+    def token(span: Column, at: Column) -> Column:
+        own = F.get(words, at)
+        glued = F.substring(own["value"], F.lit(1), (span["begin"] - own["begin"]).cast("int")) if seed else F.lit("")
+        before = F.when(at >= 2, F.array(F.get(words, at - 2)["value"], F.get(words, at - 1)["value"]))
+        return F.struct(
+            span["begin"].alias("begin"), span["end"].alias("end"), span["value"].alias("value"), glued.alias("glued"),
+            F.coalesce(before, F.array().cast("array<string>")).alias("before"), F.lit(seed).alias("seed"))
+
+    return F.transform(spans, lambda s, i: token(s, F.get(places, i) - 1))
+
+
+def _begins(spans: Column | str) -> Column:
+    return F.transform(spans, lambda s: s["begin"])
+
+
+def _ends(spans: Column | str) -> Column:
+    return F.transform(spans, lambda s: s["end"])
+
+
+#: Rows with so many spans at most read the contexts off the text itself, which for a few costs less than all words.
+FEW_SPANS = 48
 
 
 def _words(text: Column) -> Column:
     return F.filter(F.split(text, r"\s+", -1), lambda x: x != "")
 
 
+def _in_front(text: Column, at: Column, window: int) -> Column:
+    return F.substring(text, F.greatest(at - window + 1, F.lit(1)).cast("int"), F.least(at, F.lit(window)).cast("int"))
+
+
 def _words_before(text: Column, at: Column, window: int = 200) -> Column:
     """The two last whole words before a place, in an array; empty if there are fewer."""
-    near = _words(F.substring(text, F.greatest(at - window + 1, F.lit(1)).cast("int"), F.least(at, F.lit(window)).cast("int")))
+    near = _words(_in_front(text, at, window))
     # the first word of a window can be cut; with fewer than three the whole text in front is read
     whole = (at <= window) | (F.size(near) >= 3)
     return F.slice(F.when(whole, near).otherwise(_words(F.substring(text, F.lit(1), at.cast("int")))), -2, 2)
@@ -103,27 +173,45 @@ def _words_before(text: Column, at: Column, window: int = 200) -> Column:
 def _glued(text: Column, at: Column, window: int = 200) -> Column:
     """What stands in front of a place without a blank between."""
     last = lambda t: F.element_at(F.split(t, r"\s", -1), -1)
-    near = last(F.substring(text, F.greatest(at - window + 1, F.lit(1)).cast("int"), F.least(at, F.lit(window)).cast("int")))
+    near = last(_in_front(text, at, window))
     return F.when(F.length(near) < window, near).otherwise(last(F.substring(text, F.lit(1), at.cast("int"))))
 
 
-def _candidates(text: Column) -> Column:
-    """Tokens with a digit and runs of numbers as (begin, end, value, glued, before)."""
-    spans = F.concat(_spans(text, TOKEN, "context"), _spans(text, NUMBERS, "context"))
-    return F.transform(spans, lambda s: F.struct(
-        s["begin"].alias("begin"), s["end"].alias("end"), s["value"].alias("value"), F.lit("").alias("glued"),
-        _words_before(text, s["begin"]).alias("before"),
-    ))
+def _read_off(text: Column, candidates: Column, base: Column) -> Column:
+    """What `_near` gives for the free candidates and for base, from the text itself."""
+
+    def token(span: Column, glued: Column, seed: bool) -> Column:
+        return F.struct(
+            span["begin"].alias("begin"), span["end"].alias("end"), span["value"].alias("value"), glued.alias("glued"),
+            _words_before(text, span["begin"] - F.length(glued)).alias("before"), F.lit(seed).alias("seed"))
+
+    free = F.filter(candidates, lambda t: ~F.exists(base, lambda s: (s["begin"] < t["end"]) & (s["end"] > t["begin"])))
+    seeds = F.transform(base, lambda s: F.struct(s.alias("span"), _glued(text, s["begin"]).alias("glued")))
+    return F.concat(F.transform(free, lambda s: token(s, F.lit(""), False)), F.transform(seeds, lambda x: token(x["span"], x["glued"], True)))
+
 
+def _with_tokens(df: DataFrame) -> DataFrame:
+    """(doc, text) with text_name, base and tokens: seeds, and the candidates that touch no base span.
 
-def _seeds(text: Column, base: Column) -> Column:
-    """Base spans, whole, as (begin, end, value, glued, before); before: the words in front of what is glued to it."""
-    glued = F.transform(base, lambda s: F.struct(s["begin"].alias("begin"), s["end"].alias("end"), s["value"].alias("value"),
-                                                 _glued(text, s["begin"]).alias("glued")))
-    return F.transform(glued, lambda s: F.struct(
-        s["begin"].alias("begin"), s["end"].alias("end"), s["value"].alias("value"), s["glued"].alias("glued"),
-        _words_before(text, s["begin"] - F.length(s["glued"])).alias("before"),
-    ))
+    Seeds are base spans as wholes; candidates are words with a digit and runs of numbers. With more than FEW_SPANS of them
+    the words are found once and contexts are read off by index; a few are looked up in the text. The results are the same,
+    and either way the work follows the length of the text. Each step names what the next one reads, so nothing is worked out twice.
+    """
+    df = df.select("doc", "text", F.xxhash64("text").alias("text_name"), base_spans(F.col("text")).alias("base"),
+                   F.concat(_spans(F.col("text"), TOKEN), _spans(F.col("text"), NUMBERS)).alias("candidates"))
+    df = df.select("*", (F.size("base") + F.size("candidates") > FEW_SPANS).alias("many"))
+    many = lambda value: F.when(F.col("many"), value)
+    df = df.select(
+        "*", many(_spans(F.col("text"), WORD)).alias("words"), many(_ranks(_begins("base"), _ends("candidates"), False)).alias("begun"),
+        many(_ranks(_ends("base"), _begins("candidates"), True)).alias("ended"))
+    df = df.select("*", many(let(F.struct("candidates", "begun", "ended"), lambda x: _free(x["candidates"], x["begun"], x["ended"]))).alias("free"))
+    df = df.select(
+        "*", many(_ranks(_begins("words"), _begins("free"), True)).alias("own"), many(_ranks(_begins("words"), _begins("base"), True)).alias("seeds"))
+    by_index = let(F.struct("words", "base", "free", "own", "seeds"), lambda x: F.concat(
+        _near(x["words"], x["free"], x["own"], False), _near(x["words"], x["base"], x["seeds"], True)))
+    few = let(F.struct("text", "candidates", "base"), lambda x: _read_off(x["text"], x["candidates"], x["base"]))
+    bare = F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), s["begin"].alias("begin"), s["end"].alias("end")))
+    return df.select("doc", "text_name", bare.alias("base"), F.when(F.col("many"), by_index).otherwise(few).alias("tokens"))
 
 
 def _edges(tokens: DataFrame, least_length: int, least_digits: int) -> DataFrame:
@@ -187,20 +275,7 @@ def find_personal_data(
     """
     text = F.coalesce(F.col(text_column), F.lit(""))
     df = docs.select(F.col(id_column).alias("doc"), text.alias("text"))
-    df = df.select("doc", "text", F.xxhash64("text").alias("text_name"), *[
-        spans.alias(kind) for kind, spans in base_spans(F.col("text")).items()])
-    df = df.withColumn("base", F.concat(*KINDS)).withColumn(
-        "_candidates", _candidates(F.col("text"))).withColumn("_seeds", _seeds(F.col("text"), F.col("base")))
-    found = df.select(
-        "doc", "text_name",
-        F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), s["begin"].alias("begin"), s["end"].alias("end"))).alias("base"),
-        F.concat(
-            F.transform(F.filter("_candidates", lambda t: ~F.exists("base", lambda s: (s["begin"] < t["end"]) & (s["end"] > t["begin"]))),
-                        lambda t: t.withField("seed", F.lit(False))),
-            F.transform("_seeds", lambda t: t.withField("seed", F.lit(True))),
-        ).alias("tokens"),
-    )
-    found = materialize(found, "pii-found")
+    found = materialize(_with_tokens(df), "pii-found")
     tokens = found.select("doc", "text_name", F.explode("tokens").alias("t")).select("doc", "text_name", "t.*")
     edges = materialize(_edges(tokens, least_length, least_digits), "pii-edges")
     patterns = learn_patterns(edges, rounds, least_support, least_confidence)
@@ -210,9 +285,11 @@ def find_personal_data(
         .groupBy("doc", "text_name").agg(F.array_sort(F.collect_set(F.struct(
             F.lit("context").alias("kind"), F.col("begin"), F.col("end")))).alias("more"))
     )
-    # a token within a run of numbers that is found too goes
-    more = more.withColumn("more", F.filter("more", lambda s: ~F.exists("more", lambda t: (
-        (t["begin"] <= s["begin"]) & (t["end"] >= s["end"]) & (t["end"] - t["begin"] > s["end"] - s["begin"])))))
+    # a token within a run of numbers that is found too goes: some span in front of it ends behind it, or the next begins with it
+    reach = scan(_ends("more"), lambda ends: F.greatest(*ends))
+    more = more.select("doc", "text_name", F.struct("more", reach.alias("reach")).alias("x")).withColumn("more", let(F.col("x"), lambda x: F.filter(
+        x["more"], lambda s, i: ~(F.coalesce(F.get(x["reach"], i - 1) >= s["end"], F.lit(False))
+                                  | F.coalesce(F.get(x["more"], i + 1)["begin"] == s["begin"], F.lit(False))))))
     left, right = found.drop("tokens").alias("l"), more.alias("r")
     joined = left.join(right, F.col("l.doc").eqNullSafe(F.col("r.doc")) & (F.col("l.text_name") == F.col("r.text_name")), "left")
     return joined.select(
@@ -222,14 +299,33 @@ def find_personal_data(
 
 
 def masked(text: Column, spans: Column) -> Column:
-    """The text with each span replaced by its kind in brackets; of overlapping spans the first counts."""
-    sorted_spans = F.array_sort(F.transform(spans, lambda s: F.struct(s["begin"].alias("begin"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    state = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-    return F.aggregate(
-        sorted_spans, state,
-        lambda a, s: F.when(s["begin"] < a["at"], a).otherwise(F.struct(
-            s["end"].alias("at"),
-            F.concat(a["out"], F.substring(text, (a["at"] + 1).cast("int"), (s["begin"] - a["at"]).cast("int")),
-                     F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("out"))),
-        lambda a: F.concat(a["out"], F.substring(text, (a["at"] + 1).cast("int"), F.length(text))),
-    )
+    """The text with each span replaced by its kind in brackets; of overlapping spans the first counts.
+
+    Spans that touch none in front of them begin a group; within a group they are taken in order. What is kept is
+    cut out of the list of characters and joined once.
+    """
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["begin"].alias("begin"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    none = F.array().cast("array<struct<begin:long,end:long,kind:string>>")
+
+    def grouped(items: Column, ends: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(items) - 1), lambda i: F.coalesce(F.get(items, i)["begin"] >= F.get(ends, i - 1), F.lit(True)))
+        return let(starts, lambda begun: F.transform(begun, lambda i, k: F.slice(
+            items, i + 1, F.coalesce(F.get(begun, k + 1), F.size(items)) - i)))
+
+    def first_of(group: Column) -> Column:
+        return F.when(F.size(group) == 1, group).otherwise(F.aggregate(group, none, lambda kept, s: F.when(
+            s["begin"] < F.coalesce(F.get(kept, F.size(kept) - 1)["end"], F.lit(-1)), kept).otherwise(F.concat(kept, F.array(s)))))
+
+    def cut(chars: Column, kept: Column) -> Column:
+        piece = lambda begin, end: F.array_join(F.slice(chars, (begin + 1).cast("int"), (end - begin).cast("int")), "")
+        parts = F.transform(kept, lambda s, i: F.concat(
+            piece(F.coalesce(F.get(kept, i - 1)["end"], F.lit(0)), s["begin"]), F.lit("["), F.upper(s["kind"]), F.lit("]")))
+        last = F.element_at(kept, -1)["end"]
+        return F.concat(F.array_join(parts, ""), piece(last, F.size(chars)))
+
+    def replaced(items: Column) -> Column:
+        ends = scan(_ends(items), lambda x: F.greatest(*x))
+        kept = F.flatten(F.transform(let(ends, lambda e: grouped(items, e)), first_of))
+        return let(kept, lambda k: let(F.split(text, ""), lambda chars: cut(chars, k)))
+
+    return F.when(F.size(spans) == 0, text).otherwise(let(ordered, replaced))

@@ -195,6 +195,17 @@ def test_languages(spark):
     assert {r.lang_pred for r in identify(docs, None).collect()} == {UNDETERMINED}
 
 
+def test_a_hot_text_is_one_text_of_the_sample(spark):
+    from lakescribe.llm.language_id import _sample
+
+    rows = [(i, "the same text again" if i % 3 else f"text number {i}", "aa") for i in range(900)] + [(i, f"autre {i}", "bb") for i in range(900, 940)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    parts = [_sample(docs, "text", "lang", 100, part).collect() for part in (0, 1)]
+    for part in parts:
+        assert len(part) == len(set(part)) and 60 < sum(r.lang == "aa" for r in part) < 150 and sum(r.lang == "bb" for r in part) > 5
+    assert not set(parts[0]) & set(parts[1])
+
+
 def brute_links(rows, least):
     usable = {}
     for k, (key, v) in enumerate(rows):
@@ -301,3 +312,80 @@ def test_pipeline_stages(spark):
     assert packed.count() == safe.count() and packed.where("n_tokens > bucket_tokens").count() == 0
     for name, stage in pipeline.STAGES:
         assert stage(spark, spark.createDataFrame([], schema), "").count() == 0, name
+
+
+def test_pipeline_passes_clashing_names_through(spark):
+    import corpus_pipeline as pipeline
+
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randrange(3, 8))) for _ in range(200)]
+    names = ("kept_text", "_id", "_name", "_spans", "_text", "_n", "_text_name", "row", "doc", "name", "place", "spans", "words", "id", "gone",
+             "text_name", "new_text", "found_id", "base", "more", "component_id", "stays_id", "n_lines", "bucket_tokens", "odd name", "a.b")
+    texts = [" ".join(rng.choice(words) for _ in range(70)) + f" mail a{i}.b@c.de" for i in range(12)]
+    texts += [texts[0], texts[1], None, ""]
+    schema = "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names)
+    rows = [(i, t, *[f"{n} {i}" for n in names]) for i, t in enumerate(texts)] + [(0, texts[0], *[f"{n} 0" for n in names])]
+    docs = spark.createDataFrame(rows, schema)
+    for name, stage in pipeline.STAGES[:-1]:
+        done = stage(spark, docs, "")
+        assert done.columns == docs.columns, name
+        found = done.collect()
+        assert len(found) >= 12 and all(r[2 + k] == f"{n} {r.doc_id}" for r in found for k, n in enumerate(names)), name
+    assert pipeline.packing(spark, docs, "").count() == len(rows)
+    masked_texts = {r.doc_id: r.text for r in pipeline.personal_data(spark, docs, "").collect()}
+    assert masked_texts[3] == texts[3].replace("a3.b@c.de", "[EMAIL]") and masked_texts[14] is None and masked_texts[15] == ""
+
+
+def test_masking_takes_the_first_of_overlapping_spans(spark):
+    rng = random.Random(8)
+    kinds = "array<struct<kind:string,begin:long,end:long>>"
+    rows = []
+    for _ in range(200):
+        text = "".join(rng.choice("abcé😀 1") for _ in range(rng.randrange(60)))
+        spans = []
+        for _ in range(rng.randrange(12)):
+            begin = rng.randrange(len(text) + 1)
+            spans.append((rng.choice(["ip", "card"]), begin, min(len(text), begin + rng.randrange(1, 9))))
+        rows.append((text, [s for s in spans if s[1] < s[2]]))
+    got = spark.createDataFrame(rows, f"text string, spans {kinds}").select("text", "spans", masked(F.col("text"), F.col("spans")).alias("m")).collect()
+    for r in got:
+        out, at = "", 0
+        for begin, end, kind in sorted((s.begin, s.end, s.kind) for s in r.spans):
+            if begin >= at:
+                out, at = f"{out}{r.text[at:begin]}[{kind.upper()}]", end
+        assert r.m == out + r.text[at:]
+
+
+@pytest.mark.parametrize("few", [0, 10_000])
+def test_contexts_by_index_equal_those_read_off(spark, monkeypatch, few):
+    """Seeds and candidates of both ways against plain searches; many spans in a text take nothing like the square of the time."""
+    import time
+
+    from lakescribe.llm import pii
+
+    monkeypatch.setattr(pii, "FEW_SPANS", few)
+    rng = random.Random(4)
+    parts = ["tel +1 (462) 555-7216", "id=a1@b.cd", "12 345", "word", "é", "\n", "\t ", " ", "1.2.3.4.5", "x" * 230, "(12) 34-5.", "q9", "a@b.c"]
+    texts = [rng.choice([" ", ""]).join(rng.choice(parts) for _ in range(rng.randrange(40))) for _ in range(120)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc long, text string")
+    for r in pii._with_tokens(df).collect():
+        text = texts[r.doc]
+        base = [(b, e) for _, b, e in base_spans(text)]
+        tokens = [m.span() for m in re.finditer(r"[^ \t\n\x0b\f\r]*[0-9][^ \t\n\x0b\f\r]*", text)]
+        words = [m.span() for m in re.finditer(r"[^ \t\n\x0b\f\r]+", text)]
+        assert [(s.begin, s.end) for s in r.base] == base
+        free = {t for t in tokens if not any(b < t[1] and e > t[0] for b, e in base)}
+        assert free <= {(t.begin, t.end) for t in r.tokens if not t.seed}
+        for t in r.tokens:
+            start, number = max((w[0], k) for k, w in enumerate(words) if w[0] <= t.begin)
+            assert t.value == text[t.begin: t.end] and t.glued == (text[start: t.begin] if t.seed else "")
+            assert t.before == ([text[slice(*words[number - 2])], text[slice(*words[number - 1])]] if number >= 2 else [])
+        assert [(t.begin, t.end) for t in r.tokens if t.seed] == base
+    if not few:
+        seconds = []
+        for n in (500, 40_000):
+            text = " and ".join(f"{rng.randrange(10**9)} u{i}@mail.example" for i in range(n))
+            begun = time.time()
+            assert spark.createDataFrame([(1, text)], "doc long, text string").transform(pii._with_tokens).select(F.size("base")).first()[0] == n
+            seconds.append(time.time() - begun)
+        assert seconds[1] < 20 + 4 * seconds[0]
