@@ -13,9 +13,13 @@ MODULES = (
 )
 
 
+#: Imported with this module, so that a library that is missing shows where the optional part is imported.
+_LOADED = [import_module(f"{__package__}.{m}") for m in MODULES]
+
+
 def queries() -> dict:
-    return {k: shipping(f) for m in MODULES for k, f in import_module(f"{__package__}.{m}").QUERIES.items()}
+    return {k: shipping(f) for m in _LOADED for k, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict:
-    return {k: s for m in MODULES for k, s in import_module(f"{__package__}.{m}").ORACLES.items()}
+    return {k: s for m in _LOADED for k, s in m.ORACLES.items()}
