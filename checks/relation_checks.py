@@ -102,7 +102,8 @@ def infer_relationships_catalogue(spark, sf):
     return inferred.select(*INFERRED_FIELDS)
 
 
-KEY_COLUMNS = {t: [c for c, k in KINDS[t].items() if k in ("bigint", "int")] for t in TABLES}
+#: All columns that are profiled; lists of numbers are not.
+KEY_COLUMNS = {t: [c for c, k in KINDS[t].items() if not k.startswith("array")] for t in TABLES}
 AFFIX = "^[a-z]_"
 
 
@@ -124,12 +125,11 @@ _STAR_COLUMNS = ", star AS (SELECT 'main' AS schema_name, t AS object_name, c AS
 @registry.add(
     "\nUNION ALL\n".join(
         f"SELECT '{t}' AS table_name, '{c}' AS column_name, count(*) AS total_rows, {measures_sql(t, c, k)['candidate_unique']} AS candidate_unique FROM {t}"
-        for t in ("orders", "customer", "events", "documents", "lineitem") for c, k in KINDS[t].items()
+        for t in TABLES for c, k in KINDS[t].items() if c in KEY_COLUMNS[t]
     )
 )
 def measure_unique(spark, sf):
-    names = ("orders", "customer", "events", "documents", "lineitem")
-    return reduce(DataFrame.unionAll, [relations.measure_unique(table(spark, sf, t), t) for t in names])
+    return reduce(DataFrame.unionAll, [relations.measure_unique(table(spark, sf, t), t) for t in TABLES])
 
 
 @registry.add(

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fixed_values as fixed
 from ..functions.types import of_tables
+from ..sources.shared import materialize
 
 TABLE = ["schema_name", "object_name"]
 
@@ -115,7 +116,10 @@ def shape_groups(columns: DataFrame) -> DataFrame:
     """(schema_name, object_name, group_schema, group_object, width): tables with the same set of
     column names share a group, named after the first of them.
     """
-    sets = _name_sets(columns)
+    return _groups_of(_name_sets(columns))
+
+
+def _groups_of(sets: DataFrame) -> DataFrame:
     firsts = _first_of_each(sets).select("signature", "first")
     return sets.join(firsts, "signature").select(
         *TABLE, F.col("first.schema_name").alias("group_schema"),
@@ -143,15 +147,16 @@ def table_similarity(columns: DataFrame, threshold: float = 0.8) -> DataFrame:
     first name they share, so nothing is shuffled after that join. Only tables are compared where
     ``object_type`` tells them from views.
     """
-    columns = of_tables(columns)
-    groups = shape_groups(columns)
+    # a row per table; groups, names and their spread read it, the catalogue is read once
+    named = materialize(_name_sets(of_tables(columns)), "name-sets")
+    groups = _groups_of(named)
     members = groups.where("schema_name <> group_schema OR object_name <> group_object").select(
         F.col("group_schema").alias("left_schema"), F.col("group_object").alias("left_object"),
         F.col("schema_name").alias("right_schema"), F.col("object_name").alias("right_object"),
         F.col("width").alias("shared_names"), F.lit(1.0).alias("similarity"),
     )
     names = (
-        _first_of_each(_name_sets(columns))
+        _first_of_each(named)
         .select("first.*", F.size("names").cast("bigint").alias("width"), F.explode("names").alias("name"))
     )
     spread = names.groupBy("name").agg(F.count(F.lit(1)).alias("spread"))

@@ -9,6 +9,9 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,8 +32,28 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{tempfile.gettempdir()}/lakescribe"
 
 
+_scope: ContextVar[str] = ContextVar("scope", default="")
+
+
+@contextmanager
+def run_scope(spark: SparkSession, label: str = "run") -> Iterator[str]:
+    """What is materialized within goes into one folder, which is deleted at the end, also after an error.
+
+    Results that read from there must be collected or written before. Scopes may be nested. Without one the tables stay, as
+    results are lazy; the owner of the shared folder then clears it.
+    """
+    folder = fresh_folder(spark, label)
+    token = _scope.set(folder)
+    try:
+        yield folder
+    finally:
+        _scope.reset(token)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def fresh_folder(spark: SparkSession, label: str = "run") -> str:
-    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    return f"{_scope.get() or shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, label: str = "table") -> DataFrame:

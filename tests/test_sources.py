@@ -184,6 +184,18 @@ def test_shared_folder_is_read_from_the_session(spark, shared_dir):
     assert kept.count() == 5 and [p for p in shared_dir.iterdir() if p.name.startswith("five-")]
 
 
+def test_a_scope_deletes_what_was_written_in_it(spark, shared_dir):
+    before = set(shared_dir.iterdir())
+    with shared.run_scope(spark, "outer") as outer:
+        kept = shared.materialize(spark.range(5), "a")
+        with pytest.raises(RuntimeError), shared.run_scope(spark, "inner"):
+            shared.materialize(spark.range(3), "b")
+            raise RuntimeError
+        assert kept.count() == 5 and outer.startswith(str(shared_dir))
+        total = shared.materialize(spark.range(4), "c").count()
+    assert total == 4 and set(shared_dir.iterdir()) == before
+
+
 def test_discovery(spark):
     people = spark.createDataFrame([(i, f"p{i}@example.test", i % 2) for i in range(20)], "person_id int, contact string, kind int")
     visits = spark.createDataFrame([(i, (i % 25) if i % 7 else None) for i in range(100)], "visit_id int, person_id int")
