@@ -104,7 +104,8 @@ def not_proven_above(df: DataFrame, columns: Sequence[str], limit: int) -> list[
     keys = [_count_key(name, types[name])[1].alias(f"c{i}") for i, name in enumerate(columns)]
     # collected, a limit reads one partition after another until it has its rows
     rows = df.select(*keys).limit(PROOF_ROWS).collect() if keys else []
-    seen = [{row[i] for row in rows} - {None} for i in range(len(columns))]
+    # not-a-number is one value, though unequal to itself
+    seen = [{v if v == v else "nan" for row in rows if (v := row[i]) is not None} for i in range(len(columns))]
     return [name for name, values in zip(columns, seen) if len(values) <= limit]
 
 
