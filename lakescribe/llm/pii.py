@@ -8,8 +8,6 @@ identifiers that confident patterns introduce are added as spans of kind ``conte
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,15 +27,17 @@ WORD, TOKEN = r"\S++", r"[^\s0-9]*+[0-9]\S*+"
 NUMBERS = r"(?<!\S)[(+]*+[0-9][0-9().+/-]*+(?:\x20++[(]*+[0-9][0-9().+/-]*+(?!\p{Punct}*+[^\s\p{Punct}]))++"
 
 
-def scan(values: Column, combine, levels: int = 8, width: int = 8) -> Column:
-    """Running results: item i becomes combine(items 0 to i), by looking back further from level to level.
+def scan(values: Column, merge, levels: int = 6, width: int = 16) -> Column:
+    """Running results: item i becomes the items 0 to i merged, by looking back further from level to level.
 
-    combine takes a list of which some are null (there is nothing further back). Every level reads `width`
-    items each, so n items take n log n steps and no array grows step by step; width**levels items at most.
+    The second argument of merge can be null (there is nothing further back). Every level reads `width` items
+    each, so n items take n log n steps and no array grows step by step; width**levels items at most.
     """
+    steps = F.array(*[F.lit(k) for k in range(1, width)])
+
     def back(step: int):
-        return lambda v: F.when(F.size(v) <= step, v).otherwise(
-            F.transform(v, lambda x, i: combine([x, *[F.get(v, i - k * step) for k in range(1, width)]])))
+        return lambda v: F.when(F.size(v) <= step, v).otherwise(F.transform(
+            v, lambda x, i: F.aggregate(steps, x, lambda a, k: merge(a, F.get(v, i - k * step)))))
 
     for level in range(levels):
         values = let(values, back(width**level))
@@ -45,7 +45,7 @@ def scan(values: Column, combine, levels: int = 8, width: int = 8) -> Column:
 
 
 def _running_sums(values: Column) -> Column:
-    return scan(values, lambda items: reduce(Column.__add__, [F.coalesce(x, F.lit(0)) for x in items]))
+    return scan(values, lambda a, b: a + F.coalesce(b, F.lit(0)))
 
 
 def _ranks(values: Column, asked: Column, or_equal: bool) -> Column:
@@ -286,7 +286,7 @@ def find_personal_data(
             F.lit("context").alias("kind"), F.col("begin"), F.col("end")))).alias("more"))
     )
     # a token within a run of numbers that is found too goes: some span in front of it ends behind it, or the next begins with it
-    reach = scan(_ends("more"), lambda ends: F.greatest(*ends))
+    reach = scan(_ends("more"), F.greatest)
     more = more.select("doc", "text_name", F.struct("more", reach.alias("reach")).alias("x")).withColumn("more", let(F.col("x"), lambda x: F.filter(
         x["more"], lambda s, i: ~(F.coalesce(F.get(x["reach"], i - 1) >= s["end"], F.lit(False))
                                   | F.coalesce(F.get(x["more"], i + 1)["begin"] == s["begin"], F.lit(False))))))
@@ -324,7 +324,7 @@ def masked(text: Column, spans: Column) -> Column:
         return F.concat(F.array_join(parts, ""), piece(last, F.size(chars)))
 
     def replaced(items: Column) -> Column:
-        ends = scan(_ends(items), lambda x: F.greatest(*x))
+        ends = scan(_ends(items), F.greatest)
         kept = F.flatten(F.transform(let(ends, lambda e: grouped(items, e)), first_of))
         return let(kept, lambda k: let(F.split(text, ""), lambda chars: cut(chars, k)))
 
