@@ -42,15 +42,18 @@ class Identifier:
 
 
 def _sample(docs: DataFrame, text: str, label: str, rows: int, part: int) -> DataFrame:
-    """About `rows` labelled rows of each language, picked by a digest of their text; part: 0 or 1."""
+    """About `rows` different labelled texts of each language, picked by their digest; part: 0 or 1.
+
+    Copies count once, so a text that most rows of a language have is one of many and cannot break the bound.
+    """
     labelled = docs.where(F.col(text).isNotNull() & F.col(label).isNotNull())
-    counts = {r[label]: r["n"] for r in labelled.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = {r[label]: r["n"] for r in labelled.groupBy(label).agg(F.count_distinct(F.xxhash64(text)).alias("n")).collect()}
     if not counts:
         return labelled.limit(0).select(F.col(text).alias("text"), F.col(label).alias("lang"))
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, int(min(1.0, rows / n * 2) * _PARTS))])
     digest = F.pmod(F.xxhash64(F.col(text)), F.lit(2 * _PARTS))
     picked = (F.floor(digest / 2) < share[F.col(label)]) & (digest % 2 == part)
-    return labelled.where(picked).select(F.col(text).alias("text"), F.col(label).alias("lang"))
+    return labelled.where(picked).select(F.col(text).alias("text"), F.col(label).alias("lang")).distinct()
 
 
 def _counter(order: int):
@@ -89,7 +92,7 @@ def fit(
     docs: DataFrame, label_column: str = "lang", text_column: str = "text", order: int = 4, rows_per_language: int = 1500,
     reject_share: float = 0.001,
 ) -> Identifier | None:
-    """Models from labelled rows; None if no row is labelled. Sample rows per language: the bound."""
+    """Models from labelled rows; None if no row is labelled. Sample texts per language: the bound."""
     spark = docs.sparkSession
     names = [*[f"end_{n}" for n in range(1, order + 1)], *[f"head_{n}" for n in range(2, order + 1)]]
     schema = ", ".join([*[f"{c} long" for c in names], "n long", "lang string"])
