@@ -389,3 +389,32 @@ def test_contexts_by_index_equal_those_read_off(spark, monkeypatch, few):
             assert spark.createDataFrame([(1, text)], "doc long, text string").transform(pii._with_tokens).select(F.size("base")).first()[0] == n
             seconds.append(time.time() - begun)
         assert seconds[1] < 20 + 4 * seconds[0]
+
+
+def test_patterns_equal_rounds_by_hand(spark):
+    from lakescribe.llm.pii import learn_patterns
+
+    rng = random.Random(13)
+    for least_support, least_confidence, rounds in ((1, 0.5, 1), (2, 0.6, 3), (3, 0.75, 3)):
+        rows = [(f"p{rng.randrange(14)}", f"i{rng.randrange(40)}") for _ in range(150)]
+        known = {f"i{k}" for k in range(0, 40, 3)}
+        edges = [(p, i, i in known and rng.random() < 0.8) for p, i in rows]
+        graph = {}
+        for p, i, seed in edges:
+            graph[p, i] = graph.get((p, i), False) or seed
+        belief = {e: float(seed) for e, seed in graph.items()}
+        for _ in range(rounds):
+            confident = {}
+            for p in {p for p, _ in graph}:
+                own = [b for (q, _), b in belief.items() if q == p]
+                mean = sum(own) / len(own)
+                if sum(b >= least_confidence for b in own) >= least_support and mean >= least_confidence:
+                    confident[p] = mean
+            best = {}
+            for p, i in graph:
+                if p in confident:
+                    best[i] = max(best.get(i, 0.0), confident[p])
+            belief = {(p, i): 1.0 if seed else best.get(i, 0.0) for (p, i), seed in graph.items()}
+        found = learn_patterns(spark.createDataFrame(edges, "pattern string, instance string, seed boolean"), rounds, least_support, least_confidence)
+        got = {r["pattern"]: r["confidence"] for r in found.collect()}
+        assert got.keys() == confident.keys() and all(abs(got[p] - confident[p]) < 1e-9 for p in got)
