@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from ..functions import fixed_values as fixed
 from ..functions.text import is_true, normalized_name
 from ..functions.types import col_of, is_profiled, of_tables
+from ..sources.shared import materialize
 from .frequency import distinct_counts
 from .profile import percent, within_threshold
 
@@ -109,6 +110,8 @@ def infer_relationships(
     all candidates. The score depends on a source only through its type and name. Targets are
     therefore ranked once per (type, name), and twice ``targets_per_source`` of them kept: a
     source's own table holds at most half of them (:func:`_best_targets`), so enough others remain.
+    They are written as a list a name, small beside the sources: a name that most columns have is
+    never gathered in one task, and a source picks its targets from the list in its own row.
     Only columns of tables are sources; ``columns`` tells by ``object_type`` where it has one.
 
     ``strip_affix`` is a regex dropped from names before they are compared.
@@ -117,40 +120,47 @@ def infer_relationships(
     def plain(name: Column) -> Column:
         return normalized_name(F.regexp_replace(name, strip_affix, "") if strip_affix else name)
 
-    typed = columns.withColumn("type_key", F.lower("data_type"))
+    key = ["schema_name", "object_name", "column_name"]
+    # read by the names, the targets and the sources: derived once
+    typed = materialize(
+        columns.select(*key, *[c for c in ("object_type",) if c in columns.columns], F.lower("data_type").alias("type_key")),
+        "typed-columns",
+    )
+    # a fixed number of tasks: adaptive execution would merge them by their compressed size, and names compress well
+    tasks = int(columns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sources = of_tables(typed).where(F.col("column_name").rlike(name_pattern))
+    names = materialize(
+        sources.select("type_key", plain(F.col("column_name")).alias("source_name")).distinct(), "source-names"
+    )
+    sources = sources.repartition(tasks, *key)
     if declared is not None:
         known = declared.select(
             F.col("source_schema").alias("schema_name"), F.col("source_object").alias("object_name"),
             F.col("source_column").alias("column_name"),
         ).distinct()
-        sources = sources.join(known, ["schema_name", "object_name", "column_name"], "left_anti")
-    sources = sources.select(
+        sources = sources.join(known, key, "left_anti")
+    # a column that is listed several times shares its targets
+    sources = sources.groupBy(*key).agg(F.collect_list("type_key").alias("types")).select(
         F.col("schema_name").alias("source_schema"), F.col("object_name").alias("source_object"),
-        F.col("column_name").alias("source_column"), "type_key",
-        plain(F.col("column_name")).alias("source_name"),
+        F.col("column_name").alias("source_column"), "types", plain(F.col("column_name")).alias("source_name"),
     )
-    names = sources.select("type_key", "source_name").distinct()
-    targets = unique_targets.join(
-        typed.select("schema_name", "object_name", "column_name", "type_key"),
-        ["schema_name", "object_name", "column_name"],
-    ).select(
+    targets = typed.select(*key, "type_key").repartition(tasks, *key).join(unique_targets, key).select(
         F.col("schema_name").alias("target_schema"), F.col("object_name").alias("target_object"),
         F.col("column_name").alias("target_column"), "type_key", "unique_evidence",
         plain(F.col("column_name")).alias("target_name"),
         normalized_name(F.col("object_name")).alias("table_key"),
     )
-    best = _best_targets(names, targets, targets_per_source)
-    own = (F.col("source_schema") == F.col("target_schema")) & (
-        F.col("source_object") == F.col("target_object")
-    )
-    per_source = Window.partitionBy("source_schema", "source_object", "source_column").orderBy("place")
+    best = materialize(_best_targets(names, targets, targets_per_source, tasks), "best-targets")
+
+    def others(type_key: Column) -> Column:
+        own = lambda x: (x["target_schema"] == F.col("source_schema")) & (x["target_object"] == F.col("source_object"))
+        return F.filter("targets", lambda x: (x["type_key"] == type_key) & ~own(x))
+
+    picked = F.slice(F.sort_array(F.flatten(F.transform("types", others))), 1, targets_per_source)
     score = F.col("inference_score")
     return (
-        sources.join(best, ["type_key", "source_name"])
-        .where(~own)
-        .withColumn("rank", F.row_number().over(per_source))
-        .where(F.col("rank") <= targets_per_source)
+        sources.join(best, "source_name")
+        .select("source_schema", "source_object", "source_column", F.inline(picked))
         .select(
             "source_schema", "source_object", "source_column",
             "target_schema", "target_object", "target_column",
@@ -161,7 +171,8 @@ def infer_relationships(
     )
 
 
-def _best_targets(names: DataFrame, targets: DataFrame, wanted: int) -> DataFrame:
+def _best_targets(names: DataFrame, targets: DataFrame, wanted: int, tasks: int) -> DataFrame:
+    """(source_name, targets): the best targets of each type, with their place, one row a name."""
     singular = F.regexp_replace("table_key", "s+$", "")
     id_names = F.array_distinct(
         F.array("target_name", F.concat("table_key", F.lit("id")), F.concat(singular, F.lit("id")))
@@ -173,7 +184,7 @@ def _best_targets(names: DataFrame, targets: DataFrame, wanted: int) -> DataFram
     )
     overlap = (F.col("table_key") != "") & F.contains(F.col("source_name"), F.col("table_key"))
     scored = (
-        names.join(reachable, ["type_key", "source_name"])
+        reachable.join(names, ["type_key", "source_name"])
         .withColumn(
             "inference_score",
             (
@@ -205,13 +216,19 @@ def _best_targets(names: DataFrame, targets: DataFrame, wanted: int) -> DataFram
     in_table = Window.partitionBy("type_key", "source_name", "target_schema", "target_object").orderBy(*order)
     overall = Window.partitionBy("type_key", "source_name").orderBy(*order)
     return (
-        scored.withColumn("in_table", F.row_number().over(in_table))
+        scored.repartition(tasks, "type_key", "source_name", "target_schema", "target_object")
+        .withColumn("in_table", F.row_number().over(in_table))
         .where(F.col("in_table") <= wanted)
         .withColumn("place", F.row_number().over(overall))
         .where(F.col("place") <= 2 * wanted)
-        .select(
-            "type_key", "source_name", "target_schema", "target_object", "target_column",
-            "inference_score", "evidence", "place",
+        .groupBy("source_name")
+        .agg(
+            F.collect_list(
+                F.struct(
+                    "place", "type_key", "target_schema", "target_object", "target_column",
+                    "inference_score", "evidence",
+                )
+            ).alias("targets")
         )
     )
 

@@ -181,3 +181,15 @@ def test_bridges(frame):
                  *[("d", "Link", "d", t) for t in ("B", "A", "B")], ("d", "Leaf", "d", "A"))
     row = relations.bridge_candidates(keys).collect()
     assert [(r["source_object"], r["target_objects"]) for r in row] == [("Link", "d.A, d.B")]
+
+
+def test_a_name_of_most_columns_is_not_gathered(spark):
+    """Sources pick their targets in their own rows: no sort by name and no window over them; a column listed twice shares its three."""
+    listed = [("d", f"T{i}", "id", "int") for i in range(60)] + [("d", "T7", "id", "int"), ("d", "T8", "id", "bigint")]
+    columns = spark.createDataFrame(listed, COLUMNS)
+    targets = spark.createDataFrame([("d", f"T{i}", "id", "PRIMARY_KEY") for i in (0, 1, 2, 3)], TARGETS)
+    found = relations.infer_relationships(columns, targets)
+    assert "Window" not in found._jdf.queryExecution().optimizedPlan().toString()
+    to = lambda name: sorted(r.target_object for r in found.where(f"source_object = '{name}'").collect())
+    assert to("T0") == ["T1", "T2", "T3"] and to("T9") == to("T8") == ["T0", "T1", "T2"] and to("T7") == ["T0", "T0", "T1"]
+    assert found.count() == 180
