@@ -191,6 +191,8 @@ def run_statuses(manifests: DataFrame, expected_stages: int = 0) -> DataFrame:
 
 #: Files up to so many bytes are hashed as one value; larger ones by chunks of CHUNK bytes of a stream.
 WHOLE_FILE, CHUNK = 64 << 20, 8 << 20
+#: Bytes of streamed files that one task takes, about, where there are more of them than shuffle partitions.
+STREAMED = 1 << 30
 
 
 def open_file(path: str) -> BinaryIO:
@@ -221,23 +223,42 @@ def _digests(opened: Callable[[str], BinaryIO]):
     return run
 
 
+def _shuffle_partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _listed(spark: SparkSession, path: str) -> DataFrame:
+    """The files below a directory; a task lists a batch of its folders, not one."""
+    setting = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    most = spark.conf.get(setting)
+    spark.conf.set(setting, str(min(int(most), _shuffle_partitions(spark))))
+    try:
+        return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    finally:
+        spark.conf.set(setting, most)
+
+
 def file_inventory(
     spark: SparkSession, path: str, whole: int = WHOLE_FILE, opened: Callable[[str], BinaryIO] = open_file
 ) -> DataFrame:
     """(file_name, path, bytes, sha256) of every file below a directory of artifacts.
 
     Files of at most ``whole`` bytes are read by Spark and hashed as values. Larger ones, of any size, are
-    streams: a task updates the digest chunk by chunk, so its memory does not follow the file. Each is a
-    task of its own. ``opened`` opens their path where Arrow has no file system for it.
+    streams: a task updates the digest chunk by chunk, so its memory does not follow the file. They are dealt
+    to as many tasks as there are such files, up to the session's number of shuffle partitions, or one for
+    STREAMED bytes. Folders are listed in batches. ``opened`` opens their path where Arrow has no file system for it.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    files = _listed(spark, path)
     named = [F.element_at(F.split("path", "/"), -1).alias("file_name"), F.col("path"), F.col("length").alias("bytes")]
     small = files.where(F.col("length") <= whole).select(*named, F.sha2("content", 256).alias("sha256"))
     large = files.where(F.col("length") > whole).select(*named)  # the content is not read
     schema = "file_name string, path string, bytes long, sha256 string"
-    parts, lengths = [small], files.agg(F.count(F.lit(1)), F.count_if(F.col("length") > whole)).first()
+    streamed = F.col("length") > whole
+    lengths = files.agg(F.count(F.lit(1)), F.count_if(streamed), F.sum(F.when(streamed, F.col("length")))).first()
+    parts = [small]
     if lengths[1]:
-        parts.append(large.repartition(lengths[1], "path").mapInArrow(_digests(opened), schema))
+        tasks = min(lengths[1], max(_shuffle_partitions(spark), -(-lengths[2] // STREAMED)))
+        parts.append(large.repartition(tasks, "path").mapInArrow(_digests(opened), schema))
     listed = files.inputFiles()
     if len(listed) > lengths[0]:  # scans leave out files without a byte
         paths = spark.createDataFrame([(re.sub("^file:///", "file:/", unquote(f)),) for f in listed], "path string")

@@ -1,3 +1,4 @@
+import hashlib
 import json
 import random
 
@@ -256,3 +257,17 @@ def test_discovery_of_programs_and_gates(spark):
     nothing = discover(ws, "salt", Policy(sample_tables=False), skip=["people", "visits"])
     assert nothing["low_cardinality_values"].count() == 0 and nothing["sample_index"].count() == 0
     assert {r["profile_status"] for r in nothing["column_profiles"].collect()} == {"SKIPPED_FOR_SAFETY_LARGE_TABLE"}
+
+
+def test_streamed_files_share_tasks(spark, tmp_path):
+    """More large files than shuffle partitions make no more tasks than those; the session's settings stay as they were."""
+    for i in range(9):
+        (tmp_path / f"d{i}").mkdir()
+        (tmp_path / f"d{i}" / f"f{i}").write_bytes(bytes([i]) * (20 + i))
+    setting = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before, tasks = spark.conf.get(setting), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    found = readers.file_inventory(spark, str(tmp_path), whole=10)
+    scan = readers.file_inventory(spark, str(tmp_path), whole=1 << 20).rdd.getNumPartitions()
+    assert found.rdd.getNumPartitions() <= tasks + scan < 9 + scan and spark.conf.get(setting) == before
+    assert {(r.file_name, r.bytes, r.sha256) for r in found.collect()} == {
+        (f"f{i}", 20 + i, hashlib.sha256(bytes([i]) * (20 + i)).hexdigest()) for i in range(9)}
