@@ -34,6 +34,11 @@ def hidden_server(name: Column) -> Column:
     return F.when(is_present(name), F.concat(F.lit("[EXTERNAL_SERVER:"), digest, F.lit("]"))).otherwise("")
 
 
+def hash_of(*names: str) -> Column:
+    """A leading key beside the names themselves: names that share their first letters, as a schema's do, sort slowly."""
+    return F.xxhash64(*names).alias("__hash")
+
+
 def _edge_keys() -> list[Column]:
     return [F.lower(text_of(name)).alias(f"__{name}") for name in EDGE_KEY]
 
@@ -44,15 +49,16 @@ def merge_dependencies(catalogue: DataFrame, references: DataFrame) -> DataFrame
     Of several references of one edge a write counts before a read and a read before a call. They
     are reduced in the map tasks first, so an edge that most statements have stays one row a task.
     """
-    keys = [f"__{name}" for name in EDGE_KEY]
-    known = catalogue.select(*_edge_keys()).distinct()
+    keys = ["__hash", *[f"__{name}" for name in EDGE_KEY]]
+    hashed = hash_of(*[f"__{name}" for name in EDGE_KEY])
+    known = catalogue.select(*_edge_keys()).select(hashed, "*")
     place = F.lit(0)
     if "operation" in references.columns:
         place = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, OPERATION_ORDER)), F.col("operation")), F.lit(0)), F.lit(9))
     order = [F.col(c) for c in ("operation", "target_server") if c in references.columns]
     ranked = F.struct(place.alias("place"), *order, *[F.col(c) for c in EDGE_KEY])
     missing = (
-        references.select("*", *_edge_keys())
+        references.select("*", *_edge_keys()).select("*", hashed)
         .join(known, keys, "left_anti")
         .groupBy(*keys)
         .agg(F.min_by(F.struct(*[F.col(c) for c in references.columns]), ranked).alias("__row"))
@@ -79,19 +85,21 @@ def catalogue_column_lineage(
     What a text does is read off where it stands; edges are joined with that, not with texts. If an object
     has several texts, the one with the largest digest counts.
     """
+    at = ["source_schema", "source_object", "__column_id"]
     names = columns.select(
         F.col("schema_name").alias("source_schema"), F.col("object_name").alias("source_object"),
         F.col("column_id").cast("int").alias("__column_id"), F.col("column_name").alias("source_column"),
-    )
+    ).select(hash_of(*at), "*")
     text = F.coalesce("definition_sanitized", F.lit(""))
     classes = definitions.select(
         F.col("schema_name").alias("source_schema"), F.col("object_name").alias("source_object"),
         F.struct(F.sha2(text, 256).alias("digest"), _text_class(text).alias("kind")).alias("__text"),
-    ).groupBy("source_schema", "source_object").agg(F.max("__text").getField("kind").alias("__kind"))
+    ).groupBy(hash_of("source_schema", "source_object"), "source_schema", "source_object").agg(
+        F.max("__text").getField("kind").alias("__kind"))
     joined = (
         dependencies.withColumn("__column_id", F.col("source_column_id").try_cast("int"))
-        .join(names, ["source_schema", "source_object", "__column_id"], "left")
-        .join(classes, ["source_schema", "source_object"], "left")
+        .withColumn("__hash", hash_of(*at)).join(names, ["__hash", *at], "left")
+        .withColumn("__hash", hash_of(*at[:2])).join(classes, ["__hash", *at[:2]], "left")
     )
     column = F.col("target_column")
     known = is_present(column)
