@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fixed_values as fixed
@@ -273,11 +275,27 @@ def definition_changes(compared: DataFrame, keys: Sequence[str], definition: str
     )
 
 
+#: Text bytes of a batch that are Python values at a time, one row at least.
+SLICE_BYTES = 2 << 20
+
+
+def by_bytes(made: Callable[..., str | None], *texts: pa.Array) -> pa.Array:
+    """The text made of each row's texts; a slice of bounded bytes at a time leaves Arrow, whatever the batch holds."""
+    sizes = sum(pc.fill_null(pc.binary_length(t), 0).to_numpy(zero_copy_only=False).astype(np.int64) for t in texts)
+    at = np.concatenate([[0], np.cumsum(sizes)])
+    out, row = [pa.array([], pa.string())], 0
+    while row < len(sizes):
+        stop = max(row + 1, int(np.searchsorted(at, at[row] + SLICE_BYTES, side="right")) - 1)
+        rows = zip(*[t.slice(row, stop - row).to_pylist() for t in texts])
+        out.append(pa.array([made(*values) for values in rows], pa.string()))
+        row = stop
+    return pa.concat_arrays(out)
+
+
 def _unified_diff(before: str, after: str):
     @F.arrow_udf("string")
     def diff(old: pa.Array, new: pa.Array) -> pa.Array:
-        pairs = zip(old.to_pylist(), new.to_pylist())
-        return pa.array(["\n".join(unified_diff(a.splitlines(), b.splitlines(), before, after)) for a, b in pairs], pa.string())
+        return by_bytes(lambda a, b: "\n".join(unified_diff(a.splitlines(), b.splitlines(), before, after)), old, new)
 
     return diff
 
@@ -296,7 +314,7 @@ def patched(text: Column, diff: Column) -> Column:
             except ValueError:
                 return None
 
-        return pa.array([one((t or "").splitlines(), d) for t, d in zip(texts.to_pylist(), diffs.to_pylist())], pa.string())
+        return by_bytes(lambda t, d: one((t or "").splitlines(), d), texts, diffs)
 
     return applied(text, diff)
 

@@ -188,3 +188,21 @@ def test_one_shuffle_of_rows(spark):
     a = run(spark, ("k", "v"), ("1", "x"))
     plan = C.compare([a, a, a], ["k"], ["v"])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_a_batch_leaves_arrow_in_slices_of_bounded_bytes():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from lakescribe.operators.compare import SLICE_BYTES, by_bytes
+
+    assert by_bytes(lambda a, b: a and b and a + b, pa.array(["a", None, ""]), pa.array(["b", "c", "d"])).to_pylist() == ["ab", None, ""]
+    assert by_bytes(lambda a: a, pa.array([], pa.string())).to_pylist() == []
+    texts = pa.array(["x" * 100_000] * 300 + ["y" * (3 * SLICE_BYTES), None, "z"])
+    tracemalloc.start()
+    sizes = by_bytes(lambda t: str(len(t or "")), texts).to_pylist()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sizes == ["100000"] * 300 + [str(3 * SLICE_BYTES), "0", "1"]
+    assert peak < 5 * SLICE_BYTES  # all texts at once are 36 MB
