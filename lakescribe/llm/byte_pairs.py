@@ -24,6 +24,7 @@ from os.path import commonprefix
 
 #: Entries that a worker keeps of words and of pair tests; longest word kept; words of one step of a long text.
 CACHE, KEPT_WORD, STEP = 400_000, 64, 1 << 16
+NONE = ((),)
 #: The contractions and the white space of the word pattern.
 CONTRACTIONS = "s|t|re|ve|m|ll|d"
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -37,10 +38,10 @@ ADDED_LETTERS = (
 ADDED_NUMBERS = "10D40-10D49 116D0-116E3 11BF0-11BF9 16130-16139 16D70-16D79 1CCF0-1CCF9 1E5F1-1E5FA"
 
 
-def _of_category(initial: str, added: str) -> str:
-    """The code points of a general category as ranges of a character class."""
+def _of_category(initial: str, added: str, limit: int) -> str:
+    """The code points of a general category below a limit as ranges of a character class."""
     edges: list[list[int]] = []
-    for code in range(0x110000):
+    for code in range(limit):
         if unicodedata.category(chr(code))[0] != initial:
             continue
         if edges and edges[-1][1] == code - 1:
@@ -49,13 +50,17 @@ def _of_category(initial: str, added: str) -> str:
             edges.append([code, code])
     for part in added.split():
         first, _, last = part.partition("-")
-        edges.append([int(first, 16), int(last or first, 16)])
+        if int(first, 16) < limit:
+            edges.append([int(first, 16), int(last or first, 16)])
     return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in edges)
 
 
-def word_pattern() -> re.Pattern[str]:
-    """Contractions, then runs of letters, of numbers and of other characters with a space in front, then white space."""
-    letters, numbers = _of_category("L", ADDED_LETTERS), _of_category("N", ADDED_NUMBERS)
+def word_pattern(limit: int = 0x110000) -> re.Pattern[str]:
+    """Contractions, then runs of letters, of numbers and of other characters with a space in front, then white space.
+
+    For texts of code points below the limit only: beyond U+FFFF every range costs a comparison wherever a run ends.
+    """
+    letters, numbers = _of_category("L", ADDED_LETTERS, limit), _of_category("N", ADDED_NUMBERS, limit)
     return re.compile(
         f"'(?:{CONTRACTIONS})| ?[{letters}]+| ?[{numbers}]+| ?[^{WHITE}{letters}{numbers}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 
@@ -84,15 +89,18 @@ class BytePairs:
         self._to_bytes = {i: bytes(byte_of[c] for c in t) for t, i in self.id.items()}
         self._to_bytes |= {i: t.encode() for t, i in self.added.items()}
         self._parts: dict[str, tuple[str, str]] = {}  # the two parts that merge last in a token
-        self._lengths: dict[str, list[int]] = {}  # the last two letters of a token -> lengths, longest first
+        self._lengths: dict[str, list] = {}  # the last two letters of a token -> lengths, longest first
         for a, b in pairs:
             if self.merge(a + b) == [a + b]:
                 self._parts[a + b] = (a, b)
                 self._lengths.setdefault((a + b)[-2:], []).append(len(a + b))
         for ending, lengths in self._lengths.items():
-            self._lengths[ending] = sorted(set(lengths), reverse=True)
+            # at place n those that fit into n letters; the last entry has all
+            ordered = sorted(set(lengths), reverse=True)
+            self._lengths[ending] = [tuple(size for size in ordered if size <= n) for n in range(ordered[0] + 1)]
         self._goes: dict[tuple[str, str], bool] = {}
-        self._pattern = word_pattern()
+        self._pattern, self._short_pattern = word_pattern(), word_pattern(0x10000)
+        self._beyond = re.compile("[\U00010000-\U0010ffff]")
         self._split_added = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
 
     @staticmethod
@@ -166,8 +174,9 @@ class BytePairs:
         """Adds the states of the prefixes of word longer than `at`; last[n] is the last token of its first n letters."""
         goes, parts, lengths = self._goes, self._parts, self._lengths
         for end in range(at + 1, len(word) + 1):
-            for size in lengths.get(word[end - 2: end], ()):
-                if size > end or (token := word[end - size: end]) not in parts:
+            fitting = lengths.get(word[end - 2: end], NONE)
+            for size in fitting[end] if end < len(fitting) else fitting[-1]:
+                if (token := word[end - size: end]) not in parts:
                     continue
                 if size == end:
                     break
@@ -208,12 +217,15 @@ class BytePairs:
             at = match.end()
         yield from self._split_plain(text[at:] if at else text)
 
+    def _pattern_of(self, text: str) -> re.Pattern[str]:
+        return self._pattern if self._beyond.search(text) else self._short_pattern
+
     def _split_plain(self, text: str) -> Iterator[tuple[list[str], bool]]:
         if len(text) <= STEP:
             if text:
-                yield self._pattern.findall(text), False
+                yield self._pattern_of(text).findall(text), False
             return
-        words = (m[0] for m in self._pattern.finditer(text))
+        words = (m[0] for m in self._pattern_of(text).finditer(text))
         while step := list(islice(words, STEP)):
             yield step, False
 
@@ -246,7 +258,7 @@ class Encodings(dict):
         """What is known of words; added: they are added tokens."""
         if added:
             return [(1, str(i := self.model.added[w]), self.model.bytes_of([i])) for w in words]
-        return [self[w] for w in words]
+        return list(map(self.__getitem__, words))
 
     def trim(self) -> None:
         """Forgets long words, and everything once there is too much of it."""

@@ -6,7 +6,7 @@ import random
 import public_tokenizers
 import pytest
 from lakescribe.llm.byte_pair_encoding import decode_byte_pairs, encode_byte_pairs
-from lakescribe.llm.byte_pairs import STEP, BytePairs
+from lakescribe.llm.byte_pairs import STEP, BytePairs, word_pattern
 from tokenizers import Tokenizer
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -98,3 +98,13 @@ def test_other_settings_are_refused(tmp_path):
     (tmp_path / "other.json").write_text(json.dumps(made))
     with pytest.raises(ValueError):
         BytePairs(str(tmp_path / "other.json"))
+
+
+def test_ranges_beyond_the_first_plane_cost_only_texts_that_have_such_characters(model):
+    whole = word_pattern()
+    plain = ["it's 12 words,\n  é ñ٠ 一�Ɤ x", "a  b　c 힣!"]
+    wide = ["a \U0001d400\U0001d401 b", "\U0001f600\U0001f600 x", " \U0001d7d8 1", "\U000105c0 \U0010ffff", "\U00010d40"]
+    for text in (*plain, *wide):
+        assert [w for words, _ in model.split(text) for w in words] == whole.findall(text)
+    assert all(len(model._pattern_of(t).pattern) < len(whole.pattern) for t in plain)
+    assert all(model._pattern_of(t).pattern == whole.pattern for t in wide)
