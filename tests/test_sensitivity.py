@@ -258,3 +258,20 @@ def test_indexed_rules_equal_conditions(spark, monkeypatch):
     monkeypatch.setattr(sensitivity, "INLINE_RULES", 0)
     plans = [sensitivity.classify_columns(columns, rules * n)._jdf.queryExecution().optimizedPlan().toString() for n in (1, 9)]
     assert len(plans[1]) < 1.5 * len(plans[0])
+
+
+def test_rules_meet_a_value_once_however_many_names_have_it(spark):
+    rules = [sensitivity.OverrideRule(column=f"*none{i}?") for i in range(40)] + [
+        sensitivity.OverrideRule(table="t_[0-4]*", category="Health"), sensitivity.OverrideRule(column="*oa*", table="*_7", category="Financial"),
+        sensitivity.OverrideRule(schema="[sS]", column="?", category="Credential"),
+        sensitivity.OverrideRule(column="load", table="t_9", match="exact", category="Non-sensitive")]
+    names = spark.range(40).selectExpr(
+        "IF(id % 2 = 0, 'load', 'x') AS column", "concat('t_', id DIV 2) AS table", "IF(id < 30, 's', 'dbo') AS schema", "'' AS database")
+    found = sensitivity.override_matches(names, rules)
+    assert "Generate explode" in (plan := found._jdf.queryExecution().optimizedPlan().toString())
+    spread = [b.count("Aggregate [table") + b.count("Aggregate [column") for b in plan.split("Generate explode")[1:]]
+    assert sum(spread) >= 2, plan
+    inline = {(r["column"], r["table"], r["schema"]): r["result"] for r in names.select(
+        "*", sensitivity.override_result(rules, **{p: F.col(p) for p in sensitivity.PARTS}).alias("result")).collect()}
+    assert {(r["column"], r["table"], r["schema"]): r["result"] for r in found.collect()} == {k: v for k, v in inline.items() if v}
+    assert len({v for v in inline.values() if v}) == 4
