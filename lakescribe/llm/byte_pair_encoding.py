@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -17,7 +18,9 @@ from .words import pieces
 @lru_cache(maxsize=1)
 def _loaded(path: str) -> Encodings:
     """The vocabulary and the words met so far, kept by a worker from task to task."""
-    return Encodings(BytePairs(path))
+    known = Encodings(BytePairs(path))
+    gc.freeze()  # the vocabulary stays for the worker's life, no collection needs to walk it
+    return known
 
 
 class _Digests:
@@ -29,11 +32,9 @@ class _Digests:
     def __init__(self) -> None:
         self.n, self.ids, self.decoded = 0, hashlib.sha256(), hashlib.sha256()
 
-    def add(self, made: list[tuple[int, str, bytes]]) -> None:
-        ids = ",".join([m[1] for m in made])
+    def add(self, ids: str, decoded: str) -> None:
         self.ids.update(("," + ids if self.n else ids).encode())
-        # a word holds whole characters, so its bytes are decoded by themselves
-        self.decoded.update(b"".join([m[2] for m in made]).decode("utf-8", "replace").encode())
+        self.decoded.update(decoded.encode())
         self.n += ids.count(",") + 1
 
     def row(self) -> tuple:
@@ -49,9 +50,9 @@ class _Values:
     def __init__(self) -> None:
         self.ids, self.decoded = [], []
 
-    def add(self, made: list[tuple[int, str, bytes]]) -> None:
-        self.ids.extend(map(int, ",".join([m[1] for m in made]).split(",")))
-        self.decoded.append(b"".join([m[2] for m in made]).decode("utf-8", "replace"))
+    def add(self, ids: str, decoded: str) -> None:
+        self.ids.extend(map(int, ids.split(",")))
+        self.decoded.append(decoded)
 
     def row(self) -> tuple:
         return self.ids, "".join(self.decoded)
@@ -66,13 +67,13 @@ def _encoder(path: str, result: type):
                 texts, rows = piece.column("text").to_pylist(), []
                 # the words of the slice's shorter texts make one trie; a long text makes one a step
                 parts = [list(split(t)) if t and len(t) <= STEP else None for t in texts]
-                known.learn({w for steps in parts if steps for words, added in steps if not added for w in words})
+                known.learn(set().union(*[words for steps in parts if steps for words, added in steps if not added]))
                 for text, steps in zip(texts, parts):
                     out = result()
                     for words, added in split(text or "") if steps is None else steps:
                         if steps is None and not added:
                             known.learn(set(words))
-                        out.add(known.of(words, added))
+                        out.add(*known.of(words, added))
                     rows.append(out.row())
                 known.trim()
                 made = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(result.kinds.values())]

@@ -20,11 +20,9 @@ import re
 import unicodedata
 from collections.abc import Iterable, Iterator
 from itertools import islice
-from os.path import commonprefix
 
 #: Entries that a worker keeps of words and of pair tests; longest word kept; words of one step of a long text.
 CACHE, KEPT_WORD, STEP = 400_000, 64, 1 << 16
-NONE = ((),)
 #: The contractions and the white space of the word pattern.
 CONTRACTIONS = "s|t|re|ve|m|ll|d"
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -99,6 +97,7 @@ class BytePairs:
             ordered = sorted(set(lengths), reverse=True)
             self._lengths[ending] = [tuple(size for size in ordered if size <= n) for n in range(ordered[0] + 1)]
         self._goes: dict[tuple[str, str], bool] = {}
+        self.decimal = {i: str(i) for i in self.id.values()}
         self._pattern, self._short_pattern = word_pattern(), word_pattern(0x10000)
         self._beyond = re.compile("[\U00010000-\U0010ffff]")
         self._split_added = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
@@ -172,23 +171,27 @@ class BytePairs:
 
     def _states(self, word: str, at: int, last: list[str]) -> None:
         """Adds the states of the prefixes of word longer than `at`; last[n] is the last token of its first n letters."""
-        goes, parts, lengths = self._goes, self._parts, self._lengths
+        goes, parts, lengths, add = self._goes, self._parts, self._lengths, last.append
         for end in range(at + 1, len(word) + 1):
-            fitting = lengths.get(word[end - 2: end], NONE)
+            fitting = lengths.get(word[end - 2: end])
+            if fitting is None:
+                add(word[end - 1])
+                continue
             for size in fitting[end] if end < len(fitting) else fitting[-1]:
                 if (token := word[end - size: end]) not in parts:
                     continue
                 if size == end:
                     break
                 pair = last[end - size], token
-                fits = goes.get(pair)
-                if fits is None:
+                if pair in goes:
+                    fits = goes[pair]
+                else:
                     fits = goes[pair] = self._stay_apart(*pair)
                 if fits:
                     break
             else:
                 token = word[end - 1]
-            last.append(token)
+            add(token)
         if len(goes) > CACHE:
             goes.clear()
 
@@ -196,14 +199,19 @@ class BytePairs:
         """(word, ids) of distinct words written in byte letters, by one traversal of their trie."""
         path, last = "", [""]
         for word in sorted(words):
-            shared = len(commonprefix((path, word)))
+            shared = 0
+            for a, b in zip(path, word):
+                if a != b:
+                    break
+                shared += 1
             del last[shared + 1:]
             self._states(word, shared, last)
             path, at, ids = word, len(word), []
             while at:
                 ids.append(self.id[last[at]])
                 at -= len(last[at])
-            yield word, ids[::-1]
+            ids.reverse()
+            yield word, ids
 
     def letters(self, word: str) -> str:
         return word.encode().decode("latin-1").translate(self._letters)
@@ -238,32 +246,42 @@ class BytePairs:
 
 
 class Encodings(dict):
-    """word -> (number of ids, ids as decimal text, bytes of the ids), filled a trie at a time, bounded."""
+    """word -> ids as decimal text, filled a trie at a time, bounded; apart, what decodes to another text."""
 
     def __init__(self, model: BytePairs) -> None:
         super().__init__()
         self.model = model
         self._long: list[str] = []
-
-    def learn(self, words: Iterable[str]) -> None:
-        """Encodes the words that are not known yet, along one trie."""
-        model = self.model
-        new = {model.letters(w): w for w in words if w not in self}
-        for letters, ids in model.encode_words(new):
-            self[word := new[letters]] = len(ids), ",".join(map(str, ids)), model.bytes_of(ids)
+        #: word -> the text decoded from its ids, of words that it differs from
+        self.decoded: dict[str, str] = {}
+
+    def learn(self, words: set[str]) -> None:
+        """Encodes the words that are not known yet, along one trie, and decodes their ids."""
+        letters, decimal, decode = self.model.letters, self.model.decimal.__getitem__, self.model.decode
+        new = {letters(w): w for w in words if w not in self}
+        for spelled, ids in self.model.encode_words(new):
+            word = new[spelled]
+            self[word] = ",".join(map(decimal, ids))
+            # a word holds whole characters, so its bytes are decoded by themselves
+            if (decoded := decode(ids)) != word:
+                self.decoded[word] = decoded
             if len(word) > KEPT_WORD:
                 self._long.append(word)
 
-    def of(self, words: list[str], added: bool) -> list[tuple[int, str, bytes]]:
-        """What is known of words; added: they are added tokens."""
+    def of(self, words: list[str], added: bool) -> tuple[str, str]:
+        """The ids of words as decimal text and the text decoded from them; added: they are added tokens."""
         if added:
-            return [(1, str(i := self.model.added[w]), self.model.bytes_of([i])) for w in words]
-        return list(map(self.__getitem__, words))
+            ids = [self.model.added[w] for w in words]
+            return ",".join(map(str, ids)), self.model.decode(ids)
+        differs = self.decoded
+        return ",".join(map(self.__getitem__, words)), "".join([differs.get(w, w) for w in words] if differs else words)
 
     def trim(self) -> None:
         """Forgets long words, and everything once there is too much of it."""
         for word in self._long:
             self.pop(word, None)
+            self.decoded.pop(word, None)
         self._long.clear()
         if len(self) > CACHE:
             self.clear()
+            self.decoded.clear()

@@ -6,7 +6,7 @@ import random
 import public_tokenizers
 import pytest
 from lakescribe.llm.byte_pair_encoding import decode_byte_pairs, encode_byte_pairs
-from lakescribe.llm.byte_pairs import STEP, BytePairs, word_pattern
+from lakescribe.llm.byte_pairs import STEP, BytePairs, Encodings, word_pattern
 from tokenizers import Tokenizer
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -108,3 +108,14 @@ def test_ranges_beyond_the_first_plane_cost_only_texts_that_have_such_characters
         assert [w for words, _ in model.split(text) for w in words] == whole.findall(text)
     assert all(len(model._pattern_of(t).pattern) < len(whole.pattern) for t in plain)
     assert all(model._pattern_of(t).pattern == whole.pattern for t in wide)
+
+
+def test_only_words_that_decode_differently_keep_a_text(model):
+    """Words are looked up once, for their ids; what ids decode to is kept only where it is not the word."""
+    known = Encodings(model)
+    known.learn({"one", " two", "é"})
+    assert known.decoded == {} and dict(known) == {w: ",".join(map(str, i)) for w, i in (
+        (w, [model.id[t] for t in model.merge(model.letters(w))]) for w in ("one", " two", "é"))}
+    assert known.of(["one", " two", "é"], False) == (",".join(known[w] for w in ("one", " two", "é")), "one two\u00e9")
+    known.decoded["one"] = "1"
+    assert known.of(["one", " two", "one"], False)[1] == "1 two1"
