@@ -193,3 +193,33 @@ def test_a_name_of_most_columns_is_not_gathered(spark):
     to = lambda name: sorted(r.target_object for r in found.where(f"source_object = '{name}'").collect())
     assert to("T0") == ["T1", "T2", "T3"] and to("T9") == to("T8") == ["T0", "T1", "T2"] and to("T7") == ["T0", "T0", "T1"]
     assert found.count() == 180
+
+
+@pytest.mark.parametrize("threshold", (0.0, 0.3, 0.5, 0.75, 0.8, 1.0))
+def test_similarity_where_all_names_are_common(spark, threshold, monkeypatch):
+    """Sets meet by several names at once; every pair is found once, whatever the widths and the size of a key."""
+    monkeypatch.setattr(structure, "SETS_PER_BUCKET", 3)
+    rng = random.Random(5)
+    sets = {f"t{i:02d}": frozenset(rng.sample(range(14), rng.choice((1, 2, 3, 5, 7, 11, 12, 13)))) for i in range(70)}
+    sets |= {"u": frozenset(range(40)), "v": frozenset(range(36)), "w": frozenset(range(3, 40))}
+    rows = [("d", t, f"c{c}") for t, cs in sets.items() for c in cs]
+    columns = spark.createDataFrame(rows, "schema_name string, object_name string, column_name string")
+    heads = {r["object_name"]: r["group_object"] for r in structure.shape_groups(columns).collect()}
+    firsts = sorted(set(heads.values()))
+    listed = [
+        (a, b, shared) for a, b in itertools.combinations(firsts, 2)
+        if (shared := len(sets[a] & sets[b])) and shared / len(sets[a] | sets[b]) >= threshold]
+    found = [(r["left_object"], r["right_object"], r["shared_names"]) for r in structure.table_similarity(columns, threshold).collect()
+             if heads[r["right_object"]] != r["left_object"]]
+    assert sorted(found) == listed
+
+
+def test_narrow_sets_meet_by_all_names_they_share(spark, monkeypatch):
+    """Sets of six out of twelve common names: a key holds the five that two of them must share, so hardly any have it."""
+    monkeypatch.setattr(structure, "SETS_PER_BUCKET", 100)
+    names = [f"c{i:02d}" for i in range(12)]
+    rows = [("d", f"t{i}", w, 1, list(c), [462] * w) for i, (w, c) in enumerate(
+        (w, c) for w in (6, 7) for c in itertools.combinations(names, w))]
+    sets = spark.createDataFrame(rows, "schema_name string, object_name string, width long, bits long, names array<string>, spreads array<long>")
+    keys = structure._keys(sets, 0.7).groupBy("narrow", "wide", "key").count().collect()
+    assert keys and max(k["count"] for k in keys) <= 12
