@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from lakescribe.functions import fixed_values as fixed
 from lakescribe.operators import jobs, lineage, statements
 from lakescribe.plans import discovery
+from lakescribe.sources.shared import dealt, materialize
 from lakescribe.sources.workspace import Workspace
 
 from .inputs import Registry, derived, table, with_inputs
@@ -46,6 +47,12 @@ def flags_of(spark, sf) -> DataFrame:
     return statements.definition_flags(derived(spark, sf, "statements"))
 
 
+def shared_flags_of(spark, sf) -> DataFrame:
+    """What references and lineage use of the same rows, read off the statements once."""
+    used = ("statement_id", "schema_name", "object_name", "source_type", "definition_sanitized")
+    return materialize(statements.definition_flags(dealt(derived(spark, sf, "statements"))).select(*used), "definitions")
+
+
 @registry.add(with_extra("statements", FLAGS, "SELECT * FROM flags"))
 def definition_flags(spark, sf):
     return flags_of(spark, sf)
@@ -117,9 +124,9 @@ column_refs AS (SELECT f.schema_name AS source_schema, f.object_name AS source_o
 """
 
 
-def column_refs_of(spark, sf) -> DataFrame:
+def column_refs_of(spark, sf, flags: DataFrame | None = None) -> DataFrame:
     return statements.column_references(
-        flags_of(spark, sf), derived(spark, sf, "known_columns"), statement_id="statement_id"
+        flags or flags_of(spark, sf), derived(spark, sf, "known_columns"), statement_id="statement_id"
     )
 
 
@@ -254,8 +261,8 @@ merged AS (SELECT source_schema, source_object, source_type, source_column_id, {
 _STATEMENT_REFS = FLAGS + REFERENCES
 
 
-def merged_of(spark, sf) -> DataFrame:
-    refs = statements.object_references(flags_of(spark, sf))
+def merged_of(spark, sf, flags: DataFrame | None = None) -> DataFrame:
+    refs = statements.object_references(flags or flags_of(spark, sf))
     return lineage.merge_dependencies(derived(spark, sf, "dependencies"), refs)
 
 
@@ -283,12 +290,13 @@ catalogue_lineage AS (SELECT source_schema, source_object, source_type, coalesce
 """
 
 
-def catalogue_lineage_of(spark, sf) -> DataFrame:
+def catalogue_lineage_of(spark, sf, flags: DataFrame | None = None) -> DataFrame:
+    flags = flags or shared_flags_of(spark, sf)
     named = derived(spark, sf, "dependencies").selectExpr(
         "source_schema AS schema_name", "source_object AS object_name", "target_object AS column_name"
     ).distinct()
     columns = spark.sql(_SOURCE_COLUMNS.replace("{t}", "{named}"), named=named)
-    return lineage.catalogue_column_lineage(merged_of(spark, sf), columns, flags_of(spark, sf))
+    return lineage.catalogue_column_lineage(merged_of(spark, sf, flags), columns, flags)
 
 
 _LINEAGE_INPUTS = ("statements", "dependencies")
@@ -313,9 +321,10 @@ EVERY_EDGE = _STATEMENT_REFS + MERGED + LINEAGE + COLUMN_REFERENCES + _JOB_CTES
 
 
 def edges_of(spark, sf) -> DataFrame:
+    flags = shared_flags_of(spark, sf)
     return lineage.lineage_edges(
-        catalogue_lineage_of(spark, sf), column_refs_of(spark, sf),
-        jobs.job_step_references(derived(spark, sf, "job_steps")),
+        catalogue_lineage_of(spark, sf, flags), column_refs_of(spark, sf, flags),
+        jobs.job_step_references(dealt(derived(spark, sf, "job_steps"))),
     )
 
 
