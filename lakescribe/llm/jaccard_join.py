@@ -1,12 +1,15 @@
 """N-gram Jaccard join: documents whose word shingles agree to 80 percent, by PartEnum signatures.
 
-1. Documents of equal shingle sets form a class; its smallest id stands for it from here on.
-2. Signatures that two documents have are counted (map tasks aggregate first) and joined back to the
-   documents that have them. The smallest class of a signature leads it; all its classes join the
-   leader's cluster, so each pair with a common signature is in a common cluster.
-3. Texts of cluster members alone meet in tasks. A cluster above a bound of words is dealt into blocks,
-   and each pair of blocks is a unit of its own. Inside a unit, intersections are counted by an
-   inverted index; exact links leave it as a spanning forest, never as all pairs of a group.
+1. Documents of equal shingle sets form a class; its smallest id stands for it from here on. A filter
+   of these ids keeps copies from offering signatures.
+2. Signatures meet once, 48 bits of each; those of one document alone go. Of the others each document
+   leaves out the most frequent ones, as many as `partenum.py` shows that it can. The smallest class of
+   a signature leads it; all its classes join the leader's cluster, so each similar pair is in a common
+   cluster.
+3. Texts of cluster members alone meet in tasks, others are filtered out where they are read. A cluster
+   above a bound of words is dealt into blocks, and each pair of blocks is a unit of its own. Inside a
+   unit, intersections are counted by an inverted index; exact links leave it as a spanning forest,
+   never as all pairs of a group.
 4. Components of the forest, then of all documents.
 """
 
@@ -16,13 +19,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakescribe.sources.shared import materialize
 
 from .components import connected_components
-from .partenum import signatures
+from .key_filter import key_filter, only, passing
+from .partenum import offers
 from .substring_dedup import NULL_ID
 from .words import find_words, mix, pieces
 
@@ -67,16 +71,23 @@ def _outline(n: int):
     return run
 
 
-def _signatures(n: int, percent: int):
+def _offers(n: int, percent: int, wanted):
+    """Signatures of the documents in the filter; may_drop: how many of its band each document may leave out."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in pieces(batch, "text"):
-                found = [signatures(s, percent) for s in shingle_sets(piece.column("text"), n)]
+            for piece in pieces(passing(batch, "doc", wanted.value), "text"):
                 docs = piece.column("doc").to_numpy(zero_copy_only=False)
+                own = zip(docs.tolist(), shingle_sets(piece.column("text"), n))
+                found = [(doc, *each) for doc, elements in own for each in offers(elements, percent)]
+                if not found:
+                    continue
+                doc, band, may_drop, names = zip(*found)
+                size = [len(x) for x in names]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(docs, [len(x) for x in found]), pa.int64()),
-                     pa.array(np.concatenate(found).view(np.int64))],
-                    ["doc", "signature"],
+                    [pa.array((np.concatenate(names) >> np.uint64(16)).view(np.int64)), pa.array(np.repeat(doc, size), pa.int64()),
+                     pa.array(np.repeat(band, size), pa.int32()), pa.array(np.repeat(may_drop, size), pa.int32())],
+                    ["signature", "doc", "band", "may_drop"],
                 )
 
     return run
@@ -148,26 +159,35 @@ def _compare(n: int, percent: int):
 
 def _links(source: DataFrame, firsts: DataFrame, n: int, percent: int, block_words: int) -> DataFrame:
     """Edges that span the links between classes; firsts: (doc, n_shingles) of each class."""
-    offered = source.mapInArrow(_signatures(n, percent), "doc long, signature long")
-    common = offered.groupBy("signature").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("signature")
-    offered = source.mapInArrow(_signatures(n, percent), "doc long, signature long")
-    offers = materialize(
-        offered.join(common, "signature").join(firsts.select("doc"), "doc", "left_semi").select("signature", "doc"), "offers"
+    offered = source.mapInArrow(
+        _offers(n, percent, key_filter(firsts, "doc")), "signature long, doc long, band int, may_drop int")
+    all_of = Window.partitionBy("signature")
+    shared = materialize(
+        offered.withColumns({"n": F.count(F.lit(1)).over(all_of), "one": F.min("doc").over(all_of), "last": F.max("doc").over(all_of)})
+        .where("one < last").drop("one", "last"), "offers"
+    )
+    # documents of one id count as one here; what they leave out together each of them may leave out
+    of_doc = Window.partitionBy("doc", "band")
+    place = F.row_number().over(of_doc.orderBy(F.desc("n"), "signature"))
+    kept = materialize(
+        shared.withColumns({"place": place, "may_drop": F.min("may_drop").over(of_doc)})
+        .where("place > may_drop").select("signature", "doc"), "offers"
     )
-    leaders = offers.groupBy("signature").agg(F.min("doc").alias("leader"), F.max("doc").alias("last"))
+    leaders = kept.groupBy("signature").agg(F.min("doc").alias("leader"), F.max("doc").alias("last"))
     members = (
-        offers.join(leaders.where("leader < last").drop("last"), "signature")
+        kept.join(leaders.where("leader < last").drop("last"), "signature")
         .groupBy("leader", "doc").agg(F.count(F.lit(1)).alias("n")).join(firsts.select("doc", "n_shingles"), "doc")
         .select("leader", "doc", "n_shingles")
     )
     members = materialize(members, "members")
-    blocks = members.groupBy("leader").agg(F.ceil(F.sum("n_shingles") / block_words).cast("int").alias("blocks"))
+    blocks = members.groupBy("leader").agg(
+        F.ceil(F.sum("n_shingles") / block_words).cast("int").alias("blocks"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     placed = members.join(blocks, "leader").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     units = placed.withColumn("other", other).select(
         "leader", "doc", "block", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right")
     )
-    texts = source.join(units, "doc").select("leader", "left", "right", "block", "doc", "text")
+    texts = only(source, "doc", key_filter(members, "doc")).join(units, "doc").select("leader", "left", "right", "block", "doc", "text")
     return (
         texts.repartition("leader", "left", "right").sortWithinPartitions("leader", "left", "right")
         .mapInArrow(_compare(n, percent), "a long, b long")

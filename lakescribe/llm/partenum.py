@@ -24,6 +24,8 @@ from .words import mix
 SMALL = 16
 #: Largest over smallest size of a band.
 BAND = 2.5
+#: Stands for a band where single elements are offered.
+ELEMENTS = -1
 
 
 class Band:
@@ -68,11 +70,14 @@ def bands_of(size: int, percent: int) -> tuple[Band, ...]:
     return tuple(found)
 
 
-def signatures(elements: np.ndarray, percent: int) -> np.ndarray:
-    """Signatures of a set, given as its distinct 64-bit elements in rising order."""
+def offers(elements: np.ndarray, percent: int) -> list[tuple[int, int, np.ndarray]]:
+    """(band, signatures it may leave out, signatures) of a set, given as its distinct 64-bit elements in rising order.
+
+    Single elements are those of band ELEMENTS, where none may be left out.
+    """
     size = len(elements)
     if not size:
-        return np.zeros(0, np.uint64)
+        return []
     out, sparse = [], size <= SMALL * 100 // percent
     for band in bands_of(size, percent):
         part = (mix(elements + np.uint64(band.number * 2 + 1)) >> np.uint64(32)) * np.uint64(band.parts) >> np.uint64(32)
@@ -82,12 +87,18 @@ def signatures(elements: np.ndarray, percent: int) -> np.ndarray:
         order = np.argsort(part, kind="stable")
         part = part[order]
         start = np.flatnonzero(np.diff(part, prepend=np.uint64(1 << 40)))
+        empty, most_empty = offered - len(start), band.most_empty(size)
         if len(start):
             sums = np.add.reduceat(mix(elements[inside][order] ^ np.uint64(0xA0761D6478BD642F)), start)
-            out.append(mix(sums + part[start] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(band.number)))
-        sparse |= offered - len(start) > band.most_empty(size)
+            names = mix(sums + part[start] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(band.number))
+            out.append((band.number, max(0, most_empty - empty), names))
+        sparse |= empty > most_empty
     if sparse:
         first = size - -(-size * percent // 100) + 1
-        out.append(mix(elements[:first] ^ np.uint64(0x8EBC6AF09C88C6E3)))
-    return np.concatenate(out)
+        out.append((ELEMENTS, 0, mix(elements[:first] ^ np.uint64(0x8EBC6AF09C88C6E3))))
+    return out
 
+
+def signatures(elements: np.ndarray, percent: int) -> np.ndarray:
+    """All signatures of a set, given as its distinct 64-bit elements in rising order."""
+    return np.concatenate([np.zeros(0, np.uint64), *[names for _, _, names in offers(elements, percent)]])

@@ -134,6 +134,31 @@ def test_jaccard_groups_of_nothing(none, frame):
         (1, 0, 1), (2, 0, 2), (3, 0, 3), (4, 1, 4), (5, 1, 4)]
 
 
+def test_copies_offer_no_signatures_and_few_texts_meet(spark, monkeypatch):
+    """Of copies one stands for all; texts that share a passage only do not meet."""
+    from lakescribe.llm import jaccard_join
+
+    written = collections.defaultdict(list)
+    kept = jaccard_join.materialize
+
+    def counted(df, label):
+        written[label].append(found := kept(df, label))
+        return found
+
+    monkeypatch.setattr(jaccard_join, "materialize", counted)
+    rng = random.Random(8)
+    say = lambda k: " ".join(f"w{rng.randrange(10**6)}" for _ in range(k))
+    passage, alone = say(40), [say(120) for _ in range(30)]
+    rows = [(k * 100 + i, t) for k in range(20) for i, t in enumerate(alone)]
+    assert {r.component_id for r in jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == set(range(30))
+    assert written["offers"][0].count() < 5_000  # of 600 times about 130, but for what passes the filter in vain
+    texts = [f"{say(150)} {passage} {say(150)}" for _ in range(60)]
+    rows = [*enumerate(texts), (100, f"{texts[7]} {say(5)}")]
+    got = {r.doc_id: r.component_id for r in jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {**{i: i for i in range(60)}, 100: 7}
+    assert written["members"][1].select("doc").distinct().count() < 20
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(1000 + i, 1001 + i) for i in range(70)] + [(5, 5), (2000, 2000)]

@@ -197,6 +197,24 @@ def test_a_scope_deletes_what_was_written_in_it(spark, shared_dir):
     assert total == 4 and set(shared_dir.iterdir()) == before
 
 
+def test_shuffle_files_of_a_written_table_are_deleted(spark):
+    import time
+
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: sum("shuffle_" in f.getName() for f in sc_list(disk.getAllFiles()))
+    sc_list = lambda found: [found.apply(i) for i in range(found.size())]
+    spark._jvm.System.gc()
+    setting = spark.conf.get(shared.CLEANUP, None)
+    before = files()
+    keys = spark.range(20_000).select((F.col("id") % 777).alias("k"))
+    kept = shared.materialize(keys.groupBy("k").count().join(keys, "k"), "counts")
+    for _ in range(50):
+        if files() <= before:
+            break
+        time.sleep(0.1)
+    assert files() <= before and kept.count() == 20_000 and spark.conf.get(shared.CLEANUP, None) == setting
+
+
 def test_discovery(spark):
     people = spark.createDataFrame([(i, f"p{i}@example.test", i % 2) for i in range(20)], "person_id int, contact string, kind int")
     visits = spark.createDataFrame([(i, (i % 25) if i % 7 else None) for i in range(100)], "visit_id int, person_id int")
