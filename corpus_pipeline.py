@@ -53,10 +53,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     A null id is the smallest.
     """
     groups = jaccard_groups(docs.select("doc_id", "text")).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    stays = groups.select(F.col("doc_id").alias("stays_id"), F.col("text_name").alias("stays_name")).distinct()
-    named = _carried(docs).withColumn("name", F.xxhash64("text"))
-    own = F.col("doc_id").eqNullSafe(F.col("stays_id")) & (F.col("name") == F.col("stays_name"))
-    first = F.row_number().over(Window.partitionBy("doc_id", "name").orderBy("doc_id"))
+    # one key without null for the join and for the first of each, so texts are shuffled once
+    own = ["id", "no_id", "name"]
+    known = {"id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "no_id": F.isnull("doc_id")}
+    stays = groups.withColumns({**known, "name": F.col("text_name")}).select(*own).distinct()
+    named = _carried(docs).withColumns({**known, "name": F.xxhash64("text")})
+    first = F.row_number().over(Window.partitionBy(*own).orderBy("id"))
     return _unpacked(named.join(stays, own, "left_semi").withColumn("place", first).where("place = 1"), docs.columns)
 
 

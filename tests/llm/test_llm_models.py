@@ -314,6 +314,23 @@ def test_pipeline_stages(spark):
         assert stage(spark, spark.createDataFrame([], schema), "").count() == 0, name
 
 
+def test_pipeline_shuffles_texts_once_after_near_duplicates_are_known(spark):
+    import corpus_pipeline as pipeline
+
+    rows = [(i % 6 or None, f"text number {i % 4} of a few words", i) for i in range(24)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, n_chars long")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        left = pipeline.near_duplicates(spark, docs, "")
+        plan = left._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    above, join, below = plan.partition("LeftSemi")
+    assert join and "Window" in above and "Exchange" not in above and below.count("Exchange") >= 2
+    assert len(left.collect()) == len({(r.doc_id, r.text) for r in left.collect()}) and left.schema == docs.schema
+
+
 def test_pipeline_passes_clashing_names_through(spark):
     import corpus_pipeline as pipeline
 
