@@ -294,9 +294,10 @@ def catalogue_lineage_of(spark, sf, flags: DataFrame | None = None) -> DataFrame
     flags = flags or shared_flags_of(spark, sf)
     named = derived(spark, sf, "dependencies").selectExpr(
         "source_schema AS schema_name", "source_object AS object_name", "target_object AS column_name"
-    ).distinct()
+    ).repartition("schema_name", "object_name").distinct()  # dealt once, as their numbers are an object's
     columns = spark.sql(_SOURCE_COLUMNS.replace("{t}", "{named}"), named=named)
-    return lineage.catalogue_column_lineage(merged_of(spark, sf, flags), columns, flags)
+    return lineage.merged_column_lineage(
+        derived(spark, sf, "dependencies"), statements.object_references(flags), columns, flags)
 
 
 _LINEAGE_INPUTS = ("statements", "dependencies")

@@ -7,12 +7,13 @@ Dependencies have ``source_schema``, ``source_object``, ``source_type``, ``sourc
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fixed_values as fixed
-from ..sources.shared import materialize
+from ..sources.shared import by_parts, materialize
 from ..functions.text import is_present, is_true
 
 EDGE_KEY = ("source_schema", "source_object", "target_database", "target_schema", "target_object")
@@ -120,6 +121,39 @@ def catalogue_column_lineage(
     ).select(*LINEAGE_COLUMNS)
 
 
+#: Catalogue edges of one part of the lineage, about, and parts at most, as each task writes a file for each part.
+EDGES_A_PART, MOST_PARTS = 4_000_000, 16
+
+
+def merged_column_lineage(
+    catalogue: DataFrame, references: DataFrame, columns: DataFrame, definitions: DataFrame, parts: int | None = None
+) -> DataFrame:
+    """catalogue_column_lineage of merge_dependencies, for one part of the source objects after another.
+
+    Edges, references, columns and texts meet by source object only, so each part is whole in itself. ``catalogue`` is counted
+    unless ``parts`` is given.
+    """
+    if parts is None:
+        parts = min(MOST_PARTS, max(1, math.ceil(catalogue.count() / EDGES_A_PART)))
+    used = [
+        F.when(is_present(F.col(c)), "1").otherwise("").alias(c) if c == "referenced_id" else F.col(c) for c in catalogue.columns
+        if c in ("source_column_id", "referenced_id", "operation", "evidence", *LINEAGE_COLUMNS)
+    ]
+
+    def of(*names: str) -> list[Column]:
+        # names that differ in case alone are one edge to the merge
+        return [F.lower(text_of(name)) for name in names]
+
+    source, named = of("source_schema", "source_object"), of("schema_name", "object_name")
+    tables = [
+        (catalogue.select(*used), source), (references, source),
+        (columns.select("schema_name", "object_name", "column_id", "column_name"), named),
+        (definitions.select("schema_name", "object_name", "definition_sanitized"), named),
+    ]
+    return by_parts(
+        lambda edges, found, names, texts: catalogue_column_lineage(merge_dependencies(edges, found), names, texts), tables, parts)
+
+
 LINEAGE_COLUMNS = (
     "source_schema", "source_object", "source_type", "source_column", "target_server",
     "target_database", "target_schema", "target_object", "target_column", "relationship",
